@@ -1 +1,157 @@
-"""placeholder"""
+"""Reduction queries: envelopes, triangle downsampling, resampling."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strandline.operators import reduce as red
+from strandline.plans.report import plot_bounds, plot_series
+from strandline.queries.registry import EV, EV_BY, ROW, events, query, rounded
+
+
+def _envelope_sql(ev: str, k: int, part: str) -> str:
+    keys = f"{part}, " if part else ""
+    return (
+        f"WITH {ev}, b AS (SELECT *, floor(((row_idx + 1) * {k} - 1) / n)::bigint AS b FROM ev), "
+        f"o AS (SELECT {keys}b, list_distinct([arg_min(row_idx, struct_pack(v := value, r := row_idx)), "
+        f"arg_max(row_idx, struct_pack(v := value, r := -row_idx))]) AS l FROM b GROUP BY {keys}b), p AS (SELECT {keys}unnest(l) AS row_idx FROM o) "
+    )
+
+
+@query("minmax_envelope", _envelope_sql(EV, 200, "") + "SELECT row_idx, event_id, x, value FROM p JOIN ev USING (row_idx)")
+def minmax_envelope(spark, d):
+    o = events(spark, d)
+    e = red.minmax_envelope(o, "x", "value", 200)
+    return e.join(o.df.select(ROW, "event_id"), ROW)
+
+
+@query(
+    "envelope_by_series",
+    _envelope_sql(EV_BY, 50, "event_type") + "SELECT event_type, row_idx, round(value, 6) AS value FROM p JOIN ev USING (event_type, row_idx)",
+)
+def envelope_by_series(spark, d):
+    e = red.minmax_envelope(events(spark, d, "event_type"), "x", "value", 50)
+    return rounded(e, 6, "value").select("event_type", ROW, "value")
+
+
+def _lttb_sql(target: int, shift: int) -> str:
+    last = target - 3
+    return (
+        f"WITH RECURSIVE {EV}, w AS (SELECT *, (n - 2)::double / {target - 2} AS w FROM ev), "
+        f"i AS (SELECT unnest(range(0, {target - 2})) AS b), "
+        "c AS (SELECT b, row_idx AS j, x, value AS y FROM i, w WHERE row_idx < n AND "
+        f"row_idx >= floor((b + {shift}) * w)::bigint + 1 AND row_idx < greatest(least(floor((b + {shift} + 1) * w)::bigint + 1, n - 1), floor((b + {shift}) * w)::bigint + 2)), "
+        "m AS (SELECT b, avg(x) AS mx, avg(value) AS my FROM i, w WHERE "
+        f"row_idx >= least(floor((b + {shift} + 1) * w)::bigint + 1, n - 1) AND row_idx < least(floor((b + {shift} + 2) * w)::bigint + 1, n) "
+        f"OR (row_idx = n - 1 AND b = {last}) GROUP BY b), "
+        "q AS (SELECT c.b, j, x, y, mx, my FROM c JOIN m USING (b)), "
+        "walk AS (SELECT -1::bigint AS b, row_idx AS j, x, value AS y FROM ev WHERE row_idx = 0 UNION ALL "
+        "SELECT r.b, r.s.j, r.s.x, r.s.y FROM (SELECT q.b, arg_max(struct_pack(j := q.j, x := q.x, y := q.y), "
+        "struct_pack(a := abs((p.x - mx) * (q.y - p.y) - (p.x - q.x) * (my - p.y)), j := -q.j)) AS s "
+        "FROM walk p JOIN q ON q.b = p.b + 1 GROUP BY q.b) r) "
+        f"SELECT (b + 1)::int AS pick, j AS row_idx FROM walk UNION ALL SELECT {target - 1}, n - 1 FROM ev WHERE row_idx = n - 1"
+    )
+
+
+@query("lttb", _lttb_sql(200, 1))
+def lttb(spark, d):
+    return red.lttb(events(spark, d), "x", "value", 200).select("pick", ROW)
+
+
+@query("lttb_standard", _lttb_sql(200, 0))
+def lttb_standard(spark, d):
+    return red.lttb(events(spark, d), "x", "value", 200, "standard").select("pick", ROW)
+
+
+@query("lttb_by_series")
+def lttb_by_series(spark, d):
+    return red.lttb(events(spark, d, "event_type"), "x", "value", 100).select("event_type", "pick", ROW, "x", "y")
+
+
+VIEW = (
+    f"WITH {EV}, e AS (SELECT max(row_idx) FILTER (x < 1704412800) AS lo, min(row_idx) FILTER (x > 1705276800) AS hi FROM ev), "
+    "v AS (SELECT event_id, x, value, row_number() OVER (ORDER BY row_idx) - 1 AS row_idx, count(*) OVER () AS n FROM ev, e "
+    "WHERE x BETWEEN 1704412800 AND 1705276800 OR row_idx = lo OR row_idx = hi), "
+    "b AS (SELECT *, floor(((row_idx + 1) * 60 - 1) / n)::bigint AS b FROM v), "
+    "o AS (SELECT b, list_distinct([arg_min(event_id, struct_pack(v := value, r := row_idx)), arg_max(event_id, struct_pack(v := value, r := -row_idx))]) AS l FROM b GROUP BY b), "
+    "p AS (SELECT unnest(l) AS event_id FROM o) "
+)
+
+
+@query("view_downsample", VIEW + "SELECT x, value FROM p JOIN ev USING (event_id)")
+def view_downsample(spark, d):
+    return red.view_downsample(events(spark, d), "x", "value", 1704412800.0, 1705276800.0, 120, "minmax").select("x", "value")
+
+
+def _resample_sql(points: int, value: str) -> str:
+    return (
+        f"WITH {EV}, s AS (SELECT x, value AS y, lead(x) OVER w AS x1, lead(value) OVER w AS y1 FROM ev WINDOW w AS (ORDER BY row_idx)), "
+        "e AS (SELECT min(x) AS a, max(x) AS z FROM ev), "
+        f"g AS (SELECT k, a + (z - a) * k / {points - 1} AS gx FROM e, range({points}) r(k)), "
+        "j AS (SELECT * FROM g ASOF JOIN (SELECT * FROM s WHERE x1 IS NOT NULL) q ON g.gx >= q.x) "
+        f"SELECT k, round(gx, 1) AS x, round({value}, 6) AS y FROM j"
+    )
+
+
+def _resampled(method):
+    def run(spark, d):
+        return rounded(rounded(red.resample(events(spark, d), "x", "value", 1501, method), 1, "x"), 6, "y")
+
+    return run
+
+
+query("resample_linear", _resample_sql(1501, "y + (y1 - y) * (gx - x) / (x1 - x)"))(_resampled("linear"))
+query("resample_nearest", _resample_sql(1501, "CASE WHEN abs(gx - x) <= abs(x1 - gx) THEN y ELSE y1 END"))(_resampled("nearest"))
+query("resample_cubic")(_resampled("cubic"))
+
+
+@query("resample_by_series")
+def resample_by_series(spark, d):
+    return rounded(red.resample(events(spark, d, "event_type"), "x", "value", 300), 6, "y")
+
+
+PLOT = (
+    f"WITH {EV}, f AS (SELECT x, row_idx, log10(value) AS y, row_number() OVER (ORDER BY row_idx) - 1 AS i, count(*) OVER () AS n FROM ev WHERE value > 0), "
+    "b AS (SELECT *, floor(((i + 1) * 300 - 1) / n)::bigint AS b FROM f), "
+    "o AS (SELECT b, list_distinct([arg_min(i, struct_pack(v := y, r := i)), arg_max(i, struct_pack(v := y, r := -i))]) AS l FROM b GROUP BY b), "
+    "p AS (SELECT unnest(l) AS i FROM o) "
+)
+
+
+@query("plot_series", PLOT + "SELECT 0 AS panel, 'value' AS series, i AS row_idx, x, round(y, 9) AS y FROM p JOIN f USING (i)")
+def plot(spark, d):
+    return rounded(plot_series(events(spark, d), "ts", ["value"], y_log=True, width=300), 9, "y")
+
+
+@query(
+    "plot_bounds",
+    f"WITH {EV}, e AS (SELECT min(x) AS a, max(x) AS b FROM ev), r AS (SELECT value AS v, row_number() OVER (ORDER BY value) - 1 AS k, n FROM ev), "
+    "q AS (SELECT 0 AS panel, max(v) FILTER (k = floor((n - 1) * 0.01 + 0.5)) AS lo, max(v) FILTER (k = floor((n - 1) * 0.99 + 0.5)) AS hi FROM r), "
+    "u AS (SELECT user_id::double AS v, row_number() OVER (ORDER BY user_id) - 1 AS k, n FROM ev), "
+    "q2 AS (SELECT 1 AS panel, max(v) FILTER (k = floor((n - 1) * 0.01 + 0.5)) AS lo, max(v) FILTER (k = floor((n - 1) * 0.99 + 0.5)) AS hi FROM u) "
+    "SELECT panel, round(lo - (hi - lo) * 0.05::double, 6) AS y_min, round(hi + (hi - lo) * 0.05::double, 6) AS y_max, round(a - (b - a) * 0.03, 3) AS x_min, round(b + (b - a) * 0.03, 3) AS x_max "
+    "FROM (SELECT * FROM q UNION ALL SELECT * FROM q2), e",
+)
+def bounds(spark, d):
+    p = plot_series(events(spark, d), "ts", ["value", "user_id"], downsample="none", layout="stacked")
+    return rounded(rounded(plot_bounds(p, robust=True), 6, "y_min", "y_max"), 3, "x_min", "x_max")
+
+
+@query(
+    "plot_stacked_derivative",
+    f"WITH {EV}, s AS (SELECT row_idx, x, coalesce(lag(x) OVER w, x) AS x0, coalesce(lead(x) OVER w, x) AS x1, coalesce(lag(value) OVER w, value) AS y0, "
+    "coalesce(lead(value) OVER w, value) AS y1, coalesce(lag(user_id) OVER w, user_id) AS u0, coalesce(lead(user_id) OVER w, user_id) AS u1 FROM ev WINDOW w AS (ORDER BY row_idx)) "
+    "SELECT 0 AS panel, 'value' AS series, row_idx, x, round((y1 - y0) / (x1 - x0), 9) AS y FROM s WHERE row_idx >= 100 AND row_idx < 500 UNION ALL "
+    "SELECT 1, 'user_id', row_idx, x, round((u1 - u0) / (x1 - x0), 9) FROM s WHERE row_idx >= 100 AND row_idx < 500",
+)
+def plot_stacked(spark, d):
+    p = plot_series(events(spark, d), "ts", ["value", "user_id"], "derivative", rows=(100, 500), layout="stacked")
+    return rounded(p, 9, "y")
+
+
+@query(
+    "plot_normalized",
+    f"WITH {EV} SELECT 0 AS panel, 'value' AS series, row_idx, x, round((value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()), 9) AS y FROM ev",
+)
+def plot_normalized(spark, d):
+    return rounded(plot_series(events(spark, d), "ts", ["value"], downsample="none", layout="normalized"), 9, "y")
