@@ -16,11 +16,12 @@ from strandline.functions import fx
 from strandline.functions.times import epoch_seconds
 from strandline.functions.units import channel_role
 from strandline.operators.rows import number_of, top_per_group
-from strandline.operators.stats import _stack, median_mad, segment_of, to_long
+from strandline.operators.stats import _stack, median_mad, named, segment_of, to_long
 from strandline.plans.blocks import group_runs, longest_runs, over_blocks
 from strandline.plans.layout import ROW
 from strandline.plans.ordering import Ordered, facts
 from strandline.plans.ranks import pick_ranks, upper_median_rank
+from strandline.plans.staging import local_copy, stage, stage_rows
 
 # Fixed values of the detectors.
 ROBUST_SIGMA = 1.4826
@@ -128,8 +129,8 @@ def missing(facts_: DataFrame) -> DataFrame:
 def outliers(o: Ordered, channels: Sequence[str]) -> DataFrame:
     """(column, position, row_idx) with |v - median| / (1.4826 MAD) > 10, for channels of 20+ values, MAD > 0."""
     long = to_long(o.df, channels)
-    mm = median_mad(long, "value", ("column",), o.n * len(channels), layout=o.layout).collect()
-    known = {r.column: (r.median, r.mad) for r in mm if r.n >= OUTLIER_MIN_ROWS and r.mad > 0}
+    mm = median_mad(long, "value", ("position",), o.n * len(channels), layout=o.layout, largest=o.n).collect()
+    known = {channels[r.position]: (r.median, r.mad) for r in mm if r.n >= OUTLIER_MIN_ROWS and r.mad > 0}
     marks = [
         F.when(
             F.abs(number_of(o.df, c) - known[c][0]) / (ROBUST_SIGMA * known[c][1]) > OUTLIER_Z,
@@ -179,7 +180,10 @@ def segment_levels(o: Ordered, channels: Sequence[str]) -> tuple[DataFrame, int]
     k = min(max(o.n // 200, 8), 40)
     d = o.df.withColumn("segment", segment_of(k, o.n))
     long = to_long(d, channels, ("segment",))
-    return median_mad(long, "value", ("column", "segment"), o.n * len(channels), layout=o.layout), k
+    levels = median_mad(
+        long, "value", ("position", "segment"), o.n * len(channels), layout=o.layout, largest=o.n // k + 1
+    )
+    return levels, k
 
 
 def changepoints(o: Ordered, channels: Sequence[str]) -> DataFrame:
@@ -189,14 +193,14 @@ def changepoints(o: Ordered, channels: Sequence[str]) -> DataFrame:
     if o.n < CHANGE_MIN_ROWS:
         return spark.createDataFrame([], empty)
     levels, k = segment_levels(o, channels)
-    seq = Window.partitionBy("column").orderBy("segment")
-    mads = F.sort_array(F.collect_list("mad").over(Window.partitionBy("column")))
+    seq = Window.partitionBy("position").orderBy("segment")
+    mads = F.sort_array(F.collect_list("mad").over(Window.partitionBy("position")))
     noise = F.greatest(F.get(mads, F.floor(F.size(mads) / 2).cast("int")) * ROBUST_SIGMA, F.lit(NOISE_FLOOR))
     d = levels.withColumn("_noise", noise).withColumn("m0", F.lag("median").over(seq))
     d = d.withColumn("_before", F.lag("segment").over(seq))
     jump = (F.col("_before") == F.col("segment") - 1) & (F.abs(F.col("median") - F.col("m0")) > F.col("_noise") * CHANGE_FACTOR)
-    first = d.filter(jump).groupBy("column").agg(F.min(F.struct("segment", "m0", "median")).alias("f"))
-    found = first.select("column", "f.segment", "f.m0", F.col("f.median").alias("m1")).collect()
+    first = d.filter(jump).groupBy("position").agg(F.min(F.struct("segment", "m0", "median")).alias("f"))
+    found = first.select("position", "f.segment", "f.m0", F.col("f.median").alias("m1")).collect()
     if not found:
         return spark.createDataFrame([], empty)
     return _localize(o, channels, found, k)
@@ -209,8 +213,8 @@ def _localize(o: Ordered, channels: Sequence[str], found, k: int) -> DataFrame:
         lo, hi = (r.segment - 1) * o.n // k, (r.segment + 1) * o.n // k
         win = min(max((hi - lo) // 6, 5), 300)
         at = F.struct(
-            F.lit(channels.index(r.column)).alias("position"), F.lit(r.column).alias("column"),
-            number_of(o.df, r.column).alias("value"), F.lit(lo).cast("bigint").alias("lo"), F.lit(hi).cast("bigint").alias("hi"),
+            F.lit(r.position).alias("position"), F.lit(channels[r.position]).alias("column"),
+            number_of(o.df, channels[r.position]).alias("value"), F.lit(lo).cast("bigint").alias("lo"), F.lit(hi).cast("bigint").alias("hi"),
             F.lit(win).alias("win"), F.lit(float(r.m0)).alias("m0"), F.lit(float(r.m1)).alias("m1"),
         )
         marks.append((lo, hi, win, F.when((F.col(ROW) >= lo) & (F.col(ROW) < hi), at)))
@@ -263,23 +267,21 @@ def shift_ratios(o: Ordered, raw: Sequence[str], onsets: Mapping[int, int], half
     d = d.withColumn("cluster", F.col("s.cluster").cast("bigint")).withColumn("after", F.col("s.after"))
     long = to_long(d, raw, ("cluster", "after"))
     n = min(o.n, 2 * half * len(onsets)) * len(raw)
-    mm = median_mad(long, "value", ("cluster", "column", "after"), n, layout=o.layout)
+    mm = median_mad(long, "value", ("cluster", "position", "after"), n, layout=o.layout, largest=half)
     side = lambda after, c: F.max(F.when(F.col("after") == after, F.col(c)))
-    both = mm.groupBy("cluster", "column").agg(
+    both = mm.groupBy("cluster", "position").agg(
         side(False, "median").alias("m0"), side(True, "median").alias("m1"), F.max("mad").alias("mad"),
         F.count(F.lit(1)).alias("sides"),
     )
     ratio = F.abs(F.col("m1") - F.col("m0")) / F.greatest(F.col("mad") * ROBUST_SIGMA, F.lit(NOISE_FLOOR))
-    at = F.element_at(F.create_map(*[x for i, c in enumerate(raw) for x in (F.lit(c), F.lit(i))]), F.col("column"))
-    return both.filter("sides = 2").select("cluster", "column", at.alias("position"), ratio.alias("ratio"))
+    return named(both.filter("sides = 2").withColumn("ratio", ratio), raw).select("cluster", "column", "position", "ratio")
 
 
 def events(
     o: Ordered, channels: Sequence[str], cps: DataFrame, lineage: Mapping[str, Sequence[str]] | None = None
 ) -> DataFrame:
     """Findings for clustered level shifts, traced to a source by name, lineage or co-occurrence."""
-    spark = o.df.sparkSession
-    cps = spark.createDataFrame(cps.collect(), "position int, column string, onset bigint, shift double")
+    cps = local_copy(cps)
     members = cluster_events(cps, o.n)
     ordered = F.sort_array(F.collect_list(F.struct("onset", "position", "column", "shift")))
     cl = members.groupBy("cluster").agg(F.min("onset").alias("onset"), ordered.alias("m"))
@@ -301,8 +303,7 @@ def events(
         ratios = ratios.join(F.broadcast(cl.select("cluster", "affected")), "cluster")
         ratios = ratios.filter((F.col("ratio") > CULPRIT_RATIO) & ~F.array_contains("affected", F.col("column")))
         best = ratios.groupBy("cluster").agg(F.max_by("column", F.struct("ratio", -F.col("position"))).alias("_c"))
-        best = spark.createDataFrame(best.collect(), "cluster bigint, _c string")
-        cl = cl.join(F.broadcast(best), "cluster", "left")
+        cl = cl.join(F.broadcast(local_copy(best)), "cluster", "left")
         cl = cl.withColumn("culprit", F.when(F.col("_c").isNotNull(), F.array("_c")).otherwise(F.col("culprit"))).drop("_c")
     outside = F.size(F.array_except("culprit", "affected")) > 0
     single = (F.size("affected") == 1) & ~outside
@@ -346,14 +347,19 @@ def health_check(
     lineage: Mapping[str, Sequence[str]] | None = None,
     ordered: bool = True,
 ) -> DataFrame:
-    """All findings, most severe first: time gaps, then per channel, then level-shift events."""
+    """All findings, most severe first: time gaps, then per channel, then level-shift events.
+
+    The indexed channels are written once to the shared folder, as are the outlier runs: every
+    detector then scans columns instead of sorting the table again.
+    """
     channels = list(channels)
-    f = channel_facts(o, channels)
-    runs = outlier_runs(o, channels)
+    o = stage_rows(o, *dict.fromkeys([*([time_col] if time_col else []), *channels]))
+    f = local_copy(channel_facts(o, channels))
+    runs = stage(outlier_runs(o, channels))
     parts = [dead(f), frozen(f), missing(f), regimes(runs), glitches(runs)]
     parts.append(events(o, channels, changepoints(o, channels), lineage))
     if time_col:
-        g = time_gaps(o, time_col)
+        g = local_copy(time_gaps(o, time_col))
         detail = F.format_string("%d gap(s), ~%.0fs of samples missing", F.col("n_gaps"), F.bround("lost", 0))
         parts.append(
             _finding(g, "medium", "time_gaps", detail, 0, 0, column=F.lit(time_col), first_gap_row=F.col("first_gap_row"))

@@ -19,12 +19,15 @@ CHAIN_BUCKETS = 64
 
 
 def finite_series(o: Ordered, x: str, y: str) -> Ordered:
-    """Finite pairs only, numbered again."""
+    """Finite pairs only; numbered again only when some were dropped (a row count decides)."""
     d = o.df.select(
-        *o.by, F.col(ROW).alias("_old"), fx.finite(F.col(x).cast("double")).alias("x"),
-        fx.finite(F.col(y).cast("double")).alias("y"),
-    ).filter("x is not null and y is not null")
-    s = order_rows(d, "_old", o.by, layout=o.layout)
+        *o.by, ROW, fx.finite(F.col(x).cast("double")).alias("x"), fx.finite(F.col(y).cast("double")).alias("y")
+    )
+    good = d.filter("x is not null and y is not null")
+    n = good.count()
+    if n == o.n:
+        return o.with_df(d)
+    s = order_rows(good.withColumnRenamed(ROW, "_old"), "_old", o.by, n, o.layout)
     return s.with_df(s.df.drop("_old"))
 
 
@@ -108,83 +111,107 @@ def lttb(o: Ordered, x: str, y: str, target: int, variant: str = "reference") ->
     width = (F.col("_n") - 2) / F.lit(float(target - 2))
     last = target - 3
 
-    # bucket i owns rows [floor((i + shift) w) + 1, min(floor((i + 1 + shift) w) + 1, n - 1))
-    guess = F.floor((F.col(ROW) - 1) / width).cast("int") - shift
-    near = F.array(guess - 1, guess, guess + 1)
-
+    # bucket i owns rows [floor((i + shift) w) + 1, floor((i + 1 + shift) w) + 1); row 0 is bucket -1
     def start(i):
         return F.floor((i + shift) * width) + 1
 
-    own = F.filter(near, lambda i: (F.col(ROW) >= start(i)) & (F.col(ROW) < start(i + 1)))
-    inner = d.filter((F.col(ROW) >= 1)).withColumn("bucket", F.get(own, F.lit(0)))
-    inner = inner.filter("bucket is not null and bucket >= 0")
-    # means of the bucket after, whose range may reach the last row
-    means = inner.groupBy(*keys, "bucket").agg(
-        F.avg("x").alias("mx"), F.avg("y").alias("my")
-    )
-    ends = d.filter((F.col(ROW) == 0) | (F.col(ROW) == F.col("_n") - 1))
-    tail = ends.filter(F.col(ROW) == F.col("_n") - 1).select(*keys, F.col("x").alias("lx"), F.col("y").alias("ly"))
-
-    block = s.block
-    # a last bucket that starts at the last row has that row as its only candidate
-    usable = (F.col(ROW) < F.col("_n") - 1) | (start(F.lit(last)) >= F.col("_n") - 1)
-    cand = inner.filter(usable & (F.col("bucket") <= last)).select(*keys, "bucket", ROW, "x", "y")
-    point = f"{key_schema}bucket int, {ROW} bigint, x double, y double"
-    if o.n // max(target, 1) > block:
-        cand = (
-            cand.withColumn("_blk", home_block(block))
-            .groupBy(*keys, "bucket", "_blk")
-            .applyInPandas(lambda pdf: _hull_of(pdf.drop(columns="_blk")), point)
-        )
-    hulls = cand.groupBy(*keys, "bucket").applyInPandas(_hull_of, point)
+    guess = F.floor((F.col(ROW) - 1) / width).cast("int") - shift
+    near = F.array(guess - 1, guess, guess + 1)
+    own = F.get(F.filter(near, lambda i: (F.col(ROW) >= start(i)) & (F.col(ROW) < start(i + 1))), F.lit(0))
+    is_last = F.col(ROW) == F.col("_n") - 1
+    # the last row is a candidate only of a last bucket that starts there
+    usable = ~is_last | ((start(F.lit(last)) >= F.col("_n") - 1) & (F.col("bucket") == last))
+    inner = d.withColumn("bucket", F.when(F.col(ROW) == 0, F.lit(-1)).otherwise(own))
+    inner = inner.filter((F.col(ROW) == 0) | (F.col("bucket") >= 0) | is_last)
+    inner = inner.withColumn("bucket", F.coalesce("bucket", F.lit(last + 1)))
+    kind = F.when(is_last & usable, 3).when(is_last, 2).when(F.col("bucket") <= last, 1).otherwise(0)
+    inner = inner.select(*keys, "bucket", ROW, "x", "y", kind.alias("kind"))
+
+    # one pass over the rows: hull points, bucket sums and the two fixed end points
+    point = f"{key_schema}bucket int, role int, {ROW} bigint, x double, y double"
+    if o.n // max(target, 1) > s.block:
+        inner = inner.withColumn("_blk", home_block(s.block)).groupBy(*keys, "bucket", "_blk")
+    else:
+        inner = inner.groupBy(*keys, "bucket")
+    parts = inner.applyInPandas(lambda pdf: _bucket_part(pdf, keys), point)
+    hulls = parts.groupBy(*keys, "bucket").applyInPandas(lambda pdf: _bucket_merge(pdf, keys), point)
 
-    nxt = means.select(*keys, (F.col("bucket") - 1).alias("bucket"), "mx", "my")
     groups = -(-(last + 1) // CHAIN_BUCKETS)
-    here = F.floor(F.col("bucket") / CHAIN_BUCKETS).cast("int")
-    feed = hulls.withColumn("role", F.lit(1)).withColumn("grp", here)
-    entry = (
-        hulls.filter((F.col("bucket") % CHAIN_BUCKETS == CHAIN_BUCKETS - 1) & (F.col("bucket") < last))
-        .withColumn("role", F.lit(0))
-        .withColumn("grp", here + 1)
-    )
-    first = ends.filter(F.col(ROW) == 0).select(
-        *keys, F.lit(-1).alias("bucket"), ROW, "x", "y", F.lit(0).alias("role"), F.lit(0).alias("grp")
-    )
-    rows = feed.unionByName(entry).unionByName(first)
-    avgs = nxt.filter(F.col("bucket") <= last).select(
-        *keys, "bucket", F.lit(None).cast("bigint").alias(ROW), F.col("mx").alias("x"), F.col("my").alias("y"),
-        F.lit(2).alias("role"), here.alias("grp"),
+    b = F.col("bucket")
+
+    def to(role: int, bucket, grp):
+        return F.struct(F.lit(role).alias("role"), bucket.alias("bucket"), F.floor(grp).cast("int").alias("grp"))
+
+    routes = F.array_compact(
+        F.array(
+            F.when((F.col("role") == CANDIDATE) & (b < 0), to(ENTRY, b, F.lit(0))),
+            F.when((F.col("role") == CANDIDATE) & (b >= 0), to(CANDIDATE, b, b / CHAIN_BUCKETS)),
+            F.when(
+                (F.col("role") == CANDIDATE) & (b >= 0) & (b < last) & (b % CHAIN_BUCKETS == CHAIN_BUCKETS - 1),
+                to(ENTRY, b, b / CHAIN_BUCKETS + 1),
+            ),
+            # a bucket's mean is what the bucket before aims at
+            F.when((F.col("role") == MEAN) & (b >= 1) & (b <= last + 1), to(MEAN, b - 1, (b - 1) / CHAIN_BUCKETS)),
+            F.when(F.col("role") == LAST, to(LAST, F.lit(last + 1), F.lit(groups - 1))),
+        )
     )
-    # with no bucket after it, the last bucket aims at the last row
-    tails = tail.select(
-        *keys, F.lit(last).alias("bucket"), F.lit(None).cast("bigint").alias(ROW),
-        F.col("lx").alias("x"), F.col("ly").alias("y"), F.lit(3).alias("role"), F.lit(groups - 1).alias("grp"),
+    rows = hulls.withColumn("_to", F.explode(routes)).select(
+        *keys, "_to.grp", "_to.role", "_to.bucket", ROW, "x", "y"
     )
-    rows = rows.unionByName(avgs).unionByName(tails)
     links = rows.groupBy(*keys, "grp").applyInPandas(
         lambda pdf: _follow(pdf, keys), f"{key_schema}bucket int, frm bigint, {ROW} bigint, x double, y double"
     )
     picks = (links.groupBy(*keys) if keys else links.groupBy(F.lit(0).alias("_one"))).applyInPandas(
         lambda pdf: _walk(pdf, keys), f"{key_schema}pick int, {ROW} bigint, x double, y double"
     )
-    fixed = ends.select(
-        *keys, F.when(F.col(ROW) == 0, 0).otherwise(target - 1).cast("int").alias("pick"), ROW, "x", "y"
+    return picks.unionByName(untouched) if keys else picks
+
+
+ENTRY, CANDIDATE, MEAN, LAST = 0, 1, 2, 3
+
+
+def _with_keys(out: pd.DataFrame, pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    for k in keys:
+        out[k] = pdf[k].iloc[0]
+    return out[[*keys, *[c for c in out.columns if c not in keys]]]
+
+
+def _bucket_part(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """Hull points of the candidates, sums over all rows (count in the row column) and the last row."""
+    bucket = int(pdf["bucket"].iloc[0])
+    cand = _hull_of(pdf[(pdf.kind == 1) | (pdf.kind == 3)])
+    end = pdf[pdf.kind >= 2]
+    sums = pd.DataFrame({ROW: [len(pdf)], "x": [pdf.x.sum()], "y": [pdf.y.sum()]})
+    out = pd.concat(
+        [cand[[ROW, "x", "y"]].assign(role=CANDIDATE), sums.assign(role=MEAN), end[[ROW, "x", "y"]].assign(role=LAST)],
+        ignore_index=True,
     )
-    out = picks.unionByName(fixed)
-    return out.unionByName(untouched) if keys else out
+    out["bucket"] = bucket
+    return _with_keys(out[["bucket", "role", ROW, "x", "y"]], pdf, keys)
+
+
+def _bucket_merge(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """One bucket's parts: the hull of its hulls and the mean."""
+    s, cand, end = (pdf[pdf.role == r] for r in (MEAN, CANDIDATE, LAST))
+    n = s[ROW].sum()
+    mean = pd.DataFrame({ROW: [n], "x": [s.x.sum() / n], "y": [s.y.sum() / n]})
+    if len(s) > 1:
+        cand = _hull_of(cand)
+    out = pd.concat([cand, mean.assign(role=MEAN), end], ignore_index=True)
+    out["bucket"] = int(pdf["bucket"].iloc[0])
+    return _with_keys(out[["bucket", "role", ROW, "x", "y"]], pdf, keys)
 
 
 def _follow(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
     """Transitions of one group of buckets from every possible incoming pick."""
-    key = {k: pdf[k].iloc[0] for k in keys}
-    entry = pdf[pdf.role == 0].sort_values(ROW)
-    states = entry[[ROW, "x", "y"]].to_numpy(dtype=float) if len(entry) else np.zeros((0, 3))
-    aim = {int(b): (ax, ay) for b, ax, ay in pdf.loc[pdf.role == 3, ["bucket", "x", "y"]].to_numpy()}
-    aim |= {int(b): (ax, ay) for b, ax, ay in pdf.loc[pdf.role == 2, ["bucket", "x", "y"]].to_numpy()}
-    parts = []
-    for bucket, q in pdf[pdf.role == 1].sort_values(["bucket", ROW]).groupby("bucket", sort=True):
+    entry = pdf[pdf.role == ENTRY].sort_values(ROW)
+    states = entry[[ROW, "x", "y"]].to_numpy(dtype=float)
+    aim = {int(b): (ax, ay) for b, ax, ay in pdf.loc[pdf.role == MEAN, ["bucket", "x", "y"]].to_numpy()}
+    fixed = pd.concat([entry[entry.bucket < 0], pdf[pdf.role == LAST]])
+    parts = [fixed[["bucket", ROW, "x", "y"]].assign(frm=-1)]
+    for bucket, q in pdf[pdf.role == CANDIDATE].sort_values(["bucket", ROW]).groupby("bucket", sort=True):
         qr, qx, qy = q[ROW].to_numpy(), q["x"].to_numpy(), q["y"].to_numpy()
-        ax, ay = aim[int(bucket)]
+        ax, ay = aim.get(int(bucket), (qx[-1], qy[-1]))
         frm = states[:, 0].astype("int64")
         choice = np.empty(len(states), dtype="int64")
         for i in range(0, len(states), 256):
@@ -196,27 +223,20 @@ def _follow(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
         )
         u = np.unique(choice)
         states = np.stack([qr[u].astype(float), qx[u], qy[u]], axis=1)
-    cols = [*keys, "bucket", "frm", ROW, "x", "y"]
-    if not parts:
-        return pd.DataFrame(columns=cols)
     out = pd.concat(parts, ignore_index=True)
-    for k, v in key.items():
-        out[k] = v
-    return out[cols]
+    return _with_keys(out[["bucket", "frm", ROW, "x", "y"]], pdf, keys)
 
 
 def _walk(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
     """Follow the transitions from the first row; the table holds few rows per bucket."""
     links = {(b, f): (r, x, y) for b, f, r, x, y in zip(pdf.bucket, pdf.frm, pdf[ROW], pdf.x, pdf.y)}
-    at, out = 0, []
-    for b in sorted(pdf.bucket.unique()):
-        r, x, y = links[(b, at)]
+    buckets = sorted(pdf.bucket.unique())
+    at, out = -1, []
+    for b in buckets:
+        r, x, y = links[(b, -1 if b == buckets[-1] else at)]
         out.append((int(b) + 1, r, x, y))
         at = r
-    res = pd.DataFrame(out, columns=["pick", ROW, "x", "y"])
-    for k in keys:
-        res[k] = pdf[k].iloc[0]
-    return res[[*keys, "pick", ROW, "x", "y"]]
+    return _with_keys(pd.DataFrame(out, columns=["pick", ROW, "x", "y"]), pdf, keys)
 
 
 def downsample(o: Ordered, x: str, y: str, budget: int, mode: str = "minmax") -> DataFrame:
@@ -262,15 +282,16 @@ def _segments(s: Ordered, points: int) -> DataFrame:
     d = d.filter("_lo <= _hi").withColumn("k", F.explode(F.sequence("_lo", "_hi")))
     d = d.withColumn("gx", F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("k") / F.lit(float(points - 1)))
     at_end = (F.col("gx") >= F.col("_z")) & (F.col("x1") == F.col("_z"))
-    own = (F.col("gx") >= F.col("x")) & ((F.col("gx") < F.col("x1")) | at_end)
-    return d.filter(own)
+    own = (F.col("x") < F.col("x1")) & (F.col("gx") >= F.col("x")) & ((F.col("gx") < F.col("x1")) | at_end)
+    # all x equal: the first row stands for the whole grid
+    return d.filter(own | ((F.col("_a") == F.col("_z")) & (F.col(ROW) == 0)))
 
 
 def resample(o: Ordered, x: str, y: str, points: int = 500, method: str = "linear") -> DataFrame:
     """Values on `points` evenly spaced x over the finite points: (by.., k, x, y).
 
-    Under two finite points (or a grid under two) the input comes back as it is.  Repeated x keep
-    their first row.
+    Under two finite points (or a grid under two) the input comes back as it is.  The cubic form keeps
+    the first row of repeated x.
     """
     if method not in ("linear", "nearest", "cubic"):
         raise ValueError(f"unknown resample method {method}")
@@ -278,11 +299,14 @@ def resample(o: Ordered, x: str, y: str, points: int = 500, method: str = "linea
     raw = o.df.select(*o.by, F.col(ROW).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     if points < 2 or (not o.by and s.n < 2):
         return raw
-    s = _distinct_x(s)
-    s = s.with_df(_spline(s) if method == "cubic" else s.df.withColumn("m", F.lit(0.0)))
+    if method == "cubic":
+        s = _distinct_x(s)
+        s = s.with_df(_spline(s))
+    else:
+        s = s.with_df(s.df.withColumn("m", F.lit(0.0)))
     g = _segments(s, points)
     t = F.col("gx") - F.col("x")
-    h = F.col("x1") - F.col("x")
+    h = F.nullif(F.col("x1") - F.col("x"), F.lit(0.0))
     if method == "linear":
         value = F.col("y") + (F.col("y1") - F.col("y")) * t / h
     elif method == "nearest":
@@ -291,7 +315,7 @@ def resample(o: Ordered, x: str, y: str, points: int = 500, method: str = "linea
         a, b = (F.col("x1") - F.col("gx")) / h, t / h
         bend = ((a * a * a - a) * F.col("m") + (b * b * b - b) * F.col("m1")) * (h * h) / 6.0
         value = a * F.col("y") + b * F.col("y1") + bend
-    out = g.select(*o.by, F.col("k").cast("bigint").alias("k"), F.col("gx").alias("x"), value.alias("y"))
+    out = g.select(*o.by, F.col("k").cast("bigint").alias("k"), F.col("gx").alias("x"), F.coalesce(value, F.col("y")).alias("y"))
     if not o.by:
         return out
     sizes = s.df.groupBy(*o.by).agg(F.count(F.lit(1)).alias("_m"))

@@ -23,9 +23,13 @@ def hann(i: Column, n: Column) -> Column:
 
 
 def finite_values(o: Ordered, y: str) -> Ordered:
-    """Finite values only, numbered again."""
-    d = o.df.select(*o.by, F.col(ROW).alias("_old"), fx.finite(F.col(y).cast("double")).alias("y"))
-    s = order_rows(d.filter("y is not null"), "_old", o.by, layout=o.layout)
+    """Finite values only; numbered again only when some were dropped (a row count decides)."""
+    d = o.df.select(*o.by, ROW, fx.finite(F.col(y).cast("double")).alias("y"))
+    good = d.filter("y is not null")
+    n = good.count()
+    if n == o.n:
+        return o.with_df(d)
+    s = order_rows(good.withColumnRenamed(ROW, "_old"), "_old", o.by, n, o.layout)
     return s.with_df(s.df.drop("_old"))
 
 

@@ -15,6 +15,7 @@ from strandline.plans.blocks import longest_runs, over_blocks
 from strandline.plans.layout import ROW
 from strandline.plans.ordering import Ordered, facts, join_sized
 from strandline.plans.ranks import lower_median_rank, nearest_rank, pick_ranks, truncated_rank, upper_median_rank
+from strandline.plans.staging import settled
 
 MAX_PAIRS, MATRIX_COLUMNS = 60, 20
 PAD = 0.05
@@ -25,9 +26,17 @@ def is_numeric(df: DataFrame, name: str) -> bool:
 
 
 def to_long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """One row per (row, channel): (keep.., column, value) with value NULL when not finite."""
-    cells = [F.struct(F.lit(c).alias("column"), number_of(df, c).alias("value")) for c in cols]
-    return df.select(*keep, F.explode(F.array(*cells)).alias("c")).select(*keep, "c.column", "c.value")
+    """One row per (row, channel): (keep.., position, value), the channel as its position in `cols`.
+
+    value is NULL when not finite.
+    """
+    cells = F.array(*[number_of(df, c).cast("double") for c in cols])
+    return df.select(*keep, F.posexplode(cells).alias("position", "value"))
+
+
+def named(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Put the channel name back next to its position."""
+    return df.withColumn("column", F.get(F.array(*[F.lit(c) for c in cols]), F.col("position")))
 
 
 def _stack(df: DataFrame, per_col: dict[str, Column], keep: Sequence[str] = ()) -> DataFrame:
@@ -55,9 +64,9 @@ def medians(df: DataFrame, cols: Sequence[str], n: int | None = None, **kw) -> D
     """Exact median per column, averaging the middle two: (column, n, median)."""
     long = to_long(df, cols)
     mid = pick_ranks(
-        long, "value", {"_lo": lower_median_rank, "_hi": upper_median_rank}, ("column",), n and n * len(cols), **kw
+        long, "value", {"_lo": lower_median_rank, "_hi": upper_median_rank}, ("position",), n and n * len(cols), largest=n, **kw
     )
-    return mid.select("column", "n", ((F.col("_lo") + F.col("_hi")) / 2.0).alias("median"))
+    return named(mid, cols).select("column", "n", ((F.col("_lo") + F.col("_hi")) / 2.0).alias("median"))
 
 
 def summary_stats(df: DataFrame, cols: Sequence[str], n: int | None = None, **kw) -> DataFrame:
@@ -76,9 +85,15 @@ def distinct_counts(df: DataFrame, cols: Sequence[str], approximate: bool = Fals
             for c in cols
         }
         return _stack(df, per).drop("position")
-    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("raw")) for c in cols]
-    seen = df.select(F.explode(F.array(*cells)).alias("c")).select("c.column", "c.raw").distinct()
-    return seen.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+    seen = None
+    for kind in dict.fromkeys(df.schema[c].dataType.simpleString() for c in cols):
+        alike = [c for c in cols if df.schema[c].dataType.simpleString() == kind]
+        at = {c: cols.index(c) for c in alike}
+        cells = F.array(*[F.struct(F.lit(at[c]).alias("position"), F.col(c).alias("raw")) for c in alike])
+        part = df.select(F.explode(cells).alias("c")).select("c.position", "c.raw").distinct()
+        part = part.groupBy("position").agg(F.count(F.lit(1)).alias("distinct"))
+        seen = part if seen is None else seen.unionByName(part)
+    return named(seen, cols).select("column", "distinct")
 
 
 def describe(o: Ordered, cols: Sequence[str]) -> DataFrame:
@@ -111,13 +126,11 @@ def describe(o: Ordered, cols: Sequence[str]) -> DataFrame:
 def median_mad(df: DataFrame, value: str, by: Sequence[str] = (), n: int | None = None, **kw) -> DataFrame:
     """Upper median and upper-median absolute deviation per group: (by.., n, median, mad).
 
-    The groups' medians are read back once (callers group by channel, segment or side: bounded by the
-    table's width), which keeps the second pass from redoing the first.
+    The medians are settled before the deviations are ranked, so the second pass does not redo the first.
     """
     by = tuple(by)
     d = df.select(*by, value).filter(F.col(value).isNotNull())
-    med = pick_ranks(d, value, {"median": upper_median_rank}, by, n, **kw)
-    med = df.sparkSession.createDataFrame(med.collect(), med.schema)
+    med = settled(pick_ranks(d, value, {"median": upper_median_rank}, by, n, **kw))
     joined = join_sized(d, med.drop("n"), by, "inner")
     dev = joined.select(*by, F.abs(F.col(value) - F.col("median")).alias("_dev"))
     mad = pick_ranks(dev, "_dev", {"mad": upper_median_rank}, by, n, **kw).drop("n")

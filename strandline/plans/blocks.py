@@ -92,58 +92,42 @@ def last_marked(o: Ordered, marked: Column, name: str) -> DataFrame:
 def longest_runs(o: Ordered, cols: Sequence[str]) -> DataFrame:
     """Longest run of equal neighbours (missing equals missing) per column: (by.., column, longest_run).
 
-    Each block is reduced to one row holding, per column, its best run and its first and last runs;
-    runs that cross block edges are then joined up on that small table.
+    Each block is reduced to one row of numbers per column: its best run, the rows before its first
+    change and the rows since its last.  Runs that cross block edges are joined up on that small table.
     """
-    d = o.df.select(*o.by, ROW, *cols).withColumn(BLOCK, home_block(o.block))
-    w = block_window(o)
+    w = Window.partitionBy(*o.by, BLOCK).orderBy(ROW)
+    d = with_halo(o.select(*cols), back=1)
+    changes = [
+        F.when(F.lag(ROW).over(w).isNull() | ~F.lag(c).over(w).eqNullSafe(F.col(c)), F.col(ROW)).alias(f"_c{i}")
+        for i, c in enumerate(cols)
+    ]
+    d = d.select(*o.by, ROW, BLOCK, *changes).filter(F.col(BLOCK) == home_block(o.block))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_first", F.lag(ROW).over(w).isNull())
-    for i, c in enumerate(cols):
-        d = d.withColumn(f"_c{i}", F.when(~F.col("_first") & ~F.lag(c).over(w).eqNullSafe(F.col(c)), F.col(ROW)))
-    for i in range(len(cols)):
-        d = d.withColumn(f"_s{i}", F.max(f"_c{i}").over(upto))
     first, last = F.min(ROW), F.max(ROW)
-    aggs = []
-    for i, c in enumerate(cols):
-        length = F.col(ROW) - F.col(f"_s{i}") + 1
-        aggs.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.max(length).alias("best"),
-                F.min(f"_c{i}").isNull().alias("whole"),
-                (F.coalesce(F.min(f"_c{i}"), last + 1) - first).alias("first_len"),
-                (last + 1 - F.coalesce(F.max(f"_c{i}"), first)).alias("last_len"),
-                F.min_by(F.struct(F.col(c).cast("string").alias("v")), ROW).alias("first_val"),
-                F.max_by(F.struct(F.col(c).cast("string").alias("v")), ROW).alias("last_val"),
-            ).alias(f"_a{i}")
-        )
+    begun = [F.max(f"_c{i}").over(upto).alias(f"_s{i}") for i in range(len(cols))]
+    d = d.select("*", *begun)
+    aggs = [first.alias("_lo"), last.alias("_hi")]
+    for i in range(len(cols)):
+        # rows of a run begun in an earlier block count from this block's start
+        aggs.append(F.max(F.col(ROW) - F.col(f"_s{i}") + 1).alias(f"_best{i}"))
+        aggs += [F.min(f"_c{i}").alias(f"_min{i}"), F.max(f"_c{i}").alias(f"_max{i}")]
     per_block = d.groupBy(*o.by, BLOCK).agg(*aggs)
-    per_block = per_block.select(
-        *o.by, BLOCK, F.explode(F.array(*[F.col(f"_a{i}") for i in range(len(cols))])).alias("a")
-    ).select(*o.by, BLOCK, "a.*")
-    ends = per_block.select(
-        *o.by,
-        "column",
-        BLOCK,
-        "best",
-        F.posexplode(
-            F.when(F.col("whole"), F.array(F.struct(F.col("first_len").alias("len"), F.col("first_val").alias("val"))))
-            .otherwise(
-                F.array(
-                    F.struct(F.col("first_len").alias("len"), F.col("first_val").alias("val")),
-                    F.struct(F.col("last_len").alias("len"), F.col("last_val").alias("val")),
-                )
-            )
-        ).alias("e", "end"),
-    )
-    seq = Window.partitionBy(*o.by, "column").orderBy(BLOCK, "e")
-    fresh = (F.col("e") == 1) | ~F.coalesce(F.lag("end.val").over(seq).eqNullSafe(F.col("end.val")), F.lit(False))
-    chained = ends.withColumn("_fresh", fresh.cast("int")).withColumn(
-        "_chain", F.sum("_fresh").over(seq.rowsBetween(Window.unboundedPreceding, 0))
-    )
+    parts = []
+    for i, c in enumerate(cols):
+        head = F.coalesce(F.col(f"_min{i}"), F.col("_hi") + 1) - F.col("_lo")
+        tail = F.col("_hi") + 1 - F.col(f"_max{i}")
+        best = F.coalesce(F.col(f"_best{i}"), F.lit(0)).cast("bigint")
+
+        def end(e: int, n: Column, c: str = c, best: Column = best) -> Column:
+            return F.struct(F.lit(c).alias("column"), F.lit(e).alias("e"), n.alias("len"), best.alias("best"))
+
+        parts += [end(0, head), F.when(F.col(f"_max{i}").isNotNull(), end(1, tail))]
+    ends = per_block.select(*o.by, BLOCK, F.explode(F.array_compact(F.array(*parts))).alias("p"))
+    ends = ends.select(*o.by, BLOCK, "p.*")
+    seq = Window.partitionBy(*o.by, "column").orderBy(BLOCK, "e").rowsBetween(Window.unboundedPreceding, 0)
+    chained = ends.withColumn("_chain", F.sum("e").over(seq))
     joined = chained.groupBy(*o.by, "column", "_chain").agg(
-        F.sum("end.len").alias("joined"), F.max("best").alias("best")
+        F.sum("len").alias("joined"), F.max("best").alias("best")
     )
     return joined.groupBy(*o.by, "column").agg(
         F.greatest(F.max("joined"), F.max("best")).alias("longest_run")

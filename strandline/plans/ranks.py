@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.plans.layout import BUCKET, DEFAULT, Layout
-from strandline.plans.ordering import composite, find_ranges, join_small
+from strandline.plans.ordering import Ranges, composite, find_ranges, join_small
+from strandline.plans.staging import settled
 
 Pick = Callable[[Column], Column]
 
@@ -45,13 +46,21 @@ def pick_ranks(
     by: Sequence[str] = (),
     n: int | None = None,
     layout: Layout = DEFAULT,
+    largest: int | None = None,
 ) -> DataFrame:
-    """Value at each requested rank of the non-null `value`s: (by.., n, one column per pick)."""
+    """Value at each requested rank of the non-null `value`s: (by.., n, one column per pick).
+
+    `n` bounds the rows in all, `largest` those of any one group (both counted or taken as `n` when
+    unknown).  Groups small enough for one task skip the ranges.
+    """
     by = tuple(by)
     d = df.select(*by, value).filter(F.col(value).isNotNull())
     n = d.count() if n is None else n
-    ranges = find_ranges(d, (*by, value), n, layout)
-    d = ranges.assign(d, composite(d, (*by, value)))
+    if (n if largest is None else largest) <= layout.direct_rows:
+        ranges = Ranges((), "")
+    else:
+        ranges = find_ranges(d, (*by, value), n, layout)
+    d = ranges.assign(d, composite(d, (*by, value)) if ranges.limits else F.lit(0))
     rank = {k: f(F.col("n")).cast("bigint") for k, f in picks.items()}
 
     if ranges.n == 1:
@@ -67,7 +76,7 @@ def pick_ranks(
         hit = F.lit(False)
         for r in rank.values():
             hit = hit | ((r >= F.col("_before")) & (r < F.col("_before") + F.col("_c")))
-        wanted = counts.filter(hit).drop("_c")
+        wanted = settled(counts.filter(hit).drop("_c"))
         # distinct range numbers: at most max_buckets rows
         d = d.join(F.broadcast(wanted.select(BUCKET).distinct()), BUCKET, "left_semi")
         ranked = d.groupBy(*by, BUCKET, value).agg(F.count(F.lit(1)).alias("_c"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.operators import qc
+from strandline.operators.stats import named
 from strandline.plans import report
 from strandline.queries.registry import EV, ROW, events, query, rounded, um
 
@@ -159,7 +160,7 @@ def glitches_regimes(spark, d):
 )
 def segment_levels(spark, d):
     out, _ = qc.segment_levels(faulty(spark, d), CHANNELS)
-    return rounded(out, 6, "median", "mad").select("column", "segment", "median", "mad")
+    return rounded(named(out, CHANNELS), 6, "median", "mad").select("column", "segment", "median", "mad")
 
 
 @query("changepoints", f"WITH {LONG}{CP} SELECT position, \"column\", onset, round(shift, 6) AS shift FROM cps")

@@ -267,6 +267,6 @@ def stft(spark, d):
     return rounded(spectral.stft(events(spark, d), "value", 64), 6, "magnitude")
 
 
-@query("stft_axes", STFT + "SELECT max(frame) + 1 AS n_frames, 32 AS bins, 1.0 AS nyquist, (max(frame) + 1) * 32.0 / 2.0 AS duration FROM s")
+@query("stft_axes", STFT + "SELECT max(frame) + 1 AS n_frames, 32 AS bins, 1.0::double AS nyquist, (max(frame) + 1) * 32.0::double / 2 AS duration FROM s")
 def stft_axes(spark, d):
     return spectral.stft_axes(spectral.stft(events(spark, d), "value", 64), 64, 2.0)
