@@ -1 +1,138 @@
-"""placeholder"""
+"""File and typing queries: tables written out as text files by Spark and read back."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from strandline.functions.dates import epoch_of_text
+from strandline.functions.numbers import to_number
+from strandline.operators.rows import export_csv
+from strandline.functions import fx
+from strandline.plans.staging import shared_folder
+from strandline.queries.registry import EV_BY, LINE_KEY, ROW, events, query, rounded, table
+from strandline.sources import delimited, kinds, wide
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query(
+    "to_number",
+    "SELECT event_id, CASE event_id % 8 WHEN 0 THEN round(value, 6) WHEN 1 THEN round(-value, 6) WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN round(value, 6) WHEN 5 THEN 0.5 WHEN 6 THEN round(value * 1000, 6) ELSE NULL END AS v FROM events",
+)
+def numbers(spark, d):
+    v = F.col("value").cast("string")
+    forms = [v, F.concat(F.lit("-"), v), F.lit("n/a"), F.concat(v, F.lit("d")), F.concat(F.lit(" +"), v, F.lit(" ")), F.lit(".5"),
+             F.concat(v, F.lit("e3")), F.lit("inf")]
+    text = F.get(F.array(*forms), (F.col("event_id") % 8).cast("int"))
+    return rounded(table(spark, d, "events").select("event_id", to_number(text).alias("v")), 6, "v")
+
+
+@query(
+    "parse_timestamps",
+    "SELECT event_id, floor(epoch_us(ts) / 1000000) AS t_us, floor(epoch_us(ts) / 1000000) AS t_12h, floor(epoch_us(ts) / 1000) / 1000 AS t_frac, floor(epoch_us(ts) / 1000000) AS t_rfc FROM events",
+)
+def parse_timestamps(spark, d):
+    ts = F.col("ts")
+    t = table(spark, d, "events").select(
+        "event_id", F.date_format(ts, "M/d/yyyy HH:mm:ss").alias("us"), F.date_format(ts, "dd/MM/yyyy hh:mm:ss a").alias("h12"),
+        F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fr"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("rf"),
+    )
+    return t.select(
+        "event_id", epoch_of_text(F.col("us"), "%m/%d/%Y %H:%M:%S").alias("t_us"),
+        epoch_of_text(F.col("h12"), "%d/%m/%Y %I:%M:%S %p").alias("t_12h"),
+        epoch_of_text(F.col("fr"), "%Y-%m-%d %H:%M:%S%.f").alias("t_frac"), epoch_of_text(F.col("rf"), "rfc3339").alias("t_rfc"),
+    )
+
+
+@query(
+    "infer_kinds",
+    "SELECT * FROM (VALUES ('us_time', 'datetime', '%m/%d/%Y %I:%M:%S %p'), ('day', 'datetime', '%Y-%m-%d'), ('half', 'numeric', NULL), "
+    "('third', 'text', NULL), ('kind', 'text', NULL), ('value', 'numeric', NULL)) t(\"column\", kind, date_format) WHERE EXISTS (SELECT 1 FROM events)",
+)
+def infer(spark, d):
+    ts, v = F.col("ts"), F.col("value").cast("string")
+    t = table(spark, d, "events").select(
+        "event_id", F.date_format(ts, "MM/dd/yyyy hh:mm:ss a").alias("us_time"), F.date_format(ts, "yyyy-MM-dd").alias("day"),
+        F.when(F.col("event_id") % 2 == 0, v).otherwise("").alias("half"), F.when(F.col("event_id") % 3 == 0, v).otherwise("x").alias("third"),
+        F.col("event_type").alias("kind"), "value",
+    )
+    return kinds.infer_kinds(t, ["event_id"]).select("column", "kind", "date_format")
+
+
+def _messy(spark, d) -> str:
+    """Line items as semicolon text with a quoted, comma-holding label and a missing tax now and then."""
+    path = _folder(spark) + ".dat"
+    t = table(spark, d, "lineitem").select(
+        *LINE_KEY, F.concat(F.col("l_returnflag"), F.lit('; "'), F.col("l_linestatus"), F.lit('"')).alias("label"),
+        F.when(F.col("l_linenumber") != 3, F.col("l_tax")).alias("l_tax"),
+    )
+    t.write.csv(path, sep=";", header=True, escape='"')
+    return path
+
+
+@query(
+    "load_delimited",
+    "SELECT l_orderkey::double AS l_orderkey, l_linenumber::double AS l_linenumber, l_extendedprice, l_returnflag || '; \"' || l_linestatus || '\"' AS label, "
+    "CASE WHEN l_linenumber <> 3 THEN l_tax END AS l_tax FROM lineitem",
+)
+def load(spark, d):
+    t = delimited.load_delimited(spark, _messy(spark, d))
+    numbers = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_tax"]
+    return t.select(*[to_number(F.col(c)).alias(c) for c in numbers], "label")
+
+
+@query("sniff_files", "SELECT DISTINCT ';' AS delimiter, 0 AS header_row, 7 AS width, 'UTF-8' AS encoding FROM lineitem")
+def sniff(spark, d):
+    s = delimited.sniff_files(spark, _messy(spark, d))
+    return s.select("delimiter", "header_row", F.size("columns").alias("width"), "encoding").distinct()
+
+
+@query("sniffed_lines", "SELECT count(*) AS rows FROM lineitem")
+def sniffed_lines(spark, d):
+    s = delimited.sniff_files(spark, _messy(spark, d))
+    return s.agg((F.sum("lines") - F.count(F.lit(1))).alias("rows"))
+
+
+@query("export_filtered", "SELECT count(*) AS rows_written, round(sum(l_extendedprice), 2) AS total FROM lineitem WHERE l_quantity > 40 AND l_tax < 0.03")
+def export(spark, d):
+    path = _folder(spark) + ".csv"
+    n = export_csv(table(spark, d, "lineitem"), path, ["l_orderkey", "l_extendedprice"], fx.and_(fx.gt("l_quantity", 40), fx.lt("l_tax", 0.03)))
+    back = delimited.load_delimited(spark, path)
+    return back.agg(F.round(F.sum(to_number(F.col("l_extendedprice"))), 2).alias("total")).select(F.lit(n).alias("rows_written"), "total")
+
+
+@query(
+    "merge_date_time",
+    "SELECT event_id::double AS event_id, floor(epoch_us(ts) / 1000000) AS t FROM events",
+)
+def merge(spark, d):
+    path = _folder(spark) + ".tsv"
+    ts = F.col("ts")
+    t = table(spark, d, "events").select(
+        F.date_format(ts, "MM/dd/yyyy").alias("Date"), F.date_format(ts, "hh:mm:ss a").alias("Time"), "event_id"
+    )
+    t.write.csv(path, sep="\t", header=True)
+    back = delimited.load_delimited(spark, path)
+    return back.select(to_number(F.col("event_id")).alias("event_id"), epoch_of_text(F.col("Date Time"), "%m/%d/%Y %I:%M:%S %p").alias("t"))
+
+
+@query("overview", "SELECT * FROM (SELECT count(*) AS rows FROM customer), (VALUES (0, 'c_custkey', 'numeric'), (1, 'c_name', 'text'), (2, 'c_nationkey', 'numeric'), (3, 'c_acctbal', 'numeric'), (4, 'c_mktsegment', 'text')) t(\"index\", name, kind)")
+def overview(spark, d):
+    t = table(spark, d, "customer")
+    return delimited.overview(t, kinds.infer_kinds(t.select("c_custkey", *[F.col(c).cast("string").alias(c) for c in t.columns[1:]]).withColumn("_o", F.col("c_custkey")), ["_o"]))
+
+
+@query(
+    "wide_export",
+    f"WITH {EV_BY}, c AS (SELECT row_idx, x, value FROM ev WHERE event_type = 'click'), p AS (SELECT row_idx, value FROM ev WHERE event_type = 'purchase'), "
+    "s AS (SELECT coalesce(c.row_idx, p.row_idx) AS row_idx, c.value AS a, p.value AS b FROM c FULL JOIN p USING (row_idx)) "
+    "SELECT row_idx, a::decimal(18, 2)::double AS click, b::decimal(18, 2)::double AS purchase FROM s",
+)
+def wide_export(spark, d):
+    o = events(spark, d, "event_type")
+    w = wide.wide_series(o, "event_type", "x", "value", ["click", "purchase"]).filter("click <> '' or purchase <> ''")
+    return w.select(ROW, F.round(to_number(F.col("click")), 2).alias("click"), F.round(to_number(F.col("purchase")), 2).alias("purchase"))
