@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strandline.functions.numbers import stripped
+from strandline.functions.times import wall_micros, wall_time
 
 RFC3339 = "rfc3339"
 
@@ -79,9 +80,7 @@ def parse_time(v: Column, fmt: str) -> Column:
     """Timestamp (UTC wall clock, no zone) of a text in one layout, else NULL."""
     if fmt == RFC3339:
         text = F.when(v.rlike(RFC3339_SHAPE), F.upper(v))
-        micros = F.unix_micros(F.try_to_timestamp(text))
-        ntz = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
-        return F.timestamp_add("MICROSECOND", micros, ntz)
+        return wall_time(F.unix_micros(F.try_to_timestamp(text)))
     text = F.when(v.rlike(_shape(fmt)), _tidy(v, fmt))
     return _ntz(text, fmt)
 
@@ -89,14 +88,12 @@ def parse_time(v: Column, fmt: str) -> Column:
 def _ntz(text: Column, fmt: str) -> Column:
     # read as UTC whatever the session zone: parse with an explicit zone suffix, then drop it
     at = F.try_to_timestamp(F.concat(text, F.lit("|Z")), F.lit(_pattern(fmt) + "'|'XXX"))
-    return F.timestamp_add("MICROSECOND", F.unix_micros(at), F.expr("timestamp_ntz'1970-01-01 00:00:00'"))
+    return wall_time(F.unix_micros(at))
 
 
 def epoch_of_text(v: Column, fmt: str) -> Column:
     """Epoch seconds at millisecond resolution of a trimmed text, NULL when it does not match."""
-    at = parse_time(stripped(v), fmt)
-    micros = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), at)
-    return F.floor(micros / 1000.0) / F.lit(1000.0)
+    return F.floor(wall_micros(parse_time(stripped(v), fmt)) / 1000.0) / F.lit(1000.0)
 
 
 def matches_date(v: Column, fmt: str) -> Column:

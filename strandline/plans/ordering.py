@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.functions.times import wall_micros
 from strandline.plans.layout import BUCKET, DEFAULT, ROW, Layout
 
 
@@ -48,7 +49,7 @@ def sortable(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     c = F.col(name)
     if isinstance(kind, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{name}`)")
+        return wall_micros(c)
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(c)
     if isinstance(kind, T.DateType):
