@@ -7,6 +7,7 @@ the driver; everything that grows with the rows stays distributed.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -305,6 +306,7 @@ def events(
         best = ratios.groupBy("cluster").agg(F.max_by("column", F.struct("ratio", -F.col("position"))).alias("_c"))
         cl = cl.join(F.broadcast(local_copy(best)), "cluster", "left")
         cl = cl.withColumn("culprit", F.when(F.col("_c").isNotNull(), F.array("_c")).otherwise(F.col("culprit"))).drop("_c")
+    cl = local_copy(cl)
     outside = F.size(F.array_except("culprit", "affected")) > 0
     single = (F.size("affected") == 1) & ~outside
     at = F.format_string("%d", F.col("onset"))
@@ -354,12 +356,15 @@ def health_check(
     """
     channels = list(channels)
     o = stage_rows(o, *dict.fromkeys([*([time_col] if time_col else []), *channels]))
-    f = local_copy(channel_facts(o, channels))
-    runs = stage(outlier_runs(o, channels))
-    parts = [dead(f), frozen(f), missing(f), regimes(runs), glitches(runs)]
-    parts.append(events(o, channels, changepoints(o, channels), lineage))
-    if time_col:
-        g = local_copy(time_gaps(o, time_col))
+    # four independent groups of jobs: submitted together, so that one's last tasks overlap the next
+    with ThreadPoolExecutor(4) as pool:
+        gaps = pool.submit(lambda: local_copy(time_gaps(o, time_col)) if time_col else None)
+        per_channel = pool.submit(lambda: local_copy(channel_facts(o, channels)))
+        joined = pool.submit(lambda: stage(outlier_runs(o, channels)))
+        shifts = pool.submit(lambda: events(o, channels, changepoints(o, channels), lineage))
+        g, f, runs, parts = gaps.result(), per_channel.result(), joined.result(), [shifts.result()]
+    parts += [dead(f), frozen(f), missing(f), regimes(runs), glitches(runs)]
+    if g is not None:
         detail = F.format_string("%d gap(s), ~%.0fs of samples missing", F.col("n_gaps"), F.bround("lost", 0))
         parts.append(
             _finding(g, "medium", "time_gaps", detail, 0, 0, column=F.lit(time_col), first_gap_row=F.col("first_gap_row"))

@@ -45,5 +45,6 @@ def local_copy(df: DataFrame) -> DataFrame:
 def settled(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """Stop a small aggregate from being computed again by each reader: as literals when it has at most
     `rows` rows, else as a staged table."""
-    got = df.limit(rows + 1).collect()
+    # one partition, so that the limit is one job instead of growing attempts
+    got = df.limit(rows + 1).coalesce(1).collect()
     return df.sparkSession.createDataFrame(got, df.schema) if len(got) <= rows else stage(df)

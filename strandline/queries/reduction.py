@@ -112,7 +112,7 @@ def resample_by_series(spark, d):
 
 PLOT = (
     f"WITH {EV}, f AS (SELECT x, row_idx, log10(value) AS y, row_number() OVER (ORDER BY row_idx) - 1 AS i, count(*) OVER () AS n FROM ev WHERE value > 0), "
-    "b AS (SELECT *, floor(((i + 1) * 300 - 1) / n)::bigint AS b FROM f), "
+    "b AS (SELECT *, floor(((i + 1) * 200 - 1) / n)::bigint AS b FROM f), "
     "o AS (SELECT b, list_distinct([arg_min(i, struct_pack(v := y, r := i)), arg_max(i, struct_pack(v := y, r := -i))]) AS l FROM b GROUP BY b), "
     "p AS (SELECT unnest(l) AS i FROM o) "
 )
@@ -120,7 +120,7 @@ PLOT = (
 
 @query("plot_series", PLOT + "SELECT 0 AS panel, 'value' AS series, i AS row_idx, x, round(y, 9) AS y FROM p JOIN f USING (i)")
 def plot(spark, d):
-    return rounded(plot_series(events(spark, d), "ts", ["value"], y_log=True, width=300), 9, "y")
+    return rounded(plot_series(events(spark, d), "ts", ["value"], y_log=True, width=200), 9, "y")
 
 
 @query(

@@ -85,7 +85,7 @@ def test_empty_and_single(spark):
 
 
 @pytest.mark.parametrize("stat", ["mean", "std", "min", "max"])
-@pytest.mark.parametrize("w", [2, 20, 64])
+@pytest.mark.parametrize("w", [2, 64])
 def test_rolling(data, stat, w):
     rows, df = data
     got = both(df, lambda o: windows.rolling(o, stat, "y", w, "r"), ["i", "r"])
@@ -99,7 +99,7 @@ def test_rolling(data, stat, w):
 def test_rolling_wide_equals_direct(data, stat, monkeypatch):
     _, df = data
     o = order_rows(df, "i", layout=SMALL)
-    for w in (3, 50, 90, 200):
+    for w in (3, 90):
         monkeypatch.setattr(windows, "DIRECT_WINDOW", 10_000)
         direct = table(windows.rolling(o, stat, "y", w, "r", "u"), "i", "r")
         monkeypatch.setattr(windows, "DIRECT_WINDOW", 1)
@@ -257,7 +257,7 @@ def lttb_ref(x, y, target, shift):
 
 
 @pytest.mark.parametrize("variant,shift", [("reference", 1), ("standard", 0)])
-@pytest.mark.parametrize("target", [3, 4, 17, 400, 1199])
+@pytest.mark.parametrize("target", [3, 17, 400])
 def test_lttb_picks(data, variant, shift, target):
     rows, df = data
     x, y = np.array([r[2] for r in rows]), np.sin(np.arange(N) / 9.0) * 5 + np.array([r[4] for r in rows])
@@ -315,7 +315,7 @@ def test_cubic_resample(data):
         assert np.allclose([g.y for g in got], want, atol=1e-9)
 
 
-@pytest.mark.parametrize("n", [1024, 1200, 997, 1001])
+@pytest.mark.parametrize("n", [1200, 997])
 def test_psd_split_equals_whole(spark, n):
     r = np.random.default_rng(n)
     v = r.normal(size=n) + 3
