@@ -16,6 +16,7 @@ from strandline.plans.ordering import Ordered, facts, join_sized, order_rows, wi
 # One task transforms a series up to this many rows directly; longer ones are split.
 DIRECT_ROWS = 1 << 20
 LINES_PER_TASK = 64
+MAX_LONG_SERIES = 100
 
 
 def hann(i: Column, n: Column) -> Column:
@@ -36,19 +37,17 @@ def finite_values(o: Ordered, y: str) -> Ordered:
 def psd(o: Ordered, y: str, fs: float = 1.0, direct_rows: int = DIRECT_ROWS) -> DataFrame:
     """Mean-removed, Hann-windowed one-sided power |X|^2 / n for k = 1 .. n/2 - 1: (by.., k, frequency, power).
 
-    Nothing under 4 values.  A series up to `direct_rows` is one small group.  A longer one (without
-    series keys) is transformed in two rounds of short transforms over the rows and columns of an
+    Nothing under 4 values.  A series up to `direct_rows` is one small group.  A longer one is transformed in two rounds of short transforms over the rows and columns of an
     n1 x n2 arrangement, each task holding about sqrt(n) * 64 numbers; a length without a balanced
     divisor goes through an equivalent convolution of a length that has one.
     """
     s = finite_values(o, y)
     if o.by:
-        return _psd_direct(with_series_size(s), fs, s)
+        return _psd_keyed(s, fs, direct_rows)
     if s.n < 4:
         return _empty(o, "k bigint, frequency double, power double")
-    s = with_series_size(s)
     if s.n <= direct_rows:
-        return _psd_direct(s, fs, s)
+        return _psd_direct(s, fs)
     mean = facts(s.df.agg(F.avg("y").alias("m")))
     d = s.df.withColumn("_f", mean)
     re = (F.col("y") - F.col("_f.m")) * hann(F.col(ROW), F.lit(float(s.n)))
@@ -64,7 +63,28 @@ def _empty(o: Ordered, schema: str) -> DataFrame:
     return o.df.sparkSession.createDataFrame([], schema)
 
 
-def _psd_direct(s: Ordered, fs: float, keyed: Ordered) -> DataFrame:
+def _psd_keyed(s: Ordered, fs: float, direct_rows: int) -> DataFrame:
+    """Short series side by side; each one above `direct_rows` as its own split transform."""
+    sizes = s.df.groupBy(*s.by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > direct_rows)
+    long = sizes.limit(MAX_LONG_SERIES + 1).coalesce(1).collect()
+    if len(long) > MAX_LONG_SERIES:
+        raise ValueError(f"over {MAX_LONG_SERIES} series exceed {direct_rows} rows: transform them in batches")
+    rest, parts = s.df, []
+    for r in long:
+        mine = F.lit(True)
+        for k in s.by:
+            mine = mine & F.col(k).eqNullSafe(F.lit(r[k]))
+        rest = rest.filter(~mine)
+        one = psd(Ordered(s.df.filter(mine).drop(*s.by), r["_n"], (), s.layout), "y", fs, direct_rows)
+        keys = [F.lit(r[k]).cast(s.df.schema[k].dataType).alias(k) for k in s.by]
+        parts.append(one.select(*keys, "k", "frequency", "power"))
+    out = _psd_direct(s.with_df(rest), fs)
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
+def _psd_direct(s: Ordered, fs: float) -> DataFrame:
     keys = list(s.by)
     schema = "".join(f"`{c}` {s.df.schema[c].dataType.simpleString()}, " for c in keys)
 
@@ -74,7 +94,7 @@ def _psd_direct(s: Ordered, fs: float, keyed: Ordered) -> DataFrame:
         n = len(v)
         k = np.arange(1, n // 2 if n >= 4 else 1)
         if len(k) == 0:
-            return pd.DataFrame({c: [] for c in [*keys, "k", "frequency", "power"]})
+            return pdf.iloc[:0].assign(k=k, frequency=k * 1.0, power=k * 1.0)[[*keys, "k", "frequency", "power"]]
         win = 0.5 - 0.5 * np.cos(2.0 * np.pi * np.arange(n) / (n - 1.0))
         f = np.fft.rfft((v - v.mean()) * win)[k]
         out = pd.DataFrame({"k": k, "frequency": k * fs / n, "power": (f.real**2 + f.imag**2) / n})

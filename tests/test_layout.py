@@ -343,3 +343,17 @@ def test_stft_frames(spark, n, window):
         want.append(np.abs(np.fft.rfft(part * win))[:hop])
     got = spectral.stft(order_rows(df, "i", layout=SMALL), "y", window).orderBy("frame", "bin").collect()
     assert np.allclose([g.magnitude for g in got], np.ravel(want))
+
+
+def test_psd_per_series_long_and_short(spark):
+    r = np.random.default_rng(1)
+    v = {"long": r.normal(size=900), "short": r.normal(size=60), "tiny": r.normal(size=3)}
+    rows = [(g, i, float(x)) for g, s in v.items() for i, x in enumerate(s)]
+    df = spark.createDataFrame(rows, "g string, i int, y double")
+    got = spectral.psd(order_rows(df, "i", "g"), "y", direct_rows=100).orderBy("g", "k").collect()
+    want = []
+    for g in ("long", "short"):
+        n = len(v[g])
+        w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1))
+        want += list(np.abs(np.fft.rfft((v[g] - v[g].mean()) * w)[1 : n // 2]) ** 2 / n)
+    assert np.allclose([x.power for x in got], want)
