@@ -105,9 +105,16 @@ query("resample_nearest", _resample_sql(1501, "CASE WHEN abs(gx - x) <= abs(x1 -
 query("resample_cubic")(_resampled("cubic"))
 
 
-@query("resample_by_series")
+@query(
+    "resample_by_series",
+    f"WITH {EV_BY}, s AS (SELECT event_type, x, value AS y, lead(x) OVER w AS x1, lead(value) OVER w AS y1 FROM ev WINDOW w AS (PARTITION BY event_type ORDER BY row_idx)), "
+    "e AS (SELECT event_type, min(x) AS a, max(x) AS z FROM ev GROUP BY 1), g AS (SELECT event_type, k, a + (z - a) * k / 299 AS gx FROM e, range(300) r(k)), "
+    "j AS (SELECT g.event_type, k, gx, x, y, x1, y1 FROM g ASOF JOIN (SELECT * FROM s WHERE x1 IS NOT NULL) q ON g.event_type = q.event_type AND g.gx >= q.x) "
+    "SELECT event_type, k, round(gx, 1) AS x, round(y + (y1 - y) * (gx - x) / (x1 - x), 6) AS y FROM j",
+)
 def resample_by_series(spark, d):
-    return rounded(red.resample(events(spark, d, "event_type"), "x", "value", 300), 6, "y")
+    out = red.resample(events(spark, d, "event_type"), "x", "value", 300)
+    return rounded(rounded(out, 1, "x"), 6, "y")
 
 
 PLOT = (

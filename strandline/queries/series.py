@@ -248,9 +248,16 @@ def psd_peaks(spark, d):
     return rounded(spectral.top_peaks(spectral.psd(events(spark, d), "value", 2.0)), 4, "power")
 
 
-@query("psd_by_series")
+@query(
+    "psd_by_series",
+    f"WITH {EV_BY}, m AS (SELECT event_type, row_idx AS j, n, (value - avg(value) OVER (PARTITION BY event_type)) * (0.5 - 0.5 * cos(2 * pi() * row_idx / (n - 1))) AS z FROM ev), "
+    "k AS (SELECT event_type, unnest(range(1, n // 2)) AS k FROM (SELECT event_type, any_value(n) AS n FROM m GROUP BY 1)), "
+    "f AS (SELECT event_type, k, any_value(n) AS n, sum(z * cos(2 * pi() * ((j * k) % n) / n)) AS re, sum(z * sin(2 * pi() * ((j * k) % n) / n)) AS im FROM m JOIN k USING (event_type) GROUP BY 1, 2) "
+    "SELECT event_type, k, round(k::double / n, 9) AS frequency, round((re * re + im * im) / n, 4) AS power FROM f",
+)
 def psd_by_series(spark, d):
-    return rounded(spectral.psd(events(spark, d, "event_type"), "value", 1.0), 6, "frequency", "power")
+    out = spectral.psd(events(spark, d, "event_type"), "value", 1.0)
+    return rounded(rounded(out, 9, "frequency"), 4, "power")
 
 
 STFT = (
