@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import sharding
+from strandline.llm import langid, sharding
+from strandline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_byte_language")
+def op1(spark, d):
+    docs = table(spark, d, "documents").withColumn("held_out", fold("doc_id", 3) == 1)
+    net = langid.fit(docs.filter(~F.col("held_out")))
+    return langid.identify(docs, net, ["doc_id", "held_out"])
+
+
 SHARDS = 8
 
 
