@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from strandline.plans.staging import stage
 
 ROWS_PER_BUCKET = 250_000
-MIN_BUCKETS = 128
 
 
 def whole_text(name: str = "text") -> Column:
@@ -37,21 +36,24 @@ def staged_with_uid(df: DataFrame, uid: str = "_uid") -> DataFrame:
     return stage(df.withColumn(uid, F.monotonically_increasing_id()))
 
 
-def numbered(df: DataFrame, group: Sequence[str], out: str, uid: str = "_uid") -> DataFrame:
+def numbered(df: DataFrame, group: str, out: str, uid: str = "_uid") -> DataFrame:
     """Adds gapless numbers from 0 within each group, in buckets of the row id, so that no task holds a group.
 
-    `df` must be staged with a unique `uid`.  The numbers of a bucket start after the rows of the
-    group's earlier buckets; those offsets are one row per group and bucket.
+    `df` must be staged with a unique `uid`, and `group` must have few values by its meaning (shards,
+    lengths up to a capacity): their counts come to the driver and decide the buckets of each.  The
+    numbers of a bucket start after the rows of the group's earlier buckets.
     """
-    n = df.count()
-    buckets = max(MIN_BUCKETS, -(-n // ROWS_PER_BUCKET))
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(uid), F.lit(buckets)).cast("int"))
-    keys = [*group, "_bucket"]
+    spark = df.sparkSession
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).collect()
+    target = min(ROWS_PER_BUCKET, max(64, sum(r["_n"] for r in sizes) // 1024))
+    plan = spark.createDataFrame([(r[0], -(-r[1] // target)) for r in sizes], f"`{group}` {df.schema[group].dataType.simpleString()}, _buckets int")
+    dealt = df.join(F.broadcast(plan), group)
+    dealt = dealt.withColumn("_bucket", F.pmod(F.xxhash64(uid), F.col("_buckets")).cast("int")).drop("_buckets")
+    keys = [group, "_bucket"]
     counts = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy(*keys).orderBy(uid)
-    rows = dealt.withColumn("_i", F.row_number().over(inner) - 1)
+    rows = dealt.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(uid)) - 1)
     return rows.join(offsets, keys).withColumn(out, (F.col("_i") + F.col("_before")).cast("long")).drop("_i", "_before", "_bucket")
 
 

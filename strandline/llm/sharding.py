@@ -48,4 +48,4 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], key: str = "doc_id"
         rendezvous(k, weights).alias("shard"),
         rendezvous(k, [*weights, grown_weight]).alias("grown_shard"),
     )
-    return numbered(staged_with_uid(slim), ["shard"], "slot").drop("_uid")
+    return numbered(staged_with_uid(slim), "shard", "slot").drop("_uid")
