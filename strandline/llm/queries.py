@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import langid, packing, sharding
+from strandline.llm import langid, packing, sharding, simhash
 from strandline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op7(spark, d):
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+@query("op8_simhash_multi_index")
+def op8(spark, d):
+    return simhash.near_duplicates(table(spark, d, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 @query("op9_matched_packing")
 def op9(spark, d):
     return packing.pack(table(spark, d, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
