@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import langid, packing, sharding, simhash
+from strandline.llm import langid, packing, sharding, simhash, suffix_dedup
 from strandline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def op1(spark, d):
     return langid.identify(docs, net, ["doc_id", "held_out"])
 
 
+@query("op3_radix_repeats")
+def op3(spark, d):
+    return suffix_dedup.remove_repeats(table(spark, d, "documents"))
+
+
 SHARDS = 8
 
 
