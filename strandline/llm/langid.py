@@ -8,6 +8,7 @@ bounded sample of labelled texts and travels to the tasks with the function that
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -178,7 +179,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
     u = (F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     at = (F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(1 << 30)) / float(1 << 30) * F.greatest(F.lit(1), F.length("text") - length + 1)).cast("int") + 1
     picked = known.select("lang", F.substring("text", at, F.lit(length)).alias("part"), (-F.log(u) * share).alias("key"))
-    rows = picked.orderBy("key", "part").limit(sample).collect()
+    # keys are exponential with a mean of n, so about this limit leaves a little more than the sample
+    low, high = 0.0, 1e3 * max(counts.values())
+    for _ in range(80):
+        limit = (low + high) / 2
+        low, high = (low, limit) if sum(n * -math.expm1(-limit / n) for n in counts.values()) > 1.2 * sample else (limit, high)
+    rows = picked.filter(F.col("key") <= high).orderBy("key", "part").limit(sample).collect()
     windows, _ = windows_of([r.part.encode()[:length] for r in rows], length)
     return train(windows, [r["lang"] for r in rows], **training)
 

@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import langid, packing, sharding, simhash, suffix_dedup
+from strandline.llm import langid, packing, sharding, simhash, suffix_dedup, toxicity
 from strandline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,13 @@ def op3(spark, d):
     return suffix_dedup.remove_repeats(table(spark, d, "documents"))
 
 
+@query("op5_weak_toxicity")
+def op5(spark, d):
+    docs = table(spark, d, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
+    model, _ = toxicity.fit(docs, table(spark, d, "labels"), fold("doc_id", 5) != 0)
+    return toxicity.score(docs, model, ["doc_id", "held_out"])
+
+
 SHARDS = 8
 
 
