@@ -23,7 +23,7 @@ SAMPLE = 6000
 BITS = 20
 GRAM = 5
 PAD = b" " * GRAM
-FEATURES = 2048
+FEATURES = 1024
 MINED_VOTERS = 10
 MINED_PARTS = 400
 BATCH_BYTES = 1 << 22
@@ -87,25 +87,25 @@ def sliced(texts: Sequence[str], most: int = BATCH_BYTES) -> Iterator[tuple[int,
 
 @dataclass
 class LabelModel:
-    prior: float
     chances: np.ndarray  # (class, voter): how often a voter speaks
     correlations: np.ndarray
     weights: np.ndarray
+    annotator: float
 
-    def posterior(self, spoken: np.ndarray) -> np.ndarray:
-        on = np.log(self.chances[1]) - np.log(self.chances[0])
-        off = np.log1p(-self.chances[1]) - np.log1p(-self.chances[0])
-        z = np.log(self.prior / (1 - self.prior)) + np.where(spoken, on, off) @ self.weights
+    def posterior(self, spoken: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """A silent voter abstains; the given labels are those of one more voter, right with chance `annotator`."""
+        on = (np.log(self.chances[1]) - np.log(self.chances[0])) * self.weights
+        z = np.log(self.annotator / (1 - self.annotator)) * (2 * given - 1) + spoken.astype(float) @ on
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def label_model(spoken: np.ndarray, start: np.ndarray, prior: float, rounds: int = 10) -> LabelModel:
-    """Expectation maximisation from the posterior `start`.
+def label_model(spoken: np.ndarray, given: np.ndarray, annotator: float = 0.95, rounds: int = 10) -> LabelModel:
+    """Expectation maximisation over both classes alike, from the given labels.
 
     A voter's weight falls with its correlations to others within the classes, so that voters that repeat each
-    other count about once.
+    other count about once.  The annotator's chance is estimated too, between 0.9 and 0.99.
     """
-    x, p = spoken.astype(float), start
+    x, p = spoken.astype(float), 0.05 + 0.9 * given
     model = None
     for _ in range(rounds):
         both = np.stack([1 - p, p])
@@ -117,8 +117,9 @@ def label_model(spoken: np.ndarray, start: np.ndarray, prior: float, rounds: int
         scale = np.sqrt(np.maximum(np.diag(inside), 1e-9))
         rho = inside / scale[:, None] / scale
         np.fill_diagonal(rho, 0)
-        model = LabelModel(prior, chances, rho, 1 / (1 + np.maximum(np.abs(rho) - 0.05, 0).sum(1)))
-        p = model.posterior(spoken)
+        model = LabelModel(chances, rho, 1 / (1 + np.maximum(np.abs(rho) - 0.05, 0).sum(1)), annotator)
+        p = model.posterior(spoken, given)
+        annotator = float(np.clip(np.where(given == 1, p, 1 - p).mean(), 0.9, 0.99))
     return model
 
 
@@ -148,7 +149,7 @@ def _chi2(counts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return chi, counts[1] > expected
 
 
-def train(spoken: np.ndarray, docs: Sequence[np.ndarray], labels: np.ndarray, share: float, steps: int = 400) -> tuple[Classifier, LabelModel]:
+def train(spoken: np.ndarray, docs: Sequence[np.ndarray], labels: np.ndarray, share: float, steps: int = 200) -> tuple[Classifier, LabelModel]:
     """From fixed votes, the parts of each sampled text and the labels of the sample; `share` of the population is toxic."""
     y = labels.astype(float)
     owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
@@ -159,16 +160,21 @@ def train(spoken: np.ndarray, docs: Sequence[np.ndarray], labels: np.ndarray, sh
         return np.stack([np.bincount(part, (1 - p)[owner], size), np.bincount(part, p[owner], size)])
 
     chi, toxic = _chi2(by_class(y), np.array([(1 - y).sum(), y.sum()]))
-    best = np.argsort(-np.where(toxic, chi, 0), kind="stable")[:MINED_PARTS]
-    best = best[(chi[best] > 20) & toxic[best]]
+    seen = by_class(y)
+    ratio = (seen[1] + 0.5) / (y.sum() + 1) / ((seen[0] + 0.5) / ((1 - y).sum() + 1))
+    strong = toxic & (chi > 15) & (ratio > 10)
+    best = np.argsort(-np.where(strong, chi, 0), kind="stable")[: min(MINED_PARTS, int(strong.sum()))]
     voter = np.full(size, -1)
     voter[best] = np.arange(len(best)) % MINED_VOTERS
     mined = np.zeros((len(docs), MINED_VOTERS), dtype=bool)
     has = voter[part] >= 0
     mined[owner[has], voter[part[has]]] = True
     spoken = np.concatenate([spoken.astype(bool), mined], 1)
-    model = label_model(spoken, 0.05 + 0.9 * y, float(np.clip(y.mean(), 0.01, 0.99)))
-    p = model.posterior(spoken)
+    lists = np.r_[0 : len(WORD_VOTERS), len(VOTERS) : spoken.shape[1]]
+    silence = ~spoken[:, lists].any(axis=1, keepdims=True)  # the one voter for the clean class: no list has a word of the text
+    spoken = np.concatenate([spoken, silence], 1)
+    model = label_model(spoken, y)
+    p = model.posterior(spoken, y)
     chi, _ = _chi2(by_class(p), np.array([(1 - p).sum(), p.sum()]))
     chosen = np.argsort(-chi, kind="stable")[:FEATURES]
     slot = np.full(size, -1, dtype=np.int32)
