@@ -36,6 +36,7 @@ SEGMENT = 1 << 22
 POSITION = np.uint64((1 << 24) - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 HEAD = 8
+NEAR = 32
 
 
 class Shape:
@@ -49,10 +50,26 @@ class Shape:
             raise ValueError("the radices leave no room for an anchor gram")
 
 
-def anchors(body: bytes, shape: Shape) -> np.ndarray:
-    """Positions of the smallest gram of every string of `threshold` bytes; of equal ones the first."""
+def _smallest(v: np.ndarray, w: int) -> np.ndarray:
+    """The minimum of every `w` neighbours, from running minima ahead and behind in blocks of `w`."""
+    m = len(v)
+    blocks = np.full(-(-m // w) * w, ~np.uint64(0))
+    blocks[:m] = v
+    blocks = blocks.reshape(-1, w)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[: m - w + 1], ahead[w - 1 : m])
+
+
+def anchors(body: bytes, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the smallest gram of every string of `threshold` bytes, and how far before them the strings start
+    (least and most).
+
+    Of equal ones the first; but the last if the first is within NEAR bytes of the string's start, as in a
+    stretch of repeated words that began before: else the anchors of such stretches would slide along with the string.
+    """
     n, w = len(body), shape.width
-    found = []
+    runs = []  # (anchor, first string, last string)
     for lo in range(0, n - shape.threshold + 1, SEGMENT):
         hi = min(n, lo + SEGMENT + shape.threshold - 1)
         b = np.frombuffer(body, dtype=np.uint8, count=hi - lo, offset=lo).astype(np.uint64)
@@ -63,16 +80,22 @@ def anchors(body: bytes, shape: Shape) -> np.ndarray:
         v = b[:m] * MIX
         v ^= v >> np.uint64(29)
         v *= MIX
-        v = (v & ~POSITION) | np.arange(m, dtype=np.uint64)
-        blocks = np.full(-(-m // w) * w, ~np.uint64(0))
-        blocks[:m] = v
-        blocks = blocks.reshape(-1, w)
-        ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-        behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        best = np.minimum(behind[: m - w + 1], ahead[w - 1 : m])
-        at = (best & POSITION).astype(np.int64)
-        found.append(lo + at[np.concatenate(([True], at[1:] != at[:-1]))])
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        v &= ~POSITION
+        at = np.arange(m, dtype=np.uint64)
+        first = (_smallest(v | at, w) & POSITION).astype(np.int64)
+        last = (POSITION - (_smallest(v | (POSITION - at), w) & POSITION)).astype(np.int64)
+        chosen = np.where(first - np.arange(len(first)) < NEAR, last, first)
+        cut = np.flatnonzero(chosen[1:] != chosen[:-1]) + 1
+        begin, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(chosen)])) - 1
+        runs.append(lo + np.stack([chosen[begin], begin, end]))
+    if not runs:
+        return (np.zeros(0, np.int64),) * 3
+    x, begin, end = np.concatenate(runs, axis=1)
+    at, inverse = np.unique(x, return_inverse=True)
+    low, high = at.copy(), at - n
+    np.minimum.at(low, inverse, x - end)
+    np.maximum.at(high, inverse, x - begin)
+    return at, low, high
 
 
 def _signed(values: list[int]) -> np.ndarray:
@@ -81,7 +104,7 @@ def _signed(values: list[int]) -> np.ndarray:
 
 def _first_digits(docs: DataFrame, text: str, shape: Shape) -> DataFrame:
     """A row for every anchor: text key, position, gram hash, hash and reach of its neighbourhood."""
-    t, w, g = shape.threshold, shape.width, shape.gram
+    t, g = shape.threshold, shape.gram
     body = docs.select(text_key(text).alias("tkey"), whole_text(text).alias("_text")).filter(F.octet_length("_text") >= t)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,8 +112,8 @@ def _first_digits(docs: DataFrame, text: str, shape: Shape) -> DataFrame:
         for pdf in batches:
             keys, pos, gram, hood, left, right = [], [], [], [], [], []
             for key, body in zip(pdf["tkey"], (x.encode() for x in pdf["_text"]), strict=True):
-                at = anchors(body, shape)
-                reach, ahead = np.minimum(at, w - 1), np.minimum(t, len(body) - at)
+                at, least, reach = anchors(body, shape)
+                ahead = t - least
                 keys.append((key, len(at)))
                 pos.append(at)
                 left.append(reach)
@@ -138,7 +161,7 @@ def _digits(hoods: DataFrame, parent: int, size: int, threshold: int) -> DataFra
             rows, core, span = [], [], []
             opened = pdf["open"] if "open" in columns else [None] * len(pdf)
             for i, (x, r, hood, runs) in enumerate(zip(pdf["l"], pdf["r"], pdf["hood"], opened, strict=True)):
-                least = max(0, threshold - r)  # offsets of suffixes that fit: least to x
+                least = threshold - r  # offsets of the suffixes: least to x
                 for start in [0] if runs is None else runs:
                     for lo in range(start, start + parent, size):
                         hi = lo + size - 1
