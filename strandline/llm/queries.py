@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import langid, packing, sharding, simhash, suffix_dedup, toxicity
+from strandline.llm import decontam, langid, packing, sharding, simhash, suffix_dedup, toxicity
 from strandline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,12 @@ def op3(spark, d):
     return suffix_dedup.remove_repeats(table(spark, d, "documents"))
 
 
+@query("op4_qgram_decontamination")
+def op4(spark, d):
+    bench = decontam.load_benchmark(table(spark, d, "benchmark"))
+    return decontam.contaminated(table(spark, d, "documents"), bench)
+
+
 @query("op5_weak_toxicity")
 def op5(spark, d):
     docs = table(spark, d, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
