@@ -166,15 +166,15 @@ def predict(net: ByteNet, texts: Sequence[bytes], length: int = WINDOW) -> tuple
     return best, p[np.arange(len(texts)), best]
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, length: int = WINDOW, **training) -> ByteNet:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, length: int = WINDOW, **training) -> ByteNet | None:
     """Trains on at most `sample` texts with a language: a sample without replacement in which every language has
-    the same expected share, one random window of each text.  Only those windows come to the driver.
+    the same expected share, one random window of each text.  Only those windows come to the driver.  Without any there is no network (None).
     """
     known = labelled.filter(F.col(lang).isNotNull() & F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["lang"]: r["n"] for r in sizes.collect()}
     if not counts:
-        raise ValueError("no labelled text to learn from")
+        return None
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, float(n))])[F.col("lang")]
     u = (F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     at = (F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(1 << 30)) / float(1 << 30) * F.greatest(F.lit(1), F.length("text") - length + 1)).cast("int") + 1
@@ -189,10 +189,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
     return train(windows, [r["lang"] for r in rows], **training)
 
 
-def identify(docs: DataFrame, net: ByteNet, keep: Sequence[str | Column] = ("doc_id",), text: str = "text", length: int = WINDOW) -> DataFrame:
+def identify(docs: DataFrame, net: ByteNet | None, keep: Sequence[str | Column] = ("doc_id",), text: str = "text", length: int = WINDOW) -> DataFrame:
     """The kept columns with `lang_pred` and `score` (0 to 1) of every whole text.
 
-    A null text or one without a letter is `und` with score 0.  Repeated rows get equal answers; an empty
+    A null text or one without a letter is `und` with score 0, and so is every text if there is no network.  Repeated rows get equal answers; an empty
     table gives no rows; other columns are left out, so their names cannot clash.
     """
     body = docs.select(*keep, F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias("_text"))
@@ -201,12 +201,11 @@ def identify(docs: DataFrame, net: ByteNet, keep: Sequence[str | Column] = ("doc
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = pdf.pop("_text")
-            has = texts.notna().to_numpy()
-            best, p = predict(net, [t.encode() for t in texts[has]], length)
-            lang = np.full(len(pdf), UNKNOWN, dtype=object)
-            lang[has] = np.array(net.langs, dtype=object)[best]
-            score = np.zeros(len(pdf))
-            score[has] = p
+            has = texts.notna().to_numpy() & (net is not None)
+            lang, score = np.full(len(pdf), UNKNOWN, dtype=object), np.zeros(len(pdf))
+            if has.any():
+                best, score[has] = predict(net, [t.encode() for t in texts[has]], length)
+                lang[has] = np.array(net.langs, dtype=object)[best]
             yield pdf.assign(lang_pred=lang, score=score)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)

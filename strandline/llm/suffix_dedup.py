@@ -257,3 +257,17 @@ def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), threshold
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return joined.mapInPandas(apply, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
+
+
+def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, radices: Sequence[int] = RADICES, text: str = "text", size: str | None = None) -> DataFrame:
+    """The documents with all their columns and only what is left of their texts; a null text stays null.
+
+    `size` names a column of character counts to bring up to date.  Every document stays, if need be with an empty text.
+    """
+    others = [c for c in docs.columns if c != text]
+    marked = docs.withColumn("_null", F.col(text).isNull())
+    out = remove_repeats(marked, [*others, "_null"], threshold, radices, text, with_text=True)
+    out = out.withColumn(text, F.when(~F.col("_null"), F.col("kept_text")))
+    if size is not None:
+        out = out.withColumn(size, F.length(text).cast(docs.schema[size].dataType))
+    return out.select(*docs.columns)

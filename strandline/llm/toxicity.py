@@ -140,6 +140,9 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+KNOWS_NOTHING = Classifier(np.full(1 << BITS, -1, dtype=np.int32), np.zeros(1), -30.0)
+
+
 def _chi2(counts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How far parts and classes depend on each other, and whether a part speaks for class 1."""
     total = classes.sum()
@@ -198,16 +201,17 @@ def train(spoken: np.ndarray, docs: Sequence[np.ndarray], labels: np.ndarray, sh
     return Classifier(slot, w.astype(float), bias), model
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> tuple[Classifier, LabelModel]:
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> tuple[Classifier, LabelModel | None]:
     """Learns from at most `sample` labelled rows whose key is `allowed`, half of them toxic where there are enough.
 
     The sample is drawn by a hash of the key among all labelled rows; its keys are broadcast, and the votes and word
-    parts of its texts come to the driver, so both are bounded by `sample`.
+    parts of its texts come to the driver, so both are bounded by `sample`.  Without labelled texts of both classes
+    nothing is learned and every text scores next to 0.
     """
     known = labels.filter(allowed & F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("_y"))
     counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
-        raise ValueError("labels of both classes are needed")
+        return KNOWS_NOTHING, None
     u = F.pmod(F.xxhash64(id_text(key)), F.lit(1 << 40)) / float(1 << 40)
     half = sample / 2
     limit = F.when(F.col("_y") == 1, half / counts[1]).otherwise(max(half, sample - counts[1]) / counts[0])
@@ -220,8 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id"
             yield pd.DataFrame({"y": pdf["_y"], "spoken": [bytes(votes(t)) for t in pdf["_text"]], "parts": own})
 
     rows = body.mapInPandas(look, "y int, spoken binary, parts binary").limit(2 * sample).toPandas()
-    if rows.empty:
-        raise ValueError("no labelled text to learn from")
+    if rows["y"].nunique() < 2:
+        return KNOWS_NOTHING, None
     rows = rows.sort_values(["y", "spoken", "parts"], kind="stable")
     spoken = np.stack([np.frombuffer(bytes(s), dtype=np.uint8) for s in rows["spoken"]])
     return train(spoken, [np.frombuffer(bytes(s), dtype="<i4") for s in rows["parts"]], rows["y"].to_numpy(), counts[1] / (counts[0] + counts[1]))
@@ -242,3 +246,13 @@ def score(docs: DataFrame, model: Classifier, keep: Sequence[str] = ("doc_id",),
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return body.mapInPandas(apply, f"{schema}, score double, predicted int")
+
+
+def reject(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
+    """The documents, whole and with all their columns, that score below 0.5; null and empty texts are scored like any other."""
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[model.scores(pdf[text].fillna("").tolist()) < 0.5]
+
+    return docs.mapInPandas(apply, docs.schema)
