@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam, langid, packing, sharding, simhash, suffix_dedup, toxicity
+from strandline.llm import decontam, langid, licenses, packing, sharding, simhash, suffix_dedup, toxicity
 from strandline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,11 @@ def op5(spark, d):
     return toxicity.score(docs, model, ["doc_id", "held_out"])
 
 
+@query("op6_license_votes")
+def op6(spark, d):
+    return licenses.scan(table(spark, d, "documents"))
+
+
 SHARDS = 8
 
 
