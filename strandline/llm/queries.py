@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam, langid, licenses, packing, sharding, simhash, suffix_dedup, toxicity
+from strandline.llm import decontam, embeddings, langid, licenses, packing, sharding, simhash, suffix_dedup, toxicity
 from strandline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op8(spark, d):
 @query("op9_matched_packing")
 def op9(spark, d):
     return packing.pack(table(spark, d, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+@query("op10_projection_forest")
+def op10(spark, d):
+    return embeddings.near_duplicates(table(spark, d, "embeddings"))
