@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam, embeddings, langid, licenses, packing, sharding, simhash, suffix_dedup, toxicity
+from strandline.llm import decontam, embeddings, langid, licenses, packing, sharding, simhash, suffix_dedup, toxicity, url_lists
 from strandline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,47 @@ def op1(spark, d):
     return langid.identify(docs, net, ["doc_id", "held_out"])
 
 
+# The tables have no fetch times and no lists; both follow by rule from the pages' ids and hosts.
+HOSTS = (
+    "p AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host, "
+    "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, (page_id * 37) % 1461 AS fetched_at FROM pages), "
+    "d AS (SELECT DISTINCT 'ads' AS list, 'domain' AS kind, host AS pattern FROM p UNION SELECT DISTINCT 'malware', 'domain', regexp_replace(host, '^[^.]*\\.', '') FROM p "
+    "UNION SELECT DISTINCT 'spam', 'prefix', host || '/' || split_part(path, '/', 2) FROM p WHERE split_part(path, '/', 2) <> ''), "
+    "k AS (SELECT *, ('0x' || substr(md5(pattern), 1, 6))::INT AS h FROM d WHERE pattern <> '')"
+)
+URL_SQL = (
+    f"WITH {HOSTS}, i AS (SELECT list, kind, pattern, h % 700 AS since, h % 700 + 150 AS until FROM k WHERE list = 'ads' AND h % 3 = 0 "
+    "UNION ALL SELECT list, kind, pattern, h % 700 + 300, NULL FROM k WHERE list = 'ads' AND h % 3 = 0 "
+    "UNION ALL SELECT list, kind, pattern, h % 900, h % 900 + 400 FROM k WHERE list = 'malware' AND h % 5 = 0 "
+    "UNION ALL SELECT list, kind, pattern, h % 1000, NULL FROM k WHERE list = 'spam' AND h % 4 = 0), "
+    "m AS (SELECT page_id, list FROM p JOIN i ON since <= fetched_at AND (until IS NULL OR fetched_at < until) AND CASE kind WHEN 'domain' "
+    "THEN host = pattern OR ends_with(host, '.' || pattern) ELSE host || path = pattern OR starts_with(host || path, pattern || '/') END) "
+    "SELECT p.page_id, fetched_at, coalesce((SELECT string_agg(DISTINCT list, ',' ORDER BY list) FROM m WHERE m.page_id = p.page_id), '') AS lists, "
+    "(SELECT count(*) FROM m WHERE m.page_id = p.page_id) AS n_entries FROM p"
+)
+
+
+def dated_entries(captures: DataFrame) -> DataFrame:
+    h, first = url_lists.host(F.col("url")), F.element_at(F.split(url_lists.path(F.col("url")), "/"), 2)
+    kinds = [("ads", "domain", h), ("malware", "domain", F.regexp_replace(h, r"^[^.]*\.", "")), ("spam", "prefix", F.when(first != "", F.concat(h, F.lit("/"), first)))]
+    keys = F.explode(F.array(*[F.struct(F.lit(a).alias("list"), F.lit(b).alias("kind"), c.alias("pattern")) for a, b, c in kinds])).alias("k")
+    k = captures.select(keys).select("k.*").filter("pattern <> ''").distinct()
+    k = k.withColumn("h", F.conv(F.substring(F.md5("pattern"), 1, 6), 16, 10).cast("int"))
+    # an add repeated while its entry holds, and a remove without an add, change nothing
+    rules = [("ads", 3, 700, "add", 0), ("ads", 3, 700, "add", 40), ("ads", 3, 700, "remove", 150), ("ads", 3, 700, "remove", 200), ("ads", 3, 700, "add", 300),
+             ("malware", 5, 900, "add", 0), ("malware", 5, 900, "remove", 400), ("spam", 4, 1000, "remove", -5), ("spam", 4, 1000, "add", 0)]
+    when = lambda name, part, span, action, after: F.when((F.col("list") == name) & (F.col("h") % part == 0), F.struct(F.lit(action).alias("action"), (F.col("h") % span + after).cast("long").alias("at")))
+    events = F.explode(F.array_compact(F.array(*[when(*r) for r in rules]))).alias("e")
+    return k.select("list", "kind", "pattern", events).select("list", "kind", "pattern", "e.action", "e.at")
+
+
+@query("op2_dated_url_lists", URL_SQL)
+def op2(spark, d):
+    captures = table(spark, d, "pages").select("page_id", "url", ((F.col("page_id") * 37) % 1461).alias("fetched_at"))
+    out = url_lists.evaluate(captures, dated_entries(captures))
+    return out.select("page_id", "fetched_at", F.array_join("lists", ",").alias("lists"), "n_entries")
+
+
 @query("op3_radix_repeats")
 def op3(spark, d):
     return suffix_dedup.remove_repeats(table(spark, d, "documents"))
