@@ -26,6 +26,12 @@ def id_text(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with its columns named c0, c1, ..., and the new name of each, so that no column clashes with an operator's own."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def fold(name: str, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; a null id counts as an empty text."""
     return F.crc32(id_text(name)) % parts

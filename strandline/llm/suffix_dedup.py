@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import text_key, whole_text
+from strandline.llm.common import positional, text_key, whole_text
 from strandline.plans.staging import stage
 
 THRESHOLD = 400
@@ -264,10 +264,13 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, radices: Sequen
 
     `size` names a column of character counts to bring up to date.  Every document stays, if need be with an empty text.
     """
+    columns = docs.columns
+    docs, name = positional(docs)
+    text, size = name[text], name.get(size)
     others = [c for c in docs.columns if c != text]
     marked = docs.withColumn("_null", F.col(text).isNull())
     out = remove_repeats(marked, [*others, "_null"], threshold, radices, text, with_text=True)
     out = out.withColumn(text, F.when(~F.col("_null"), F.col("kept_text")))
     if size is not None:
         out = out.withColumn(size, F.length(text).cast(docs.schema[size].dataType))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).toDF(*columns)

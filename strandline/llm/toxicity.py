@@ -155,12 +155,22 @@ def _chi2(counts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def train(spoken: np.ndarray, docs: Sequence[np.ndarray], labels: np.ndarray, share: float, steps: int = 200) -> tuple[Classifier, LabelModel]:
     """From fixed votes, the parts of each sampled text and the labels of the sample; `share` of the population is toxic."""
     y = labels.astype(float)
-    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    part = np.concatenate(docs) if docs else np.zeros(0, np.int32)
     size = 1 << BITS
 
     def by_class(p):
-        return np.stack([np.bincount(part, (1 - p)[owner], size), np.bincount(part, p[owner], size)])
+        out = np.zeros((2, size))
+        for own, q in zip(docs, p.tolist(), strict=True):
+            out[0, own] += 1 - q
+            out[1, own] += q
+        return out
+
+    def listed(of: np.ndarray, width: int) -> np.ndarray:
+        """Which of the chosen parts (those with a number in `of`) each text has."""
+        out = np.zeros((len(docs), width), dtype=bool)
+        for row, own in zip(out, docs, strict=True):
+            f = of[own]
+            row[f[f >= 0]] = True
+        return out
 
     chi, toxic = _chi2(by_class(y), np.array([(1 - y).sum(), y.sum()]))
     seen = by_class(y)
@@ -169,9 +179,7 @@ def train(spoken: np.ndarray, docs: Sequence[np.ndarray], labels: np.ndarray, sh
     best = np.argsort(-np.where(strong, chi, 0), kind="stable")[: min(MINED_PARTS, int(strong.sum()))]
     voter = np.full(size, -1)
     voter[best] = np.arange(len(best)) % MINED_VOTERS
-    mined = np.zeros((len(docs), MINED_VOTERS), dtype=bool)
-    has = voter[part] >= 0
-    mined[owner[has], voter[part[has]]] = True
+    mined = listed(voter, MINED_VOTERS)
     spoken = np.concatenate([spoken.astype(bool), mined], 1)
     lists = np.r_[0 : len(WORD_VOTERS), len(VOTERS) : spoken.shape[1]]
     silence = ~spoken[:, lists].any(axis=1, keepdims=True)  # the one voter for the clean class: no list has a word of the text
@@ -182,21 +190,20 @@ def train(spoken: np.ndarray, docs: Sequence[np.ndarray], labels: np.ndarray, sh
     chosen = np.argsort(-chi, kind="stable")[:FEATURES]
     slot = np.full(size, -1, dtype=np.int32)
     slot[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(docs), len(chosen)), dtype=np.float32)
-    has = slot[part] >= 0
-    x[owner[has], slot[part[has]]] = 1
+    x = listed(slot, len(chosen)).astype(np.float32)
     # the sample is balanced, the population is not
     weight = np.where(p >= 0.5, share / max(y.mean(), 1e-6), (1 - share) / max(1 - y.mean(), 1e-6)).astype(np.float32)
     weight /= weight.sum()
     w, bias = np.zeros(len(chosen), np.float32), float(np.log(share / (1 - share)))
+    goal = p.astype(np.float32)  # one width of numbers throughout: a mixed product would copy x in every step
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        err = (1 / (1 + np.exp(-(x @ w + bias))) - p) * weight
-        g, gb = x.T @ err + 1e-4 * w, float(err.sum())
+        err = (1 / (1 + np.exp(-(x @ w + np.float32(bias)))) - goal) * weight
+        g, gb = err @ x + np.float32(1e-4) * w, float(err.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a, c = 1 - 0.9**t, 1 - 0.999**t
-        w -= 0.05 * (m / a) / (np.sqrt(v / c) + 1e-8)
+        w -= (0.05 * (m / a) / (np.sqrt(v / c) + 1e-8)).astype(np.float32)
         bias -= 0.05 * (mb / a) / (np.sqrt(vb / c) + 1e-8)
     return Classifier(slot, w.astype(float), bias), model
 
@@ -223,12 +230,13 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id"
             own = [np.unique(parts([t])[1]).astype("<i4").tobytes() for t in pdf["_text"]]
             yield pd.DataFrame({"y": pdf["_y"], "spoken": [bytes(votes(t)) for t in pdf["_text"]], "parts": own})
 
-    rows = body.mapInPandas(look, "y int, spoken binary, parts binary").limit(2 * sample).toPandas()
-    if rows["y"].nunique() < 2:
+    found = body.mapInPandas(look, "y int, spoken binary, parts binary").limit(2 * sample)
+    # one partition after another, so that the driver's heap holds a part of the sample at a time
+    rows = sorted((r.y, bytes(r.spoken), bytes(r.parts)) for r in found.toLocalIterator())
+    if len({r[0] for r in rows}) < 2:
         return KNOWS_NOTHING, None
-    rows = rows.sort_values(["y", "spoken", "parts"], kind="stable")
-    spoken = np.stack([np.frombuffer(bytes(s), dtype=np.uint8) for s in rows["spoken"]])
-    return train(spoken, [np.frombuffer(bytes(s), dtype="<i4") for s in rows["parts"]], rows["y"].to_numpy(), counts[1] / (counts[0] + counts[1]))
+    spoken = np.stack([np.frombuffer(r[1], dtype=np.uint8) for r in rows])
+    return train(spoken, [np.frombuffer(r[2], dtype="<i4") for r in rows], np.array([r[0] for r in rows]), counts[1] / (counts[0] + counts[1]))
 
 
 def score(docs: DataFrame, model: Classifier, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:

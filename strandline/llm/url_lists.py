@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.llm.common import positional
 from strandline.plans.staging import stage
 
 SLICE = 90
@@ -63,6 +64,10 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", at: str
     evaluated once and each keeps its row.  Empty tables on either side give no matches.  Captures may have columns
     of any names but `lists` and `n_entries`, which are replaced.
     """
+    captures = captures.drop("lists", "n_entries")
+    columns = captures.columns
+    captures, name = positional(captures)
+    url, at = name[url], name[at]
     probe = F.xxhash64(F.coalesce(F.col(url), F.lit("")))
     asked = captures.select(F.col(url).alias("_url"), F.col(at).cast("long").alias("_at")).dropna().distinct()
     asked = asked.select("_url", "_at", F.floor(F.col("_at") / width).alias("_slice"), F.explode(candidates(F.col("_url"))).alias("c"))
@@ -76,7 +81,8 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", at: str
     met = asked.join(spans, ["kind", "pattern", "_slice"]).filter((F.col("since") <= F.col("_at")) & (F.col("until").isNull() | (F.col("_at") < F.col("until"))))
     verdict = met.groupBy("_url", "_at").agg(F.array_sort(F.collect_set("list")).alias("_lists"), F.count(F.lit(1)).alias("_n"))
     verdict = stage(verdict.withColumn("_probe", F.xxhash64("_url")))
-    named = captures.drop("lists", "n_entries").withColumn("_probe", probe)
+    named = captures.withColumn("_probe", probe)
     same = (named["_probe"] == verdict["_probe"]) & (named[url] == verdict["_url"]) & (named[at].cast("long") == verdict["_at"])
     out = named.join(verdict, same, "left").select(*[named[c] for c in named.columns if c != "_probe"], "_lists", "_n")
-    return out.withColumn("lists", F.coalesce("_lists", F.array().cast("array<string>"))).withColumn("n_entries", F.coalesce("_n", F.lit(0))).drop("_lists", "_n")
+    out = out.withColumn("lists", F.coalesce("_lists", F.array().cast("array<string>"))).withColumn("n_entries", F.coalesce("_n", F.lit(0))).drop("_lists", "_n")
+    return out.toDF(*columns, "lists", "n_entries")
