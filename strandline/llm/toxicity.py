@@ -21,11 +21,11 @@ from strandline.llm.common import id_text, whole_text
 
 SAMPLE = 6000
 BITS = 20
-GRAM = 5
-PAD = b" " * GRAM
+GRAMS = (5, 7)
+PAD = b" " * max(GRAMS)
 FEATURES = 1024
 MINED_VOTERS = 10
-MINED_PARTS = 400
+MINED_PARTS = 150
 BATCH_BYTES = 1 << 22
 
 # Common abusive words, one voter for each line.
@@ -57,20 +57,20 @@ def votes(text: str) -> list[int]:
 
 
 def parts(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, word part) of every place: parts are 5-byte strings of the lower-cased text, hashed to 20 bits; what is
-    not a letter is a space."""
+    """(text, word part) of every place: parts are strings of 5 and 7 bytes of the lower-cased text, hashed to
+    20 bits; what is not a letter is a space."""
     bodies = [t.lower().encode().translate(SPACES) for t in texts]
     joined = PAD + PAD.join(bodies) + PAD
     b = np.frombuffer(joined, dtype=np.uint8).astype(np.uint64)
-    n = len(b) - GRAM + 1
-    code = b[:n].copy()
-    for j in range(1, GRAM):
-        code <<= np.uint64(8)
-        code |= b[j : j + n]
-    code *= np.uint64(0x9E3779B97F4A7C15)
-    code >>= np.uint64(64 - BITS)
-    ends = np.cumsum([len(x) + GRAM for x in bodies])
-    return np.repeat(np.arange(len(texts)), np.diff(np.concatenate(([0], ends)))), code[: ends[-1] if len(ends) else 0].astype(np.int32)
+    ends = np.cumsum([len(x) + len(PAD) for x in bodies])
+    n = int(ends[-1]) if len(ends) else 0  # every part that begins here ends in the padding at the latest
+    owner = np.repeat(np.arange(len(texts)), np.diff(np.concatenate(([0], ends))))
+    code, found = np.zeros(n, dtype=np.uint64), []
+    for j in range(max(GRAMS)):
+        code = (code << np.uint64(8)) | b[j : j + n]
+        if j + 1 in GRAMS:
+            found.append(((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int32))
+    return np.tile(owner, len(GRAMS)), np.concatenate(found)
 
 
 def sliced(texts: Sequence[str], most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
@@ -99,11 +99,11 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def label_model(spoken: np.ndarray, given: np.ndarray, annotator: float = 0.95, rounds: int = 10) -> LabelModel:
+def label_model(spoken: np.ndarray, given: np.ndarray, annotator: float = 0.98, rounds: int = 10) -> LabelModel:
     """Expectation maximisation over both classes alike, from the given labels.
 
     A voter's weight falls with its correlations to others within the classes, so that voters that repeat each
-    other count about once.  The annotator's chance is estimated too, between 0.9 and 0.99.
+    other count about once.  The annotator's chance is estimated too, between 0.95 and 0.99.
     """
     x, p = spoken.astype(float), 0.05 + 0.9 * given
     model = None
@@ -119,7 +119,7 @@ def label_model(spoken: np.ndarray, given: np.ndarray, annotator: float = 0.95,
         np.fill_diagonal(rho, 0)
         model = LabelModel(chances, rho, 1 / (1 + np.maximum(np.abs(rho) - 0.05, 0).sum(1)), annotator)
         p = model.posterior(spoken, given)
-        annotator = float(np.clip(np.where(given == 1, p, 1 - p).mean(), 0.9, 0.99))
+        annotator = float(np.clip(np.where(given == 1, p, 1 - p).mean(), 0.95, 0.99))
     return model
 
 
@@ -152,7 +152,7 @@ def _chi2(counts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return chi, counts[1] > expected
 
 
-def train(spoken: np.ndarray, docs: Sequence[np.ndarray], labels: np.ndarray, share: float, steps: int = 200) -> tuple[Classifier, LabelModel]:
+def train(spoken: np.ndarray, docs: Sequence[np.ndarray], labels: np.ndarray, share: float, steps: int = 400) -> tuple[Classifier, LabelModel]:
     """From fixed votes, the parts of each sampled text and the labels of the sample; `share` of the population is toxic."""
     y = labels.astype(float)
     size = 1 << BITS
@@ -175,7 +175,7 @@ def train(spoken: np.ndarray, docs: Sequence[np.ndarray], labels: np.ndarray, sh
     chi, toxic = _chi2(by_class(y), np.array([(1 - y).sum(), y.sum()]))
     seen = by_class(y)
     ratio = (seen[1] + 0.5) / (y.sum() + 1) / ((seen[0] + 0.5) / ((1 - y).sum() + 1))
-    strong = toxic & (chi > 15) & (ratio > 10)
+    strong = toxic & (chi > 15) & (ratio > 20)
     best = np.argsort(-np.where(strong, chi, 0), kind="stable")[: min(MINED_PARTS, int(strong.sum()))]
     voter = np.full(size, -1)
     voter[best] = np.arange(len(best)) % MINED_VOTERS
