@@ -12,9 +12,9 @@ from strandline.functions import fx
 
 
 def free_name(df: DataFrame, name: str) -> str:
-    """`name`, or `name (2)`, `name (3)`, ... if taken."""
-    taken, k, out = set(df.columns), 2, name
-    while out in taken:
+    """`name`, or `name (2)`, `name (3)`, ... if taken (names that differ in case only are the same to Spark)."""
+    taken, k, out = {c.lower() for c in df.columns}, 2, name
+    while out.lower() in taken:
         out, k = f"{name} ({k})", k + 1
     return out
 

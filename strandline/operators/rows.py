@@ -15,7 +15,7 @@ from strandline.functions.numbers import to_number
 from strandline.plans.layout import ROW
 from strandline.plans.ordering import Ordered, facts, join_sized, order_rows
 
-PAGE_DEFAULT, PAGE_MAX = 20, 200
+PAGE_DEFAULT = 20
 
 
 def number_of(df: DataFrame, name: str) -> Column:
@@ -156,10 +156,10 @@ class RowQuery:
     def page(
         self, df: DataFrame, offset: int = 0, limit: int = PAGE_DEFAULT, tie: Sequence[str] = (ROW,)
     ) -> DataFrame:
-        """One page in view order (a bounded top-k: offset + at most 200 rows)."""
+        """One page in view order (a top-k of offset + limit rows)."""
         found = self.matching(df)
         sort = self.sort if self.sort in df.columns else None
-        out = sort_rows(found, sort, self.desc, tie=tie).offset(offset).limit(min(limit, PAGE_MAX))
+        out = sort_rows(found, sort, self.desc, tie=tie).offset(offset).limit(limit)
         return out if self.columns is None else out.select(*self.columns)
 
 
@@ -167,11 +167,15 @@ def view_index(df: DataFrame, name: str, tie: Sequence[str], desc: bool = False)
     """Rows numbered in view order, without a single-task sort: ranges over (key, row order)."""
     kind = df.schema[name].dataType
     key = number_of(df, name) if isinstance(kind, T.NumericType) else F.col(name)
-    if desc and not isinstance(kind, T.NumericType):
-        raise ValueError("a descending view index needs a numeric column")
+    if desc and isinstance(kind, T.NumericType):
+        key = -key
+    elif desc and isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        key = -F.unix_micros(F.col(name).cast("timestamp"))
+    elif desc:
+        # hex digits of the bytes, mirrored, and a sign above all of them: a longer text comes before its own beginning
+        key = F.concat(F.translate(F.hex(F.col(name).cast("string")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~"))
     d = df.withColumn("_blank", key.isNull() if not desc else key.isNotNull())
-    d = d.withColumn("_k", -key if desc else key)
-    return order_rows(d, ["_blank", "_k", *tie]).df.withColumnRenamed(ROW, "view_row").drop("_blank", "_k")
+    return order_rows(d.withColumn("_k", key), ["_blank", "_k", *tie]).df.withColumnRenamed(ROW, "view_row").drop("_blank", "_k")
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence, k: int) -> DataFrame:

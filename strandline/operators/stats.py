@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +19,8 @@ from strandline.plans.ordering import Ordered, facts, join_sized
 from strandline.plans.ranks import lower_median_rank, nearest_rank, pick_ranks, truncated_rank, upper_median_rank
 from strandline.plans.staging import settled
 
-MAX_PAIRS, MATRIX_COLUMNS = 60, 20
 PAD = 0.05
+DIRECT_COLUMNS = 6
 
 
 def is_numeric(df: DataFrame, name: str) -> bool:
@@ -238,10 +240,61 @@ def safe_pearson(a: Column, b: Column, window=None) -> Column:
     return F.when(at(F.count(x)) >= 2, at(F.covar_pop(x, y)) / F.nullif(spread, F.lit(0.0)))
 
 
-def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Unrounded r for every unordered column pair in one pass: (a, b, i, j, r)."""
+def _pair_moments(parts: Iterator[pd.DataFrame], c: int) -> Iterator[pd.DataFrame]:
+    """Pairwise-complete counts, centred means and products of c columns, one row a pair and task."""
+    n = mean_x = mean_y = xx = yy = xy = None
+    for pdf in parts:
+        v = pdf.to_numpy(dtype=np.float64)
+        seen = ~np.isnan(v)
+        here, v = seen.astype(np.float64), np.where(seen, v, 0.0)
+        k = here.T @ here
+        some = np.maximum(k, 1)
+        sx = v.T @ here
+        ax, ay = sx / some, sx.T / some
+        # about a shift common to a column, so that large values keep their digits
+        shift = v.sum(0) / np.maximum(here.sum(0), 1)
+        w = np.where(seen, v - shift, 0.0)
+        s, q = w.T @ here, (w * w).T @ here
+        bxx, bxy = q - s * s / some, w.T @ w - s * s.T / some
+        byy = bxx.T
+        if n is None:
+            n, mean_x, mean_y, xx, yy, xy = k, ax, ay, bxx, byy, bxy
+            continue
+        total = np.maximum(n + k, 1)
+        dx, dy, part = ax - mean_x, ay - mean_y, n * k / total
+        xx, yy, xy = xx + bxx + dx * dx * part, yy + byy + dy * dy * part, xy + bxy + dx * dy * part
+        mean_x, mean_y, n = mean_x + dx * k / total, mean_y + dy * k / total, n + k
+    if n is not None:
+        i, j = np.triu_indices(c, 1)
+        yield pd.DataFrame({"i": i, "j": j, "n": n[i, j], "x": mean_x[i, j], "y": mean_y[i, j], "xx": xx[i, j], "yy": yy[i, j], "xy": xy[i, j]})
+
+
+def _wide_correlations(df: DataFrame, cols: Sequence[str], v: dict[str, Column]) -> DataFrame:
+    """Matrix products by task, merged per pair: one row a task and pair is shuffled, whatever the number of rows."""
+    c = len(cols)
+    plain = df.select(*[v[name].cast("double").alias(f"c{i}") for i, name in enumerate(cols)])
+    parts = plain.mapInPandas(lambda it: _pair_moments(it, c), "i int, j int, n double, x double, y double, xx double, yy double, xy double")
+    mean = parts.groupBy("i", "j").agg(F.sum("n").alias("n"), *[(F.sum(F.col(m) * F.col("n")) / F.nullif(F.sum("n"), F.lit(0.0))).alias(f"m{m}") for m in "xy"])
+    far = parts.join(mean.select("i", "j", "mx", "my"), ["i", "j"])
+    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    sums = far.groupBy("i", "j").agg(
+        F.sum("n").alias("n"), F.sum(F.col("xx") + F.col("n") * dx * dx).alias("xx"),
+        F.sum(F.col("yy") + F.col("n") * dy * dy).alias("yy"), F.sum(F.col("xy") + F.col("n") * dx * dy).alias("xy"),
+    )
+    r = F.when(F.col("n") >= 2, F.col("xy") / F.nullif(F.sqrt(F.col("xx")) * F.sqrt(F.col("yy")), F.lit(0.0)))
+    names = F.array(*[F.lit(name) for name in cols])
+    return sums.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "i", "j", r.alias("r"))
+
+
+def correlations(df: DataFrame, cols: Sequence[str], direct: int = DIRECT_COLUMNS) -> DataFrame:
+    """Unrounded r for every unordered column pair in one pass: (a, b, i, j, r).
+
+    Up to `direct` columns are plain aggregates; more go through matrix products in the tasks.
+    """
     if len(cols) < 2:
         raise ValueError("correlation needs at least 2 numeric columns")
+    if len(cols) > direct:
+        return _wide_correlations(df, cols, {c: number_of(df, c) for c in cols})
     v = {c: number_of(df, c) for c in cols}
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     row = df.agg(*[safe_pearson(v[cols[i]], v[cols[j]]).alias(f"r{i}_{j}") for i, j in pairs])
@@ -255,16 +308,14 @@ def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*items)).alias("p")).select("p.*")
 
 
-def ranked_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pairs by |r|, strongest first, at most 60, r to 3 places."""
-    r = correlations(df, cols).filter("r is not null")
-    return r.orderBy(F.abs("r").desc(), "i", "j").limit(MAX_PAIRS).select("a", "b", F.round("r", 3).alias("r"))
+def ranked_pairs(df: DataFrame, cols: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Pairs by |r|, strongest first, all or the first `limit`, r to 3 places."""
+    r = correlations(df, cols).filter("r is not null").orderBy(F.abs("r").desc(), "i", "j")
+    return (r if limit is None else r.limit(limit)).select("a", "b", F.round("r", 3).alias("r"))
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """All ordered pairs incl. the unit diagonal, r to 3 places; only for up to 20 columns."""
-    if len(cols) > MATRIX_COLUMNS:
-        raise ValueError(f"a matrix is given for at most {MATRIX_COLUMNS} columns; use ranked_pairs")
+    """All ordered pairs incl. the unit diagonal, r to 3 places."""
     r = correlations(df, cols).select("a", "b", F.round("r", 3).alias("r"))
     both = F.array(F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
     off = r.select(F.explode(both).alias("p")).select("p.*")

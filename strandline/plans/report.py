@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 from strandline.functions import fx
 from strandline.functions.times import epoch_seconds
 from strandline.operators import reduce as red
-from strandline.operators import stats, windows
+from strandline.operators import qc, stats, windows
 from strandline.operators.derive import map_series
-from strandline.operators.qc import FINDING_COLUMNS, health_check
+from strandline.operators.qc import FINDING_COLUMNS, GLITCH_ROWS, health_check
 from strandline.operators.rows import log_y
 from strandline.plans.layout import ROW
 from strandline.plans.ordering import Ordered, order_rows
@@ -197,16 +197,28 @@ def focused_plots(findings: DataFrame, x: str, numeric: Sequence[str], max_plots
     return d.orderBy(*keys).limit(room).select("column", "kind", caption.alias("caption"))
 
 
-def _marked(findings: DataFrame, cap: int | None = None) -> DataFrame:
-    end = F.least(F.col("r.end"), F.col("r.start") + (cap - 1)) if cap else F.col("r.end")
-    ranges = findings.select(F.explode("rows").alias("r")).select(F.explode(F.sequence(F.col("r.start"), end)).alias(ROW))
+RANGE_PIECE = 1 << 16
+
+
+def _marked(findings: DataFrame, runs: DataFrame | None, cap: int | None = None) -> DataFrame:
+    """Rows of all findings.  Findings show the first ranges of a glitch only; `runs` has all of them."""
+    spans = findings.select(F.explode("rows").alias("r")).select("r.start", "r.end")
+    if runs is not None:
+        named = findings.filter("kind = 'glitch'").select("column")
+        short = runs.filter(F.col("count") <= GLITCH_ROWS).join(named, "column", "left_semi")
+        spans = spans.unionByName(short.select("start", "end"))
+    if cap:
+        spans = spans.withColumn("end", F.least("end", F.col("start") + (cap - 1)))
+    # a long range is cut in pieces before it is expanded, so that no row holds it as an array
+    pieces = spans.select("end", F.explode(F.sequence("start", "end", F.lit(RANGE_PIECE).cast("long"))).alias("at"))
+    ranges = pieces.select(F.explode(F.sequence("at", F.least("end", F.col("at") + (RANGE_PIECE - 1)))).alias(ROW))
     single = findings.select(F.explode(F.array_compact(F.array("row", "onset_row", "first_gap_row"))).alias(ROW))
     return ranges.unionByName(single).distinct()
 
 
-def flagged_rows(findings: DataFrame) -> DataFrame:
-    """Distinct rows named by any finding, ranges expanded."""
-    return _marked(findings)
+def flagged_rows(findings: DataFrame, runs: DataFrame | None) -> DataFrame:
+    """Distinct rows named by any finding, ranges expanded; `runs` are the outlier runs (None: no channel was checked for them)."""
+    return _marked(findings, runs)
 
 
 def flagged_columns(findings: DataFrame) -> DataFrame:
@@ -214,7 +226,7 @@ def flagged_columns(findings: DataFrame) -> DataFrame:
     return findings.select(F.explode(names).alias("column")).distinct()
 
 
-def first_flagged(o: Ordered, findings: DataFrame, shown: int = FLAGGED_SHOWN) -> DataFrame:
+def first_flagged(o: Ordered, findings: DataFrame, runs: DataFrame | None, shown: int = FLAGGED_SHOWN) -> DataFrame:
     """The first 50 flagged rows with up to 8 flagged columns (6 numeric ones when none is named).
 
     A range can only contribute its first 50 rows, so long ones are not expanded.
@@ -223,7 +235,7 @@ def first_flagged(o: Ordered, findings: DataFrame, shown: int = FLAGGED_SHOWN) -
     names = [c for c in names if c in o.df.columns][:FLAGGED_COLUMNS]
     if not names:
         names = [f.name for f in o.df.schema if isinstance(f.dataType, T.NumericType) and f.name != ROW][:6]
-    top = _marked(findings, shown).orderBy(ROW).limit(shown)
+    top = _marked(findings, runs, shown).orderBy(ROW).limit(shown)
     return o.df.select(ROW, *names).join(F.broadcast(top), ROW, "left_semi").orderBy(ROW)
 
 
@@ -242,7 +254,7 @@ def qc_report(
         "verdict": verdict(found),
         "overview": plot_series(o, x, ys, layout=layout),
         "plots": focused_plots(found, x, channels, max_plots),
-        "flagged": first_flagged(o, found),
+        "flagged": first_flagged(o, found, qc.outlier_runs(o, channels)),
     }
 
 

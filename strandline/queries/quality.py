@@ -221,20 +221,20 @@ def finding_locations(spark, d):
 
 FLAGGED = (
     ", fl AS (SELECT row AS row_idx FROM fi WHERE row IS NOT NULL UNION SELECT onset_row FROM fi WHERE onset_row IS NOT NULL UNION SELECT first_gap_row FROM fi WHERE first_gap_row IS NOT NULL "
-    "UNION SELECT unnest(range(start, \"end\" + 1)) FROM rn WHERE count > 4 "
-    "UNION SELECT unnest(range(start, \"end\" + 1)) FROM (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY start) AS i FROM rn WHERE count <= 4) WHERE i <= 10)"
+    "UNION SELECT unnest(range(start, \"end\" + 1)) FROM rn)"
 )
 
 
 @query("flagged_rows", f"WITH {ALL}{FLAGGED} SELECT row_idx FROM fl")
 def flagged_rows(spark, d):
-    return report.flagged_rows(qc.health_check(faulty(spark, d), CHANNELS, "ts", ordered=False))
+    o = faulty(spark, d)
+    return report.flagged_rows(qc.health_check(o, CHANNELS, "ts", ordered=False), qc.outlier_runs(o, CHANNELS))
 
 
 @query("first_flagged", f"WITH {ALL}{FLAGGED} SELECT q.row_idx, calibrated_a, flat, holes, late, raw_a, spiky, stuck, ts FROM q JOIN (SELECT * FROM fl ORDER BY row_idx LIMIT 50) USING (row_idx)")
 def first_flagged(spark, d):
     o = faulty(spark, d)
-    return report.first_flagged(o, qc.health_check(o, CHANNELS, "ts", ordered=False))
+    return report.first_flagged(o, qc.health_check(o, CHANNELS, "ts", ordered=False), qc.outlier_runs(o, CHANNELS))
 
 
 @query("focused_plots")

@@ -261,7 +261,7 @@ def sort_page(spark, d):
 @query(
     "sort_page_filtered",
     "SELECT p_partkey, p_name, p_retailprice FROM part WHERE contains(lower(p_name), 'widget') AND p_retailprice > 910 "
-    "ORDER BY p_name, p_partkey LIMIT 200",
+    "ORDER BY p_name, p_partkey LIMIT 500",
 )
 def sort_page_filtered(spark, d):
     t = table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice")
@@ -296,6 +296,16 @@ def view_index(spark, d):
     return r.view_index(table(spark, d, "part"), "p_size", ["p_partkey"], desc=True).select("p_partkey", "view_row")
 
 
+@query("view_index_text_desc", "SELECT p_partkey, row_number() OVER (ORDER BY p_name DESC, p_partkey) - 1 AS view_row FROM part")
+def view_index_text(spark, d):
+    return r.view_index(table(spark, d, "part"), "p_name", ["p_partkey"], desc=True).select("p_partkey", "view_row")
+
+
+@query("view_index_time_desc", "SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) - 1 AS view_row FROM events")
+def view_index_time(spark, d):
+    return r.view_index(table(spark, d, "events"), "ts", ["event_id"], desc=True).select("event_id", "view_row")
+
+
 @query("infer_unit", """SELECT p_partkey, CASE WHEN regexp_matches(c, 'temp') THEN '°C' WHEN regexp_matches(c, 'inc|azi|tool-face|angle') THEN 'Degrees'
     WHEN regexp_matches(c, 'vibe|accel|shock|gx|gy|gz|grav') THEN 'G' WHEN contains(c, 'gamma') THEN 'CPS' WHEN regexp_matches(c, 'pulse|flow') THEN 'Counts'
     WHEN regexp_matches(c, '1v8|5v|3v3|bat|bus') THEN 'V' WHEN contains(c, 'current') THEN 'mA' WHEN regexp_matches(c, 'mag|mx|my|mz') THEN 'Gauss'

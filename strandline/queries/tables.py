@@ -120,6 +120,33 @@ def merge(spark, d):
     return back.select(to_number(F.col("event_id")).alias("event_id"), epoch_of_text(F.col("Date Time"), "%m/%d/%Y %I:%M:%S %p").alias("t"))
 
 
+@query(
+    "typed_load",
+    "SELECT event_id::double AS event_id, event_type, round(value, 6) AS value, CASE WHEN event_id % 7 <> 0 THEN ts::date END AS day FROM events",
+)
+def typed_load(spark, d):
+    """Text turned into numbers and days; the days are written day first, so only whole columns tell the layout."""
+    path = _folder(spark) + ".csv"
+    day = F.when(F.col("event_id") % 7 != 0, F.date_format("ts", "dd/MM/yyyy")).otherwise("")
+    table(spark, d, "events").select("event_id", "event_type", "value", day.alias("Day.of event")).write.csv(path, header=True)
+    loaded = delimited.load_delimited(spark, path, merge_times=False)
+    got = kinds.typed(loaded, kinds.infer_kinds(loaded, delimited.ROW_ORDER))
+    return got.select("event_id", "event_type", F.round("value", 6).alias("value"), F.col("`Day.of event`").cast("date").alias("day"))
+
+
+@query(
+    "load_headers",
+    "SELECT l_orderkey::double AS a, l_linenumber::double AS b, l_partkey::double AS c, l_suppkey::double AS e FROM lineitem",
+)
+def load_headers(spark, d):
+    """Headers with dots, and two that differ in case only once they are trimmed."""
+    path = _folder(spark) + ".csv"
+    names = {"l_orderkey": "acc.x", "l_linenumber": "acc.y", "l_partkey": "Temp", "l_suppkey": "temp "}
+    table(spark, d, "lineitem").select(*[F.col(c).alias(n) for c, n in names.items()]).write.csv(path, header=True)
+    got = delimited.load_delimited(spark, path)
+    return got.select(*[to_number(F.col(f"`{c}`")).alias(n) for c, n in (("acc.x", "a"), ("acc.y", "b"), ("Temp", "c"), ("temp (2)", "e"))])
+
+
 @query("overview", "SELECT * FROM (SELECT count(*) AS rows FROM customer), (VALUES (0, 'c_custkey', 'numeric'), (1, 'c_name', 'text'), (2, 'c_nationkey', 'numeric'), (3, 'c_acctbal', 'numeric'), (4, 'c_mktsegment', 'text')) t(\"index\", name, kind)")
 def overview(spark, d):
     t = table(spark, d, "customer")

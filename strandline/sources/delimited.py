@@ -8,17 +8,18 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections import Counter
 from collections.abc import Sequence
-from datetime import datetime
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.plans.ordering import join_sized
-from strandline.sources.kinds import merge_date_time
+from strandline.sources.kinds import column, merge_date_time
 
 ROW_ORDER = ["_file", "_block", "_pos"]
 
@@ -49,17 +50,20 @@ def _is_number(cell: str) -> bool:
     return "_" not in cell
 
 
+# Layouts that make a header cell a date, numbers by field: year, month, day, hour, minute, second.
+HEADER_DATES = [
+    r"(?P<y>\d{4})-(?P<m>\d{1,2})-(?P<d>\d{1,2}) (?P<h>\d{1,2}):(?P<i>\d{1,2}):(?P<s>\d{1,2})",
+    r"(?P<m>\d{1,2})/(?P<d>\d{1,2})/(?P<y>\d{4}) (?P<h>\d{1,2}):(?P<i>\d{1,2}):(?P<s>\d{1,2})",
+    r"(?P<d>\d{1,2})/(?P<m>\d{1,2})/(?P<y>\d{4}) (?P<h>\d{1,2}):(?P<i>\d{1,2}):(?P<s>\d{1,2})",
+    r"(?P<m>\d{1,2})/(?P<d>\d{1,2})/(?P<y>\d{4})",
+]
+LIMITS = {"m": (1, 12), "d": (1, 31), "h": (0, 23), "i": (0, 59), "s": (0, 60)}
+
+
 def _is_date_like(cell: str) -> bool:
-    low = cell.lower()
-    if not ("/" in cell or ":" in cell or "am" in low or "pm" in low):
-        return False
-    for fmt in ("%Y-%m-%d %H:%M:%S", "%m/%d/%Y %H:%M:%S", "%d/%m/%Y %H:%M:%S", "%Y-%m-%d", "%m/%d/%Y"):
-        try:
-            datetime.strptime(cell, fmt)
-        except ValueError:
-            continue
-        return True
-    return False
+    """Whether one of the layouts fits the whole cell with every field in its range."""
+    fits = (re.fullmatch(layout, cell) for layout in HEADER_DATES)
+    return any(all(LIMITS[k][0] <= int(v) <= LIMITS[k][1] for k, v in f.groupdict().items() if k != "y") for f in fits if f)
 
 
 def detect_header(records: Sequence[Sequence[str]]) -> int:
@@ -80,11 +84,13 @@ def detect_header(records: Sequence[Sequence[str]]) -> int:
 def column_names(header: Sequence[str]) -> list[str]:
     """Trimmed names, `Column 3` for blank ones, and ` (2)` added to repeats."""
     out: list[str] = []
+    taken = {c.lower() for c in ROW_ORDER}
     for i, h in enumerate(header):
         name = h.strip() or f"Column {i + 1}"
         base, k = name, 2
-        while name in out:
+        while name.lower() in taken:  # Spark does not tell names by case
             name, k = f"{base} ({k})", k + 1
+        taken.add(name.lower())
         out.append(name)
     return out
 
@@ -155,17 +161,19 @@ def load_delimited(
     layouts = sniff_files(spark, paths)
     if header_row is not None:
         layouts = layouts.withColumn("header_row", F.lit(header_row))
-    kinds = layouts.groupBy("delimiter", "header_row", "columns", "encoding").agg(
-        F.count(F.lit(1)).alias("n"), F.collect_list("_file").alias("files")
-    ).collect()
+    layout = ["delimiter", "header_row", "columns", "encoding"]
+    kinds = layouts.select(*layout).distinct().collect()
     if not kinds:
         raise ValueError("no data found")
     out = None
     for k in kinds:
-        part = _read(spark, paths if len(kinds) == 1 else k.files, k)
+        part = _read(spark, paths, k)
+        if len(kinds) > 1:  # each layout takes its own files; their names stay distributed
+            own = layouts.filter(reduce(Column.__and__, [F.col(c).eqNullSafe(F.lit(k[c])) for c in layout])).select("_file")
+            part = part.join(own, "_file", "left_semi")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     names = [c for c in out.columns if c not in ROW_ORDER]
-    out = out.select(*ROW_ORDER, *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names])
+    out = out.select(*ROW_ORDER, *[F.coalesce(column(c), F.lit("")).alias(c) for c in names])
     return merge_date_time(out, ROW_ORDER) if merge_times else out
 
 

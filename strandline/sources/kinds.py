@@ -1,11 +1,11 @@
-"""Column kinds of text tables: datetime, numeric or text, judged from samples and whole columns."""
+"""Column kinds of text tables: datetime, numeric or text, judged from whole columns."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,15 +20,18 @@ from strandline.functions.dates import (
 )
 from strandline.functions.numbers import share_numeric
 from strandline.functions.units import channel_role, infer_unit
-from strandline.operators.rows import top_per_group
 
-SAMPLE = 100
 DATE_SHARE, TIME_SHARE, NUMERIC_SHARE = 0.7, 0.8, 0.5
 
 
+def column(name: str) -> Column:
+    """A column by its plain name, whatever signs that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 @dataclass(frozen=True)
 class Guess:
-    """Best date layout of a column's first values, and whether they are bare times."""
+    """Best date layout of a column's values, and whether they are bare times."""
 
     date_format: str | None
     time_only: bool
@@ -38,23 +41,14 @@ class Guess:
         return is_date_only(self.date_format)
 
 
-def sample_cells(df: DataFrame, cols: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First 100 non-empty cells per column in row order: (position, cell).
-
-    Ranks are cut inside each task before the shuffle, so a column is never gathered.
-    """
-    cells = F.array(*[F.col(c) for c in cols])
-    long = df.select(*order, F.posexplode(cells).alias("position", "cell")).filter("cell is not null and cell <> ''")
-    return top_per_group(long, ["position"], list(order), SAMPLE).select("position", "cell")
-
-
-def guess_dates(df: DataFrame, cols: Sequence[str], order: Sequence[str]) -> dict[str, Guess]:
-    """Score every layout on the samples; the best share wins, the earliest layout on ties."""
+def guess_dates(df: DataFrame, cols: Sequence[str]) -> dict[str, Guess]:
+    """Score every layout on all non-empty cells in one aggregation; the best share wins, the earliest layout on ties."""
     layouts = [RFC3339, *DATE_FORMATS]
     c = F.col("cell")
     scores = [F.avg(matches_date(c, f).cast("double")).alias(f"d{i}") for i, f in enumerate(layouts)]
     scores += [F.avg(matches_time(c, f).cast("double")).alias(f"t{i}") for i, f in enumerate(TIME_FORMATS)]
-    rows = sample_cells(df, cols, order).groupBy("position").agg(*scores).collect()
+    cells = df.select(F.posexplode(F.array(*[column(c) for c in cols])).alias("position", "cell")).filter("cell is not null and cell <> ''")
+    rows = cells.groupBy("position").agg(*scores).collect()
     out = {c: Guess(None, False) for c in cols}
     for r in rows:
         best = max(range(len(layouts)), key=lambda i: (r[f"d{i}"], -i))
@@ -68,23 +62,24 @@ def infer_kinds(
 ) -> DataFrame:
     """(position, column, kind, numeric, date_format, date_share, numeric_share, unit, role) per column.
 
-    datetime when over 70 % of all cells parse in the sampled layout, numeric when at least half are
+    datetime when over 70 % of all cells parse in the best layout, numeric when at least half are
     numbers, else text; typed columns need no look at the data.
     """
     cols = [c for c in (cols or df.columns) if c not in order]
     text = [c for c in cols if isinstance(df.schema[c].dataType, T.StringType)]
-    guesses = guesses or (guess_dates(df, text, order) if text else {})
+    guesses = guesses or (guess_dates(df, text) if text else {})
     measured = []
-    for c in text:
+    for i, c in enumerate(text):
         fmt = guesses[c].date_format
-        share = F.avg(epoch_of_text(F.col(c), fmt).isNotNull().cast("double")) if fmt else F.lit(0.0)
-        measured += [F.coalesce(share, F.lit(0.0)).alias(f"d_{c}"), share_numeric(F.col(c)).alias(f"n_{c}")]
+        share = F.avg(epoch_of_text(column(c), fmt).isNotNull().cast("double")) if fmt else F.lit(0.0)
+        measured += [F.coalesce(share, F.lit(0.0)).alias(f"d{i}"), share_numeric(column(c)).alias(f"n{i}")]
     got = df.agg(*measured).first() if measured else {}
     rows = []
     for i, c in enumerate(cols):
         kind_ = df.schema[c].dataType
         if c in text:
-            fmt, ds, ns = guesses[c].date_format, got[f"d_{c}"], got[f"n_{c}"]
+            k = text.index(c)
+            fmt, ds, ns = guesses[c].date_format, got[f"d{k}"], got[f"n{k}"]
             is_date = fmt is not None and ds > DATE_SHARE
         else:
             is_date = isinstance(kind_, (T.TimestampType, T.TimestampNTZType, T.DateType))
@@ -106,25 +101,25 @@ def typed(df: DataFrame, kinds: DataFrame) -> DataFrame:
         if not isinstance(df.schema[r.column].dataType, T.StringType):
             continue
         if r.kind == "datetime":
-            made[r.column] = parse_time(stripped(F.col(r.column)), r.date_format)
+            made[r.column] = parse_time(stripped(column(r.column)), r.date_format)
         elif r.kind == "numeric":
-            made[r.column] = to_number(F.col(r.column))
+            made[r.column] = to_number(column(r.column))
     return df.withColumns(made) if made else df
 
 
 def merge_date_time(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Join each date-only column with a time-only column right after it into `Date Time`."""
     cols = [c for c in df.columns if c not in order]
-    guesses = guess_dates(df, cols, order)
+    guesses = guess_dates(df, cols)
     out, i = [], 0
     while i < len(cols):
         here, then = cols[i], cols[i + 1] if i + 1 < len(cols) else None
         if then and guesses[here].date_only and guesses[then].time_only:
-            a, b = F.trim(F.coalesce(F.col(here), F.lit(""))), F.trim(F.coalesce(F.col(then), F.lit("")))
+            a, b = F.trim(F.coalesce(column(here), F.lit(""))), F.trim(F.coalesce(column(then), F.lit("")))
             joined = F.when((a == "") | (b == ""), "").otherwise(F.concat(a, F.lit(" "), b))
             out.append(joined.alias(f"{here.strip()} {then.strip()}"))
             i += 2
         else:
-            out.append(F.col(here))
+            out.append(column(here))
             i += 1
     return df.select(*order, *out)

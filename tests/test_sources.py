@@ -147,7 +147,7 @@ def test_time_of_day(spark):
 
 def test_month_first_wins_ties(spark):
     df = spark.createDataFrame([(i, f"0{i + 1}/02/2024") for i in range(5)], "i int, d string")
-    assert kinds.guess_dates(df, ["d"], ["i"])["d"].date_format == "%m/%d/%Y"
+    assert kinds.guess_dates(df, ["d"])["d"].date_format == "%m/%d/%Y"
     assert spark.range(1).select(matches_date(F.lit("13/02/2024"), "%m/%d/%Y").alias("m")).first().m is False
 
 

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,7 +259,7 @@ def test_clean_data_is_clean(spark):
     found = health_check(o, ["v"], ordered=False)
     v = report.verdict(found).first()
     assert (v.verdict_class, v.verdict_text) == ("clean", "No issues found — clean.")
-    assert report.flagged_rows(found).count() == 0 and report.first_flagged(o, found).count() == 0
+    assert report.flagged_rows(found, None).count() == 0 and report.first_flagged(o, found, None).count() == 0
 
 
 def test_report_tables(spark, tmp_path):
@@ -270,3 +271,24 @@ def test_report_tables(spark, tmp_path):
     assert t["overview"].select("panel").distinct().count() == 4
     report.write_report(t, str(tmp_path / "report"))
     assert spark.read.parquet(str(tmp_path / "report" / "findings")).count() == t["findings"].count()
+
+
+def test_wide_correlations_match_plain_ones(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 9)) + 1e6
+    x[:, 1] = x[:, 0] * 2 + rng.normal(size=300)
+    cells = [[None if rng.random() < 0.1 else float(v) for v in row] for row in x]
+    df = spark.createDataFrame([(*r, 4.0) for r in cells], ", ".join(f"c{i} double" for i in range(10))).repartition(5)
+    cols = df.columns
+    wide = {(r.a, r.b): r.r for r in stats.correlations(df, cols).collect()}
+    plain = {(r.a, r.b): r.r for r in stats.correlations(df, cols, direct=99).collect()}
+    assert wide.keys() == plain.keys() and len(wide) == 45
+    assert all(wide[k] is None for k in wide if "c9" in k)  # no spread
+    assert all(abs(wide[k] - plain[k]) < 1e-8 for k in wide if "c9" not in k)
+    many = spark.range(50).select(*[(F.col("id") * (i + 1) % 7).cast("double").alias(f"v{i}") for i in range(200)])
+    assert stats.ranked_pairs(many, many.columns).count() == 19900 and stats.ranked_pairs(many, many.columns, 5).count() == 5
+
+
+def test_names_that_differ_in_case_are_taken(spark):
+    df = spark.createDataFrame([(1.0,)], "temp double")
+    assert derive(df, "TEMP", F.lit(2.0)).columns == ["temp", "TEMP (2)"]
