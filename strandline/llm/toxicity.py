@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import id_text, whole_text
+from strandline.plans.staging import stage
 
 SAMPLE = 6000
 BITS = 20
 GRAMS = (5, 7)
 PAD = b" " * max(GRAMS)
+CANDIDATES = 8192
 FEATURES = 1024
 MINED_VOTERS = 10
 MINED_PARTS = 150
@@ -152,10 +154,11 @@ def _chi2(counts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return chi, counts[1] > expected
 
 
-def train(spoken: np.ndarray, docs: Sequence[np.ndarray], labels: np.ndarray, share: float, steps: int = 400) -> tuple[Classifier, LabelModel]:
-    """From fixed votes, the parts of each sampled text and the labels of the sample; `share` of the population is toxic."""
+def train(spoken: np.ndarray, docs: Sequence[np.ndarray], labels: np.ndarray, candidates: np.ndarray, share: float, steps: int = 400) -> tuple[Classifier, LabelModel]:
+    """From the fixed votes, the candidate parts of each sampled text (places in `candidates`) and the labels of the sample;
+    `share` of the population is toxic."""
     y = labels.astype(float)
-    size = 1 << BITS
+    size = len(candidates)
 
     def by_class(p):
         out = np.zeros((2, size))
@@ -188,9 +191,11 @@ def train(spoken: np.ndarray, docs: Sequence[np.ndarray], labels: np.ndarray, sh
     p = model.posterior(spoken, y)
     chi, _ = _chi2(by_class(p), np.array([(1 - p).sum(), p.sum()]))
     chosen = np.argsort(-chi, kind="stable")[:FEATURES]
-    slot = np.full(size, -1, dtype=np.int32)
-    slot[chosen] = np.arange(len(chosen))
-    x = listed(slot, len(chosen)).astype(np.float32)
+    feature = np.full(size, -1, dtype=np.int32)
+    feature[chosen] = np.arange(len(chosen))
+    slot = np.full(1 << BITS, -1, dtype=np.int32)
+    slot[candidates[chosen]] = np.arange(len(chosen))
+    x = listed(feature, len(chosen)).astype(np.float32)
     # the sample is balanced, the population is not
     weight = np.where(p >= 0.5, share / max(y.mean(), 1e-6), (1 - share) / max(1 - y.mean(), 1e-6)).astype(np.float32)
     weight /= weight.sum()
@@ -211,8 +216,8 @@ def train(spoken: np.ndarray, docs: Sequence[np.ndarray], labels: np.ndarray, sh
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> tuple[Classifier, LabelModel | None]:
     """Learns from at most `sample` labelled rows whose key is `allowed`, half of them toxic where there are enough.
 
-    The sample is drawn by a hash of the key among all labelled rows; its keys are broadcast, and the votes and word
-    parts of its texts come to the driver, so both are bounded by `sample`.  Without labelled texts of both classes
+    The sample is drawn by a hash of the key among all labelled rows; its keys are broadcast.  Spark counts the word parts
+    by class; the driver gets the CANDIDATES most telling ones, then each sampled text's votes and candidates.  Without labelled texts of both classes
     nothing is learned and every text scores next to 0.
     """
     known = labels.filter(allowed & F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("_y"))
@@ -225,18 +230,37 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id"
     picked = F.broadcast(known.filter(u < limit).dropDuplicates([key]).limit(2 * sample))
     body = docs.select(key, whole_text(text).alias("_text")).join(picked, key).select("_text", "_y")
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For each part the sampled texts of either class that have it; as part -1 the texts themselves."""
+        seen, texts = np.zeros((2, 1 << BITS), dtype=np.int32), [0, 0]
+        for pdf in batches:
+            for t, y in zip(pdf["_text"], pdf["_y"], strict=True):
+                seen[int(y == 1), np.unique(parts([t])[1])] += 1
+                texts[int(y == 1)] += 1
+        some = np.flatnonzero(seen.any(axis=0))
+        yield pd.DataFrame({"part": np.append(some, -1).astype(np.int32), "n0": np.append(seen[0, some], texts[0]).astype(np.int64), "n1": np.append(seen[1, some], texts[1]).astype(np.int64)})
+
+    tally = stage(body.mapInPandas(count, "part int, n0 long, n1 long").groupBy("part").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    totals = tally.filter("part = -1").collect()
+    if not totals or not totals[0]["n0"] or not totals[0]["n1"]:
+        return KNOWS_NOTHING, None
+    t0, t1 = float(totals[0]["n0"]), float(totals[0]["n1"])
+    gap = F.col("n1") / t1 - F.col("n0") / t0
+    both = (F.col("n0") + F.col("n1")) / (t0 + t1)
+    usable = tally.filter("part >= 0 and n0 + n1 >= 5").withColumn("chi", gap * gap / (both * (1.0 - both) + 1e-9))
+    best = usable.orderBy(F.desc("chi"), "part").limit(CANDIDATES).select("part").collect()
+    candidates = np.array(sorted(r["part"] for r in best), dtype=np.int32)
+
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = np.full(1 << BITS, -1, dtype=np.int32)
+        place[candidates] = np.arange(len(candidates))
         for pdf in batches:
-            own = [np.unique(parts([t])[1]).astype("<i4").tobytes() for t in pdf["_text"]]
-            yield pd.DataFrame({"y": pdf["_y"], "spoken": [bytes(votes(t)) for t in pdf["_text"]], "parts": own})
+            own = [np.unique(place[parts([t])[1]]) for t in pdf["_text"]]
+            yield pd.DataFrame({"y": pdf["_y"], "spoken": [bytes(votes(t)) for t in pdf["_text"]], "parts": [o[o >= 0].astype("<i2").tobytes() for o in own]})
 
-    found = body.mapInPandas(look, "y int, spoken binary, parts binary").limit(2 * sample)
-    # one partition after another, so that the driver's heap holds a part of the sample at a time
-    rows = sorted((r.y, bytes(r.spoken), bytes(r.parts)) for r in found.toLocalIterator())
-    if len({r[0] for r in rows}) < 2:
-        return KNOWS_NOTHING, None
+    rows = sorted((r.y, bytes(r.spoken), bytes(r.parts)) for r in body.mapInPandas(look, "y int, spoken binary, parts binary").limit(2 * sample).collect())
     spoken = np.stack([np.frombuffer(r[1], dtype=np.uint8) for r in rows])
-    return train(spoken, [np.frombuffer(r[2], dtype="<i4") for r in rows], np.array([r[0] for r in rows]), counts[1] / (counts[0] + counts[1]))
+    return train(spoken, [np.frombuffer(r[2], dtype="<i2") for r in rows], np.array([r[0] for r in rows]), candidates, counts[1] / (counts[0] + counts[1]))
 
 
 def score(docs: DataFrame, model: Classifier, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
