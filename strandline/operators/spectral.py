@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import fx
+from strandline.operators.stats import sample_rate
 from strandline.plans.layout import ROW
 from strandline.plans.ordering import Ordered, facts, join_sized, order_rows, with_series_size
 
-# One task transforms a series up to this many rows directly; longer ones are split.
+# One task transforms a series up to this many rows directly; longer ones are split.  Many keyed series share
+# their tasks, a table without keys is one series.
 DIRECT_ROWS = 1 << 20
+WHOLE_TABLE_ROWS = 1 << 12
 LINES_PER_TASK = 64
 MAX_LONG_SERIES = 100
 
@@ -34,16 +37,24 @@ def finite_values(o: Ordered, y: str) -> Ordered:
     return s.with_df(s.df.drop("_old"))
 
 
-def psd(o: Ordered, y: str, fs: float = 1.0, direct_rows: int = DIRECT_ROWS) -> DataFrame:
+def psd(o: Ordered, y: str, fs: float | None = None, direct_rows: int | None = None, ts: str | None = None) -> DataFrame:
     """Mean-removed, Hann-windowed one-sided power |X|^2 / n for k = 1 .. n/2 - 1: (by.., k, frequency, power).
 
-    Nothing under 4 values.  A series up to `direct_rows` is one small group.  A longer one is transformed in two rounds of short transforms over the rows and columns of an
+    Without a rate `fs` it is inferred from the time column `ts` (see `sample_rate`), or 1.  Nothing under 4 values.  A series up to `direct_rows` is one small group.  A longer one is transformed in two rounds of short transforms over the rows and columns of an
     n1 x n2 arrangement, each task holding about sqrt(n) * 64 numbers; a length without a balanced
     divisor goes through an equivalent convolution of a length that has one.
     """
+    if fs is None and ts is not None:
+        rates = sample_rate(o, ts)
+        if o.by:
+            out = psd(o, y, 1.0, direct_rows)
+            return join_sized(out, rates, list(o.by)).withColumn("frequency", F.col("frequency") * F.col("sample_rate")).drop("sample_rate")
+        fs = rates.collect()[0]["sample_rate"]
+    fs = 1.0 if fs is None else fs
     s = finite_values(o, y)
     if o.by:
-        return _psd_keyed(s, fs, direct_rows)
+        return _psd_keyed(s, fs, DIRECT_ROWS if direct_rows is None else direct_rows)
+    direct_rows = WHOLE_TABLE_ROWS if direct_rows is None else direct_rows
     if s.n < 4:
         return _empty(o, "k bigint, frequency double, power double")
     if s.n <= direct_rows:
@@ -165,7 +176,9 @@ def _chirp(line: DataFrame, n: int) -> DataFrame:
     m = 1 << (2 * n - 1).bit_length()
 
     def phase(j: Column, sign: float) -> tuple[Column, Column]:
-        angle = F.lit(sign * math.pi / n) * ((j * j) % (2 * n)).cast("double")
+        # j * j in two parts, reduced in between: the plain square overflows above 3 * 10^9 rows
+        high = F.shiftright(j, 16) * j % (2 * n) * 65536
+        angle = F.lit(sign * math.pi / n) * ((high + j % 65536 * j) % (2 * n)).cast("double")
         return F.cos(angle), F.sin(angle)
 
     c, s = phase(F.col("j"), -1.0)

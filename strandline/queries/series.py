@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import align, spectral, windows
 from strandline.plans.report import transform
-from strandline.queries.registry import EV, EV_BY, ROW, events, query, rounded, table
+from strandline.queries.registry import EV, EV_BY, ROW, events, query, rounded, table, um
 
 # root of value (no exact decimal ties when rounding) with every 11th row missing
 HOLES = "CASE WHEN row_idx % 11 <> 3 THEN sqrt(value) END"
@@ -243,6 +243,15 @@ def psd_split(spark, d):
     return rounded(rounded(out, 9, "frequency"), 4, "power")
 
 
+@query(
+    "psd_inferred_rate",
+    DFT + f", p AS (SELECT x - lag(x) OVER (ORDER BY row_idx) AS dt FROM ev), r AS (SELECT 1.0 / ({um('dt')}) AS rate FROM p WHERE dt > 0) "
+    "SELECT k, round(frequency / 2.0 * (SELECT rate FROM r), 12) AS frequency, round(power, 4) AS power FROM s",
+)
+def psd_inferred_rate(spark, d):
+    return rounded(rounded(spectral.psd(events(spark, d), "value", ts="ts"), 12, "frequency"), 4, "power")
+
+
 @query("psd_peaks", DFT + "SELECT k, round(frequency, 3) AS frequency_hz, round(power, 4) AS power FROM s ORDER BY s.power DESC, k LIMIT 6")
 def psd_peaks(spark, d):
     return rounded(spectral.top_peaks(spectral.psd(events(spark, d), "value", 2.0)), 4, "power")
