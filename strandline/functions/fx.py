@@ -23,6 +23,15 @@ def num(c: Column | str | float) -> Column:
     return F.col(c).cast("double") if isinstance(c, str) else F.lit(float(c))
 
 
+def once(c, formula) -> Column:
+    """formula(c) with a compound operand named once, as the one element of an array: formulas that repeat their
+    operand would otherwise grow by a power with every level of nesting."""
+    a = num(c)
+    if not isinstance(c, Column) or "(" not in str(c):
+        return formula(a)
+    return F.get(F.transform(F.array(a), formula), F.lit(0))
+
+
 def is_finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != INF)
 
@@ -58,49 +67,40 @@ def mul(a, b) -> Column:
 
 def div(a, b) -> Column:
     """a / b where a zero divisor gives an infinity or NaN instead of an error."""
-    a, b = num(a), num(b)
-    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
+    return once(b, lambda y: once(a, lambda x: F.when(y == 0, x * F.pow(y, F.lit(-1.0))).otherwise(F.try_divide(x, y))))
 
 
 def power(a, b) -> Column:
-    a, b = num(a), num(b)
-    return F.when((b == 0) | (a == 1), F.lit(1.0)).otherwise(F.pow(a, b))
+    return once(b, lambda y: once(a, lambda x: F.when((y == 0) | (x == 1), F.lit(1.0)).otherwise(F.pow(x, y))))
 
 
 def gt(a, b) -> Column:
-    a, b = num(a), num(b)
-    return (a > b) & ~F.isnan(a)
+    return once(a, lambda x: (x > num(b)) & ~F.isnan(x))
 
 
 def lt(a, b) -> Column:
-    a, b = num(a), num(b)
-    return (a < b) & ~F.isnan(b)
+    return once(b, lambda y: (num(a) < y) & ~F.isnan(y))
 
 
 def ge(a, b) -> Column:
-    a, b = num(a), num(b)
-    return (a >= b) & ~F.isnan(a)
+    return once(a, lambda x: (x >= num(b)) & ~F.isnan(x))
 
 
 def le(a, b) -> Column:
-    a, b = num(a), num(b)
-    return (a <= b) & ~F.isnan(b)
+    return once(b, lambda y: (num(a) <= y) & ~F.isnan(y))
 
 
 def eq(a, b) -> Column:
-    a, b = num(a), num(b)
-    return (a == b) & ~F.isnan(a)
+    return once(a, lambda x: (x == num(b)) & ~F.isnan(x))
 
 
 def ne(a, b) -> Column:
-    a, b = num(a), num(b)
-    return F.coalesce((a != b) | F.isnan(a), F.lit(True))
+    return once(a, lambda x: F.coalesce((x != num(b)) | F.isnan(x), F.lit(True)))
 
 
 def truthy(a) -> Column:
     """A number used as a condition inside and / or: missing counts as true."""
-    a = num(a)
-    return F.coalesce((a != 0) | F.isnan(a), F.lit(True))
+    return once(a, lambda x: F.coalesce((x != 0) | F.isnan(x), F.lit(True)))
 
 
 def and_(*conds: Column) -> Column:
@@ -117,8 +117,7 @@ def flag(cond: Column) -> Column:
 
 def keep(a) -> Column:
     """A number used as a whole filter: finite and not zero."""
-    a = num(a)
-    return is_finite(a) & (a != 0)
+    return once(a, lambda x: is_finite(x) & (x != 0))
 
 
 def sqrt(a) -> Column:
@@ -166,8 +165,7 @@ def exp(a) -> Column:
 
 
 def _log(a, fn) -> Column:
-    a = num(a)
-    return F.when(a == 0, F.lit(-INF)).when(a < 0, F.lit(float("nan"))).otherwise(fn(a))
+    return once(a, lambda x: F.when(x == 0, F.lit(-INF)).when(x < 0, F.lit(float("nan"))).otherwise(fn(x)))
 
 
 def ln(a) -> Column:
@@ -179,9 +177,12 @@ def log10(a) -> Column:
 
 
 def _whole(a, fn) -> Column:
-    a = num(a)
-    big = F.isnan(a) | (F.abs(a) >= EXACT_INTEGER)
-    return F.when(big, a).otherwise(fn(F.when(~big, a)).cast("double"))
+
+    def formula(x: Column) -> Column:
+        big = F.isnan(x) | (F.abs(x) >= EXACT_INTEGER)
+        return F.when(big, x).otherwise(fn(F.when(~big, x)).cast("double"))
+
+    return once(a, formula)
 
 
 def floor(a) -> Column:
@@ -199,9 +200,8 @@ def round_(a) -> Column:
 
 def sign(a) -> Column:
     """+1 for zero, -1 for negative zero."""
-    a = num(a)
-    zero = F.when(F.pow(a, F.lit(-1.0)) < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    return F.when(a == 0, zero).otherwise(F.signum(a))
+    zero = lambda x: F.when(F.pow(x, F.lit(-1.0)) < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    return once(a, lambda x: F.when(x == 0, zero(x)).otherwise(F.signum(x)))
 
 
 def deg(a) -> Column:
@@ -213,8 +213,7 @@ def rad(a) -> Column:
 
 
 def _present(a) -> Column:
-    a = num(a)
-    return F.when(~F.isnan(a), a)
+    return F.nanvl(num(a), F.lit(None).cast("double"))
 
 
 def least(*args) -> Column:

@@ -292,3 +292,15 @@ def test_wide_correlations_match_plain_ones(spark):
 def test_names_that_differ_in_case_are_taken(spark):
     df = spark.createDataFrame([(1.0,)], "temp double")
     assert derive(df, "TEMP", F.lit(2.0)).columns == ["temp", "TEMP (2)"]
+
+
+def test_nested_formulas_grow_with_their_depth(spark):
+    df = spark.createDataFrame([(7.9,), (-0.0,), (None,)], "v double")
+    sizes = []
+    for depth in (4, 12):
+        c = F.col("v")
+        for _ in range(depth):
+            c = fx.floor(fx.ln(c))
+        sizes.append(len(str(c)))
+        assert df.select(c.alias("r")).count() == 3
+    assert sizes[1] < 6 * sizes[0]
