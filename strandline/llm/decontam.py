@@ -22,7 +22,7 @@ from strandline.llm.common import whole_text
 
 Q = 8
 EDIT_RATE = 0.1
-SLICE = 1 << 22
+SLICE = 1 << 20
 SPACE = re.compile(r"\s+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 

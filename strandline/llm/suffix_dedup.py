@@ -32,7 +32,7 @@ from strandline.plans.staging import stage
 
 THRESHOLD = 400
 RADICES = (4, 8, 8)
-SEGMENT = 1 << 22
+SEGMENT = 1 << 20
 POSITION = np.uint64((1 << 24) - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 HEAD = 8

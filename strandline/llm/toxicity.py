@@ -28,7 +28,7 @@ CANDIDATES = 8192
 FEATURES = 1024
 MINED_VOTERS = 10
 MINED_PARTS = 150
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 19
 
 # Common abusive words, one voter for each line.
 LEXICONS = {
