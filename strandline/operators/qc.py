@@ -34,6 +34,7 @@ CHANGE_MIN_ROWS, CHANGE_FACTOR, CULPRIT_RATIO = 60, 6.0, 5.0
 NOISE_FLOOR = 1e-9
 RANKS = {"high": 0, "medium": 1, "low": 2}
 
+# Fixed values below: the wording of the findings' details is an output that has to match.
 FINDING = (
     "severity string, kind string, column string, detail string, row bigint, "
     "rows array<struct<start:bigint,end:bigint>>, first_gap_row bigint, onset_row bigint, "

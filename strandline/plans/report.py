@@ -146,6 +146,7 @@ def verdict(findings: DataFrame) -> DataFrame:
             ]
         )
     )
+    # The wording of the verdict.
     text = F.concat(
         total.cast("string"), F.lit(" finding"), F.when(total == 1, "").otherwise("s"), F.lit(": "), F.array_join(parts, ", ")
     )

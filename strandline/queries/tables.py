@@ -161,5 +161,5 @@ def overview(spark, d):
 )
 def wide_export(spark, d):
     o = events(spark, d, "event_type")
-    w = wide.wide_series(o, "event_type", "x", "value", ["click", "purchase"]).filter("click <> '' or purchase <> ''")
+    w = wide.wide_series(o, "event_type", "x", "value", ["click", "purchase"])
     return w.select(ROW, F.round(to_number(F.col("click")), 2).alias("click"), F.round(to_number(F.col("purchase")), 2).alias("purchase"))

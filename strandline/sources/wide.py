@@ -22,7 +22,8 @@ def wide_series(o: Ordered, series: str, x: str, y: str, names: Sequence[str], x
 
     `o` is ordered within each `series`; shorter series leave blanks.
     """
-    wide = o.df.groupBy(ROW).pivot(series, list(names)).agg(F.first(x).alias("x"), F.first(y).alias("y"))
+    asked = o.df.filter(F.col(series).isin(list(names)))  # others would add rows of blanks
+    wide = asked.groupBy(ROW).pivot(series, list(names)).agg(F.first(x).alias("x"), F.first(y).alias("y"))
     cols = [number_text(F.col(f"{names[0]}_x")).alias(x_name)]
     cols += [number_text(F.col(f"{n}_y")).alias(n) for n in names]
     return wide.select(ROW, *cols)

@@ -1,6 +1,7 @@
 """Small worked examples with known answers."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from strandline.functions.units import channel_role, infer_unit
 from strandline.operators import reduce, rows, spectral, stats, windows
 from strandline.operators.derive import derive, derive_op
 from strandline.operators.qc import _resolve, health_check
-from strandline.plans import report
+from strandline.plans import report, staging
 from strandline.plans.layout import ROW
 from tests.conftest import SMALL
 
@@ -304,3 +305,11 @@ def test_nested_formulas_grow_with_their_depth(spark):
         sizes.append(len(str(c)))
         assert df.select(c.alias("r")).count() == 3
     assert sizes[1] < 6 * sizes[0]
+
+
+def test_a_scope_removes_what_it_staged(spark):
+    with staging.staged_scope(spark):
+        kept = staging.stage(spark.range(5))
+        files = kept.inputFiles()
+        assert kept.count() == 5
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
