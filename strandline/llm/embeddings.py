@@ -1,7 +1,8 @@
 """Near-duplicate vectors with a forest of random-projection trees.
 
-Each tree halves the vectors again and again by their projection on a random direction, at the median of a
-bounded sample; vectors close to a boundary go to both sides.  Vectors are compared within leaves only, in
+Each tree splits the vectors again and again by their projection on a random direction, at the sparsest place near
+the median of a bounded sample; vectors close to a boundary go to both sides, at every level.  A group of near
+copies that every cut would go through is not split.  Vectors are compared within leaves only, in
 blocks of double-precision products; a pair that shares several leaves is counted in the first of them.  The
 work in a leaf is cut into tiles of two blocks, so no task holds a large leaf, and a tile returns counts and a
 spanning set of links instead of pairs.  Equal vectors are one row from the start.
@@ -9,7 +10,7 @@ spanning set of links instead of pairs.  Equal vectors are one row from the star
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,68 +25,89 @@ COSINE = 0.95
 TREES = 10
 LEAF = 300
 SAMPLE = 20_000
-SPILL = 0.06
-MAX_SPILLS = 2
+SPILL = 0.02
+WINDOW = 0.06
+CROWDED = 0.5
 BLOCK = 1024
+TILES = 4
+MAX_BLOCK = 1 << 14
+TREE = 48  # bits of a leaf's number below that of its tree
 SEED = 11
 
 
 @dataclass
 class Forest:
-    """For each tree a direction for each level, and for each level a threshold for each node."""
+    """For each tree a direction for each level, and for each level a threshold for each node, NaN where it is a leaf.
+
+    Nodes have the numbers of a heap: 1 is the root, 2 i and 2 i + 1 are the halves of i.
+    """
 
     directions: np.ndarray  # (trees, levels, dimensions)
     thresholds: list[list[np.ndarray]]
 
-    @property
-    def levels(self) -> int:
-        return self.directions.shape[1]
-
-    def leaves(self, x: np.ndarray, spill: float = SPILL, most: int = MAX_SPILLS) -> np.ndarray:
-        """(vectors, trees, 2 ** most) leaf numbers, -1 where there is none.
-
-        A vector within `spill` of a boundary goes to both sides, at the `most` upper levels where that happens.
-        """
-        n, width = len(x), 1 << most
-        out = np.full((n, len(self.directions), width), -1, dtype=np.int64)
+    def leaves(self, x: np.ndarray, spill: float = SPILL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vector, tree, leaf), a row for every leaf that a vector is in: one within `spill` of a boundary goes to both sides."""
+        out = []
         for t, axes in enumerate(self.directions):
             proj = x @ axes.T
-            node = np.full((n, width), -1, dtype=np.int64)
-            node[:, 0] = 0
-            used = np.ones(n, dtype=np.int64)
-            for level in range(self.levels):
-                gap = proj[:, level, None] - self.thresholds[t][level][np.maximum(node, 0)]
-                near = (np.abs(gap) < spill) & (node >= 0)
+            who, node = np.arange(len(x)), np.ones(len(x), dtype=np.int64)
+            for level, cuts in enumerate(self.thresholds[t]):
+                cut = np.full(len(node), np.nan)
+                here = node >= 1 << level
+                cut[here] = cuts[node[here] - (1 << level)]
+                gap = proj[who, level] - cut
+                both = np.abs(gap) < spill
                 right = (gap > 0).astype(np.int64)
-                child = np.where(node >= 0, 2 * node + right, -1)
-                for i in np.flatnonzero(near.any(axis=1) & (used < width)):
-                    for s in np.flatnonzero(near[i]):
-                        if used[i] < width:
-                            child[i, used[i]] = 2 * node[i, s] + 1 - right[i, s]
-                            used[i] += 1
-                node = child
-            out[:, t] = node
-        return out
+                other = 2 * node[both] + 1 - right[both]
+                node = np.where(np.isnan(cut), node, 2 * node + right)
+                who, node = np.concatenate([who, who[both]]), np.concatenate([node, other])
+            out.append((who, np.full(len(who), t, dtype=np.int64), node))
+        who, tree, node = (np.concatenate(c) for c in zip(*out, strict=True))
+        return who, tree, node
+
 
+def _cut(v: np.ndarray, window: float, crowded: float) -> float:
+    """Where to split sorted projections: the sparsest place near the median, or farther out; NaN if everywhere more
+    than the share `crowded` of them lies within `window` of it, as in a group of near copies.
+    """
+    n = len(v)
+    for part in (0.35, 0.125):
+        k = np.arange(int(part * n), max(int(part * n) + 1, int((1 - part) * n)))
+        k = k[k + 1 < n]
+        c = (v[k] + v[k + 1]) / 2
+        within = np.searchsorted(v, c + window) - np.searchsorted(v, c - window)
+        if len(k) and within.min() <= crowded * n:
+            best = np.flatnonzero(within == within.min())
+            return float(c[best[np.abs(k[best] - n / 2).argmin()]])
+    return np.nan
+
+
+def grow(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, seed: int = SEED, window: float = WINDOW, crowded: float = CROWDED) -> Forest:
+    """Trees whose leaves hold about `leaf` of `rows` vectors, or more where no cut spares a dense group.
 
-def grow(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, seed: int = SEED) -> Forest:
-    """Trees whose leaves hold about `leaf` of `rows` vectors; a node without sampled vectors splits at 0."""
+    A node that has no more than one sampled vector is not split.
+    """
     rng = np.random.default_rng(seed)
     levels = max(0, int(np.ceil(np.log2(max(1, rows) / leaf))))
+    levels += levels // 2  # uneven cuts
     directions = rng.normal(size=(trees, levels, sample.shape[1]))
     directions /= np.maximum(np.linalg.norm(directions, axis=2, keepdims=True), 1e-12)
+    enough = max(1.0, leaf * len(sample) / max(1, rows))
     thresholds = []
     for axes in directions:
-        proj, node, cuts = sample @ axes.T, np.zeros(len(sample), dtype=np.int64), []
+        proj, node, cuts = sample @ axes.T, np.ones(len(sample), dtype=np.int64), []
         for level in range(levels):
-            cut = np.zeros(1 << level)
-            order = np.lexsort((proj[:, level], node))
-            sizes = np.bincount(node, minlength=1 << level)
-            first = np.cumsum(sizes) - sizes
-            some = np.flatnonzero(sizes)
-            cut[some] = proj[order[first[some] + sizes[some] // 2], level]
+            cut = np.full(1 << level, np.nan)
+            here = np.flatnonzero(node >= 1 << level)
+            order = here[np.lexsort((proj[here, level], node[here]))]
+            edges = np.flatnonzero(np.diff(node[order], prepend=0, append=0))
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if hi - lo > enough:
+                    cut[node[order[lo]] - (1 << level)] = _cut(proj[order[lo:hi], level], window, crowded)
             cuts.append(cut)
-            node = 2 * node + (proj[:, level] > cut[node])
+            at = cut[node[here] - (1 << level)]
+            some = here[~np.isnan(at)]
+            node[some] = 2 * node[some] + (proj[some, level] > at[~np.isnan(at)])
         thresholds.append(cuts)
     return Forest(directions, thresholds)
 
@@ -94,51 +116,90 @@ def _matrix(arrays: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in arrays]) if len(arrays) else np.zeros((0, 1))
 
 
-def _first_leaf(a: np.ndarray, b: np.ndarray, tree: int) -> np.ndarray:
-    """For pairs of rows of leaf sets: whether no tree before `tree` has a leaf that both are in."""
-    fresh = np.ones(len(a), dtype=bool)
-    for t in range(tree):
-        fresh &= ~((a[:, t, :, None] == b[:, t, None, :]) & (a[:, t, :, None] >= 0)).any(axis=(1, 2))
-    return fresh
+def _before(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For pairs of rows of padded leaf lists: whether they have a leaf in common."""
+    met = np.zeros(len(a), dtype=bool)
+    for c in range(a.shape[1]):
+        met |= ((a[:, c, None] == b) & (a[:, c, None] >= 0)).any(axis=1)
+    return met
+
 
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same for every list of `a` and every list of `b`, as a matrix."""
+    codes, met = np.intersect1d(a[a >= 0], b[b >= 0]), np.zeros((len(a), len(b)), dtype=bool)
 
-def _tile(pdf: pd.DataFrame, cosine: float, shape: tuple[int, int]) -> pd.DataFrame:
-    """Links of one tile: rows (vid, links, to), counts of linked vectors and one link for each row that has any."""
+    def held(lists: np.ndarray, part: np.ndarray) -> np.ndarray:
+        k = np.minimum(np.searchsorted(part, lists), len(part) - 1)
+        row, col = np.nonzero(part[k] == lists)
+        out = np.zeros((len(lists), len(part)), dtype=np.float32)
+        out[row, k[row, col]] = 1
+        return out
+
+    for lo in range(0, len(codes), 512):
+        met |= held(a, codes[lo : lo + 512]) @ held(b, codes[lo : lo + 512]).T > 0
+    return met
+
+
+def _padded(lists: Sequence[np.ndarray], code: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct lists of leaves before `code`, padded with -1, and which of them each row has."""
+    width = max(1, max(len(s) for s in lists))
+    held = np.full((len(lists), width), -1, dtype=np.int64)
+    for k, s in enumerate(lists):
+        s = np.sort(np.asarray(s, dtype=np.int64))
+        s = s[s < code]
+        held[k, : len(s)] = s
+    held = held[:, : max(1, int((held >= 0).sum(axis=1).max()))]
+    distinct, which = np.unique(held, axis=0, return_inverse=True)
+    return distinct, which.ravel()
+
+
+def _tile(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
+    """Links of one tile: rows (vid, links, to), counts of linked vectors and one link for each row that has any.
+
+    A pair counts in the first leaf that it shares.  Vectors of a dense group mostly have the same leaves, so pairs of
+    leaf lists are compared instead of pairs of vectors where they are fewer.
+    """
     pdf = pdf.sort_values("vid", ignore_index=True)
-    tree, leaf, i, j = (int(pdf[c].iloc[0]) for c in ("tree", "leaf", "i", "j"))
+    code, i, j = (int(pdf[c].iloc[0]) for c in ("code", "i", "j"))
     x, vid, m = _matrix(pdf["unit"]), pdf["vid"].to_numpy(), pdf["m"].to_numpy()
-    sets = np.stack([np.asarray(s, dtype=np.int64).reshape(shape) for s in pdf["leaves"]])
+    lists, which = _padded(pdf["leaves"].tolist(), code)
     left = np.flatnonzero(pdf["block"].to_numpy() == i)
     right = left if i == j else np.flatnonzero(pdf["block"].to_numpy() == j)
     links, to = np.zeros(len(pdf), dtype=np.int64), [[] for _ in range(2)]
-    parent = np.arange(len(pdf))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
+    label = np.arange(len(pdf))
+    kinds_right, kind_right = np.unique(which[right], return_inverse=True)
+    xr = np.ascontiguousarray(x[right].T)
     for lo in range(0, len(left), 256):
         rows = left[lo : lo + 256]
-        a, b = np.nonzero(x[rows] @ x[right].T >= cosine)
-        a, b = rows[a], right[b]
+        kinds, kind = np.unique(which[rows], return_inverse=True)
+        few = 16 * len(kinds) * len(kinds_right) <= len(rows) * len(right)
+        old = _common(lists[kinds], lists[kinds_right]) if few else None
+        if few and old.all():
+            continue
+        hit = x[rows] @ xr >= cosine
         if i == j:
-            a, b = a[a < b], b[a < b]
-        fresh = np.concatenate([_first_leaf(sets[a[k : k + 65536]], sets[b[k : k + 65536]], tree) for k in range(0, len(a), 65536)] or [np.zeros(0, bool)])
-        a, b = a[fresh], b[fresh]
-        # a vector that spilled may share two leaves of one tree with another: the smaller one counts
-        both = (sets[a][:, tree, :, None] == sets[b][:, tree, None, :]) & (sets[a][:, tree, :, None] >= 0)
-        least = np.where(both, sets[a][:, tree, :, None], np.iinfo(np.int64).max).min(axis=(1, 2), initial=np.iinfo(np.int64).max) if len(a) else np.zeros(0)
-        a, b = a[least == leaf], b[least == leaf]
-        np.add.at(links, a, m[b])
-        np.add.at(links, b, m[a])
-        for p, q in zip(a.tolist(), b.tolist(), strict=True):
-            r, s = root(p), root(q)
-            if r != s:
-                parent[max(r, s)] = min(r, s)
-                to[0].append(vid[p])
-                to[1].append(vid[q])
+            hit &= rows[:, None] < right
+        if few or 50 * np.count_nonzero(hit) > hit.size:
+            old = _common(lists[kinds], lists[kinds_right]) if old is None else old
+            hit &= ~old[kind[:, None], kind_right]
+        else:
+            a, b = np.nonzero(hit)
+            for k in range(0, len(a), 65536):
+                p, q = a[k : k + 65536], b[k : k + 65536]
+                hit[p, q] = ~_before(lists[which[rows[p]]], lists[which[right[q]]])
+        if not hit.any():
+            continue
+        links[rows] += hit @ m[right]
+        links[right] += m[rows] @ hit
+        for r in np.flatnonzero(hit.any(axis=1)):
+            ends = right[hit[r]]
+            own = label[rows[r]]
+            ends = ends[label[ends] != own]
+            if len(ends):
+                met, first = np.unique(label[ends], return_index=True)
+                label[np.isin(label, met)] = own
+                to[0] += [vid[rows[r]]] * len(met)
+                to[1] += vid[ends[first]].tolist()
     some = np.flatnonzero(links)
     counts = pd.DataFrame({"a": vid[some], "b": vid[some], "links": links[some]})
     return pd.concat([counts, pd.DataFrame({"a": to[0], "b": to[1], "links": np.zeros(len(to[0]), dtype=np.int64)})], ignore_index=True).astype("int64")
@@ -172,39 +233,24 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     n = distinct.count()
     picked = distinct.filter(F.pmod(F.xxhash64("hash"), F.lit(1 << 30)) < int(min(1.0, 1.05 * sample / max(1, n)) * (1 << 30)) + 1).select("unit").limit(sample).toPandas()
     forest = grow(_matrix(picked["unit"]) if len(picked) else np.zeros((1, usual[0]["d"])), n, trees, leaf, seed)
-    shape = (trees, 1 << MAX_SPILLS)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 1000):
                 part = pdf.iloc[lo : lo + 1000]
-                at = forest.leaves(_matrix(part["unit"]))
-                who, tree, _ = np.nonzero(at >= 0)
-                leaves = at[at >= 0]
-                yield pd.DataFrame({"vid": part["vid"].to_numpy()[who], "tree": tree.astype(np.int32), "leaf": leaves})
-
-    placed = stage(distinct.select("vid", "unit").mapInPandas(index, "vid long, tree int, leaf long").distinct())
-    sizes = placed.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    sizes = stage(sizes.withColumn("blocks", blocks))
-    home = placed.join(sizes, ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
-    tiles = home.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("vid", "tree", "leaf", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    sets = stage(placed.groupBy("vid").agg(F.collect_list(F.struct("tree", "leaf")).alias("at")))
-
-    def pad(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            flat = []
-            for at in pdf.pop("at"):
-                held = np.full(shape, -1, dtype=np.int64)
-                used = [0] * trees
-                for r in at:
-                    held[r["tree"], used[r["tree"]]] = r["leaf"]
-                    used[r["tree"]] += 1
-                flat.append(held.ravel())
-            yield pdf.assign(leaves=flat)
-
-    full = stage(distinct.select("vid", "unit", "m").join(sets, "vid").mapInPandas(pad, "vid long, unit array<double>, m long, leaves array<long>"))
-    found = tiles.join(full, "vid").groupBy("tree", "leaf", "i", "j").applyInPandas(lambda pdf: _tile(pdf, cosine, shape), "a long, b long, links long")
+                who, tree, node = forest.leaves(_matrix(part["unit"]))
+                yield pd.DataFrame({"vid": part["vid"].to_numpy()[who], "code": (tree << TREE) | node})
+
+    placed = stage(distinct.select("vid", "unit").mapInPandas(index, "vid long, code long"))
+    # a leaf of a dense group may be large: its blocks grow with it up to what a task can hold
+    sizes = placed.groupBy("code").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    block = F.least(F.greatest(F.ceil(F.col("size") / TILES), F.lit(BLOCK)), F.greatest(F.lit(MAX_BLOCK), F.lit(BLOCK)))
+    sizes = stage(sizes.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")))
+    home = placed.join(sizes, "code").withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
+    tiles = home.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("vid", "code", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    sets = placed.groupBy("vid").agg(F.collect_list("code").alias("leaves"))
+    full = stage(distinct.select("vid", "unit", "m").join(sets, "vid"))
+    found = tiles.join(full, "vid").groupBy("code", "i", "j").applyInPandas(lambda pdf: _tile(pdf, cosine), "a long, b long, links long")
     found = stage(found)
     counts = found.groupBy(F.col("a").alias("vid")).agg(F.sum("links").alias("links"))
     names = components(found.filter("a <> b").select("a", "b")).withColumnRenamed("node", "vid")

@@ -88,6 +88,35 @@ def test_vectors_match_brute_force(spark, monkeypatch, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("mean", [0.975, 0.962])
+def test_a_hot_third_of_distinct_near_copies_keeps_its_links(mean):
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    n = 100_000
+    hot = unit(unit(rng.normal(size=(1, 64))) + math.sqrt(1 / mean - 1) * unit(rng.normal(size=(n // 3, 64))))
+    x = np.concatenate([hot, unit(rng.normal(size=(n - len(hot), 64)))])
+    forest = embeddings.grow(x[rng.choice(n, 5000, replace=False)], n)
+    some = hot[:1000]
+    leaves = [set() for _ in some]
+    for i, *leaf in zip(*(c.tolist() for c in forest.leaves(some)), strict=True):
+        leaves[i].add(tuple(leaf))
+    a, b = np.nonzero(np.triu(some @ some.T >= 0.95, 1))
+    assert np.mean([not leaves[p].isdisjoint(leaves[q]) for p, q in zip(a.tolist(), b.tolist(), strict=True)]) > 0.99
+
+
+def test_a_hot_group_counts_every_link_once(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 100)
+    rng = np.random.default_rng(7)
+    hot = rng.normal(size=32) + rng.normal(scale=0.16, size=(600, 32))
+    x = np.concatenate([hot, rng.normal(size=(600, 32))])
+    got = embeddings.near_duplicates(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>"), leaf=60).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    links = np.array([r.n_links for r in sorted(got)])
+    assert want.sum() > 100_000
+    assert (links <= want).all() and links.sum() >= 0.999 * want.sum()
+
+
 def test_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     assert embeddings.near_duplicates(spark.createDataFrame([], schema)).count() == 0
