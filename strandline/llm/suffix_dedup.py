@@ -18,6 +18,7 @@ together over the whole depth are exactly the repeated strings.  Three things ke
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import positional, text_key, whole_text
-from strandline.plans.staging import stage
+from strandline.plans.staging import stage, staged_scope
 
 THRESHOLD = 400
 RADICES = (4, 8, 8)
@@ -37,6 +38,8 @@ POSITION = np.uint64((1 << 24) - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 HEAD = 8
 NEAR = 32
+TOKEN = 8
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 class Shape:
@@ -182,7 +185,11 @@ def _digits(hoods: DataFrame, parent: int, size: int, threshold: int) -> DataFra
 
 def repeats(docs: DataFrame, threshold: int = THRESHOLD, radices: Sequence[int] = RADICES, text: str = "text") -> DataFrame:
     """(tkey, spans): for each distinct text with repeated strings, spans (a, b) that together cover them."""
-    shape = Shape(threshold, radices)
+    with staged_scope(docs.sparkSession):
+        return _repeats(docs, Shape(threshold, radices), text)
+
+
+def _repeats(docs: DataFrame, shape: Shape, text: str) -> DataFrame:
     t = shape.threshold
     first = stage(_first_digits(docs, text, shape))
     grams = stage(first.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
@@ -213,7 +220,33 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD, radices: Sequence[int]
             rows = hoods.join(lists, ["tkey", "pos"])
         parent = size
     spans = reduce(DataFrame.unionByName, done)
-    return stage(spans.groupBy("tkey").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    return stage(spans.groupBy("tkey").agg(F.collect_set(F.struct("a", "b")).alias("spans")), outer=True)
+
+
+def word_tokens(text: str) -> str:
+    """A token of 8 characters for every word: 48 bits of its hash, 6 in each, the first character of another range than
+    the rest, so that equal strings of tokens start at the same place of a token.
+    """
+    h = np.array([xxhash.xxh3_64_intdigest(w) for w in WORD.findall(text.encode())], dtype=np.uint64)
+    six = ((h[:, None] >> (np.uint64(6) * np.arange(TOKEN, dtype=np.uint64))) & np.uint64(63)).astype(np.uint8)
+    six[:, 0] |= 64
+    return six.tobytes().decode()
+
+
+def _tokens(text: str):
+    return F.pandas_udf(lambda texts: texts.map(word_tokens), "string")(whole_text(text))
+
+
+def word_repeats(docs: DataFrame, words: int, radices: Sequence[int] = RADICES, text: str = "text") -> DataFrame:
+    """(wkey, places): for the tokens of each text with repeated strings of `words` words, spans (a, b) of words that cover them.
+
+    The spans of `repeats` hold repeated strings at every start; of those the starts of words count.
+    """
+    size = TOKEN * words
+    found = repeats(docs.select(_tokens(text).alias("tokens")), size, radices, "tokens")
+    first, last = (lambda s: F.ceil(s["a"] / TOKEN)), (lambda s: F.floor((s["b"] - size) / TOKEN))
+    whole = F.filter("spans", lambda s: first(s) <= last(s))
+    return found.select(F.col("tkey").alias("wkey"), F.transform(whole, lambda s: F.struct(first(s).alias("a"), (last(s) + words).alias("b"))).alias("places"))
 
 
 def merged(spans: Sequence) -> list[tuple[int, int]]:
@@ -227,24 +260,33 @@ def merged(spans: Sequence) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), threshold: int = THRESHOLD, radices: Sequence[int] = RADICES, text: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), threshold: int = THRESHOLD, radices: Sequence[int] = RADICES, text: str = "text", with_text: bool = False, words: int | None = None) -> DataFrame:
     """The kept columns with n_bytes, n_removed, n_spans, kept_sha256 of every text and, if asked for, `kept_text`.
 
     A null text counts as empty.  Copies are removed at every place, the first included; repeated rows are copies of
     each other.  In `kept_text` characters that a removed span cut in two are left out.  An empty table
     gives no rows.  Columns that are not kept are ignored, so their names cannot clash.
+    With `words`, strings of so many words that start at two or more places go too, however few bytes they have.
     """
     found = repeats(docs, threshold, radices, text)
-    body = docs.select(*keep, text_key(text).alias("_tkey"), whole_text(text).alias("_text"))
-    joined = body.join(found.withColumnRenamed("tkey", "_tkey"), "_tkey", "left").select(*keep, "_text", F.col("spans").alias("_spans"))
+    body = docs.select(*keep, text_key(text).alias("_tkey"), whole_text(text).alias("_text"), *([F.unhex(F.md5(_tokens(text))).alias("_wkey")] if words else []))
+    joined = body.join(found.withColumnRenamed("tkey", "_tkey"), "_tkey", "left").withColumnRenamed("spans", "_spans")
+    if words:
+        joined = joined.join(word_repeats(docs, words, radices, text).toDF("_wkey", "_places"), "_wkey", "left")
+    joined = joined.select(*keep, "_text", "_spans", *(["_places"] if words else []))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts, spans = pdf.pop("_text"), pdf.pop("_spans")
+            places = pdf.pop("_places") if words else [None] * len(texts)
             rows = []
-            for t, s in zip(texts, spans, strict=True):
+            for t, s, w in zip(texts, spans, places, strict=True):
                 body = t.encode()
-                cut = merged(s) if s is not None else []
+                s = [] if s is None else list(s)
+                if w is not None and len(w):
+                    at = [x.span() for x in WORD.finditer(body)]
+                    s += [{"a": at[p["a"]][0], "b": at[p["b"] - 1][1]} for p in w]
+                cut = merged(s)
                 if cut:
                     edges = [0, *(e for span in cut for e in span), len(body)]
                     kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
@@ -259,7 +301,7 @@ def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), threshold
     return joined.mapInPandas(apply, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
-def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, radices: Sequence[int] = RADICES, text: str = "text", size: str | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, radices: Sequence[int] = RADICES, text: str = "text", size: str | None = None, words: int | None = None) -> DataFrame:
     """The documents with all their columns and only what is left of their texts; a null text stays null.
 
     `size` names a column of character counts to bring up to date.  Every document stays, if need be with an empty text.
@@ -269,7 +311,7 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, radices: Sequen
     text, size = name[text], name.get(size)
     others = [c for c in docs.columns if c != text]
     marked = docs.withColumn("_null", F.col(text).isNull())
-    out = remove_repeats(marked, [*others, "_null"], threshold, radices, text, with_text=True)
+    out = remove_repeats(marked, [*others, "_null"], threshold, radices, text, with_text=True, words=words)
     out = out.withColumn(text, F.when(~F.col("_null"), F.col("kept_text")))
     if size is not None:
         out = out.withColumn(size, F.length(text).cast(docs.schema[size].dataType))

@@ -41,12 +41,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write once, read many: the plan above becomes a column-pruned scan that any lost task can repeat."""
+def stage(df: DataFrame, outer: bool = False) -> DataFrame:
+    """Write once, read many: the plan above becomes a column-pruned scan that any lost task can repeat.
+
+    With `outer` it stays when the innermost `staged_scope` ends.
+    """
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
+    scopes = _scopes[:-1] if outer else _scopes
+    if scopes:
+        scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -94,6 +94,20 @@ def test_without_repeats_keeps_columns_and_nulls(spark, rows):
     assert suffix_dedup.without_repeats(table(spark, [])).count() == 0
 
 
+def test_repeats_of_fifty_words_go_however_short(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 5)))
+    passage = " ".join(word() for _ in range(55))
+    short = " ".join(word() for _ in range(49))
+    assert len(passage) < 400
+    own = [" ".join(word() for _ in range(30)) for _ in range(6)]
+    spaced = passage.replace(" ", "\n ")
+    texts = [f"{own[0]} é {passage} {own[1]}", f"{own[2]} {spaced} {own[3]}", f"{own[4]} {short} {own[5]}", f"{own[5]} {short} {own[4]}", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = dict(suffix_dedup.without_repeats(docs, words=50).collect())
+    assert got == {0: f"{own[0]} é  {own[1]}", 1: f"{own[2]}  {own[3]}", 2: texts[2], 3: texts[3], 4: None}
+
+
 def brute_fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
