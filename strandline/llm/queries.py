@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam, embeddings, langid, licenses, packing, sharding, simhash, suffix_dedup, toxicity, url_lists
+from strandline.llm import decontam, embeddings, langid, licenses, negatives, packing, sharding, simhash, suffix_dedup, toxicity, url_lists
 from strandline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,25 @@ def op9(spark, d):
 @query("op10_projection_forest")
 def op10(spark, d):
     return embeddings.near_duplicates(table(spark, d, "embeddings"))
+
+
+NEGATIVES_SQL = (
+    "WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, "
+    "list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL "
+    "AND list_count(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)), "
+    "s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score "
+    "FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), "
+    "p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same "
+    "QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5) "
+    "SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank, "
+    "other_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same "
+    "AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score "
+    "QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) <= 3"
+)
+
+
+@query("op12_subset_sum_negatives", NEGATIVES_SQL)
+def op12(spark, d):
+    i = F.col("vec_id")
+    label = F.when(i % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return negatives.mine(table(spark, d, "embeddings"), i % 50 == 0, label=label)
