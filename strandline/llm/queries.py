@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam, embeddings, langid, licenses, negatives, packing, sharding, simhash, suffix_dedup, toxicity, url_lists
+from strandline.llm import decontam, embeddings, langid, language_model, licenses, negatives, packing, sharding, simhash, suffix_dedup, toxicity, url_lists
 from strandline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,6 +124,11 @@ def op10(spark, d):
     return embeddings.near_duplicates(table(spark, d, "embeddings"))
 
 
+@query("op11_deleted_interpolation")
+def op11(spark, d):
+    return language_model.score(table(spark, d, "documents"), fold("doc_id", 5) != 1)
+
+
 NEGATIVES_SQL = (
     "WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, "
     "list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL "
