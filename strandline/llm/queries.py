@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam, embeddings, langid, language_model, licenses, negatives, packing, sharding, simhash, suffix_dedup, toxicity, url_lists
+from strandline.llm import conversations, decontam, embeddings, langid, language_model, licenses, negatives, packing, sharding, simhash, suffix_dedup, toxicity, url_lists
 from strandline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,10 @@ def op12(spark, d):
     i = F.col("vec_id")
     label = F.when(i % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
     return negatives.mine(table(spark, d, "embeddings"), i % 50 == 0, label=label)
+
+
+@query("op13_prefix_doubled_repair")
+def op13(spark, d):
+    fixed = conversations.repair(conversations.damaged(table(spark, d, "conversations")), present=F.col("present"))
+    out = fixed.report.join(conversations.digests(fixed.rows), "ck", "left")
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
