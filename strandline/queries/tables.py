@@ -74,6 +74,13 @@ def _messy(spark, d) -> str:
     return path
 
 
+def _written(df, top, line, path) -> None:
+    """Lines as text files, each with the same lines at its top."""
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    rows = df.select(line.alias("value"), first.alias("_top"))
+    rows.select(F.explode(F.when(F.col("_top"), F.array(*[F.lit(t) for t in top], F.col("value"))).otherwise(F.array("value")))).write.text(path)
+
+
 @query(
     "load_delimited",
     "SELECT l_orderkey::double AS l_orderkey, l_linenumber::double AS l_linenumber, l_extendedprice, l_returnflag || '; \"' || l_linestatus || '\"' AS label, "
@@ -147,6 +154,54 @@ def load_headers(spark, d):
     return got.select(*[to_number(F.col(f"`{c}`")).alias(n) for c, n in (("acc.x", "a"), ("acc.y", "b"), ("Temp", "c"), ("temp (2)", "e"))])
 
 
+@query(
+    "load_quoted_breaks",
+    "SELECT l_orderkey::double AS l_orderkey, l_linenumber::double AS l_linenumber, l_extendedprice, CASE WHEN l_linenumber % 2 = 0 "
+    "THEN 'flag ' || l_returnflag || chr(10) || chr(10) || 'status; \"' || l_linestatus || '\"' ELSE l_returnflag || ' 5\" pipe' END AS note FROM lineitem",
+)
+def load_quoted_breaks(spark, d):
+    """Records of one line and of three, with quotes inside quoted cells and inside plain ones."""
+    path = _folder(spark) + ".dat"
+    note = F.when(
+        F.col("l_linenumber") % 2 == 0,
+        F.concat(F.lit('"flag '), "l_returnflag", F.lit('\n\nstatus; ""'), "l_linestatus", F.lit('"""')),
+    ).otherwise(F.concat("l_returnflag", F.lit(' 5" pipe')))
+    _written(table(spark, d, "lineitem"), ["l_orderkey;note;l_linenumber;l_extendedprice"], F.concat_ws(";", "l_orderkey", note, "l_linenumber", "l_extendedprice"), path)
+    t = delimited.load_delimited(spark, path)
+    return t.select(*[to_number(F.col(c)).alias(c) for c in ("l_orderkey", "l_linenumber", "l_extendedprice")], "note")
+
+
+@query("load_preamble", "SELECT l_orderkey::double AS \"Column 1\", l_quantity AS \"T3 X\", l_tax AS \"T3 Y\" FROM lineitem")
+def load_preamble(spark, d):
+    """Title lines, a blank line and a header with an unnamed first column at the top of every file."""
+    path = _folder(spark) + ".dat"
+    top = ["Report of the run", "Number of Channels: 2", "", "Frequency, Hz: 10", "\tT3 X\tT3 Y"]
+    _written(table(spark, d, "lineitem"), top, F.concat_ws("\t", "l_orderkey", "l_quantity", "l_tax"), path)
+    t = delimited.load_delimited(spark, path)
+    return t.select(*[to_number(F.col(f"`{c}`")).alias(c) for c in ("Column 1", "T3 X", "T3 Y")])
+
+
+@query("load_ragged", "SELECT l_orderkey::double AS a, l_linenumber::double AS b, CASE WHEN l_linenumber % 3 <> 0 THEN l_tax END AS c FROM lineitem")
+def load_ragged(spark, d):
+    """Every third record a cell short, every fifth one with two cells too many."""
+    path = _folder(spark) + ".txt"
+    n = F.col("l_linenumber")
+    extra = F.when((n % 5 == 0) & (n % 3 != 0), F.lit("|more|cells")).otherwise("")
+    line = F.concat(F.concat_ws("|", "l_orderkey", "l_linenumber", F.when(n % 3 != 0, F.col("l_tax"))), extra)
+    _written(table(spark, d, "lineitem"), ["a|b|c"], line, path)
+    t = delimited.load_delimited(spark, path)
+    return t.select(*[to_number(F.col(c)).alias(c) for c in ("a", "b", "c")])
+
+
+@query("load_latin1", "SELECT l_orderkey::double AS k, 'Größe ' || l_returnflag || ' °C' AS \"Maß\" FROM lineitem")
+def load_latin1(spark, d):
+    path = _folder(spark) + ".csv"
+    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.concat(F.lit("Größe "), "l_returnflag", F.lit(" °C")).alias("Maß"))
+    t.write.csv(path, header=True, encoding="ISO-8859-1")
+    got = delimited.load_delimited(spark, path)
+    return got.select(to_number(F.col("k")).alias("k"), "Maß")
+
+
 @query("overview", "SELECT * FROM (SELECT count(*) AS rows FROM customer), (VALUES (0, 'c_custkey', 'numeric'), (1, 'c_name', 'text'), (2, 'c_nationkey', 'numeric'), (3, 'c_acctbal', 'numeric'), (4, 'c_mktsegment', 'text')) t(\"index\", name, kind)")
 def overview(spark, d):
     t = table(spark, d, "customer")

@@ -1,7 +1,10 @@
 """Delimited text files of unknown layout.
 
-Every file is looked at (first lines, last lines, byte validity) in one distributed pass, then files
-of one layout are read together by Spark's CSV reader as text columns.
+One streaming pass over the file splits keeps a bounded state of each: its first and last lines, byte validity, and
+what its quotes do to a reader that enters it outside or inside a quoted cell.  States of a file merge in
+file order, so no line is sorted or shuffled.  Files of one layout are then read together as text columns: by
+Spark's CSV reader, or, where quoted cells hold line breaks, from records assembled within the splits, each
+entered in the state that the splits before it leave, and stitched where a record crosses a split.
 """
 
 from __future__ import annotations
@@ -10,7 +13,8 @@ import csv
 import io
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
@@ -18,7 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.plans.ordering import join_sized
+from strandline.plans.ordering import BROADCAST_ROWS, join_sized
+from strandline.plans.staging import stage
 from strandline.sources.kinds import column, merge_date_time
 
 ROW_ORDER = ["_file", "_block", "_pos"]
@@ -28,7 +33,12 @@ EXTENSIONS = ["csv", "dat", "txt", "tsv"]
 DELIMITERS = ["\t", ",", ";", "|"]
 TAIL_LINES, HEAD_RECORDS, HEAD_LINES = 40, 50, 200
 
-LAYOUT = "_file string, delimiter string, header_row int, columns array<string>, encoding string, lines bigint"
+LAYOUT = "_file string, delimiter string, header_row int, columns array<string>, encoding string, lines bigint, breaks boolean"
+STATE = (
+    "_file string, _block bigint, head array<binary>, tail array<binary>, lines bigint, valid boolean, ends array<int>, opens array<int>"
+)
+GROUP_BYTES = 1 << 37  # splits of so many bytes are merged before their file's states are
+OUTSIDE, INSIDE = 0, 1
 
 
 def detect_delimiter(lines: Sequence[str]) -> str:
@@ -95,21 +105,129 @@ def column_names(header: Sequence[str]) -> list[str]:
     return out
 
 
-def _look(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Layout of one file from its first and last lines (a few hundred at most)."""
-    valid = bool(pdf["valid"].iloc[0])
-    text = [bytes(b).decode("utf-8" if valid else "latin-1") for b in pdf["raw"]]
-    pdf = pdf.assign(text=text)
-    tail = pdf[pdf["tail"] > 0].sort_values("tail")["text"].tolist()
-    head = pdf[pdf["head"] > 0].sort_values("head")["text"].tolist()
+# ---------------------------------------------------------------- quotes across lines
+
+
+class Quotes:
+    """Whether a line ends inside a quoted cell, by the side of the quotes on which it begins.
+
+    A quote opens a cell only as its first character; inside, two quotes are one; after the closing quote the rest
+    of the cell is plain.
+    """
+
+    def __init__(self, delimiter: str):
+        d, inner = re.escape(delimiter.encode()), rb'(?:[^"]|"")*+'
+        opened = rb'(?:(?:"' + inner + rb'"[^' + d + rb']*+|[^"' + d + rb"][^" + d + rb"]*+)?+" + d + rb')*+"' + inner
+        self.outside = re.compile(opened, re.DOTALL)
+        self.still = re.compile(inner, re.DOTALL)
+        self.again = re.compile(inner + rb'"[^' + d + rb"]*+" + d + opened, re.DOTALL)
+
+    def after(self, state: int, line: bytes) -> int:
+        if b'"' not in line:
+            return state
+        if state == OUTSIDE:
+            return int(self.outside.fullmatch(line) is not None)
+        return int(self.still.fullmatch(line) is not None or self.again.fullmatch(line) is not None)
+
+
+@dataclass
+class Split:
+    """What is kept of a stretch of a file: bounded first and last lines, and for each delimiter the side of the
+    quotes on which a reader leaves it, and whether a line ended inside, by the side on which it enters."""
+
+    head_lines: int
+    tail_lines: int
+    head: list[bytes] = field(default_factory=list)
+    tail: list[bytes] = field(default_factory=list)
+    lines: int = 0
+    valid: bool = True
+    ends: list[list[int]] = field(default_factory=lambda: [[OUTSIDE, INSIDE] for _ in DELIMITERS])
+    opens: list[list[bool]] = field(default_factory=lambda: [[False, False] for _ in DELIMITERS])
+
+    def add(self, head: list[bytes], tail: list[bytes], lines: int, valid: bool) -> None:
+        if len(self.head) < self.head_lines:
+            self.head += head[: self.head_lines - len(self.head)]
+        self.tail = (self.tail + tail)[-self.tail_lines :]
+        self.lines += lines
+        self.valid &= valid
+
+    def pass_line(self, line: bytes, quotes: list[Quotes]) -> None:
+        for ends, opens, q in zip(self.ends, self.opens, quotes, strict=True):
+            after = {s: q.after(s, line) for s in set(ends)}
+            for i in (OUTSIDE, INSIDE):
+                ends[i] = after[ends[i]]
+                opens[i] |= ends[i] == INSIDE
+
+    def pass_split(self, ends: Sequence[int], opens: Sequence[int]) -> None:
+        for mine, seen, e, o in zip(self.ends, self.opens, ends, opens, strict=True):
+            for i in (OUTSIDE, INSIDE):
+                seen[i] |= bool(o >> mine[i] & 1)
+                mine[i] = e >> mine[i] & 1
+
+    def row(self, file: str, block: int) -> dict:
+        pack = lambda pairs: [int(a) | int(b) << 1 for a, b in pairs]
+        return {"_file": file, "_block": block, "head": self.head, "tail": self.tail, "lines": self.lines, "valid": self.valid, "ends": pack(self.ends), "opens": pack(self.opens)}
+
+
+def _runs(pdf: pd.DataFrame) -> Iterator[tuple[str, int, pd.DataFrame]]:
+    """The batch cut where another split begins."""
+    new = (pdf["_file"] != pdf["_file"].shift()) | (pdf["_block"] != pdf["_block"].shift())
+    at = [*new.to_numpy().nonzero()[0], len(pdf)]
+    for lo, hi in zip(at, at[1:]):
+        run = pdf.iloc[lo:hi]
+        yield run["_file"].iloc[0], int(run["_block"].iloc[0]), run
+
+
+def _look_at_splits(batches: Iterator[pd.DataFrame], head_lines: int, tail_lines: int) -> Iterator[pd.DataFrame]:
+    """One bounded row for each split; a task reads its splits one after another."""
+    quotes, now, split = [Quotes(d) for d in DELIMITERS], None, None
+    for pdf in batches:
+        for file, block, run in _runs(pdf):
+            if (file, block) != now:
+                if now is not None:
+                    yield pd.DataFrame([split.row(*now)])
+                now, split = (file, block), Split(head_lines, tail_lines)
+            seen = run[~run["blank"]]
+            split.add(seen["value"].iloc[:head_lines].tolist(), seen["value"].iloc[-tail_lines:].tolist(), len(seen), bool(seen["valid"].all()))
+            for line in run.loc[run["quoted"], "value"]:
+                split.pass_line(line, quotes)
+    if now is not None:
+        yield pd.DataFrame([split.row(*now)])
+
+
+def _merged(pdf: pd.DataFrame, head_lines: int, tail_lines: int) -> Split:
+    out = Split(head_lines, tail_lines)
+    for r in pdf.sort_values("_block").itertuples(index=False):
+        out.add(list(r.head), list(r.tail), r.lines, r.valid)
+        out.pass_split(r.ends, r.opens)
+    return out
+
+
+def _merge_splits(pdf: pd.DataFrame, head_lines: int, tail_lines: int) -> pd.DataFrame:
+    return pd.DataFrame([_merged(pdf, head_lines, tail_lines).row(pdf["_file"].iloc[0], int(pdf["_block"].min()))])
+
+
+def _look(pdf: pd.DataFrame, head_lines: int, head_records: int, tail_lines: int) -> pd.DataFrame:
+    """Layout of one file from its merged state; a file without a line that is not blank has none.
+
+    Records span lines only if all quotes close: one that stays open to the end of the file would swallow it.
+    """
+    s = _merged(pdf, head_lines, tail_lines)
+    if not s.lines:
+        return pd.DataFrame(columns=[c.split()[0] for c in LAYOUT.split(", ")])
+    encoding = "utf-8" if s.valid else "latin-1"
+    head, tail = ([line.decode(encoding) for line in part] for part in (s.head, s.tail))
     sep = detect_delimiter(tail)
-    records = [r for r in csv.reader(io.StringIO("\n".join(head)), delimiter=sep) if r][:HEAD_RECORDS]
+    k = DELIMITERS.index(sep)
+    breaks = s.opens[k][OUTSIDE] and s.ends[k][OUTSIDE] == OUTSIDE
+    source = io.StringIO("\n".join(head)) if breaks else head
+    records = [r for r in csv.reader(source, delimiter=sep) if r][:head_records]
     at = detect_header(records)
     return pd.DataFrame(
         {
             "_file": [pdf["_file"].iloc[0]], "delimiter": [sep], "header_row": [at],
-            "columns": [column_names(records[at])], "encoding": ["UTF-8" if valid else "ISO-8859-1"],
-            "lines": [int(pdf["lines"].iloc[0])],
+            "columns": [column_names(records[at])], "encoding": ["UTF-8" if s.valid else "ISO-8859-1"],
+            "lines": [s.lines], "breaks": [breaks],
         }
     )
 
@@ -122,23 +240,27 @@ def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
 
 
-def sniff_files(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """Layout per file: (_file, delimiter, header_row, columns, encoding, lines).
+def _splits(spark: SparkSession, paths: Sequence[str], head_lines: int, tail_lines: int) -> DataFrame:
+    d = _lines(spark, paths).select(
+        "_file", "_block", F.col("value").cast("binary").alias("value"), (F.length(F.trim("value")) == 0).alias("blank"),
+        F.is_valid_utf8("value").alias("valid"), F.contains("value", F.lit('"')).alias("quoted"),
+    )
+    return stage(d.mapInPandas(lambda batches: _look_at_splits(batches, head_lines, tail_lines), STATE))
 
-    Blank lines do not count.  Only the first 200 and last 40 lines of a file leave their task.
+
+def _layouts(splits: DataFrame, head_lines: int, head_records: int, tail_lines: int) -> DataFrame:
+    some = splits.groupBy("_file", F.floor(F.col("_block") / GROUP_BYTES).alias("_g")).applyInPandas(lambda pdf: _merge_splits(pdf, head_lines, tail_lines), STATE)
+    return some.groupBy("_file").applyInPandas(lambda pdf: _look(pdf, head_lines, head_records, tail_lines), LAYOUT)
+
+
+def sniff_files(spark: SparkSession, paths: Sequence[str] | str, head_lines: int = HEAD_LINES, head_records: int = HEAD_RECORDS, tail_lines: int = TAIL_LINES) -> DataFrame:
+    """Layout per file: (_file, delimiter, header_row, columns, encoding, lines, breaks).
+
+    Blank lines do not count.  The delimiter comes from the last `tail_lines` lines, the header from the first
+    `head_records` records within the first `head_lines` lines.  `breaks` tells that quoted cells hold line breaks.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    d = _lines(spark, paths).filter(F.length(F.trim("value")) > 0)
-    whole = d.groupBy("_file").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("valid"), F.count(F.lit(1)).alias("lines")
-    )
-    first = F.row_number().over(Window.partitionBy("_file").orderBy("_block", "_pos"))
-    last = F.row_number().over(Window.partitionBy("_file").orderBy(F.desc("_block"), F.desc("_pos")))
-    raw = F.col("value").cast("binary").alias("raw")
-    head = d.select("_file", raw, first.alias("head")).filter(F.col("head") <= HEAD_LINES)
-    tail = d.select("_file", raw, last.alias("tail")).filter(F.col("tail") <= TAIL_LINES)
-    seen = head.withColumn("tail", F.lit(0)).unionByName(tail.withColumn("head", F.lit(0)))
-    return seen.join(whole, "_file").groupBy("_file").applyInPandas(_look, LAYOUT)
+    return _layouts(_splits(spark, paths, head_lines, tail_lines), head_lines, head_records, tail_lines)
 
 
 def _check_extension(path: str) -> None:
@@ -148,54 +270,151 @@ def _check_extension(path: str) -> None:
 
 
 def load_delimited(
-    spark: SparkSession, paths: Sequence[str] | str, merge_times: bool = True, header_row: int | None = None
+    spark: SparkSession, paths: Sequence[str] | str, merge_times: bool = True, header_row: int | None = None,
+    head_lines: int = HEAD_LINES, head_records: int = HEAD_RECORDS, tail_lines: int = TAIL_LINES,
 ) -> DataFrame:
     """All data rows as text columns, plus the row order columns `_file`, `_block`, `_pos`.
 
-    Short records are padded with empty cells, extra cells dropped.  Files with different columns are
+    Short records are padded with empty cells, extra cells dropped.  Line breaks inside quoted cells stay, as
+    `\\n`; in a file whose last quote never closes every line is a record.  Files with different columns are
     united by name.  The row order columns are a unique key for `order_rows`.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     for p in paths:
         _check_extension(p)
-    layouts = sniff_files(spark, paths)
+    splits = _splits(spark, paths, head_lines, tail_lines)
+    layouts = _layouts(splits, head_lines, head_records, tail_lines)
     if header_row is not None:
         layouts = layouts.withColumn("header_row", F.lit(header_row))
-    layout = ["delimiter", "header_row", "columns", "encoding"]
+    layouts = stage(layouts)
+    layout = ["delimiter", "header_row", "columns", "encoding", "breaks"]
     kinds = layouts.select(*layout).distinct().collect()
     if not kinds:
         raise ValueError("no data found")
     out = None
     for k in kinds:
-        part = _read(spark, paths, k)
-        if len(kinds) > 1:  # each layout takes its own files; their names stay distributed
-            own = layouts.filter(reduce(Column.__and__, [F.col(c).eqNullSafe(F.lit(k[c])) for c in layout])).select("_file")
-            part = part.join(own, "_file", "left_semi")
+        own = layouts.filter(reduce(Column.__and__, [F.col(c).eqNullSafe(F.lit(k[c])) for c in layout])).select("_file")
+        if k.breaks:
+            part = _read_records(spark, paths, k, splits.join(own, "_file", "left_semi"))
+        else:
+            part = _read(spark, paths, k)
+            if len(kinds) > 1:  # each layout takes its own files; their names stay distributed
+                part = part.join(own, "_file", "left_semi")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     names = [c for c in out.columns if c not in ROW_ORDER]
     out = out.select(*ROW_ORDER, *[F.coalesce(column(c), F.lit("")).alias(c) for c in names])
     return merge_date_time(out, ROW_ORDER) if merge_times else out
 
 
+def _csv_options(k) -> dict:
+    return {"sep": k.delimiter, "mode": "PERMISSIVE", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "\u0000"}
+
+
+def _cells(k) -> T.StructType:
+    return T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(k.columns))])
+
+
 def _read(spark: SparkSession, files: Sequence[str], k) -> DataFrame:
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(k.columns))])
     raw = spark.read.option("recursiveFileLookup", "true").csv(
-        list(files), schema=schema, sep=k.delimiter, header=k.header_row == 0, encoding=k.encoding, mode="PERMISSIVE",
-        quote='"', escape='"', emptyValue="", nullValue="\u0000", enforceSchema=True,
+        list(files), schema=_cells(k), header=k.header_row == 0, encoding=k.encoding, enforceSchema=True, **_csv_options(k)
     )
     d = raw.select(
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_pos"), *[f"_c{i}" for i in range(len(k.columns))],
     )
     if k.header_row > 0:
-        # preamble and header sit in a file's first split: only its first rows are numbered
-        rank = F.row_number().over(Window.partitionBy("_file").orderBy("_pos"))
-        top = d.filter("_block = 0").withColumn("_rn", rank).filter(F.col("_rn") <= k.header_row + 1)
-        cut = top.groupBy("_file").agg(F.max("_pos").alias("_cut"))
+        # preamble and header sit in a file's first split, whose rows are numbered without gaps
+        cut = d.filter("_block = 0").groupBy("_file").agg((F.min("_pos") + k.header_row).alias("_cut"))
         d = join_sized(d, cut, ["_file"]).filter((F.col("_block") > 0) | (F.col("_pos") > F.col("_cut"))).drop("_cut")
     return d.select(*ROW_ORDER, *[F.col(f"_c{i}").alias(c) for i, c in enumerate(k.columns)])
 
 
+# ---------------------------------------------------------------- records of several lines
+
+WHOLE, OPENED, CONTINUED, CLOSED = range(4)
+RECORD = "_file string, _block bigint, _pos bigint, nth bigint, part int, record binary"
+
+
+def _entries(pdf: pd.DataFrame, delimiter: int) -> pd.DataFrame:
+    """The side of the quotes on which a reader enters each split of a file."""
+    pdf = pdf.sort_values("_block")
+    state, out = OUTSIDE, []
+    for ends in pdf["ends"]:
+        out.append(state)
+        state = ends[delimiter] >> state & 1
+    return pdf[["_file", "_block"]].assign(entry=out)
+
+
+def _assemble(batches: Iterator[pd.DataFrame], delimiter: str) -> Iterator[pd.DataFrame]:
+    """Records of each split in order.  Lines before the first record of a split and after its last whole one are
+    parts of a record that crosses its edges.  Blank lines between records are dropped."""
+    quotes, now, out = Quotes(delimiter), None, []
+    state, held, start, nth = OUTSIDE, [], 0, 0
+
+    def flush(part: int) -> None:
+        nonlocal held, nth
+        out.append((*now, start, nth, part, b"\n".join(held)))
+        nth += part in (WHOLE, OPENED)
+        held = []
+
+    def leave() -> None:
+        if held:
+            flush(CONTINUED if inherited else OPENED)
+
+    inherited = False
+    for pdf in batches:
+        for file, block, run in _runs(pdf):
+            if (file, block) != now:
+                if now is not None:
+                    leave()
+                now, state, held, nth = (file, block), int(run["entry"].iloc[0]), [], 0
+                inherited = state == INSIDE
+            for pos, line in zip(run["_pos"], run["value"], strict=True):
+                if not held:
+                    start = pos
+                state_before, state = state, quotes.after(state, line)
+                if state_before == OUTSIDE and not line.strip():
+                    continue
+                held.append(line)
+                if state == OUTSIDE:
+                    flush(CLOSED if inherited else WHOLE)
+                    inherited = False
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in RECORD.split(", ")])
+            out.clear()
+    if now is not None:
+        leave()
+    if out:
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in RECORD.split(", ")])
+
+
+def _read_records(spark: SparkSession, paths: Sequence[str], k, splits: DataFrame) -> DataFrame:
+    """Rows of files whose records span lines."""
+    at = DELIMITERS.index(k.delimiter)
+    entries = stage(splits.select("_file", "_block", "ends").groupBy("_file").applyInPandas(lambda pdf: _entries(pdf, at), "_file string, _block bigint, entry int"))
+    d = _lines(spark, paths).select("_file", "_block", "_pos", F.col("value").cast("binary").alias("value"))
+    if entries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        d = d.join(F.broadcast(entries), ["_file", "_block"])  # keeps the order of lines
+    else:
+        d = d.join(entries, ["_file", "_block"]).repartition("_file", "_block").sortWithinPartitions(*ROW_ORDER)
+    records = d.mapInPandas(lambda batches: _assemble(batches, k.delimiter), RECORD)
+    # parts of one record: its opening and all that follows up to the next opening, at most two parts a split
+    parts = records.filter(F.col("part") != WHOLE)
+    order = Window.partitionBy("_file").orderBy("_block", "_pos")
+    parts = parts.withColumn("_g", F.sum(F.when(F.col("part") == OPENED, 1).otherwise(0)).over(order))
+    joined = parts.groupBy("_file", "_g").agg(F.sort_array(F.collect_list(F.struct("_block", "_pos", "nth", "record"))).alias("p"))
+    first = F.col("p")[0]
+    text = lambda r: F.decode(r, k.encoding)
+    whole = records.filter(F.col("part") == WHOLE).select(*ROW_ORDER, "nth", text(F.col("record")).alias("record"))
+    joined = joined.select(
+        "_file", first["_block"].alias("_block"), first["_pos"].alias("_pos"), first["nth"].alias("nth"),
+        F.array_join(F.transform("p", lambda p: text(p["record"])), "\n").alias("record"),
+    )
+    d = whole.unionByName(joined).filter((F.col("_block") > 0) | (F.col("nth") > k.header_row))
+    d = d.withColumn("_r", F.from_csv("record", _cells(k).simpleString()[len("struct<") : -1].replace(":", " "), _csv_options(k)))
+    return d.select(*ROW_ORDER, *[F.col(f"_r._c{i}").alias(c) for i, c in enumerate(k.columns)])
+
+
 def overview(df: DataFrame, kinds: DataFrame) -> DataFrame:
     """(index, name, kind, rows) of a loaded table."""
     n = df.agg(F.count(F.lit(1)).alias("c")).scalar()

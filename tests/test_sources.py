@@ -190,3 +190,78 @@ def test_row_local_functions_on_a_stream(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("seen").count() == spark.read.parquet(f"{sf}/events.parquet").filter("value > 50").count()
+
+
+BROKEN = 'title;"of\nthe run"\nk;note;v\n' + "".join(
+    f'{i};"line one of {i}\n\nsaid ""{i};{i}"";\n"tail;{i}\n' if i % 3 == 0 else f'{i};plain 5" pipe;{i}\n' if i % 3 == 1 else f'{i};"a;b";{i}\n' for i in range(3000)
+)
+
+
+def broken_rows():
+    # the reader of single records keeps what follows a closing quote in the cell
+    note = {0: lambda i: f'line one of {i}\n\nsaid "{i};{i}";\n', 1: lambda i: 'plain 5" pipe', 2: lambda i: "a;b"}
+    return [(str(i), note[i % 3](i), str(i)) for i in range(3000)]
+
+
+@pytest.mark.parametrize("split", [4096, 1 << 27])
+def test_quoted_line_breaks_across_splits(spark, tmp_path, split):
+    text = BROKEN.replace('"tail;', '";')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        df = load_delimited(spark, write(tmp_path, "broken.csv", text))
+        cols, got = data(df)
+        assert cols == ["k", "note", "v"] and got == broken_rows()
+        s = sniff_files(spark, str(tmp_path / "broken.csv")).first()
+        assert (s.delimiter, s.header_row, s.breaks) == (";", 1, True)
+        assert split > 4096 or df.select("_block").distinct().count() > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_record_longer_than_splits_and_latin1(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        long = "\n".join(f"ligne très {i}" for i in range(2000))
+        cols, got = data(load_delimited(spark, write(tmp_path, "long.csv", f'a,b\n1,x\n2,"{long}"\n3,"y\nz"\n', "latin-1")))
+        assert cols == ["a", "b"] and got == [("1", "x"), ("2", long), ("3", "y\nz")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_quote_that_never_closes_keeps_lines_apart(spark, tmp_path):
+    s = write(tmp_path, "open.csv", 'a,b\n1,x\n2,"y\n3,z\n')
+    assert sniff_files(spark, s).first().breaks is False
+    assert [r[0] for r in data(load_delimited(spark, s))[1]] == ["1", "2", "3"]
+
+
+def test_lines_are_neither_sorted_nor_windowed(spark, tmp_path):
+    d = tmp_path / "few"
+    d.mkdir()
+    write(d, "p.csv", "title\na,b\n1,2\n3,4\n")
+    write(d, "q.csv", "\n  \n")
+    write(d, "r.csv", "a,b\n" + "5,6\n" * 300)
+    plan = sniff_files(spark, str(d))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    df = load_delimited(spark, str(d))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort " not in plan.replace("SortMergeJoin", "")
+    assert df.count() == 302
+    s = sniff_files(spark, str(d / "r.csv"), head_lines=5, head_records=3, tail_lines=2).first()
+    assert (s.lines, s.delimiter, s.header_row) == (301, ",", 0)
+
+
+@pytest.mark.parametrize("sep", [",", ";"])
+def test_quotes_follow_the_csv_rules(sep):
+    import csv
+    import random
+
+    rng = random.Random(1)
+    q = delimited.Quotes(sep)
+    for _ in range(3000):
+        text = "".join(rng.choice(f'ab"{sep}\n"') for _ in range(rng.randrange(1, 25)))
+        state, count = 0, 0
+        for line in text.split("\n"):
+            count += state == 0
+            state = q.after(state, line.encode())
+        if not text.endswith("\n"):
+            assert count == sum(1 for _ in csv.reader(text.splitlines(True), delimiter=sep)), text
