@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,11 +13,12 @@ from strandline.functions import fx
 from strandline.operators.rows import view_window
 from strandline.plans.blocks import home_block, over_blocks, with_halo
 from strandline.plans.layout import BLOCK, ROW
-from strandline.plans.ordering import Ordered, facts, join_sized, order_rows, with_series_size
+from strandline.plans.ordering import Ordered, facts, join_sized, join_small, order_rows, with_series_size
+from strandline.plans.staging import stage
 
 SPLINE_HALO = 64
 SPLINE_CHUNK = 512
-CHAIN_BUCKETS = 64
+CHAIN_BUCKETS, CHAIN_ROWS, FAN = 64, 8192, 256
 
 
 def finite_series(o: Ordered, x: str, y: str) -> Ordered:
@@ -56,44 +59,94 @@ def minmax_envelope(o: Ordered, x: str, y: str, buckets: int) -> DataFrame:
 
 # ---------------------------------------------------------------- triangle downsampling
 
+ENTRY, CANDIDATE, MEAN, LAST = 0, 1, 2, 3
 
-def _hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Positions of the points on the convex hull of x-ordered points, points on its edges included."""
-    n = len(x)
-    if n <= 2:
-        return np.arange(n)
-
-    def chain(flip: float) -> list[int]:
-        keep: list[int] = []
-        for i in range(n):
-            while len(keep) >= 2:
-                a, b = keep[-2], keep[-1]
-                cross = (x[b] - x[a]) * (y[i] - y[a]) - (y[b] - y[a]) * (x[i] - x[a])
-                if flip * cross >= 0:
-                    break
-                keep.pop()
-            keep.append(i)
-        return keep
-
-    return np.unique(np.array(chain(1.0) + chain(-1.0)))
 
+def _strict_chain(seg: np.ndarray, x: np.ndarray, y: np.ndarray, passes: int = 40) -> np.ndarray:
+    """Positions of the vertices of each segment's upper hull; points come by (segment, x), one for each x.
 
-def _hull_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(ROW, kind="stable")
-    x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-    if np.any(np.diff(x) < 0):
-        return pdf
-    return pdf.iloc[_hull(x, y)]
+    A point on or under the line of its present neighbours is no vertex, whichever points go with it, so whole
+    arrays are thinned at once; flat and collinear stretches go in one pass.  What resists is finished point by point.
+    """
+    at = np.arange(len(x))
+    for _ in range(passes):
+        if len(at) < 3:
+            return at
+        a, b, c = at[:-2], at[1:-1], at[2:]
+        under = (y[b] - y[a]) * (x[c] - x[a]) <= (y[c] - y[a]) * (x[b] - x[a])
+        gone = under & (seg[a] == seg[b]) & (seg[b] == seg[c])
+        if not gone.any():
+            return at
+        at = at[np.concatenate([[True], ~gone, [True]])]
+    keep: list[int] = []
+    for i in at.tolist():
+        while len(keep) >= 2 and seg[keep[-2]] == seg[i]:
+            a, b = keep[-2], keep[-1]
+            if (y[b] - y[a]) * (x[i] - x[a]) > (y[i] - y[a]) * (x[b] - x[a]):
+                break
+            keep.pop()
+        keep.append(i)
+    return np.array(keep)
+
+
+def _first_on_edges(seg: np.ndarray, x: np.ndarray, y: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each hull edge that holds other points, the one of the lowest row if it is lower than the edge's ends."""
+    inner = np.ones(len(x), dtype=bool)
+    inner[at] = False
+    p = np.flatnonzero(inner)
+    right = np.searchsorted(at, p)
+    ok = (right > 0) & (right < len(at))
+    p, right = p[ok], right[ok]
+    a, c = at[right - 1], at[right]
+    on = (seg[a] == seg[p]) & (seg[c] == seg[p]) & ((y[p] - y[a]) * (x[c] - x[a]) == (y[c] - y[a]) * (x[p] - x[a]))
+    p, right = p[on], right[on]
+    order = np.lexsort((row[p], right))
+    p, right = p[order], right[order]
+    p = p[np.diff(right, prepend=-1) != 0]
+    edge = np.searchsorted(at, p)
+    return p[(row[p] < row[at[edge - 1]]) & (row[p] < row[at[edge]])]
+
+
+def hull_candidates(seg: np.ndarray, x: np.ndarray, y: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Positions that can hold the largest triangle of their segment, ties going to the lowest row.
+
+    The area is the absolute value of a linear function of the point: it is largest at a hull vertex, or all
+    along an edge, where the first row counts.  The points need no order; coincident ones give their first row.
+    """
+    order = np.lexsort((row, y, x, seg))
+    s, u, v, r = seg[order], x[order], y[order], row[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (s[1:] != s[:-1]) | (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    order, s, u, v, r = order[new], s[new], u[new], v[new], r[new]
+    if not len(order):
+        return order
+    edge = np.ones(len(order) + 1, dtype=bool)
+    edge[1:-1] = (s[1:] != s[:-1]) | (u[1:] != u[:-1])
+    low, high = np.flatnonzero(edge[:-1]), np.flatnonzero(edge[1:])  # of each x the lowest and the highest
+    keep = []
+    for side, sign in ((high, 1.0), (low, -1.0)):
+        a, b, c, d = s[side], u[side], sign * v[side], r[side]
+        at = _strict_chain(a, b, c)
+        keep += [side[at], side[_first_on_edges(a, b, c, d, at)]]
+    # a segment's leftmost and rightmost points form upright edges
+    ends = np.ones(len(low), dtype=bool)
+    ends[1:-1] = (s[low][1:-1] != s[low][:-2]) | (s[low][1:-1] != s[low][2:])
+    size = high - low + 1
+    tall = np.flatnonzero(ends & (size > 2))
+    keep += [np.array([low[t] + int(np.argmin(r[low[t] : high[t] + 1])) for t in tall], dtype=np.int64)]
+    return order[np.unique(np.concatenate(keep))]
 
 
 def lttb(o: Ordered, x: str, y: str, target: int, variant: str = "reference") -> DataFrame:
     """Largest-triangle-three-buckets: (by.., pick, row_idx, x, y), `pick` numbering the output points.
 
     For a given previous pick the triangle area is the absolute value of a linear function of the
-    candidate, so the winner lies on the candidates' convex hull.  Hulls are taken per bounded row
-    block, then per bucket.  The pick-to-pick chain is cut into groups of buckets that run in
-    parallel: each group is followed from every possible incoming pick (these merge after a few
-    buckets) and only the merged transitions are walked at the end.
+    candidate, so the winner lies on the candidates' convex hull.  One pass over the rows takes hulls and sums per
+    row block and bucket; flat, collinear and unsorted stretches leave a few points like any others.  The
+    pick-to-pick chain is cut into groups of buckets: each group maps every possible incoming pick to its
+    last pick, the maps are composed in levels of bounded fan-in, and then each group is walked from the pick that
+    really enters it.  No task sees all groups of a series, however many there are.  Only a bucket whose
+    points all lie on a convex curve keeps them all.
 
     variant "reference" keeps buckets one place late, so the first bucket is never used and the last
     point appears twice; "standard" is the published algorithm.
@@ -101,13 +154,23 @@ def lttb(o: Ordered, x: str, y: str, target: int, variant: str = "reference") ->
     s = with_series_size(o.select(F.col(x).alias("x"), F.col(y).alias("y")))
     d = s.df
     keys = list(o.by)
-    key_schema = "".join(f"`{c}` {d.schema[c].dataType.simpleString()}, " for c in keys)
     asis = (F.col("_n") <= target) | F.lit(target < 3)
     untouched = d.filter(asis).select(*keys, F.col(ROW).cast("int").alias("pick"), ROW, "x", "y")
     if target < 3 or (not keys and o.n <= target):
         return untouched
-    d = d.filter(~asis)
-    shift = 1 if variant == "reference" else 0
+    parts = stage(_hull_parts(s.with_df(d.filter(~asis)), target, 1 if variant == "reference" else 0))
+    picks = _chained_picks(parts, keys, target)
+    return picks.unionByName(untouched) if keys else picks
+
+
+def _series_schema(df: DataFrame, keys: list[str]) -> str:
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keys)
+
+
+def _hull_parts(s: Ordered, target: int, shift: int) -> DataFrame:
+    """(by.., _n, bucket, role, row_idx, x, y): hull points and sums of each bucket's rows in each row block,
+    and the last row.  A sum's row column holds its count."""
+    keys = list(s.by)
     width = (F.col("_n") - 2) / F.lit(float(target - 2))
     last = target - 3
 
@@ -121,53 +184,13 @@ def lttb(o: Ordered, x: str, y: str, target: int, variant: str = "reference") ->
     is_last = F.col(ROW) == F.col("_n") - 1
     # the last row is a candidate only of a last bucket that starts there
     usable = ~is_last | ((start(F.lit(last)) >= F.col("_n") - 1) & (F.col("bucket") == last))
-    inner = d.withColumn("bucket", F.when(F.col(ROW) == 0, F.lit(-1)).otherwise(own))
+    inner = s.df.withColumn("bucket", F.when(F.col(ROW) == 0, F.lit(-1)).otherwise(own))
     inner = inner.filter((F.col(ROW) == 0) | (F.col("bucket") >= 0) | is_last)
     inner = inner.withColumn("bucket", F.coalesce("bucket", F.lit(last + 1)))
     kind = F.when(is_last & usable, 3).when(is_last, 2).when(F.col("bucket") <= last, 1).otherwise(0)
-    inner = inner.select(*keys, "bucket", ROW, "x", "y", kind.alias("kind"))
-
-    # one pass over the rows: hull points, bucket sums and the two fixed end points
-    point = f"{key_schema}bucket int, role int, {ROW} bigint, x double, y double"
-    if o.n // max(target, 1) > s.block:
-        inner = inner.withColumn("_blk", home_block(s.block)).groupBy(*keys, "bucket", "_blk")
-    else:
-        inner = inner.groupBy(*keys, "bucket")
-    parts = inner.applyInPandas(lambda pdf: _bucket_part(pdf, keys), point)
-    hulls = parts.groupBy(*keys, "bucket").applyInPandas(lambda pdf: _bucket_merge(pdf, keys), point)
-
-    groups = -(-(last + 1) // CHAIN_BUCKETS)
-    b = F.col("bucket")
-
-    def to(role: int, bucket, grp):
-        return F.struct(F.lit(role).alias("role"), bucket.alias("bucket"), F.floor(grp).cast("int").alias("grp"))
-
-    routes = F.array_compact(
-        F.array(
-            F.when((F.col("role") == CANDIDATE) & (b < 0), to(ENTRY, b, F.lit(0))),
-            F.when((F.col("role") == CANDIDATE) & (b >= 0), to(CANDIDATE, b, b / CHAIN_BUCKETS)),
-            F.when(
-                (F.col("role") == CANDIDATE) & (b >= 0) & (b < last) & (b % CHAIN_BUCKETS == CHAIN_BUCKETS - 1),
-                to(ENTRY, b, b / CHAIN_BUCKETS + 1),
-            ),
-            # a bucket's mean is what the bucket before aims at
-            F.when((F.col("role") == MEAN) & (b >= 1) & (b <= last + 1), to(MEAN, b - 1, (b - 1) / CHAIN_BUCKETS)),
-            F.when(F.col("role") == LAST, to(LAST, F.lit(last + 1), F.lit(groups - 1))),
-        )
-    )
-    rows = hulls.withColumn("_to", F.explode(routes)).select(
-        *keys, "_to.grp", "_to.role", "_to.bucket", ROW, "x", "y"
-    )
-    links = rows.groupBy(*keys, "grp").applyInPandas(
-        lambda pdf: _follow(pdf, keys), f"{key_schema}bucket int, frm bigint, {ROW} bigint, x double, y double"
-    )
-    picks = (links.groupBy(*keys) if keys else links.groupBy(F.lit(0).alias("_one"))).applyInPandas(
-        lambda pdf: _walk(pdf, keys), f"{key_schema}pick int, {ROW} bigint, x double, y double"
-    )
-    return picks.unionByName(untouched) if keys else picks
-
-
-ENTRY, CANDIDATE, MEAN, LAST = 0, 1, 2, 3
+    inner = inner.select(*keys, "_n", "bucket", ROW, "x", "y", kind.alias("kind"), home_block(s.block).alias(BLOCK))
+    schema = f"{_series_schema(s.df, keys)}_n bigint, bucket int, role int, {ROW} bigint, x double, y double"
+    return inner.groupBy(*keys, BLOCK).applyInPandas(lambda pdf: _block_parts(pdf, keys), schema)
 
 
 def _with_keys(out: pd.DataFrame, pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
@@ -176,66 +199,128 @@ def _with_keys(out: pd.DataFrame, pdf: pd.DataFrame, keys: list[str]) -> pd.Data
     return out[[*keys, *[c for c in out.columns if c not in keys]]]
 
 
-def _bucket_part(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """Hull points of the candidates, sums over all rows (count in the row column) and the last row."""
-    bucket = int(pdf["bucket"].iloc[0])
-    cand = _hull_of(pdf[(pdf.kind == 1) | (pdf.kind == 3)])
-    end = pdf[pdf.kind >= 2]
-    sums = pd.DataFrame({ROW: [len(pdf)], "x": [pdf.x.sum()], "y": [pdf.y.sum()]})
-    out = pd.concat(
-        [cand[[ROW, "x", "y"]].assign(role=CANDIDATE), sums.assign(role=MEAN), end[[ROW, "x", "y"]].assign(role=LAST)],
-        ignore_index=True,
-    )
-    out["bucket"] = bucket
-    return _with_keys(out[["bucket", "role", ROW, "x", "y"]], pdf, keys)
+def _thinned(pdf: pd.DataFrame) -> pd.DataFrame:
+    at = hull_candidates(pdf["bucket"].to_numpy(), pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf[ROW].to_numpy())
+    return pdf.iloc[at]
 
 
-def _bucket_merge(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """One bucket's parts: the hull of its hulls and the mean."""
-    s, cand, end = (pdf[pdf.role == r] for r in (MEAN, CANDIDATE, LAST))
-    n = s[ROW].sum()
-    mean = pd.DataFrame({ROW: [n], "x": [s.x.sum() / n], "y": [s.y.sum() / n]})
-    if len(s) > 1:
-        cand = _hull_of(cand)
-    out = pd.concat([cand, mean.assign(role=MEAN), end], ignore_index=True)
-    out["bucket"] = int(pdf["bucket"].iloc[0])
-    return _with_keys(out[["bucket", "role", ROW, "x", "y"]], pdf, keys)
+def _block_parts(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    cand = _thinned(pdf[(pdf.kind == 1) | (pdf.kind == 3)])
+    sums = pdf.groupby("bucket", as_index=False).agg(**{ROW: ("x", "size"), "x": ("x", "sum"), "y": ("y", "sum")})
+    cols = ["bucket", ROW, "x", "y"]
+    out = pd.concat([cand[cols].assign(role=CANDIDATE), sums[cols].assign(role=MEAN), pdf.loc[pdf.kind >= 2, cols].assign(role=LAST)], ignore_index=True)
+    out["_n"] = pdf["_n"].iloc[0]
+    return _with_keys(out[["_n", "bucket", "role", ROW, "x", "y"]], pdf, keys)
 
 
-def _follow(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """Transitions of one group of buckets from every possible incoming pick."""
-    entry = pdf[pdf.role == ENTRY].sort_values(ROW)
-    states = entry[[ROW, "x", "y"]].to_numpy(dtype=float)
-    aim = {int(b): (ax, ay) for b, ax, ay in pdf.loc[pdf.role == MEAN, ["bucket", "x", "y"]].to_numpy()}
-    fixed = pd.concat([entry[entry.bucket < 0], pdf[pdf.role == LAST]])
-    parts = [fixed[["bucket", ROW, "x", "y"]].assign(frm=-1)]
-    for bucket, q in pdf[pdf.role == CANDIDATE].sort_values(["bucket", ROW]).groupby("bucket", sort=True):
-        qr, qx, qy = q[ROW].to_numpy(), q["x"].to_numpy(), q["y"].to_numpy()
-        ax, ay = aim.get(int(bucket), (qx[-1], qy[-1]))
-        frm = states[:, 0].astype("int64")
-        choice = np.empty(len(states), dtype="int64")
-        for i in range(0, len(states), 256):
-            px, py = states[i : i + 256, 1:2], states[i : i + 256, 2:3]
-            area = np.abs((px - ax) * (qy[None, :] - py) - (px - qx[None, :]) * (ay - py))
-            choice[i : i + 256] = np.argmax(area, axis=1)
-        parts.append(
-            pd.DataFrame({"bucket": int(bucket), "frm": frm, ROW: qr[choice], "x": qx[choice], "y": qy[choice]})
+def _chained_picks(parts: DataFrame, keys: list[str], target: int) -> DataFrame:
+    last, series = target - 3, _series_schema(parts, keys)
+    # a group holds at least CHAIN_BUCKETS buckets, and more where buckets have few rows
+    chain = F.greatest(F.lit(CHAIN_BUCKETS), F.ceil(F.lit(float(CHAIN_ROWS) * (target - 2)) / F.col("_n")))
+    b = F.col("bucket")
+    grp = lambda bucket: F.floor(bucket / chain).cast("bigint")
+
+    def to(role: int, bucket, g):
+        return F.struct(F.lit(role).alias("role"), bucket.alias("bucket"), g.alias("grp"))
+
+    is_point = F.col("role") == CANDIDATE
+    routes = F.array_compact(
+        F.array(
+            F.when(is_point & (b < 0), to(ENTRY, b, F.lit(0).cast("bigint"))),
+            F.when(is_point & (b >= 0), to(CANDIDATE, b, grp(b))),
+            F.when(is_point & (b >= 0) & (b < last) & (b % chain == chain - 1), to(ENTRY, b, grp(b) + 1)),
+            # a bucket's mean is what the bucket before aims at
+            F.when((F.col("role") == MEAN) & (b >= 1) & (b <= last + 1), to(MEAN, b - 1, grp(b - 1))),
         )
-        u = np.unique(choice)
-        states = np.stack([qr[u].astype(float), qx[u], qy[u]], axis=1)
-    out = pd.concat(parts, ignore_index=True)
-    return _with_keys(out[["bucket", "frm", ROW, "x", "y"]], pdf, keys)
-
-
-def _walk(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """Follow the transitions from the first row; the table holds few rows per bucket."""
-    links = {(b, f): (r, x, y) for b, f, r, x, y in zip(pdf.bucket, pdf.frm, pdf[ROW], pdf.x, pdf.y)}
-    buckets = sorted(pdf.bucket.unique())
-    at, out = -1, []
-    for b in buckets:
-        r, x, y = links[(b, -1 if b == buckets[-1] else at)]
-        out.append((int(b) + 1, r, x, y))
-        at = r
+    )
+    rows = parts.withColumn("_to", F.explode(routes)).select(*keys, "_to.grp", "_to.role", "_to.bucket", ROW, "x", "y")
+    groups = last // CHAIN_BUCKETS + 1
+    if groups > 1:
+        maps = rows.groupBy(*keys, "grp").applyInPandas(lambda pdf: _group_map(pdf, keys), f"{series}grp bigint, frm bigint, {ROW} bigint")
+        entries = _entries(stage(maps), keys, groups, series)
+        rows = join_small(rows, entries, [*keys, "grp"], broadcast=False)
+        rows = rows.filter((F.col("role") != ENTRY) | (F.col(ROW) == F.col("entry"))).drop("entry")
+    point = f"{series}pick int, {ROW} bigint, x double, y double"
+    picks = rows.groupBy(*keys, "grp").applyInPandas(lambda pdf: _group_picks(pdf, keys), point)
+    ends = parts.filter((F.col("role") == LAST) | ((F.col("role") == CANDIDATE) & (b < 0)))
+    ends = ends.select(*keys, F.when(b < 0, 0).otherwise(target - 1).alias("pick"), ROW, "x", "y")
+    return picks.unionByName(ends)
+
+
+def _entries(maps: DataFrame, keys: list[str], groups: int, series: str, fan: int | None = None) -> DataFrame:
+    """(by.., grp, entry): the row of the pick that enters each group, from the maps of all groups.
+
+    Maps of FAN neighbouring groups are composed first; what enters them is found one level up.
+    """
+    fan = fan or FAN
+    schema = f"{series}grp bigint, entry bigint"
+    if groups <= fan:
+        start = maps.withColumn("entry", F.lit(0).cast("bigint"))
+        return start.groupBy(*keys, F.lit(0).alias("_g")).applyInPandas(lambda pdf: _walk_groups(pdf, keys), schema)
+    up = F.floor(F.col("grp") / fan).cast("bigint")
+    joined = maps.groupBy(*keys, up.alias("_g")).applyInPandas(lambda pdf: _compose(pdf, keys, fan), f"{series}grp bigint, frm bigint, {ROW} bigint")
+    above = _entries(stage(joined), keys, -(-groups // fan), series, fan).withColumnRenamed("grp", "_g")
+    known = join_small(maps.withColumn("_g", up), above, [*keys, "_g"], broadcast=False)
+    return known.groupBy(*keys, "_g").applyInPandas(lambda pdf: _walk_groups(pdf, keys), schema)
+
+
+def _steps(pdf: pd.DataFrame) -> Iterator[tuple[int, dict[int, int]]]:
+    for g, m in pdf.sort_values("grp").groupby("grp", sort=True):
+        yield int(g), dict(zip(m["frm"], m[ROW], strict=True))
+
+
+def _walk_groups(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    at, out = int(pdf["entry"].iloc[0]), []
+    for g, m in _steps(pdf):
+        out.append((g, at))
+        at = m[at]
+    return _with_keys(pd.DataFrame(out, columns=["grp", "entry"]), pdf, keys)
+
+
+def _compose(pdf: pd.DataFrame, keys: list[str], fan: int) -> pd.DataFrame:
+    whole, first = None, 0
+    for g, m in _steps(pdf):
+        first = g if whole is None else first
+        whole = m if whole is None else {a: m[b] for a, b in whole.items()}
+    out = pd.DataFrame({"grp": first // fan, "frm": list(whole), ROW: list(whole.values())})
+    return _with_keys(out, pdf, keys)
+
+
+def _follow(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Bucket by bucket, for every distinct state the choice among the bucket's candidates: (bucket, choice of each
+    state, rows, x, y of the candidates).  The chosen candidates are the states of the next bucket."""
+    entry = pdf[pdf.role == ENTRY].sort_values(ROW)
+    px, py = entry["x"].to_numpy(), entry["y"].to_numpy()
+    sums = pdf[pdf.role == MEAN].groupby("bucket")[[ROW, "x", "y"]].sum()
+    aim = {int(k): (sx / n, sy / n) for k, n, sx, sy in zip(sums.index, sums[ROW], sums["x"], sums["y"])}
+    cand = _thinned(pdf[pdf.role == CANDIDATE]).sort_values(["bucket", ROW])
+    bucket, qr, qx, qy = (cand[c].to_numpy() for c in ("bucket", ROW, "x", "y"))
+    cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-2)), len(bucket))
+    for lo, hi in zip(cuts, cuts[1:]):
+        x, y = qx[lo:hi], qy[lo:hi]
+        ax, ay = aim.get(int(bucket[lo]), (x[-1], y[-1]))
+        choice, step = np.empty(len(px), dtype=np.int64), max(1, (1 << 21) // (hi - lo))
+        for i in range(0, len(px), step):
+            sx, sy = px[i : i + step, None], py[i : i + step, None]
+            choice[i : i + step] = np.argmax(np.abs((sx - ax) * (y[None, :] - sy) - (sx - x[None, :]) * (ay - sy)), axis=1)
+        yield int(bucket[lo]), choice, qr[lo:hi], x, y
+        used = np.unique(choice)
+        px, py = x[used], y[used]
+
+
+def _group_map(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """For every possible entering pick the last pick of the group."""
+    frm = np.sort(pdf.loc[pdf.role == ENTRY, ROW].to_numpy())
+    state, at = np.arange(len(frm)), frm
+    for _, choice, rows, _, _ in _follow(pdf):
+        used, place = np.unique(choice, return_inverse=True)
+        state, at = place[state], rows[used]
+    return _with_keys(pd.DataFrame({"grp": pdf["grp"].iloc[0], "frm": frm, ROW: at[state]}), pdf, keys)
+
+
+def _group_picks(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """The picks of a group from the one row that enters it."""
+    out = [(bucket + 1, rows[c[0]], x[c[0]], y[c[0]]) for bucket, c, rows, x, y in _follow(pdf)]
     return _with_keys(pd.DataFrame(out, columns=["pick", ROW, "x", "y"]), pdf, keys)
 
 

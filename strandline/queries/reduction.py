@@ -34,22 +34,25 @@ def envelope_by_series(spark, d):
     return rounded(e, 6, "value").select("event_type", ROW, "value")
 
 
-def _lttb_sql(target: int, shift: int) -> str:
+def _lttb_sql(target: int, shift: int, source: str = EV, kept: str = "") -> str:
+    """The chain of picks by recursion; `source` defines ev with its series in `event_type` where there are several."""
+    k = "event_type" if source == EV_BY else "0"
     last = target - 3
+    name = f"{kept}, " if kept else ""
     return (
-        f"WITH RECURSIVE {EV}, w AS (SELECT *, (n - 2)::double / {target - 2} AS w FROM ev), "
+        f"WITH RECURSIVE {source}, w AS (SELECT *, {k} AS k, (n - 2)::double / {target - 2} AS w FROM ev), "
         f"i AS (SELECT unnest(range(0, {target - 2})) AS b), "
-        "c AS (SELECT b, row_idx AS j, x, value AS y FROM i, w WHERE row_idx < n AND "
+        "c AS (SELECT b, k, row_idx AS j, x, value AS y FROM i, w WHERE row_idx < n AND "
         f"row_idx >= floor((b + {shift}) * w)::bigint + 1 AND row_idx < greatest(least(floor((b + {shift} + 1) * w)::bigint + 1, n - 1), floor((b + {shift}) * w)::bigint + 2)), "
-        "m AS (SELECT b, avg(x) AS mx, avg(value) AS my FROM i, w WHERE "
+        "m AS (SELECT b, k, avg(x) AS mx, avg(value) AS my FROM i, w WHERE "
         f"row_idx >= least(floor((b + {shift} + 1) * w)::bigint + 1, n - 1) AND row_idx < least(floor((b + {shift} + 2) * w)::bigint + 1, n) "
-        f"OR (row_idx = n - 1 AND b = {last}) GROUP BY b), "
-        "q AS (SELECT c.b, j, x, y, mx, my FROM c JOIN m USING (b)), "
-        "walk AS (SELECT -1::bigint AS b, row_idx AS j, x, value AS y FROM ev WHERE row_idx = 0 UNION ALL "
-        "SELECT r.b, r.s.j, r.s.x, r.s.y FROM (SELECT q.b, arg_max(struct_pack(j := q.j, x := q.x, y := q.y), "
+        f"OR (row_idx = n - 1 AND b = {last}) GROUP BY b, k), "
+        "q AS (SELECT c.b, c.k, j, x, y, mx, my FROM c JOIN m ON c.b = m.b AND c.k = m.k), "
+        "walk AS (SELECT -1::bigint AS b, k, row_idx AS j, x, value AS y FROM w WHERE row_idx = 0 UNION ALL "
+        "SELECT r.b, r.k, r.s.j, r.s.x, r.s.y FROM (SELECT q.b, q.k, arg_max(struct_pack(j := q.j, x := q.x, y := q.y), "
         "struct_pack(a := abs((p.x - mx) * (q.y - p.y) - (p.x - q.x) * (my - p.y)), j := -q.j)) AS s "
-        "FROM walk p JOIN q ON q.b = p.b + 1 GROUP BY q.b) r) "
-        f"SELECT (b + 1)::int AS pick, j AS row_idx FROM walk UNION ALL SELECT {target - 1}, n - 1 FROM ev WHERE row_idx = n - 1"
+        f"FROM walk p JOIN q ON q.b = p.b + 1 AND q.k = p.k GROUP BY q.b, q.k) r) "
+        f"SELECT {name}(b + 1)::int AS pick, j AS row_idx FROM walk UNION ALL SELECT {name}{target - 1}, row_idx FROM w WHERE row_idx = n - 1"
     )
 
 
@@ -63,9 +66,33 @@ def lttb_standard(spark, d):
     return red.lttb(events(spark, d), "x", "value", 200, "standard").select("pick", ROW)
 
 
-@query("lttb_by_series")
+@query("lttb_by_series", _lttb_sql(100, 1, EV_BY, "k").replace("SELECT k, (b", "SELECT k AS event_type, (b"))
 def lttb_by_series(spark, d):
-    return red.lttb(events(spark, d, "event_type"), "x", "value", 100).select("event_type", "pick", ROW, "x", "y")
+    return red.lttb(events(spark, d, "event_type"), "x", "value", 100).select("event_type", "pick", ROW)
+
+
+# plateaus of 700 rows, and a zigzag in x that is nowhere sorted
+FLAT = (
+    "ev AS (SELECT event_id::double AS x, (row_idx // 700 % 3) * 8.0::double AS value, row_idx, n FROM "
+    "(SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_idx, count(*) OVER () AS n FROM events))"
+)
+UNSORTED = (
+    "ev AS (SELECT (row_idx * 7919 % 10007)::double AS x, round(value)::double AS value, row_idx, n FROM "
+    "(SELECT value, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_idx, count(*) OVER () AS n FROM events))"
+)
+
+
+@query("lttb_flat", _lttb_sql(150, 1, FLAT))
+def lttb_flat(spark, d):
+    o = events(spark, d)
+    o = o.with_column("v", (F.floor(F.col(ROW) / 700) % 3) * F.lit(8.0)).with_column("x", F.col("event_id").cast("double"))
+    return red.lttb(o, "x", "v", 150).select("pick", ROW)
+
+
+@query("lttb_unsorted", _lttb_sql(150, 1, UNSORTED))
+def lttb_unsorted(spark, d):
+    o = events(spark, d).with_column("x", (F.col(ROW) * 7919 % 10007).cast("double")).with_column("value", F.round("value"))
+    return red.lttb(o, "x", "value", 150).select("pick", ROW)
 
 
 VIEW = (

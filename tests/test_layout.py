@@ -11,6 +11,7 @@ from strandline import Layout, order_rows
 from strandline.operators import align, reduce, spectral, stats, windows
 from strandline.plans.blocks import group_runs, longest_runs, running_total
 from strandline.plans.layout import ROW
+from strandline.plans.ordering import with_series_size
 from strandline.plans.ranks import nearest_rank, pick_ranks, upper_median_rank
 from tests.conftest import SMALL, WHOLE
 
@@ -357,3 +358,70 @@ def test_psd_per_series_long_and_short(spark):
         w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1))
         want += list(np.abs(np.fft.rfft((v[g] - v[g].mean()) * w)[1 : n // 2]) ** 2 / n)
     assert np.allclose([x.power for x in got], want)
+
+
+def _candidates_hold_the_winner(seg, x, y):
+    at = set(reduce.hull_candidates(seg, x, y, np.arange(len(x))).tolist())
+    rng = np.random.default_rng(0)
+    for _ in range(40):
+        px, py, ax, ay = rng.integers(-30, 30, 4)
+        for s in np.unique(seg):
+            own = np.flatnonzero(seg == s)
+            area = np.abs((px - ax) * (y[own] - py) - (px - x[own]) * (ay - py))
+            assert own[np.argmax(area)] in at
+    return at
+
+
+def test_hull_candidates_hold_every_winner():
+    rng = np.random.default_rng(5)
+    for size in (1, 2, 3, 5, 40, 300):
+        for span in (1, 2, 4, 40):
+            x, y = rng.integers(0, span, size), rng.integers(0, span, size)
+            _candidates_hold_the_winner(rng.integers(0, 3, size), x, y)
+            _candidates_hold_the_winner(np.zeros(size, dtype=int), np.sort(x), y)
+            _candidates_hold_the_winner(np.zeros(size, dtype=int), np.arange(size), np.full(size, span))
+            _candidates_hold_the_winner(np.zeros(size, dtype=int), rng.permutation(size), 3 * np.arange(size))
+    i = np.arange(5000)
+    assert len(reduce.hull_candidates(i * 0, i, i * 0 + 7, i)) == 2  # flat
+    assert len(reduce.hull_candidates(i * 0, i, 3 * i + 1, i)) == 2  # collinear
+    assert len(reduce.hull_candidates(i * 0, i * 0, i % 7, i)) <= 3  # upright
+    assert len(reduce.hull_candidates(i * 0, i * 7919 % 10007, i * 31 % 1009, i)) < 100  # unsorted
+    assert len(reduce.hull_candidates(i * 0, i, -((i - 2500) ** 2), i)) == 5000  # convex: all stay
+    assert len(reduce.hull_candidates(i * 0, i, np.where(i % 2, -((i - 2500) ** 2), -7 * 10**6), i)) == 2502  # thinned and finished
+
+
+SHAPES = {
+    "flat": lambda i: (i, i * 0 + 5),
+    "steps": lambda i: (i, i // 300 % 3 * 8),
+    "line": lambda i: (i, i * 4),
+    "unsorted": lambda i: (i * 7919 % 3001, i * 31 % 101),
+    "upright": lambda i: (i * 0 + 2, i * 17 % 64),
+    "spikes": lambda i: (i, np.where(i % 250 == 7, 1000, 0)),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_lttb_of_degenerate_shapes(spark, shape, monkeypatch):
+    n, target = 2050, 258  # buckets of 8 rows, so that means are exact
+    monkeypatch.setattr(reduce, "CHAIN_BUCKETS", 8)
+    monkeypatch.setattr(reduce, "CHAIN_ROWS", 8)
+    monkeypatch.setattr(reduce, "FAN", 3)
+    x, y = (a.astype(float) for a in SHAPES[shape](np.arange(n)))
+    df = spark.createDataFrame([(k, i, float(a), float(b)) for k in ("p", None) for i, (a, b) in enumerate(zip(x, y))], "k string, i int, x double, y double")
+    o = order_rows(df, "i", "k", layout=SMALL)
+    got = reduce.lttb(o, "x", "y", target).collect()
+    for k in ("p", None):
+        mine = sorted((g["pick"], g[ROW]) for g in got if g["k"] == k)
+        assert [p for p, _ in mine] == list(range(target))
+        assert [r for _, r in mine] == lttb_ref(x, y, target, 1)
+
+
+@pytest.mark.parametrize("shape", ["flat", "steps", "line", "unsorted", "upright"])
+def test_lttb_groups_hold_few_rows(spark, shape):
+    n, target = 20000, 40
+    x, y = (a.astype(float) for a in SHAPES[shape](np.arange(n)))
+    o = order_rows(spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "i int, x double, y double"), "i", layout=SMALL)
+    parts = reduce._hull_parts(with_series_size(o.select("x", "y")), target, 1)
+    blocks = n // o.block + target
+    assert parts.filter("role = 1").count() <= 24 * blocks
+    assert parts.groupBy("bucket", "role").count().agg(F.max("count")).collect()[0][0] <= 24 * (n // target // o.block + 2)
