@@ -21,6 +21,7 @@ from strandline.functions.dates import (
 from strandline.functions.numbers import share_numeric
 from strandline.functions.units import channel_role, infer_unit
 
+STARTS = r"^\d{1,4}[-/:]"
 DATE_SHARE, TIME_SHARE, NUMERIC_SHARE = 0.7, 0.8, 0.5
 
 
@@ -42,9 +43,12 @@ class Guess:
 
 
 def guess_dates(df: DataFrame, cols: Sequence[str]) -> dict[str, Guess]:
-    """Score every layout on all non-empty cells in one aggregation; the best share wins, the earliest layout on ties."""
+    """Score every layout on all non-empty cells in one aggregation; the best share wins, the earliest layout on ties.
+
+    Every layout begins with a number and its separator; cells that do not are counted, but tried in none.
+    """
     layouts = [RFC3339, *DATE_FORMATS]
-    c = F.col("cell")
+    c = F.when(F.col("cell").rlike(STARTS), F.col("cell"))
     scores = [F.avg(matches_date(c, f).cast("double")).alias(f"d{i}") for i, f in enumerate(layouts)]
     scores += [F.avg(matches_time(c, f).cast("double")).alias(f"t{i}") for i, f in enumerate(TIME_FORMATS)]
     cells = df.select(F.posexplode(F.array(*[column(c) for c in cols])).alias("position", "cell")).filter("cell is not null and cell <> ''")
