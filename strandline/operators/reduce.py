@@ -13,8 +13,8 @@ from strandline.functions import fx
 from strandline.operators.rows import view_window
 from strandline.plans.blocks import home_block, over_blocks, with_halo
 from strandline.plans.layout import BLOCK, ROW
-from strandline.plans.ordering import Ordered, facts, join_sized, join_small, order_rows, with_series_size
-from strandline.plans.staging import stage
+from strandline.plans.ordering import BROADCAST_ROWS, Ordered, facts, join_sized, join_small, order_rows, with_series_size
+from strandline.plans.staging import settled, stage
 
 SPLINE_HALO = 64
 SPLINE_CHUNK = 512
@@ -37,24 +37,25 @@ def finite_series(o: Ordered, x: str, y: str) -> Ordered:
 def minmax_envelope(o: Ordered, x: str, y: str, buckets: int) -> DataFrame:
     """First lowest and first highest row of each equal row bucket, in row order.
 
-    A series of at most 2 * buckets rows is returned as it is.
+    A series of at most 2 * buckets rows is returned as it is; elsewhere missing y are passed over.  The
+    extremes of the buckets come first, then the first rows that have them: plain numbers both times, so that rows
+    are aggregated by hash and only a row for each bucket is shuffled.
     """
     d = with_series_size(o.select(x, y)).df
-    if buckets == 0:
+    if buckets == 0 or (not o.by and o.n <= 2 * buckets):
         return d.drop("_n")
     small = F.col("_n") <= 2 * buckets
-    part = F.when(small, F.col(ROW)).otherwise(F.floor(((F.col(ROW) + 1) * buckets - 1) / F.col("_n")))
-    ends = d.groupBy(*o.by, part.alias("_b")).agg(
-        F.min(F.struct(F.col(y).alias("v"), F.col(ROW).alias("r"), F.col(x).alias("x"))).alias("lo"),
-        F.max(F.struct(F.col(y).alias("v"), (-F.col(ROW)).alias("r"), F.col(x).alias("x"))).alias("hi"),
-    )
-    picks = F.array_distinct(
-        F.array(
-            F.struct(F.col("lo.r").alias(ROW), F.col("lo.x").alias(x), F.col("lo.v").alias(y)),
-            F.struct((-F.col("hi.r")).alias(ROW), F.col("hi.x").alias(x), F.col("hi.v").alias(y)),
-        )
-    )
-    return ends.select(*o.by, F.explode(picks).alias("p")).select(*o.by, "p.*")
+    keys = [*o.by, "_b"]
+    large = d.filter(~small).withColumn("_b", F.floor(((F.col(ROW) + 1) * buckets - 1) / F.col("_n"))).drop("_n")
+    ends = settled(large.groupBy(*keys).agg(F.min(y).alias("_lo"), F.max(y).alias("_hi")))
+    met = join_small(large, ends, keys, "inner", broadcast=(ends.count() if o.by else buckets) <= BROADCAST_ROWS)
+    at_lo, at_hi = (F.when(F.col(y) == F.col(e), F.col(ROW)) for e in ("_lo", "_hi"))
+    met = met.filter((F.col(y) == F.col("_lo")) | (F.col(y) == F.col("_hi"))).withColumns({"_rlo": at_lo, "_rhi": at_hi})
+    first = met.groupBy(*keys).agg(*[f.alias(n) for e in ("lo", "hi") for f, n in ((F.min(f"_r{e}"), f"r{e}"), (F.min_by(x, f"_r{e}"), f"x{e}"), (F.min_by(y, f"_r{e}"), f"y{e}"))])
+    picks = F.array(*[F.struct(F.col(f"r{e}").alias(ROW), F.col(f"x{e}").alias(x), F.col(f"y{e}").alias(y)) for e in ("lo", "hi")])
+    picks = F.when(F.col("rlo") == F.col("rhi"), F.slice(picks, 1, 1)).otherwise(picks)
+    out = first.select(*o.by, F.explode(picks).alias("p")).select(*o.by, "p.*")
+    return out.unionByName(d.filter(small).select(*out.columns)) if o.by else out
 
 
 # ---------------------------------------------------------------- triangle downsampling

@@ -13,13 +13,13 @@ from strandline.functions import fx
 from strandline.operators.stats import sample_rate
 from strandline.plans.layout import ROW
 from strandline.plans.ordering import Ordered, facts, join_sized, order_rows, with_series_size
+from strandline.plans.staging import stage
 
 # One task transforms a series up to this many rows directly; longer ones are split.  Many keyed series share
 # their tasks, a table without keys is one series.
 DIRECT_ROWS = 1 << 20
 WHOLE_TABLE_ROWS = 1 << 12
 LINES_PER_TASK = 64
-MAX_LONG_SERIES = 100
 
 
 def hann(i: Column, n: Column) -> Column:
@@ -75,24 +75,26 @@ def _empty(o: Ordered, schema: str) -> DataFrame:
 
 
 def _psd_keyed(s: Ordered, fs: float, direct_rows: int) -> DataFrame:
-    """Short series side by side; each one above `direct_rows` as its own split transform."""
-    sizes = s.df.groupBy(*s.by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > direct_rows)
-    long = sizes.limit(MAX_LONG_SERIES + 1).coalesce(1).collect()
-    if len(long) > MAX_LONG_SERIES:
-        raise ValueError(f"over {MAX_LONG_SERIES} series exceed {direct_rows} rows: transform them in batches")
-    rest, parts = s.df, []
-    for r in long:
-        mine = F.lit(True)
-        for k in s.by:
-            mine = mine & F.col(k).eqNullSafe(F.lit(r[k]))
-        rest = rest.filter(~mine)
-        one = psd(Ordered(s.df.filter(mine).drop(*s.by), r["_n"], (), s.layout), "y", fs, direct_rows)
-        keys = [F.lit(r[k]).cast(s.df.schema[k].dataType).alias(k) for k in s.by]
-        parts.append(one.select(*keys, "k", "frequency", "power"))
-    out = _psd_direct(s.with_df(rest), fs)
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    """Short series side by side; all above `direct_rows`, however many, in one split transform keyed by series."""
+    keys = list(s.by)
+    sizes = s.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("_mean")).filter(F.col("n") > max(direct_rows, 3))
+    long = sizes.withColumn("_p", _arrangements("n")).select(*keys, "n", "_mean", "_p.m", "_p.n1", "_p.n2", F.monotonically_increasing_id().alias("sid"))
+    long = stage(long)
+    kinds = long.agg(F.count_if(F.col("m") > 0).alias("chirps"), F.count_if(F.col("m") == 0).alias("splits")).collect()[0]
+    if kinds.chirps + kinds.splits == 0:
+        return _psd_direct(s, fs)
+    d = join_sized(s.df, long, keys)
+    re = (F.col("y") - F.col("_mean")) * hann(F.col(ROW), F.col("n").cast("double"))
+    lines = d.filter("sid is not null").select("sid", "n", "m", "n1", "n2", F.col(ROW).alias("j"), re.alias("re"), F.lit(0.0).alias("im"))
+    out = _transforms(lines, kinds.chirps > 0, kinds.splits > 0)
+    out = join_sized(out, long.select("sid", "n", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]), ["sid"], "inner")
+    n, j = F.col("n"), F.col("j")
+    power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / n
+    out = out.filter((j >= 1) & (j < F.floor(n / 2))).select(
+        *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], j.alias("k"), (j * F.lit(float(fs)) / n).alias("frequency"), power.alias("power")
+    )
+    rest = d.filter("sid is null").select(*s.df.columns)
+    return _psd_direct(s.with_df(rest), fs).unionByName(out)
 
 
 def _psd_direct(s: Ordered, fs: float) -> DataFrame:
@@ -128,19 +130,48 @@ def balanced_split(n: int) -> tuple[int, int]:
     return 1, n
 
 
-def transform(line: DataFrame, n: int, inverse: bool = False) -> DataFrame:
-    """Discrete Fourier transform of rows (j, re, im), j = 0 .. n-1, as rows (j, re, im)."""
+def arrangement(n: int) -> tuple[int, int, int]:
+    """(m, n1, n2): a balanced n1 x n2 arrangement of n itself (m = 0), or of the length m of an equivalent convolution."""
     n1, n2 = balanced_split(n)
-    if n2 > 64 * n1 and not inverse:
-        return _chirp(line, n)
-    return _two_round(line, n1, n2, inverse)
+    if n2 <= 64 * n1:
+        return 0, n1, n2
+    m = 1 << (2 * n - 1).bit_length()
+    return (m, *balanced_split(m))
+
+
+def _arrangements(n: str) -> Column:
+    def plan(lengths: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([arrangement(int(v)) for v in lengths], columns=["m", "n1", "n2"])
+
+    return F.pandas_udf(plan, "m long, n1 long, n2 long")(n)
+
+
+def transform(line: DataFrame, n: int) -> DataFrame:
+    """Discrete Fourier transform of rows (j, re, im), j = 0 .. n-1, as rows (j, re, im)."""
+    m, n1, n2 = arrangement(n)
+    fixed = {"sid": 0, "n": n, "m": m, "n1": n1, "n2": n2}
+    one = line.select(*[F.lit(v).cast("bigint").alias(c) for c, v in fixed.items()], "j", "re", "im")
+    return _transforms(one, m > 0, m == 0).drop("sid")
+
+
+def _transforms(lines: DataFrame, chirps: bool, splits: bool) -> DataFrame:
+    """Transforms of any number of series side by side: rows (sid, n, m, n1, n2, j, re, im) to rows (sid, j, re, im)."""
+    out = []
+    if splits:
+        out.append(_two_round(lines.filter("m = 0") if chirps else lines, False))
+    if chirps:
+        out.append(_chirp(lines.filter("m > 0") if splits else lines))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
-def _two_round(line: DataFrame, n1: int, n2: int, inverse: bool) -> DataFrame:
-    """Index j = a * n2 + b: transform over a for each b, twist, then over b for each output c."""
-    n, sgn = n1 * n2, 1.0 if inverse else -1.0
+def _two_round(lines: DataFrame, inverse: bool) -> DataFrame:
+    """Index j = a * n2 + b: transform over a for each b, twist, then over b for each output c.
+
+    A task holds some lines of one series: about LINES_PER_TASK * sqrt(n1 * n2) numbers.
+    """
+    sgn = 1.0 if inverse else -1.0
     fft = (lambda m: np.fft.ifft(m, axis=1) * m.shape[1]) if inverse else (lambda m: np.fft.fft(m, axis=1))
-    schema = "line bigint, at bigint, re double, im double"
+    schema = "sid bigint, n1 bigint, n2 bigint, line bigint, at bigint, re double, im double"
 
     def rows_of(pdf: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
         ids, where = np.unique(pdf["line"].to_numpy(), return_inverse=True)
@@ -148,55 +179,66 @@ def _two_round(line: DataFrame, n1: int, n2: int, inverse: bool) -> DataFrame:
         m[where, pdf["at"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
         return ids, m
 
-    def frame(lines: np.ndarray, at: np.ndarray, m: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"line": lines.ravel(), "at": at.ravel(), "re": m.real.ravel(), "im": m.imag.ravel()})
+    def frame(pdf: pd.DataFrame, lines: np.ndarray, at: np.ndarray, m: np.ndarray) -> pd.DataFrame:
+        same = {c: pdf[c].iloc[0] for c in ("sid", "n1", "n2")}
+        return pd.DataFrame({**same, "line": lines.ravel(), "at": at.ravel(), "re": m.real.ravel(), "im": m.imag.ravel()})
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        n1, n = int(pdf["n1"].iloc[0]), int(pdf["n1"].iloc[0]) * int(pdf["n2"].iloc[0])
         b, m = rows_of(pdf, n1)
         c = np.arange(n1)
         m = fft(m) * np.exp(sgn * 2j * np.pi * ((b[:, None] * c[None, :]) % n) / n)
         lines, at = np.broadcast_arrays(c[None, :], b[:, None])
-        return frame(lines, at, m)
+        return frame(pdf, lines, at, m)
 
     def second(pdf: pd.DataFrame) -> pd.DataFrame:
+        n1, n2 = int(pdf["n1"].iloc[0]), int(pdf["n2"].iloc[0])
         c, m = rows_of(pdf, n2)
         e = np.arange(n2)
         at, lines = c[:, None] + n1 * e[None, :], np.zeros((len(c), n2), dtype="int64")
-        return frame(lines, at, fft(m))
+        return frame(pdf, lines, at, fft(m))
 
-    task = F.floor(F.col("line") / LINES_PER_TASK)
-    d = line.select((F.col("j") % n2).alias("line"), F.floor(F.col("j") / n2).alias("at"), "re", "im")
-    d = d.groupBy(task.alias("_t")).applyInPandas(lambda p: first(p), schema)
-    d = d.groupBy(task.alias("_t")).applyInPandas(lambda p: second(p), schema)
-    return d.select(F.col("at").alias("j"), "re", "im")
+    task = F.floor(F.col("line") / LINES_PER_TASK).alias("_t")
+    d = lines.select("sid", "n1", "n2", (F.col("j") % F.col("n2")).alias("line"), F.floor(F.col("j") / F.col("n2")).alias("at"), "re", "im")
+    d = d.groupBy("sid", task).applyInPandas(first, schema)
+    d = d.groupBy("sid", task).applyInPandas(second, schema)
+    return d.select("sid", F.col("at").alias("j"), "re", "im")
 
 
-def _chirp(line: DataFrame, n: int) -> DataFrame:
-    """Any length as a circular convolution of power-of-two length with a quadratic-phase sequence."""
-    m = 1 << (2 * n - 1).bit_length()
+SEQUENCE = 1 << 16
+
+
+def _chirp(lines: DataFrame) -> DataFrame:
+    """Any length as a circular convolution of power-of-two length m with a quadratic-phase sequence.
+
+    The sequence of a length is made and transformed once for all series of that length.
+    """
+    n, m, j = F.col("n"), F.col("m"), F.col("j")
 
-    def phase(j: Column, sign: float) -> tuple[Column, Column]:
-        # j * j in two parts, reduced in between: the plain square overflows above 3 * 10^9 rows
-        high = F.shiftright(j, 16) * j % (2 * n) * 65536
-        angle = F.lit(sign * math.pi / n) * ((high + j % 65536 * j) % (2 * n)).cast("double")
+    def phase(k: Column, sign: float) -> tuple[Column, Column]:
+        # k * k in two parts, reduced in between: the plain square overflows above 3 * 10^9 rows
+        high = F.shiftright(k, 16) * k % (n * 2) * 65536
+        angle = F.lit(sign * math.pi) / n * ((high + k % 65536 * k) % (n * 2)).cast("double")
         return F.cos(angle), F.sin(angle)
 
-    c, s = phase(F.col("j"), -1.0)
-    a = line.select("j", (F.col("re") * c - F.col("im") * s).alias("re"), (F.col("re") * s + F.col("im") * c).alias("im"))
-    wrapped = F.when(F.col("id") < n, F.col("id")).when(F.col("id") > m - n, F.lit(m) - F.col("id"))
+    c, s = phase(j, -1.0)
+    shape = ["n", "m", "n1", "n2"]
+    turned = lines.select("sid", *shape, "j", (F.col("re") * c - F.col("im") * s).alias("re"), (F.col("re") * s + F.col("im") * c).alias("im"))
+    lengths = stage(lines.select("sid", *shape).distinct())
+    d = lengths.select(*shape).distinct().withColumn("_hi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(m / SEQUENCE) - 1)))
+    d = d.withColumn("j", F.explode(F.sequence(F.col("_hi") * SEQUENCE, F.least(m, (F.col("_hi") + 1) * SEQUENCE) - 1)))
+    wrapped = F.when(j < n, j).when(j > m - n, m - j)
     cb, sb = phase(wrapped, 1.0)
-    b = line.sparkSession.range(m).select(F.col("id").alias("j"), cb.alias("re"), sb.alias("im")).filter("re is not null")
-    n1, n2 = balanced_split(m)
-    fa = _two_round(a, n1, n2, False)
-    fb = _two_round(b, n1, n2, False).select("j", F.col("re").alias("rb"), F.col("im").alias("ib"))
-    prod = fa.join(fb, "j").select(
-        "j", (F.col("re") * F.col("rb") - F.col("im") * F.col("ib")).alias("re"),
+    b = d.select(n.alias("sid"), "n1", "n2", "j", cb.alias("re"), sb.alias("im")).filter("re is not null")
+    fa = join_sized(_two_round(turned, False), lengths, ["sid"], "inner")
+    fb = _two_round(b, False).select(F.col("sid").alias("n"), "j", F.col("re").alias("rb"), F.col("im").alias("ib"))
+    prod = fa.join(fb, ["n", "j"]).select(
+        "sid", "n1", "n2", "j", (F.col("re") * F.col("rb") - F.col("im") * F.col("ib")).alias("re"),
         (F.col("re") * F.col("ib") + F.col("im") * F.col("rb")).alias("im"),
     )
-    conv = _two_round(prod, n1, n2, True).filter(F.col("j") < n)
-    c, s = phase(F.col("j"), -1.0)
-    re, im = F.col("re") / float(m), F.col("im") / float(m)
-    return conv.select("j", (re * c - im * s).alias("re"), (re * s + im * c).alias("im"))
+    conv = join_sized(_two_round(prod, True), lengths, ["sid"], "inner").filter(j < n)
+    re, im = F.col("re") / m.cast("double"), F.col("im") / m.cast("double")
+    return conv.select("sid", "j", (re * c - im * s).alias("re"), (re * s + im * c).alias("im"))
 
 
 def top_peaks(spectrum: DataFrame, k: int = 6) -> DataFrame:

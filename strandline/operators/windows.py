@@ -119,11 +119,43 @@ def moving_average(o: Ordered, y: str, window: int, name: str) -> DataFrame:
     """Centred mean over `window // 2` rows each side, clamped at the ends; any missing value spoils it."""
     half = max(window, 1) // 2
     v = fx.as_nan(F.col(y))
+    if half > DIRECT_WINDOW // 2:
+        return _moving_average_wide(o, v, half, name)
     return over_blocks(
         o, half, half, lambda w: {name: fx.stored(F.avg(v).over(w.rowsBetween(-half, half)))}
     )
 
 
+def _moving_average_wide(o: Ordered, v: Column, half: int, name: str) -> DataFrame:
+    """Same result at a fixed cost per row for any width.
+
+    Rows are cut into slabs of one full window, so a window is the end of one slab and the start of the next: a
+    running sum from behind, `half` rows back, and one from the front, `half` rows ahead.  Nothing is subtracted, so a
+    missing value spoils just the windows that hold it.
+    """
+    width = 2 * half + 1
+    size = max(o.block, width)
+    d = with_halo(o, half, half, size).withColumn("_v", v).withColumn("_slab", F.floor(F.col(ROW) / width))
+    keys = [*o.by, BLOCK]
+    d = d.repartition(*keys)  # one shuffle for the slabs and the blocks they lie in
+    slab = Window.partitionBy(*keys, "_slab")
+    upto = slab.orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
+    onward = slab.orderBy(F.col(ROW).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_front", F.sum("_v").over(upto)).withColumn("_back", F.sum("_v").over(onward))
+    block = Window.partitionBy(*keys).orderBy(ROW)
+    end = block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.greatest(F.col(ROW) - half, F.lit(0))
+    last = F.least(F.col(ROW) + half, F.max(ROW).over(end))
+    front = F.coalesce(F.lead("_front", half).over(block), F.last("_front").over(end))
+    d = d.withColumns({"_a": first, "_b": last, "_front": front, "_back": F.lag("_back", half).over(block)})
+    a, b = F.floor(F.col("_a") / width), F.floor(F.col("_b") / width)
+    # within one slab the window starts with it, or ends with the last row of the series
+    total = F.when((a == b) & (F.col("_a") == a * width), F.col("_front")).when(a == b, F.col("_back")).otherwise(F.col("_back") + F.col("_front"))
+    kept = [c for c in o.df.columns if c != name]
+    out = d.select(*kept, BLOCK, fx.stored(total / (F.col("_b") - F.col("_a") + 1)).alias(name))
+    return out.filter(F.col(BLOCK) == home_block(size)).drop(BLOCK)
+
+
 def row_delta(o: Ordered, x: str, name: str) -> DataFrame:
     """x minus the previous row's x."""
     c = F.col(x).cast("double")

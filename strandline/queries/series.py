@@ -72,6 +72,18 @@ def moving_average(spark, d):
     return rounded(windows.moving_average(_holed(events(spark, d)), "v", 5, "r"), 6, "r").select("event_id", "r")
 
 
+@query(
+    "moving_average_wide",
+    f"WITH {EV}, h AS (SELECT *, CASE WHEN row_idx = n // 5 THEN NULL ELSE value END AS v FROM ev) SELECT event_id, CASE WHEN count(v) OVER w = count(*) OVER w THEN round(avg(v) OVER w, 6) END AS r "
+    "FROM h WINDOW w AS (ORDER BY row_idx ROWS BETWEEN 4000 PRECEDING AND 4000 FOLLOWING)",
+)
+def moving_average_wide(spark, d):
+    """8,001 rows a window, one of them missing a fifth of the way in."""
+    o = events(spark, d)
+    o = o.with_column("v", F.when(F.col(ROW) != o.n // 5, F.col("value")))
+    return rounded(windows.moving_average(o, "v", 8000, "r"), 6, "r").select("event_id", "r")
+
+
 @query("row_delta", f"WITH {EV} SELECT event_id, round(x - lag(x) OVER (ORDER BY row_idx), 6) AS dx FROM ev")
 def row_delta(spark, d):
     return rounded(windows.row_delta(events(spark, d), "x", "dx"), 6, "dx").select("event_id", "dx")
@@ -257,18 +269,27 @@ def psd_peaks(spark, d):
     return rounded(spectral.top_peaks(spectral.psd(events(spark, d), "value", 2.0)), 4, "power")
 
 
-@query(
-    "psd_by_series",
+PSD_BY = (
     f"WITH {EV_BY}, m AS (SELECT event_type, row_idx AS j, n, (value - avg(value) OVER (PARTITION BY event_type)) * (0.5 - 0.5 * cos(2 * pi() * row_idx / (n - 1))) AS z FROM ev), "
     "k AS (SELECT event_type, unnest(range(1, n // 2)) AS k FROM (SELECT event_type, any_value(n) AS n FROM m GROUP BY 1)), "
     "f AS (SELECT event_type, k, any_value(n) AS n, sum(z * cos(2 * pi() * ((j * k) % n) / n)) AS re, sum(z * sin(2 * pi() * ((j * k) % n) / n)) AS im FROM m JOIN k USING (event_type) GROUP BY 1, 2) "
-    "SELECT event_type, k, round(k::double / n, 9) AS frequency, round((re * re + im * im) / n, 4) AS power FROM f",
+    "SELECT event_type, k, round(k::double / n, 9) AS frequency, round((re * re + im * im) / n, 4) AS power FROM f"
 )
+
+
+@query("psd_by_series", PSD_BY)
 def psd_by_series(spark, d):
     out = spectral.psd(events(spark, d, "event_type"), "value", 1.0)
     return rounded(rounded(out, 9, "frequency"), 4, "power")
 
 
+@query("psd_long_series", PSD_BY.replace("event_type", "user_id"))
+def psd_long_series(spark, d):
+    """Every user with over 20 events as a long series: split transforms and convolutions of many lengths at once."""
+    out = spectral.psd(events(spark, d, "user_id"), "value", 1.0, direct_rows=20)
+    return rounded(rounded(out, 9, "frequency"), 4, "power")
+
+
 STFT = (
     f"WITH {EV}, w AS (SELECT any_value(n) AS n, (any_value(n) - 64) // 32 + 1 AS whole FROM ev), "
     "fr AS (SELECT unnest(range(0, (SELECT CASE WHEN whole * 32 < n THEN whole + 1 ELSE whole END FROM w))) AS frame), "

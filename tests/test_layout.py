@@ -425,3 +425,54 @@ def test_lttb_groups_hold_few_rows(spark, shape):
     blocks = n // o.block + target
     assert parts.filter("role = 1").count() <= 24 * blocks
     assert parts.groupBy("bucket", "role").count().agg(F.max("count")).collect()[0][0] <= 24 * (n // target // o.block + 2)
+
+
+def test_many_long_series_in_one_transform(spark):
+    rng = np.random.default_rng(8)
+    sizes = {f"s{i}": (60, 61, 64, 67, 90, 127)[i % 6] for i in range(150)} | {"few": 3, None: 71, "short": 9}
+    values = {k: rng.normal(size=n) for k, n in sizes.items()}
+    df = spark.createDataFrame([(k, i, float(v)) for k, a in values.items() for i, v in enumerate(a)], "g string, i int, y double").repartition(4)
+    out = spectral.psd(order_rows(df, "i", "g"), "y", 4.0, direct_rows=50)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Union") <= 2
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.g, {})[r.k] = (r.frequency, r.power)
+    for g, v in values.items():
+        n = len(v)
+        win = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1))
+        want = np.abs(np.fft.rfft((v - v.mean()) * win)) ** 2 / n
+        mine = got.get(g, {})
+        assert sorted(mine) == (list(range(1, n // 2)) if n >= 4 else [])
+        assert all(abs(p - want[k]) < 1e-9 and abs(f - 4.0 * k / n) < 1e-12 for k, (f, p) in mine.items())
+
+
+@pytest.mark.parametrize("window", [66, 151, 999, 5000])
+def test_wide_moving_average(spark, window):
+    rng = np.random.default_rng(window)
+    sizes = {"a": 1000, "b": 40, None: 399}
+    values = {g: [None if i in (300, 301, 777) else float(v) for i, v in enumerate(rng.normal(size=n))] for g, n in sizes.items()}
+    df = spark.createDataFrame([(g, i, v) for g, a in values.items() for i, v in enumerate(a)], "g string, i int, v double").repartition(3)
+    for lay in (SMALL, WHOLE):
+        got = {(r.g, r.i): r.r for r in windows.moving_average(order_rows(df, "i", "g", layout=lay), "v", window, "r").collect()}
+        for g, a in values.items():
+            for i in range(len(a)):
+                part = a[max(0, i - window // 2) : i + window // 2 + 1]
+                want = None if None in part else sum(part) / len(part)
+                assert got[g, i] is None if want is None else abs(got[g, i] - want) < 1e-9, (g, i)
+
+
+def test_envelope_aggregates_by_hash(spark):
+    rows = [(g, i, float(i), float(i * 7 % 11) if i % 5 else None) for g, n in (("a", 500), ("b", 20), (None, 90)) for i in range(n)]
+    o = order_rows(spark.createDataFrame(rows, "g string, i int, x double, y double"), "i", "g", layout=SMALL)
+    out = reduce.minmax_envelope(o, "x", "y", 30)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    got = {g: sorted(r[ROW] for r in out.filter(F.col("g").eqNullSafe(F.lit(g))).collect()) for g in ("a", "b", None)}
+    assert got["b"] == list(range(20))
+    for g, n in (("a", 500), (None, 90)):
+        want = set()
+        for b in range(30):
+            own = [i for i in range(b * n // 30, (b + 1) * n // 30) if i % 5]
+            if own:
+                want |= {min(own, key=lambda i: (i * 7 % 11, i)), min(own, key=lambda i: (-(i * 7 % 11), i))}
+        assert got[g] == sorted(want)
