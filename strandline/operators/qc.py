@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +23,7 @@ from strandline.plans.blocks import group_runs, longest_runs, over_blocks
 from strandline.plans.layout import ROW
 from strandline.plans.ordering import Ordered, facts
 from strandline.plans.ranks import pick_ranks, upper_median_rank
+from strandline.plans.selection import medians_and_deviations
 from strandline.plans.staging import local_copy, stage, stage_rows
 
 # Fixed values of the detectors.
@@ -128,11 +130,30 @@ def missing(facts_: DataFrame) -> DataFrame:
     return _finding(facts_.filter(hit), "medium", "missing", detail, 1, 2, F.col("position"), column=F.col("column"))
 
 
-def outliers(o: Ordered, channels: Sequence[str]) -> DataFrame:
+def segment_count(n: int) -> int:
+    return min(max(n // 200, 8), 40)
+
+
+@dataclass(frozen=True)
+class Levels:
+    """Upper median and MAD of each channel in each equal row segment and, under the number `segments`, in all rows."""
+
+    segments: int
+    found: dict[tuple[int, int], dict]
+
+
+def channel_levels(o: Ordered, channels: Sequence[str]) -> Levels:
+    """Levels of all channels and segments from the same scans."""
+    k = segment_count(o.n)
+    return Levels(k, medians_and_deviations(o.df, [number_of(o.df, c) for c in channels], upper_median_rank, segment_of(k, o.n), k))
+
+
+def outliers(o: Ordered, channels: Sequence[str], levels: Levels | None = None) -> DataFrame:
     """(column, position, row_idx) with |v - median| / (1.4826 MAD) > 10, for channels of 20+ values, MAD > 0."""
-    long = to_long(o.df, channels)
-    mm = median_mad(long, "value", ("position",), o.n * len(channels), layout=o.layout, largest=o.n).collect()
-    known = {channels[r.position]: (r.median, r.mad) for r in mm if r.n >= OUTLIER_MIN_ROWS and r.mad > 0}
+    if levels is None:
+        levels = Levels(0, medians_and_deviations(o.df, [number_of(o.df, c) for c in channels], upper_median_rank))
+    mine = {c: v for (s, c), v in levels.found.items() if s == levels.segments}
+    known = {channels[c]: (v["median"], v["mad"]) for c, v in mine.items() if v["n"] >= OUTLIER_MIN_ROWS and v["mad"] > 0}
     marks = [
         F.when(
             F.abs(number_of(o.df, c) - known[c][0]) / (ROBUST_SIGMA * known[c][1]) > OUTLIER_Z,
@@ -147,9 +168,9 @@ def outliers(o: Ordered, channels: Sequence[str]) -> DataFrame:
     return hits.select("c.column", "c.position", ROW)
 
 
-def outlier_runs(o: Ordered, channels: Sequence[str]) -> DataFrame:
+def outlier_runs(o: Ordered, channels: Sequence[str], levels: Levels | None = None) -> DataFrame:
     """Outliers at most 3 rows apart joined: (column, position, start, end, count)."""
-    return group_runs(outliers(o, channels), ("column", "position"), o.block, 2)
+    return group_runs(outliers(o, channels, levels), ("column", "position"), o.block, 2)
 
 
 def glitches(runs: DataFrame) -> DataFrame:
@@ -177,24 +198,25 @@ def regimes(runs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- level shifts
 
 
-def segment_levels(o: Ordered, channels: Sequence[str]) -> tuple[DataFrame, int]:
+def segment_levels(o: Ordered, channels: Sequence[str], levels: Levels | None = None) -> tuple[DataFrame, int]:
     """Upper median and MAD per channel and equal row segment; at most 40 rows per channel."""
-    k = min(max(o.n // 200, 8), 40)
-    d = o.df.withColumn("segment", segment_of(k, o.n))
-    long = to_long(d, channels, ("segment",))
-    levels = median_mad(
-        long, "value", ("position", "segment"), o.n * len(channels), layout=o.layout, largest=o.n // k + 1
-    )
-    return levels, k
+    levels = levels or channel_levels(o, channels)
+    rows = [(c, s, v["n"], v["median"], v["mad"]) for (s, c), v in levels.found.items() if s < levels.segments]
+    return o.df.sparkSession.createDataFrame(rows, "position int, segment int, n bigint, median double, mad double"), levels.segments
 
 
-def changepoints(o: Ordered, channels: Sequence[str]) -> DataFrame:
-    """At most one level shift per channel, placed on its row: (position, column, onset, shift)."""
+def changepoints(o: Ordered, channels: Sequence[str], levels: Levels | None = None) -> DataFrame:
+    """At most one level shift per channel, placed on its row: (position, column, onset, shift).
+
+    Without `levels` the indexed channels are written once for the scans that find them.
+    """
     spark = o.df.sparkSession
     empty = "position int, column string, onset bigint, shift double"
     if o.n < CHANGE_MIN_ROWS:
         return spark.createDataFrame([], empty)
-    levels, k = segment_levels(o, channels)
+    if levels is None:
+        o = stage_rows(o, *dict.fromkeys(channels))
+    levels, k = segment_levels(o, channels, levels)
     seq = Window.partitionBy("position").orderBy("segment")
     mads = F.sort_array(F.collect_list("mad").over(Window.partitionBy("position")))
     noise = F.greatest(F.get(mads, F.floor(F.size(mads) / 2).cast("int")) * ROBUST_SIGMA, F.lit(NOISE_FLOOR))
@@ -361,8 +383,9 @@ def health_check(
     with ThreadPoolExecutor(4) as pool:
         gaps = pool.submit(lambda: local_copy(time_gaps(o, time_col)) if time_col else None)
         per_channel = pool.submit(lambda: local_copy(channel_facts(o, channels)))
-        joined = pool.submit(lambda: stage(outlier_runs(o, channels)))
-        shifts = pool.submit(lambda: events(o, channels, changepoints(o, channels), lineage))
+        levels = channel_levels(o, channels)
+        joined = pool.submit(lambda: stage(outlier_runs(o, channels, levels)))
+        shifts = pool.submit(lambda: events(o, channels, changepoints(o, channels, levels), lineage))
         g, f, runs, parts = gaps.result(), per_channel.result(), joined.result(), [shifts.result()]
     parts += [dead(f), frozen(f), missing(f), regimes(runs), glitches(runs)]
     if g is not None:

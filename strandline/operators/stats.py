@@ -17,7 +17,8 @@ from strandline.plans.blocks import longest_runs, over_blocks
 from strandline.plans.layout import ROW
 from strandline.plans.ordering import Ordered, facts, join_sized
 from strandline.plans.ranks import lower_median_rank, nearest_rank, pick_ranks, truncated_rank, upper_median_rank
-from strandline.plans.staging import settled
+from strandline.plans.selection import select
+from strandline.plans.staging import settled, stage_rows
 
 PAD = 0.05
 DIRECT_COLUMNS = 6
@@ -63,12 +64,10 @@ def _moments(v: Column) -> list[Column]:
 
 
 def medians(df: DataFrame, cols: Sequence[str], n: int | None = None, **kw) -> DataFrame:
-    """Exact median per column, averaging the middle two: (column, n, median)."""
-    long = to_long(df, cols)
-    mid = pick_ranks(
-        long, "value", {"_lo": lower_median_rank, "_hi": upper_median_rank}, ("position",), n and n * len(cols), largest=n, **kw
-    )
-    return named(mid, cols).select("column", "n", ((F.col("_lo") + F.col("_hi")) / 2.0).alias("median"))
+    """Exact median per column, averaging the middle two: (column, n, median).  All columns share their scans."""
+    got = select(df, [number_of(df, c) for c in cols], {"lo": lower_median_rank, "hi": upper_median_rank})
+    rows = [(cols[c], v["n"], (v["lo"] + v["hi"]) / 2.0) for (_, c), v in got.items()]
+    return df.sparkSession.createDataFrame(rows, "column string, n bigint, median double")
 
 
 def summary_stats(df: DataFrame, cols: Sequence[str], n: int | None = None, **kw) -> DataFrame:
@@ -99,7 +98,11 @@ def distinct_counts(df: DataFrame, cols: Sequence[str], approximate: bool = Fals
 
 
 def describe(o: Ordered, cols: Sequence[str]) -> DataFrame:
-    """One profile row per column: totals, missing, share of zeros, distinct, longest run, summary."""
+    """One profile row per column: totals, missing, share of zeros, distinct, longest run, summary.
+
+    The indexed columns are written once: every part then scans them instead of sorting the table again.
+    """
+    o = stage_rows(o, *cols)
     df = o.df
 
     def facts_of(c: str) -> Column:
