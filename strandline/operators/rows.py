@@ -12,10 +12,11 @@ from pyspark.sql import types as T
 
 from strandline.functions import fx
 from strandline.functions.numbers import to_number
-from strandline.plans.layout import ROW
-from strandline.plans.ordering import Ordered, facts, join_sized, order_rows
+from strandline.plans.layout import BUCKET, DEFAULT, ROW, Layout
+from strandline.plans.ordering import Ordered, composite, facts, find_ranges, join_sized, order_rows
 
 PAGE_DEFAULT = 20
+TOP_ROWS = 20_000  # pages that end further down are found by ranges
 
 
 def number_of(df: DataFrame, name: str) -> Column:
@@ -154,17 +155,24 @@ class RowQuery:
         return self.matching(df).agg(F.count(F.lit(1)).alias("total"))
 
     def page(
-        self, df: DataFrame, offset: int = 0, limit: int = PAGE_DEFAULT, tie: Sequence[str] = (ROW,)
+        self, df: DataFrame, offset: int = 0, limit: int = PAGE_DEFAULT, tie: Sequence[str] = (ROW,), layout: Layout = DEFAULT
     ) -> DataFrame:
-        """One page in view order (a top-k of offset + limit rows)."""
+        """One page in view order.
+
+        Near the top it is a top-k of offset + limit rows.  Further down the rows of each value range are counted, and
+        only the ranges that the page touches are sorted, each in its own task.
+        """
         found = self.matching(df)
         sort = self.sort if self.sort in df.columns else None
-        out = sort_rows(found, sort, self.desc, tie=tie).offset(offset).limit(limit)
+        if offset + limit > TOP_ROWS:
+            out = _deep_page(found, sort, self.desc, tie, offset, limit, layout)
+        else:
+            out = sort_rows(found, sort, self.desc, tie=tie).offset(offset).limit(limit)
         return out if self.columns is None else out.select(*self.columns)
 
 
-def view_index(df: DataFrame, name: str, tie: Sequence[str], desc: bool = False) -> DataFrame:
-    """Rows numbered in view order, without a single-task sort: ranges over (key, row order)."""
+def _view_keys(df: DataFrame, name: str, desc: bool) -> DataFrame:
+    """Adds `_blank` and `_k`, which sort in ascending order as the column does in view order."""
     kind = df.schema[name].dataType
     key = number_of(df, name) if isinstance(kind, T.NumericType) else F.col(name)
     if desc and isinstance(kind, T.NumericType):
@@ -175,7 +183,36 @@ def view_index(df: DataFrame, name: str, tie: Sequence[str], desc: bool = False)
         # hex digits of the bytes, mirrored, and a sign above all of them: a longer text comes before its own beginning
         key = F.concat(F.translate(F.hex(F.col(name).cast("string")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("~"))
     d = df.withColumn("_blank", key.isNull() if not desc else key.isNotNull())
-    return order_rows(d.withColumn("_k", key), ["_blank", "_k", *tie]).df.withColumnRenamed(ROW, "view_row").drop("_blank", "_k")
+    return d.withColumn("_k", key)
+
+
+def view_index(df: DataFrame, name: str, tie: Sequence[str], desc: bool = False) -> DataFrame:
+    """Rows numbered in view order, without a single-task sort: ranges over (key, row order)."""
+    d = _view_keys(df, name, desc)
+    return order_rows(d, ["_blank", "_k", *tie]).df.withColumnRenamed(ROW, "view_row").drop("_blank", "_k")
+
+
+def page_ranges(df: DataFrame, sort: str | None, desc: bool, tie: Sequence[str], offset: int, limit: int, layout: Layout) -> tuple[DataFrame, list[str], dict[int, int]]:
+    """Rows of the value ranges that the page touches, the keys that order them, and the rows before each range."""
+    d = _view_keys(df, sort, desc) if sort else df
+    names = ["_blank", "_k", *tie] if sort else list(tie)
+    ranges = find_ranges(d, names, d.count(), layout)
+    keyed = ranges.assign(d, composite(d, names))
+    before, seen = {}, 0
+    for r in sorted(keyed.groupBy(BUCKET).count().collect(), key=lambda r: r[BUCKET]):
+        if seen < offset + limit and seen + r["count"] > offset:
+            before[r[BUCKET]] = seen
+        seen += r["count"]
+    return keyed.filter(F.col(BUCKET).isin(list(before))), names, before
+
+
+def _deep_page(df: DataFrame, sort: str | None, desc: bool, tie: Sequence[str], offset: int, limit: int, layout: Layout) -> DataFrame:
+    rows, names, before = page_ranges(df, sort, desc, tie, offset, limit, layout)
+    place = F.row_number().over(Window.partitionBy(BUCKET).orderBy(*names)) - 1
+    if before:
+        place = place + F.element_at(F.create_map(*[F.lit(v) for kv in before.items() for v in kv]), F.col(BUCKET))
+    page = rows.withColumn("_place", place).filter((F.col("_place") >= offset) & (F.col("_place") < offset + limit))
+    return page.orderBy("_place").select(*df.columns)
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence, k: int) -> DataFrame:

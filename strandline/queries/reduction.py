@@ -110,6 +110,16 @@ def view_downsample(spark, d):
     return red.view_downsample(events(spark, d), "x", "value", 1704412800.0, 1705276800.0, 120, "minmax").select("x", "value")
 
 
+# the rows of the same view as the series to reduce
+IN_VIEW = VIEW[len("WITH ") : VIEW.index("b AS (")].replace("ev AS", "base AS", 1).replace("FROM ev,", "FROM base,").replace("FROM ev)", "FROM base)")
+IN_VIEW += "ev AS (SELECT event_id, x, value, row_idx, n FROM v)"
+
+
+@query("view_downsample_lttb", f"SELECT row_idx FROM ({_lttb_sql(120, 1, IN_VIEW)})")
+def view_downsample_lttb(spark, d):
+    return red.view_downsample(events(spark, d), "x", "value", 1704412800.0, 1705276800.0, 120, "lttb").select(ROW)
+
+
 def _resample_sql(points: int, value: str) -> str:
     return (
         f"WITH {EV}, s AS (SELECT x, value AS y, lead(x) OVER w AS x1, lead(value) OVER w AS y1 FROM ev WINDOW w AS (ORDER BY row_idx)), "
@@ -129,7 +139,19 @@ def _resampled(method):
 
 query("resample_linear", _resample_sql(1501, "y + (y1 - y) * (gx - x) / (x1 - x)"))(_resampled("linear"))
 query("resample_nearest", _resample_sql(1501, "CASE WHEN abs(gx - x) <= abs(x1 - gx) THEN y ELSE y1 END"))(_resampled("nearest"))
-query("resample_cubic")(_resampled("cubic"))
+# the tridiagonal system of the whole series, forward and backward row by row
+SPLINE_SQL = (
+    f"WITH RECURSIVE {EV}, h AS MATERIALIZED (SELECT row_idx AS i, n, x, value AS y, x - lag(x) OVER w AS h0, lead(x) OVER w - x AS h1, "
+    "6 * ((lead(value) OVER w - value) / (lead(x) OVER w - x) - (value - lag(value) OVER w) / (x - lag(x) OVER w)) AS r FROM ev WINDOW w AS (ORDER BY row_idx)), "
+    "f AS (SELECT 0::bigint AS i, 0.0::double AS c, 0.0::double AS d UNION ALL SELECT h.i, h1 / (2 * (h0 + h1) - h0 * f.c), (r - h0 * f.d) / (2 * (h0 + h1) - h0 * f.c) FROM f JOIN h ON h.i = f.i + 1 WHERE h.i < h.n - 1), "
+    "fm AS MATERIALIZED (SELECT * FROM f), "
+    "b AS (SELECT max(row_idx) AS i, 0.0::double AS m FROM ev UNION ALL SELECT fm.i, CASE WHEN fm.i = 0 THEN 0 ELSE fm.d - fm.c * b.m END FROM b JOIN fm ON fm.i = b.i - 1), "
+    "s AS (SELECT x, y, m, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(m) OVER w AS m1 FROM h JOIN b USING (i) WINDOW w AS (ORDER BY i)), "
+    "e AS (SELECT min(x) AS a, max(x) AS z FROM ev), g AS (SELECT k, a + (z - a) * k / 1500 AS gx FROM e, range(1501) r(k)), "
+    "j AS (SELECT *, (x1 - gx) / (x1 - x) AS u, (gx - x) / (x1 - x) AS v FROM g ASOF JOIN (SELECT * FROM s WHERE x1 IS NOT NULL) q ON g.gx >= q.x) "
+    "SELECT k, round(gx, 1) AS x, round(u * y + v * y1 + ((u * u * u - u) * m + (v * v * v - v) * m1) * (x1 - x) * (x1 - x) / 6, 6) AS y FROM j"
+)
+query("resample_cubic", SPLINE_SQL)(_resampled("cubic"))
 
 
 @query(

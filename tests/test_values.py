@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline import order_rows
+from strandline import Layout, order_rows
 from strandline.functions import fx
 from strandline.functions.times import format_epoch
 from strandline.functions.units import channel_role, infer_unit
@@ -314,3 +314,27 @@ def test_a_scope_removes_what_it_staged(spark):
         files = kept.inputFiles()
         assert kept.count() == 5
     assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
+@pytest.mark.parametrize("desc", [False, True])
+@pytest.mark.parametrize("sort", ["v", "t", None])
+def test_deep_pages_sort_only_what_they_touch(spark, monkeypatch, sort, desc):
+    monkeypatch.setattr(rows, "TOP_ROWS", 100)
+    n = 5000
+    cells = [(i, None if i % 50 == 3 else float(i * 37 % 1009), None if i % 60 == 7 else f"t{i * 11 % 97}") for i in range(n)]
+    df = spark.createDataFrame(cells, "row_idx int, v double, t string").repartition(6)
+    whole = [r.row_idx for r in rows.sort_rows(df, sort, desc).collect()]
+    q = rows.RowQuery(sort=sort, desc=desc)
+    lay = Layout(rows_per_bucket=300)
+    for offset, limit in ((100, 1), (2990, 40), (4990, 40), (0, 5000), (4999, 1), (6000, 10)):
+        assert [r.row_idx for r in q.page(df, offset, limit, layout=lay).collect()] == whole[offset : offset + limit]
+    touched, _, _ = rows.page_ranges(df, sort, desc, ["row_idx"], 2990, 40, lay)
+    assert touched.count() < 1500
+    assert touched.groupBy("_bucket").count().agg(F.max("count")).collect()[0][0] < 900
+
+
+def test_a_page_a_million_rows_down(spark):
+    df = spark.range(0, 1_200_000, 1, 8).select(F.col("id").alias("row_idx"), (F.col("id") * 7919 % 1_200_007).cast("double").alias("v"))
+    got = rows.RowQuery(sort="v").page(df, 1_000_000, 5)
+    assert "TakeOrdered" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [r.v for r in got.collect()] == sorted(i * 7919 % 1_200_007 for i in range(1_200_000))[1_000_000:1_000_005]
