@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -39,6 +39,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 HEAD = 8
 NEAR = 32
 TOKEN = 8
+SLICE_BYTES = 8 << 20
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -105,16 +106,27 @@ def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, dtype=np.uint64).view(np.int64)
 
 
-def _first_digits(docs: DataFrame, text: str, shape: Shape) -> DataFrame:
-    """A row for every anchor: text key, position, gram hash, hash and reach of its neighbourhood."""
+def _slices(batches: Iterator[pd.DataFrame], text: str = "_text") -> Iterator[pd.DataFrame]:
+    """The rows in frames of about SLICE_BYTES characters of text, so that what is made of them stays small too."""
+    for pdf in batches:
+        ends = np.cumsum(pdf[text].str.len().to_numpy(dtype=np.int64)) // SLICE_BYTES
+        for _, part in pdf.groupby(ends, sort=False):
+            yield part.reset_index(drop=True)
+
+
+def _first_digits(docs: DataFrame, text: str, shape: Shape, view: Callable[[str], bytes], least: int) -> DataFrame:
+    """A row for every anchor: text key, position, gram hash, hash and reach of its neighbourhood.
+
+    `view` gives the string to sort of a text; texts under `least` bytes have none of the threshold's length.
+    """
     t, g = shape.threshold, shape.gram
-    body = docs.select(text_key(text).alias("tkey"), whole_text(text).alias("_text")).filter(F.octet_length("_text") >= t)
+    body = docs.select(text_key(text).alias("tkey"), whole_text(text).alias("_text")).filter(F.octet_length("_text") >= least)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh3_64_intdigest
-        for pdf in batches:
+        for pdf in _slices(batches):
             keys, pos, gram, hood, left, right = [], [], [], [], [], []
-            for key, body in zip(pdf["tkey"], (x.encode() for x in pdf["_text"]), strict=True):
+            for key, body in zip(pdf["tkey"], map(view, pdf["_text"]), strict=True):
                 at, least, reach = anchors(body, shape)
                 ahead = t - least
                 keys.append((key, len(at)))
@@ -133,16 +145,16 @@ def _first_digits(docs: DataFrame, text: str, shape: Shape) -> DataFrame:
     return body.mapInPandas(apply, "tkey binary, pos long, h long, s long, l int, r int")
 
 
-def _neighbourhoods(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+def _neighbourhoods(docs: DataFrame, wanted: DataFrame, text: str, view: Callable[[str], bytes]) -> DataFrame:
     """The bytes around each wanted anchor, once for each (tkey, pos)."""
     lists = stage(wanted.groupBy("tkey").agg(F.collect_list(F.struct("pos", "h", "l", "r", "m")).alias("at")))
     body = docs.select(text_key(text).alias("tkey"), whole_text(text).alias("_text"))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _slices(batches):
             rows = []
             for key, text, at in zip(pdf["tkey"], pdf["_text"], pdf["at"], strict=True):
-                body = text.encode()
+                body = view(text)
                 rows += [(key, a["pos"], a["h"], a["l"], a["r"], a["m"], body[a["pos"] - a["l"] : a["pos"] + a["r"]]) for a in at]
             yield pd.DataFrame(rows, columns=["tkey", "pos", "h", "l", "r", "m", "hood"])
 
@@ -183,15 +195,15 @@ def _digits(hoods: DataFrame, parent: int, size: int, threshold: int) -> DataFra
     return hoods.mapInPandas(apply, "tkey binary, pos long, h long, m long, run int, lo int, hi int, core long, span long")
 
 
-def repeats(docs: DataFrame, threshold: int = THRESHOLD, radices: Sequence[int] = RADICES, text: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, threshold: int = THRESHOLD, radices: Sequence[int] = RADICES, text: str = "text", view: Callable[[str], bytes] = str.encode, least: int | None = None) -> DataFrame:
     """(tkey, spans): for each distinct text with repeated strings, spans (a, b) that together cover them."""
     with staged_scope(docs.sparkSession):
-        return _repeats(docs, Shape(threshold, radices), text)
+        return _repeats(docs, Shape(threshold, radices), text, view, threshold if least is None else least)
 
 
-def _repeats(docs: DataFrame, shape: Shape, text: str) -> DataFrame:
+def _repeats(docs: DataFrame, shape: Shape, text: str, view: Callable[[str], bytes], least: int) -> DataFrame:
     t = shape.threshold
-    first = stage(_first_digits(docs, text, shape))
+    first = stage(_first_digits(docs, text, shape, view, least))
     grams = stage(first.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
     second = stage(first.join(grams, "h", "left_semi"))
     keys = ["h", "s", "l", "r"]
@@ -200,7 +212,7 @@ def _repeats(docs: DataFrame, shape: Shape, text: str) -> DataFrame:
     done = [second.join(whole, keys, "left_semi").select("tkey", (F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b"))]
     open_grams = stage(groups.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("least")).filter("n > 1 and least = 1").select("h"))
     wanted = groups.join(open_grams, "h", "left_semi").select("at.tkey", "at.pos", "h", "l", "r", "m")
-    hoods = stage(_neighbourhoods(docs, wanted, text))
+    hoods = stage(_neighbourhoods(docs, wanted, text, view))
     parent, rows = shape.width, hoods
     for radix in shape.radices:
         size = parent // radix
@@ -223,30 +235,26 @@ def _repeats(docs: DataFrame, shape: Shape, text: str) -> DataFrame:
     return stage(spans.groupBy("tkey").agg(F.collect_set(F.struct("a", "b")).alias("spans")), outer=True)
 
 
-def word_tokens(text: str) -> str:
-    """A token of 8 characters for every word: 48 bits of its hash, 6 in each, the first character of another range than
+def word_tokens(text: str) -> bytes:
+    """A token of 8 bytes for every word: 56 bits of its hash, 7 in each, the first byte of another range than
     the rest, so that equal strings of tokens start at the same place of a token.
     """
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in WORD.findall(text.encode())], dtype=np.uint64)
-    six = ((h[:, None] >> (np.uint64(6) * np.arange(TOKEN, dtype=np.uint64))) & np.uint64(63)).astype(np.uint8)
-    six[:, 0] |= 64
-    return six.tobytes().decode()
-
-
-def _tokens(text: str):
-    return F.pandas_udf(lambda texts: texts.map(word_tokens), "string")(whole_text(text))
+    h = np.array([xxhash.xxh3_64_intdigest(w) for w in text.encode().split()], dtype=np.uint64)
+    seven = ((h[:, None] >> (np.uint64(7) * np.arange(TOKEN, dtype=np.uint64))) & np.uint64(127)).astype(np.uint8)
+    seven[:, 0] |= 128
+    return seven.tobytes()
 
 
 def word_repeats(docs: DataFrame, words: int, radices: Sequence[int] = RADICES, text: str = "text") -> DataFrame:
-    """(wkey, places): for the tokens of each text with repeated strings of `words` words, spans (a, b) of words that cover them.
+    """(tkey, places): for each text with repeated strings of `words` words, spans (a, b) of words that cover them.
 
-    The spans of `repeats` hold repeated strings at every start; of those the starts of words count.
+    The spans of `repeats` over the words' tokens hold repeated strings at every start; of those the starts of words count.
     """
     size = TOKEN * words
-    found = repeats(docs.select(_tokens(text).alias("tokens")), size, radices, "tokens")
+    found = repeats(docs, size, radices, text, word_tokens, 2 * words - 1)
     first, last = (lambda s: F.ceil(s["a"] / TOKEN)), (lambda s: F.floor((s["b"] - size) / TOKEN))
     whole = F.filter("spans", lambda s: first(s) <= last(s))
-    return found.select(F.col("tkey").alias("wkey"), F.transform(whole, lambda s: F.struct(first(s).alias("a"), (last(s) + words).alias("b"))).alias("places"))
+    return found.select("tkey", F.transform(whole, lambda s: F.struct(first(s).alias("a"), (last(s) + words).alias("b"))).alias("places"))
 
 
 def merged(spans: Sequence) -> list[tuple[int, int]]:
@@ -269,14 +277,14 @@ def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), threshold
     With `words`, strings of so many words that start at two or more places go too, however few bytes they have.
     """
     found = repeats(docs, threshold, radices, text)
-    body = docs.select(*keep, text_key(text).alias("_tkey"), whole_text(text).alias("_text"), *([F.unhex(F.md5(_tokens(text))).alias("_wkey")] if words else []))
+    body = docs.select(*keep, text_key(text).alias("_tkey"), whole_text(text).alias("_text"))
     joined = body.join(found.withColumnRenamed("tkey", "_tkey"), "_tkey", "left").withColumnRenamed("spans", "_spans")
     if words:
-        joined = joined.join(word_repeats(docs, words, radices, text).toDF("_wkey", "_places"), "_wkey", "left")
+        joined = joined.join(word_repeats(docs, words, radices, text).toDF("_tkey", "_places"), "_tkey", "left")
     joined = joined.select(*keep, "_text", "_spans", *(["_places"] if words else []))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _slices(batches):
             texts, spans = pdf.pop("_text"), pdf.pop("_spans")
             places = pdf.pop("_places") if words else [None] * len(texts)
             rows = []
