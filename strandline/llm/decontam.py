@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -102,9 +103,10 @@ class Benchmark:
     maybe: np.ndarray  # a bit for each hash that a gram has
     tiny: list[int]
     q: int
+    kind: str = "long"  # type of the ids
 
     @classmethod
-    def of(cls, ids: Sequence, texts: Sequence[str | None], q: int = Q, rate: float = EDIT_RATE) -> Benchmark:
+    def of(cls, ids: Sequence, texts: Sequence[str | None], q: int = Q, rate: float = EDIT_RATE, kind: str = "long") -> Benchmark:
         bodies = [normal(t) for t in texts]
         keep = [i for i, b in enumerate(bodies) if b]  # an empty item occurs nowhere
         ids, bodies = [ids[i] for i in keep], [bodies[i] for i in keep]
@@ -120,7 +122,7 @@ class Benchmark:
         edits = np.array([budget(len(b), q, rate) for b in bodies], dtype=np.int64)
         bound = np.array([len(b) - q + 1 - k * q for b, k in zip(bodies, edits, strict=True)], dtype=np.int64)
         tiny = [i for i, b in enumerate(bodies) if len(b) < q]
-        return cls(ids, bodies, edits, bound, code, item, place, np.append(first, len(code)), distinct, maybe, tiny, q)
+        return cls(ids, bodies, edits, bound, code, item, place, np.append(first, len(code)), distinct, maybe, tiny, q, kind)
 
     def regions(self, body: bytes) -> list[tuple[int, int, int]]:
         """(item, first and last diagonal) of the bands that reach their item's bound."""
@@ -179,41 +181,65 @@ class Benchmark:
         return sorted(found.values())
 
 
-def load_benchmark(items: DataFrame, key: str = "item_id", text: str = "text", most_bytes: int = 64 << 20, **options) -> Benchmark:
-    """The index of a benchmark table; its size is checked first, since every task gets a copy."""
-    size = items.agg(F.sum(F.octet_length(whole_text(text))).alias("n")).collect()[0]["n"] or 0
-    if size > most_bytes:
-        raise ValueError(f"a benchmark of {size} bytes is above {most_bytes}; split it and unite the matches")
-    rows = sorted((r[0], r[1] or "") for r in items.filter(F.col(key).isNotNull()).select(key, text).collect())
-    return Benchmark.of([r[0] for r in rows], [r[1] for r in rows], **options)
+def load_benchmark(items: DataFrame, key: str = "item_id", text: str = "text", most_bytes: int = 8 << 20, **options) -> list[Benchmark]:
+    """The index of a benchmark table, in as many shards of about `most_bytes` of text as its size asks for.
+
+    Every task gets a copy of the shard it searches, and the documents are searched once for each shard.  Items without an
+    id are searched like the others and reported with a null id.
+    """
+    kind = items.schema[key].dataType.simpleString()
+    rows = items.select(F.col(key).alias("k"), whole_text(text).alias("t"))
+    size = rows.agg(F.sum(F.octet_length("t").cast("long"))).collect()[0][0] or 0
+    shards = max(1, -(-size // most_bytes))
+    out = []
+    for i in range(shards):
+        part = rows if shards == 1 else rows.filter(F.pmod(F.xxhash64("t"), F.lit(shards)) == i)
+        got = sorted(((r.k, r.t) for r in part.collect()), key=lambda r: (r[0] is None, 0 if r[0] is None else r[0], r[1]))
+        out.append(Benchmark.of([r[0] for r in got], [r[1] for r in got], kind=kind, **options))
+    return out
+
+
+FOUND = ("item_id", "match_start", "match_end", "edits")
 
 
-def contaminated(docs: DataFrame, bench: Benchmark, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, bench: Sequence[Benchmark], keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """One row for every kept row and occurrence: item_id, match_start, match_end (bytes of the normalised text), edits.
 
-    Null and empty texts and items match nothing.  Repeated rows and repeated items each give rows of their
-    own.  Of equally good alignments in a band the first end counts.  An empty table on either side gives no rows.  Columns that
-    are not kept are ignored.
+    Null and empty texts and items match nothing; the id of an item may be null or of any type.  Repeated rows and
+    repeated items each give rows of their own.  Of equally good alignments in a band the first end counts.  An empty
+    table on either side gives no rows.  Columns that are not kept are ignored; a kept one with the name of a result
+    gets `doc_` before it.
     """
-    body = docs.select(*keep, F.col(text).alias("_body")).filter(F.col("_body").isNotNull())
+    return reduce(DataFrame.unionByName, [_contaminated(docs, b, keep, text) for b in bench])
+
+
+def _contaminated(docs: DataFrame, bench: Benchmark, keep: Sequence[str], text: str) -> DataFrame:
+    names = [f"doc_{c}" if c in FOUND else c for c in keep]
+    body = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).alias("_body")).filter(F.col("_body").isNotNull())
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(j, bench.ids[i], s, e, d) for j, t in enumerate(pdf.pop("_body")) for i, s, e, d in bench.matches(t)]
             at = np.array([r[0] for r in rows], dtype=np.int64)
             out = pdf.iloc[at].reset_index(drop=True)
-            yield out.assign(**{c: [r[n] for r in rows] for n, c in enumerate(("item_id", "match_start", "match_end", "edits"), 1)})
+            yield out.assign(**{c: pd.Series([r[n] for r in rows], dtype=object if n == 1 else "int64") for n, c in enumerate(FOUND, 1)})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return body.mapInPandas(apply, f"{schema}, item_id long, match_start long, match_end long, edits int")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in body.drop("_body").schema)
+    found = body.mapInPandas(apply, f"{schema}, item_id {bench.kind}, match_start long, match_end long, edits int")
+    return found.toDF(*names, *FOUND)
 
 
-def clean(docs: DataFrame, bench: Benchmark, text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, bench: Sequence[Benchmark], text: str = "text") -> DataFrame:
     """The documents, whole and with all their columns, in which no item occurs; null and empty texts stay."""
     columns = docs.columns
+    for b in bench:
+        docs = docs.mapInPandas(_without(b, text), docs.schema)
+    return docs.select(*columns)
+
 
+def _without(bench: Benchmark, text: str):
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf[[not bench.matches(t) for t in pdf[text]]]
 
-    return docs.mapInPandas(apply, docs.schema).select(*columns)
+    return apply

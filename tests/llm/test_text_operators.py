@@ -167,7 +167,7 @@ def test_decontamination_finds_edited_items_and_leaves_the_rest(spark):
     edited = item.replace("airspeed", "air speed").replace("coconut", "cocanut")
     far = item.replace("e", "o").replace("a", "i")
     docs = table(spark, [(1, "so: " + item.upper() + " yes", None), (2, "x\n" + edited, None), (3, far, None), (4, None, None), (5, "", None), (6, "the sea " * 300, None), (2, "x\n" + edited, None)])
-    items = spark.createDataFrame([(10, item), (11, None), (12, ""), (None, "x"), (13, "zq")], "item_id long, text string")
+    items = spark.createDataFrame([(10, item), (11, None), (12, ""), (None, "zzq"), (13, "zq")], "item_id long, text string")
     bench = decontam.load_benchmark(items)
     got = sorted((r.doc_id, r.item_id, r.edits) for r in decontam.contaminated(docs, bench).collect())
     assert got == [(1, 10, 0), (2, 10, 2), (2, 10, 2)]
@@ -175,6 +175,21 @@ def test_decontamination_finds_edited_items_and_leaves_the_rest(spark):
     assert decontam.contaminated(docs, decontam.load_benchmark(items.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("most_bytes", [8 << 20, 60])
+def test_decontamination_with_ids_of_any_kind(spark, most_bytes):
+    text = {"a'1": "the quick brown fox jumps over the lazy dog and runs away", "b": "seventeen grey geese fly south over the frozen lake", None: "an item that has no id at all but a text of its own"}
+    items = spark.createDataFrame([(k, t) for k, t in text.items()] + [("e", ""), (None, None)], "item_id string, text string")
+    long = "filler words " * 100_000
+    rows = [(i, t) for i, t in enumerate(text.values())] + [(3, long + text["b"] + long), (4, long), (5, text["b"] + " x " + text["a'1"])]
+    docs = spark.createDataFrame([(i, t, 0.5, 7) for i, t in rows], "doc_id long, text string, item_id double, edits int")
+    bench = decontam.load_benchmark(items, most_bytes=most_bytes)
+    assert (len(bench) > 1) == (most_bytes == 60)
+    found = decontam.contaminated(docs, bench, ["doc_id", "item_id", "edits"])
+    assert found.columns == ["doc_id", "doc_item_id", "doc_edits", "item_id", "match_start", "match_end", "edits"]
+    assert sorted(((r.doc_id, r.item_id) for r in found.collect()), key=str) == [(0, "a'1"), (1, "b"), (2, None), (3, "b"), (5, "a'1"), (5, "b")]
+    assert [r.doc_id for r in decontam.clean(docs, bench).collect()] == [4]
+
+
 def brute_edits(p, t):
     prev = [0] * (len(t) + 1)
     for i in range(1, len(p) + 1):
