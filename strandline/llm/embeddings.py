@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,13 +38,14 @@ SEED = 11
 
 @dataclass
 class Forest:
-    """For each tree a direction for each level, and for each level a threshold for each node, NaN where it is a leaf.
+    """For each tree a direction for each level, and for each level the nodes that are split, in order, and their thresholds.
 
-    Nodes have the numbers of a heap: 1 is the root, 2 i and 2 i + 1 are the halves of i.
+    Nodes have the numbers of a heap: 1 is the root, 2 i and 2 i + 1 are the halves of i.  Only nodes that exist are
+    kept, at most one for each sampled vector and level, however many levels the rows ask for.
     """
 
     directions: np.ndarray  # (trees, levels, dimensions)
-    thresholds: list[list[np.ndarray]]
+    thresholds: list[list[tuple[np.ndarray, np.ndarray]]]
 
     def leaves(self, x: np.ndarray, spill: float = SPILL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(vector, tree, leaf), a row for every leaf that a vector is in: one within `spill` of a boundary goes to both sides."""
@@ -51,10 +53,11 @@ class Forest:
         for t, axes in enumerate(self.directions):
             proj = x @ axes.T
             who, node = np.arange(len(x)), np.ones(len(x), dtype=np.int64)
-            for level, cuts in enumerate(self.thresholds[t]):
-                cut = np.full(len(node), np.nan)
-                here = node >= 1 << level
-                cut[here] = cuts[node[here] - (1 << level)]
+            for level, (split, cuts) in enumerate(self.thresholds[t]):
+                if not len(split):
+                    break
+                at = np.minimum(np.searchsorted(split, node), len(split) - 1)
+                cut = np.where(split[at] == node, cuts[at], np.nan)
                 gap = proj[who, level] - cut
                 both = np.abs(gap) < spill
                 right = (gap > 0).astype(np.int64)
@@ -97,17 +100,18 @@ def grow(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, se
     for axes in directions:
         proj, node, cuts = sample @ axes.T, np.ones(len(sample), dtype=np.int64), []
         for level in range(levels):
-            cut = np.full(1 << level, np.nan)
             here = np.flatnonzero(node >= 1 << level)
             order = here[np.lexsort((proj[here, level], node[here]))]
             edges = np.flatnonzero(np.diff(node[order], prepend=0, append=0))
+            split, cut = [], []
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if hi - lo > enough:
-                    cut[node[order[lo]] - (1 << level)] = _cut(proj[order[lo:hi], level], window, crowded)
-            cuts.append(cut)
-            at = cut[node[here] - (1 << level)]
-            some = here[~np.isnan(at)]
-            node[some] = 2 * node[some] + (proj[some, level] > at[~np.isnan(at)])
+                c = _cut(proj[order[lo:hi], level], window, crowded) if hi - lo > enough else np.nan
+                if not np.isnan(c):
+                    split.append(node[order[lo]])
+                    cut.append(c)
+                    some = order[lo:hi]
+                    node[some] = 2 * node[some] + (proj[some, level] > c)
+            cuts.append((np.array(split, dtype=np.int64), np.array(cut)))
         thresholds.append(cuts)
     return Forest(directions, thresholds)
 
@@ -208,11 +212,11 @@ def _tile(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
     """Per vector: key, n_links (other vectors linked to it), component_id (smallest key it reaches), kept.
 
-    Null vectors, zero vectors, vectors with null or non-finite components and vectors of another length than most
-    link with nothing.  Each of repeated rows is a vector of its own; a null key names a component only if it has no other.
-    An empty table gives no rows.  Other columns are ignored.  The trees are grown on at most `sample` vectors; every vector is indexed.
+    Null vectors, empty and zero vectors and vectors with null or non-finite components link with nothing, nor do
+    vectors of different lengths with each other.  Each of repeated rows is a vector of its own; a null key names a
+    component only if it has no other.  An empty table gives no rows.  Other columns are ignored.  The trees of each length
+    are grown on at most `sample` vectors; every vector is indexed.
     """
-    spark = vectors.sparkSession
     v = F.col(vector)
     rows = vectors.select(F.col(key), v.cast("array<double>").alias("v"))
     v = F.col("v")
@@ -225,14 +229,19 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     rows = rows.withColumn("v", F.transform(v, lambda e: e / norm))
     rows = rows.withColumn("hash", F.when(v.isNotNull(), F.unhex(F.md5(F.to_json(F.struct("v")).cast("binary")))))
     rows = stage(rows)
-    usual = rows.filter("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not usual:
-        return rows.select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    distinct = rows.filter(F.size("v") == usual[0]["d"]).groupBy("hash").agg(F.count(F.lit(1)).alias("m"), F.min(key).alias("low"), F.first("v").alias("unit"))
+    lengths = [r["d"] for r in rows.filter("v is not null").groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]
+    alone = rows.filter("v is null").select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    parts = [_linked(rows.filter(F.size("v") == d), key, d, cosine, trees, leaf, sample, seed) for d in lengths]
+    return reduce(DataFrame.unionByName, parts, alone.withColumn("kept", F.col(key).isNotNull()))
+
+
+def _linked(rows: DataFrame, key: str, length: int, cosine: float, trees: int, leaf: int, sample: int, seed: int) -> DataFrame:
+    """The unit vectors of one length with their links."""
+    distinct = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("m"), F.min(key).alias("low"), F.first("v").alias("unit"))
     distinct = stage(distinct.withColumn("vid", F.monotonically_increasing_id()))
     n = distinct.count()
     picked = distinct.filter(F.pmod(F.xxhash64("hash"), F.lit(1 << 30)) < int(min(1.0, 1.05 * sample / max(1, n)) * (1 << 30)) + 1).select("unit").limit(sample).toPandas()
-    forest = grow(_matrix(picked["unit"]) if len(picked) else np.zeros((1, usual[0]["d"])), n, trees, leaf, seed)
+    forest = grow(_matrix(picked["unit"]) if len(picked) else np.zeros((1, length)), n, trees, leaf, seed)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -140,3 +140,24 @@ def test_stages_on_empty_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_vectors_of_every_length_link_among_their_own(spark):
+    rng = np.random.default_rng(6)
+    base = [rng.normal(size=n) for n in (2, 3, 3, 5)]
+    rows = [(i, (b * s).tolist()) for i, (b, s) in enumerate([(base[0], 1), (base[1], 1), (base[2], 1), (base[3], 1), (base[0], 2), (base[1], 3), (base[3], 0.5), (base[3], 7)])]
+    rows += [(8, []), (9, None), (10, [0.0, 0.0]), (11, (-base[0]).tolist()), (None, None)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = {0: (1, 0), 1: (1, 1), 2: (0, 2), 3: (2, 3), 4: (1, 0), 5: (1, 1), 6: (2, 3), 7: (2, 3), None: (0, None)} | {i: (0, i) for i in (8, 9, 10, 11)}
+    cos = abs(float(base[1] @ base[2]) / np.linalg.norm(base[1]) / np.linalg.norm(base[2]))
+    assert cos < 0.95
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+    assert len(got) == len(rows) and all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
+
+
+def test_forest_is_as_large_as_its_nodes():
+    x = np.random.default_rng(2).normal(size=(4000, 16))
+    forest = embeddings.grow(x, 10**9, trees=2)
+    assert sum(len(nodes) for levels in forest.thresholds for nodes, _ in levels) <= 2 * len(x)
+    who, tree, leaf = forest.leaves(x[:50], spill=0.0)
+    assert len(who) == 100 and leaf.min() >= 1
