@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions import fx
 from strandline.plans.blocks import last_marked
 from strandline.plans.layout import BUCKET, DEFAULT, ROW, Layout
 from strandline.plans.ordering import Ordered, composite, facts, find_ranges, join_sized, join_small
+from strandline.plans.staging import stage
 
 # Fixed value: double machine epsilon, the smallest divisor magnitude that counts.
 EPSILON = 2.220446049250313e-16
@@ -29,7 +34,8 @@ def nearest_join(
     """For each left row the right row with the nearest x within `tolerance`.
 
     Ties take the lower x.  Among right rows of equal x: the last by `order` when it lies below the
-    left x, the first otherwise.  Both sides are merged on one x line cut into ranges; each range
+    left x, the first otherwise.  Where no right row is near enough a left row is left out, so nothing matched gives
+    no rows; `order` may be of any type that sorts, the same on both sides.  Both sides are merged on one x line cut into ranges; each range
     scans forwards and backwards once and the nearest right rows of neighbouring ranges come from a
     table with one row per range, so no pair list is ever built, whatever the tolerance.
 
@@ -40,13 +46,13 @@ def nearest_join(
     rcols = [c for c in right.columns if c not in by]
     xl, xr = fx.finite(left[x].cast("double")), fx.finite(right[x].cast("double"))
     l = left.select(
-        *by, xl.alias("_x"), F.lit(0).alias("_side"), F.col(order).cast("bigint").alias("_o"),
+        *by, xl.alias("_x"), F.lit(0).alias("_side"), _order(left, order).alias("_o"),
         F.struct(*lcols).alias("_l"),
         F.lit(None).cast(_right_type(right, rcols, x, order)).alias("_r"),
     )
-    point = F.struct(xr.alias("x"), F.col(order).cast("bigint").alias("o"), F.struct(*rcols).alias("v"))
+    point = F.struct(xr.alias("x"), _order(right, order).alias("o"), F.struct(*rcols).alias("v"))
     r = right.select(
-        *by, xr.alias("_x"), F.lit(1).alias("_side"), F.col(order).cast("bigint").alias("_o"),
+        *by, xr.alias("_x"), F.lit(1).alias("_side"), _order(right, order).alias("_o"),
         F.lit(None).cast(l.schema["_l"].dataType).alias("_l"), point.alias("_r"),
     )
     line = l.unionByName(r).filter("_x is not null")
@@ -77,10 +83,15 @@ def nearest_join(
     )
 
 
+def _order(df: DataFrame, name: str) -> Column:
+    """The order column: whole numbers of any width as one type, everything else (text, times) as it is."""
+    return F.col(name).cast("bigint") if isinstance(df.schema[name].dataType, T.IntegralType) else F.col(name)
+
+
 def _right_type(right: DataFrame, rcols: Sequence[str], x: str, order: str):
     return right.select(
         F.struct(
-            F.col(x).cast("double").alias("x"), F.col(order).cast("bigint").alias("o"), F.struct(*rcols).alias("v")
+            F.col(x).cast("double").alias("x"), _order(right, order).alias("o"), F.struct(*rcols).alias("v")
         ).alias("p")
     ).schema["p"].dataType
 
@@ -157,6 +168,110 @@ def nearest_points(df: DataFrame, x: str, y: str, row: str, points: Sequence[tup
     return out
 
 
+@dataclass(frozen=True)
+class Cells:
+    """A balanced tree of cuts across x and y; nodes have the numbers of a heap, leaves are the cells."""
+
+    depth: int
+    axis: np.ndarray
+    cut: np.ndarray
+
+    @classmethod
+    def grow(cls, xy: np.ndarray, depth: int) -> Cells:
+        """Cuts at the median of the wider side of each node's sampled points."""
+        axis, cut = np.zeros(1 << depth, dtype=np.int64), np.zeros(1 << depth)
+        held = {1: xy}
+        for node in range(1, 1 << depth):
+            own = held.pop(node)
+            if len(own):
+                axis[node] = int(np.argmax(np.ptp(own, axis=0)))
+                cut[node] = np.median(own[:, axis[node]])
+            right = own[:, axis[node]] > cut[node]
+            held[2 * node], held[2 * node + 1] = own[~right], own[right]
+        return cls(depth, axis, cut)
+
+    def of(self, xy: np.ndarray) -> np.ndarray:
+        node = np.ones(len(xy), dtype=np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + (xy[np.arange(len(xy)), self.axis[node]] > self.cut[node])
+        return node
+
+
+CELL_ROWS, MAX_CELLS, CELL_SAMPLE = 16_384, 4096, 16
+TILE_POINTS, TILE_QUERIES = 65_536, 8192
+
+
+def nearest_rows(
+    df: DataFrame, x: str, y: str, row: str, queries: DataFrame, qx: str = "qx", qy: str = "qy", cell_rows: int = CELL_ROWS,
+    tile_points: int = TILE_POINTS, tile_queries: int = TILE_QUERIES,
+) -> DataFrame:
+    """The nearest finite (x, y) row to every row of `queries` (lowest row of equals): its columns, then row and distance.
+
+    Points are dealt to cells of about `cell_rows`, cut at medians of a bounded sample; their true bounds, at most
+    MAX_CELLS boxes, go to the tasks.  A query is sent to the cells whose box is no farther than the farthest corner of
+    another one, so the nearest point is always among them.  Cells meet their queries in tiles of bounded size.
+    Queries with a missing or infinite coordinate, and all queries if there is no point, have no row.
+    """
+    vx, vy = fx.finite(F.col(x).cast("double")), fx.finite(F.col(y).cast("double"))
+    p = df.select(vx.alias("_x"), vy.alias("_y"), F.col(row).cast("bigint").alias("_row")).filter("_x is not null and _y is not null")
+    p = stage(p.groupBy("_x", "_y").agg(F.min("_row").alias("_row")))
+    n = p.count()
+    depth = max(0, min(MAX_CELLS, -(-n // cell_rows)) - 1).bit_length()
+    share = min(1.0, CELL_SAMPLE * (1 << depth) / max(n, 1))
+    some = p if share >= 1.0 else p.filter(F.xxhash64("_row") < F.lit(int(-(2**63) + share * (2**64 - 1))))
+    sample = some.select("_x", "_y").toPandas().to_numpy(dtype=float)
+    cells = Cells.grow(sample.reshape(-1, 2), depth)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(cell=cells.of(pdf[["_x", "_y"]].to_numpy()))
+
+    placed = stage(p.mapInPandas(deal, "_x double, _y double, _row bigint, cell bigint"))
+    bounds = placed.groupBy("cell").agg(F.min("_x"), F.min("_y"), F.max("_x"), F.max("_y"), F.count(F.lit(1))).collect()
+    boxes = np.array([tuple(b)[:5] for b in bounds], dtype=float).reshape(-1, 5)
+    asked = stage(queries.withColumn("_q", F.monotonically_increasing_id()))
+    a, b = fx.finite(F.col(qx).cast("double")), fx.finite(F.col(qy).cast("double"))
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf) if len(boxes) else 0, 512):
+                part = pdf.iloc[lo : lo + 512]
+                at = part[["_a", "_b"]].to_numpy()[:, None, :]
+                low, high = boxes[None, :, 1:3], boxes[None, :, 3:5]
+                near = (np.maximum(np.maximum(low - at, at - high), 0) ** 2).sum(axis=2)
+                far = (np.maximum(np.abs(at - low), np.abs(at - high)) ** 2).sum(axis=2)
+                # a hair wider than exact bounds, for rounding
+                q, c = np.nonzero(near <= far.min(axis=1, keepdims=True) * (1 + 1e-9))
+                yield pd.DataFrame({"_q": part["_q"].to_numpy()[q], "_a": part["_a"].to_numpy()[q], "_b": part["_b"].to_numpy()[q], "cell": boxes[c, 0].astype(np.int64)})
+
+    sent = asked.select("_q", a.alias("_a"), b.alias("_b")).filter("_a is not null and _b is not null")
+    sent = stage(sent.mapInPandas(send, "_q bigint, _a double, _b double, cell bigint"))
+    crowd = {r["cell"]: r["n"] for r in sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    tiles = [(int(r["cell"]), -(-int(r[5]) // tile_points), -(-crowd[r["cell"]] // tile_queries)) for r in bounds if r["cell"] in crowd]
+    plan = F.broadcast(df.sparkSession.createDataFrame(tiles, "cell bigint, _ps int, _qs int"))
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    none = lambda t: F.lit(None).cast(t)
+    points = placed.join(plan, "cell").select("cell", F.pmod(F.xxhash64("_row"), F.col("_ps")).cast("int").alias("i"), all_of("_qs").alias("j"), none("bigint").alias("_q"), F.col("_x").alias("u"), F.col("_y").alias("v"), "_row")
+    wanted = sent.join(plan, "cell").select("cell", all_of("_ps").alias("i"), F.pmod(F.xxhash64("_q"), F.col("_qs")).cast("int").alias("j"), "_q", F.col("_a").alias("u"), F.col("_b").alias("v"), none("bigint").alias("_row"))
+
+    def closest(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf[pdf["_q"].isna()].sort_values("_row")
+        ask = pdf[pdf["_q"].notna()]
+        px, py, rows = at["u"].to_numpy(), at["v"].to_numpy(), at["_row"].to_numpy()
+        best, step = [], max(1, (1 << 20) // max(1, len(at)))
+        for lo in range(0, len(ask) if len(at) else 0, step):
+            ax, ay = ask["u"].to_numpy()[lo : lo + step, None], ask["v"].to_numpy()[lo : lo + step, None]
+            d = np.sqrt((px - ax) * (px - ax) + (py - ay) * (py - ay))
+            k = d.argmin(axis=1)  # the first of equals has the lowest row
+            best.append(pd.DataFrame({"_q": ask["_q"].to_numpy()[lo : lo + step], "d": d[np.arange(len(k)), k], "r": rows[k]}))
+        return pd.concat(best).astype({"_q": "int64", "r": "int64"}) if best else pd.DataFrame({"_q": [], "d": [], "r": []})
+
+    found = points.unionByName(wanted).groupBy("cell", "i", "j").applyInPandas(closest, "_q bigint, d double, r bigint")
+    found = found.groupBy("_q").agg(F.min(F.struct("d", "r")).alias("m"))
+    out = asked.join(found, "_q", "left")
+    return out.select(*queries.columns, F.col("m.r").alias("row"), F.col("m.d").alias("distance"))
+
+
 def repair_timestamps(o: Ordered, x: str, error_max: float, step: float, name: str) -> DataFrame:
     """Replace values below error_max + 1 by counting `step`s from the nearest trusted row.
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass
 from functools import reduce
 
@@ -381,11 +382,12 @@ def health_check(
     o = stage_rows(o, *dict.fromkeys([*([time_col] if time_col else []), *channels]))
     # four independent groups of jobs: submitted together, so that one's last tasks overlap the next
     with ThreadPoolExecutor(4) as pool:
-        gaps = pool.submit(lambda: local_copy(time_gaps(o, time_col)) if time_col else None)
-        per_channel = pool.submit(lambda: local_copy(channel_facts(o, channels)))
+        submit = lambda job: pool.submit(copy_context().run, job)
+        gaps = submit(lambda: local_copy(time_gaps(o, time_col)) if time_col else None)
+        per_channel = submit(lambda: local_copy(channel_facts(o, channels)))
         levels = channel_levels(o, channels)
-        joined = pool.submit(lambda: stage(outlier_runs(o, channels, levels)))
-        shifts = pool.submit(lambda: events(o, channels, changepoints(o, channels, levels), lineage))
+        joined = submit(lambda: stage(outlier_runs(o, channels, levels)))
+        shifts = submit(lambda: events(o, channels, changepoints(o, channels, levels), lineage))
         g, f, runs, parts = gaps.result(), per_channel.result(), joined.result(), [shifts.result()]
     parts += [dead(f), frozen(f), missing(f), regimes(runs), glitches(runs)]
     if g is not None:

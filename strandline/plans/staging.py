@@ -6,24 +6,28 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.plans.ordering import Ordered
 
 SETTING = "spark.checkpoint.dir"
-_scopes: list[list[str]] = []
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("staged_scopes", default=())
 
 
 @contextmanager
 def staged_scope(spark: SparkSession) -> Iterator[None]:
-    """Removes what is staged inside once the block ends: write or collect results before that."""
+    """Removes what is staged inside once the block ends: write or collect results before that.
+
+    A scope holds for its own thread, and for others that run in a copy of its context.
+    """
     paths: list[str] = []
-    _scopes.append(paths)
+    before = _scopes.set((*_scopes.get(), paths))
     try:
         yield
     finally:
-        _scopes.remove(paths)
+        _scopes.reset(before)
         for p in paths:
             path = spark._jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -48,7 +52,7 @@ def stage(df: DataFrame, outer: bool = False) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    scopes = _scopes[:-1] if outer else _scopes
+    scopes = _scopes.get()[:-1] if outer else _scopes.get()
     if scopes:
         scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -234,6 +234,20 @@ def nearest_points(spark, d):
     return rounded(align.nearest_points(table(spark, d, "part"), "p_size", "p_retailprice", "p_partkey", POINTS), 6, "distance")
 
 
+@query(
+    "nearest_rows",
+    "WITH q AS (SELECT o_orderkey, (o_custkey % 61)::double - 5 AS qx, o_totalprice / 100 AS qy FROM orders), "
+    "b AS (SELECT o_orderkey, arg_min(struct_pack(r := p_partkey, d := sqrt((p_size - qx) * (p_size - qx) + (p_retailprice - qy) * (p_retailprice - qy))), "
+    "struct_pack(d := sqrt((p_size - qx) * (p_size - qx) + (p_retailprice - qy) * (p_retailprice - qy)), r := p_partkey)) AS s FROM q, part GROUP BY o_orderkey) "
+    "SELECT o_orderkey, s.r AS row, round(s.d, 6) AS distance FROM b",
+)
+def nearest_rows(spark, d):
+    """The nearest part to every order, by size and price."""
+    q = table(spark, d, "orders").select("o_orderkey", ((F.col("o_custkey") % 61).cast("double") - 5).alias("qx"), (F.col("o_totalprice") / 100).alias("qy"))
+    out = align.nearest_rows(table(spark, d, "part"), "p_size", "p_retailprice", "p_partkey", q)
+    return rounded(out, 6, "distance").select("o_orderkey", "row", "distance")
+
+
 # ---------------------------------------------------------------- spectra
 
 DFT = (

@@ -338,3 +338,53 @@ def test_a_page_a_million_rows_down(spark):
     got = rows.RowQuery(sort="v").page(df, 1_000_000, 5)
     assert "TakeOrdered" not in got._jdf.queryExecution().executedPlan().toString()
     assert [r.v for r in got.collect()] == sorted(i * 7919 % 1_200_007 for i in range(1_200_000))[1_000_000:1_000_005]
+
+
+def test_nearest_join_with_any_order(spark):
+    from strandline.operators import align
+
+    left = spark.createDataFrame([(0.0, "a"), (5.0, "b"), (9.5, "c")], "x double, o string")
+    right = spark.createDataFrame([(4.0, "k", 1), (4.0, "m", 2), (10.0, "k", 3), (10.0, "j", 4)], "x double, o string, v int")
+    got = sorted((r.o, r.row2, r.r_v, r.distance) for r in align.nearest_join(left, right, "x", "o", 2.0).collect())
+    assert got == [("b", "m", 2, 1.0), ("c", "j", 4, 0.5)]
+    at = lambda d: d.withColumn("o", F.to_timestamp(F.concat(F.lit("2024-01-0"), F.ascii("o") - 96 - F.when(F.col("o") >= "j", 8).otherwise(0))))
+    assert align.nearest_join(at(left), at(right), "x", "o", 2.0).count() == 2
+    assert align.nearest_join(left, right, "x", "o", 0.1).count() == 0
+
+
+def test_scopes_nest_and_stay_apart(spark, tmp_path):
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+
+    from strandline.plans import staging
+
+    def made(df):
+        return df.inputFiles()[0].rsplit("/", 1)[0].replace("file://", "")
+
+    with staging.staged_scope(spark):
+        with staging.staged_scope(spark):
+            inner, kept = staging.stage(spark.range(3)), staging.stage(spark.range(3), outer=True)
+            gone, stays = made(inner), made(kept)
+        assert not os.path.exists(gone) and os.path.exists(stays)
+        with ThreadPoolExecutor(1) as pool:  # another thread is no part of the scope
+            other = made(pool.submit(lambda: staging.stage(spark.range(2))).result())
+    assert not os.path.exists(stays) and os.path.exists(other)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"cell_rows": 40, "tile_points": 30, "tile_queries": 50}])
+def test_nearest_rows_of_many_queries(spark, sizes):
+    from strandline.operators import align
+
+    rng = np.random.default_rng(4)
+    pts = np.concatenate([rng.integers(0, 30, (500, 2)), rng.normal(200, 0.1, (400, 2)), np.full((300, 2), 7.0)]).astype(float)
+    ask = np.concatenate([rng.integers(-40, 240, (900, 2)), rng.normal(200, 0.1, (400, 2)), [[1e6, -1e6], [7, 7]]]).astype(float)
+    df = spark.createDataFrame([(int(5000 - i), float(a), float(b)) for i, (a, b) in enumerate(pts)] + [(1, None, 2.0), (2, float("nan"), 2.0)], "id int, x double, y double")
+    q = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(ask)] + [(9000, None, 1.0), (9001, float("inf"), 0.0)], "k int, qx double, qy double")
+    got = {r.k: (r.row, r.distance) for r in align.nearest_rows(df, "x", "y", "id", q, **sizes).collect()}
+    rows = 5000 - np.arange(len(pts))
+    for i, (a, b) in enumerate(ask):
+        d = np.sqrt((pts[:, 0] - a) * (pts[:, 0] - a) + (pts[:, 1] - b) * (pts[:, 1] - b))
+        assert got[i] == (rows[d == d.min()].min(), d.min())
+    assert got[9000] == got[9001] == (None, None) and len(got) == len(ask) + 2
+    none = align.nearest_rows(df.limit(0), "x", "y", "id", q.limit(3))
+    assert [r.row for r in none.collect()] == [None] * 3
