@@ -237,7 +237,18 @@ def first_flagged(spark, d):
     return report.first_flagged(o, qc.health_check(o, CHANNELS, "ts", ordered=False), qc.outlier_runs(o, CHANNELS))
 
 
-@query("focused_plots")
+PLACES = "[" + ", ".join(f"'{c}'" for c in CHANNELS) + "]"
+PLOTS = (
+    ", pa AS (SELECT kind, coalesce(\"column\", split_part(affected, ',', 1)) AS c, coalesce(row, onset_row, range_start) AS place, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS rk, "
+    "CASE WHEN kind IN ('glitch', 'outlier_regime') THEN 1 ELSE 2 END AS ph, CASE kind WHEN 'outlier_regime' THEN 3 WHEN 'glitch' THEN 4 ELSE 0 END AS part "
+    "FROM fi WHERE kind IN ('changepoint', 'regime_change_event', 'glitch', 'outlier_regime')), "
+    f"pb AS (SELECT *, CASE WHEN ph = 1 THEN list_position({PLACES}, c) ELSE place END AS pos FROM pa), "
+    "pc AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY rk, ph, pos, part, place) AS i FROM pb), "
+    "pl AS (SELECT c AS \"column\", kind, kind || ' — ' || c || coalesce(' (row ~' || place || ')', '') AS caption FROM pc WHERE i = 1 ORDER BY rk, ph, pos, part, place LIMIT 5)"
+)
+
+
+@query("focused_plots", f"WITH {ALL}{PLOTS} SELECT * FROM pl")
 def focused_plots(spark, d):
     found = qc.health_check(faulty(spark, d), CHANNELS, "ts", ordered=False)
     return report.focused_plots(found, "ts", CHANNELS)
@@ -248,3 +259,29 @@ def report_overview(spark, d):
     o = faulty(spark, d)
     x, ys, layout = report.overview_columns(o.df.drop(ROW), CHANNELS)
     return report.plot_series(o, x, ys, layout=layout)
+
+
+@query(
+    "qc_report",
+    f"WITH {ALL}{FLAGGED}{PLOTS}, c AS (SELECT count(*) AS t, count(*) FILTER (severity = 'high') AS h, count(*) FILTER (severity = 'medium') AS m FROM fi) "
+    "SELECT 'severity' AS part, severity AS item, count(*)::varchar AS value FROM fi GROUP BY 2 UNION ALL "
+    "SELECT 'verdict', CASE WHEN h > 0 THEN 'high' ELSE 'medium' END, t || ' findings: ' || h || ' High, ' || m || ' Medium' FROM c UNION ALL "
+    "SELECT 'finding', kind || ' ' || coalesce(\"column\", affected), detail FROM fi UNION ALL "
+    "SELECT 'plot', \"column\", caption FROM pl UNION ALL "
+    "SELECT 'flagged', row_idx::varchar, '' FROM (SELECT * FROM fl ORDER BY row_idx LIMIT 50)",
+)
+def qc_report(spark, d):
+    """The report's tables under one another."""
+    t = report.qc_report(faulty(spark, d), CHANNELS, "ts")
+    named_ = F.coalesce("column", F.array_join("affected", ","))
+    parts = [
+        t["severity_counts"].select(F.lit("severity").alias("part"), F.col("severity").alias("item"), F.col("n").cast("string").alias("value")),
+        t["verdict"].select(F.lit("verdict"), "verdict_class", "verdict_text"),
+        t["findings"].select(F.lit("finding"), F.concat("kind", F.lit(" "), named_), "detail"),
+        t["plots"].select(F.lit("plot"), "column", "caption"),
+        t["flagged"].select(F.lit("flagged"), F.col(ROW).cast("string"), F.lit("")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
