@@ -254,11 +254,20 @@ def focused_plots(spark, d):
     return report.focused_plots(found, "ts", CHANNELS)
 
 
-@query("report_overview")
+@query(
+    "report_overview",
+    f"WITH {LONG}, fin AS (SELECT \"column\", position, row_idx, x, v, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY \"column\") AS m "
+    "FROM long JOIN (SELECT row_idx, x FROM q) USING (row_idx) WHERE v IS NOT NULL WINDOW w AS (PARTITION BY \"column\" ORDER BY row_idx)), "
+    "bk AS (SELECT *, floor(((i + 1) * 900 - 1) / m)::bigint AS b FROM fin WHERE m > 3600), "
+    "ex AS (SELECT \"column\", list_distinct([arg_min(i, struct_pack(v := v, r := i)), arg_max(i, struct_pack(v := v, r := -i))]) AS l FROM bk GROUP BY \"column\", b), "
+    "pk AS (SELECT \"column\", unnest(l) AS i FROM ex) "
+    "SELECT position AS panel, \"column\" AS series, i AS row_idx, x, round(v, 9) AS y FROM pk JOIN fin USING (\"column\", i) UNION ALL "
+    "SELECT position, \"column\", row_idx, x, round(v, 9) FROM fin WHERE m <= 3600",
+)
 def report_overview(spark, d):
     o = faulty(spark, d)
     x, ys, layout = report.overview_columns(o.df.drop(ROW), CHANNELS)
-    return report.plot_series(o, x, ys, layout=layout)
+    return rounded(report.plot_series(o, x, ys, layout=layout), 9, "y")
 
 
 @query(
