@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from strandline.llm import simhash
+from strandline.llm import profiles
 
 SCHEMA = "doc_id long, text string, fp long, node long, _t string"
 
@@ -33,7 +33,7 @@ def rows():
 
 def test_near_copies_go_and_others_stay(spark, rows):
     df = spark.createDataFrame([(i, t, 1, 2, "c") for i, t in rows], SCHEMA).repartition(3)
-    out = simhash.one_of_each_profile(df)
+    out = profiles.one_of_each_profile(df)
     assert out.columns == df.columns
     kept = {(r.doc_id, r.text) for r in out.collect()}
     assert out.count() == len(kept)
@@ -47,7 +47,7 @@ def test_near_copies_go_and_others_stay(spark, rows):
     # the last two differ in one of 60,000 shingles: equal in all fingerprints, though not as sets
     assert len({3003, 3004, 3005} & ids) == 1 and len({3006, 3007} & ids) == 1
     assert len([r for r in kept if not (r[1] or "").split()]) == 1
-    assert simhash.one_of_each_profile(df.limit(0)).count() == 0
+    assert profiles.one_of_each_profile(df.limit(0)).count() == 0
 
 
 def test_jaccard_is_of_sets_of_whole_texts():
@@ -55,4 +55,4 @@ def test_jaccard_is_of_sets_of_whole_texts():
     for _ in range(50):
         a, b = (" ".join(rng.choice(list("abc"), rng.integers(0, 12))) for _ in range(2))
         x, y = shingles(a), shingles(b)
-        assert simhash.jaccard(a, b, 5) == pytest.approx(len(x & y) / len(x | y) if x | y else 1.0)
+        assert profiles.jaccard(a, b, 5) == pytest.approx(len(x & y) / len(x | y) if x | y else 1.0)
