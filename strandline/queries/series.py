@@ -197,11 +197,20 @@ def nearest_join_ties(spark, d):
     return align.nearest_join(left, right, "x", "o_orderkey").select("o_orderkey", "row2")
 
 
-@query(
-    "series_arithmetic",
-    NEAREST + " SELECT event_id, round(value + r_value, 6) AS y_add, round(value - r_value, 6) AS y_subtract, round(value * r_value, 6) AS y_multiply, "
-    "round(value / r_value, 6) AS y_divide FROM m WHERE abs(x - x2) <= 600",
+# of right rows with one x: the last by event_id below the left x, the first at or above it; what is not finite is NULL
+ARITHMETIC = (
+    f"WITH {SIDES}, d AS (SELECT x, arg_max(struct_pack(v := value), event_id).v AS v_last, arg_min(struct_pack(v := value), event_id).v AS v_first FROM r GROUP BY x), "
+    "b AS (SELECT l.event_id, l.x, l.value, d.x AS x0, d.v_last AS v0 FROM l ASOF LEFT JOIN d ON l.x > d.x), "
+    "c AS (SELECT b.*, d.x AS x1, d.v_first AS v1 FROM b ASOF LEFT JOIN d ON b.x <= d.x), "
+    "p AS (SELECT *, x0 IS NOT NULL AND (x1 IS NULL OR x - x0 <= x1 - x) AS low FROM c), "
+    "m AS (SELECT event_id, x, value, CASE WHEN low THEN x0 ELSE x1 END AS x2, CASE WHEN low THEN v0 ELSE v1 END AS r_value FROM p), "
+    f"o AS (SELECT event_id, value + r_value AS s, value - r_value AS d, value * r_value AS p, CASE WHEN abs(r_value) >= {align.EPSILON!r}::double THEN value / r_value END AS q "
+    "FROM m WHERE abs(x - x2) <= 600) "
+    "SELECT event_id, " + ", ".join(f"CASE WHEN isfinite({c}) THEN round({c}, 6) END AS y_{op}" for c, op in zip("sdpq", ("add", "subtract", "multiply", "divide"))) + " FROM o"
 )
+
+
+@query("series_arithmetic", ARITHMETIC)
 def series_arithmetic(spark, d):
     m = align.nearest_join(*_sides(spark, d), "x", "event_id", 600.0)
     ops = ["add", "subtract", "multiply", "divide"]
