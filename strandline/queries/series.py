@@ -135,7 +135,7 @@ def normalized_overlay(spark, d):
     return rounded(windows.normalize(t, "value", "z", by=("event_type",)), 9, "z").select("event_id", "z")
 
 
-@query("transform_log", f"WITH {EV} SELECT row_idx, round(ln(value), 9) AS y FROM ev")
+@query("transform_log", f"WITH {EV} SELECT row_idx, CASE WHEN value > 0 AND isfinite(value) THEN round(ln(value), 9) END AS y FROM ev")
 def transform_log(spark, d):
     o = events(spark, d)
     out = transform(o.with_df(o.df.select(ROW, "x", F.col("value").alias("y"))), "x", "y", "log")

@@ -21,7 +21,7 @@ def _events(spark, folder, rows):
     return con
 
 
-@pytest.mark.parametrize("name", ["series_arithmetic"])
+@pytest.mark.parametrize("name", ["transform_log", "series_arithmetic"])
 def test_zeros_infinities_and_equal_times(spark, tmp_path, name):
     rows = [(1, 10, "click", 152.38), (2, 20, "click", 0.0), (3, 30, "click", 1e200), (4, 40, "click", -3.5), (5, 2000, "click", 8.0)]
     # no quotient, one too large, several rows of one time on either side of a click and at its own time
