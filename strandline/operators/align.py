@@ -197,8 +197,76 @@ class Cells:
         return node
 
 
+@dataclass(frozen=True)
+class Boxes:
+    """Points in a balanced tree of boxes: halves of equal size along the wider side, down to leaves of about LEAF points.
+
+    Leaves hold positions in ascending order; a last point that is repeated fills them up.
+    """
+
+    xy: np.ndarray
+    leaves: np.ndarray
+    bounds: list[tuple[np.ndarray, np.ndarray]]
+
+    LEAF, QUERIES, PAIRS = 16, 1024, 1 << 15
+
+    @classmethod
+    def grow(cls, xy: np.ndarray) -> Boxes:
+        depth = max(0, (len(xy) - 1) // cls.LEAF).bit_length()
+        at = np.minimum(np.arange(-(-len(xy) >> depth) << depth), len(xy) - 1)[None, :]
+        for _ in range(depth):
+            side = np.ptp(xy[at], axis=1).argmax(axis=1)
+            order = xy[at, side[:, None]].argsort(axis=1, kind="stable")
+            at = np.take_along_axis(at, order, axis=1).reshape(2 * len(at), -1)
+        at = np.sort(at, axis=1)
+        bounds = [(xy[at].min(axis=1), xy[at].max(axis=1))]
+        for _ in range(depth):
+            low, high = bounds[0]
+            bounds.insert(0, (np.minimum(low[::2], low[1::2]), np.maximum(high[::2], high[1::2])))
+        return cls(xy, at, bounds)
+
+    def _near(self, level: int, node: np.ndarray, ask: np.ndarray) -> np.ndarray:
+        low, high = (b[node] for b in self.bounds[level])
+        return (np.maximum(np.maximum(low - ask, ask - high), 0) ** 2).sum(axis=1)
+
+    def nearest(self, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distance and position of the nearest point to each row of `ask`, the first of equals."""
+        found = [self._some(ask[lo : lo + self.QUERIES]) for lo in range(0, len(ask), self.QUERIES)]
+        return tuple(np.concatenate(part) for part in zip(*found))
+
+    def _some(self, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        node = np.zeros(len(ask), dtype=np.int64)
+        for level in range(1, len(self.bounds)):
+            left, right = self._near(level, 2 * node, ask), self._near(level, 2 * node + 1, ask)
+            node = 2 * node + (right < left)
+        best, first = self._least(node, ask)
+        # every leaf whose box is no farther than that; a hair more, for rounding
+        limit = best * best * (1 + 1e-9)
+        q, node = np.arange(len(ask)), np.zeros(len(ask), dtype=np.int64)
+        for level in range(1, len(self.bounds)):
+            q, node = np.repeat(q, 2), (2 * node[:, None] + np.arange(2)).ravel()
+            keep = self._near(level, node, ask[q]) <= limit[q]
+            q, node = q[keep], node[keep]
+        for lo in range(0, len(q), self.PAIRS):
+            who = q[lo : lo + self.PAIRS]
+            d, at = self._least(node[lo : lo + self.PAIRS], ask[who])
+            order = np.lexsort((at, d, who))
+            top = order[np.flatnonzero(np.diff(who[order], prepend=-1))]
+            w, d, at = who[top], d[top], at[top]
+            better = (d < best[w]) | ((d == best[w]) & (at < first[w]))
+            best[w[better]], first[w[better]] = d[better], at[better]
+        return best, first
+
+    def _least(self, leaf: np.ndarray, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.leaves[leaf]
+        away = self.xy[at] - ask[:, None, :]
+        d = np.sqrt(away[:, :, 0] * away[:, :, 0] + away[:, :, 1] * away[:, :, 1])
+        k, i = d.argmin(axis=1), np.arange(len(d))
+        return d[i, k], at[i, k]
+
+
 CELL_ROWS, MAX_CELLS, CELL_SAMPLE = 16_384, 4096, 16
-TILE_POINTS, TILE_QUERIES = 65_536, 8192
+TILE_POINTS, TILE_QUERIES = 65_536, 65_536
 
 
 def nearest_rows(
@@ -209,7 +277,8 @@ def nearest_rows(
 
     Points are dealt to cells of about `cell_rows`, cut at medians of a bounded sample; their true bounds, at most
     MAX_CELLS boxes, go to the tasks.  A query is sent to the cells whose box is no farther than the farthest corner of
-    another one, so the nearest point is always among them.  Cells meet their queries in tiles of bounded size.
+    another one, so the nearest point is always among them.  Cells meet their queries in tiles of bounded size, and a
+    query only looks at the points of a tile in boxes that may hold its nearest one (`Boxes`).
     Queries with a missing or infinite coordinate, and all queries if there is no point, have no row.
     """
     vx, vy = fx.finite(F.col(x).cast("double")), fx.finite(F.col(y).cast("double"))
@@ -255,16 +324,12 @@ def nearest_rows(
     wanted = sent.join(plan, "cell").select("cell", all_of("_ps").alias("i"), F.pmod(F.xxhash64("_q"), F.col("_qs")).cast("int").alias("j"), "_q", F.col("_a").alias("u"), F.col("_b").alias("v"), none("bigint").alias("_row"))
 
     def closest(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf[pdf["_q"].isna()].sort_values("_row")
+        at = pdf[pdf["_q"].isna()].sort_values("_row")  # the first of equals has the lowest row
         ask = pdf[pdf["_q"].notna()]
-        px, py, rows = at["u"].to_numpy(), at["v"].to_numpy(), at["_row"].to_numpy()
-        best, step = [], max(1, (1 << 20) // max(1, len(at)))
-        for lo in range(0, len(ask) if len(at) else 0, step):
-            ax, ay = ask["u"].to_numpy()[lo : lo + step, None], ask["v"].to_numpy()[lo : lo + step, None]
-            d = np.sqrt((px - ax) * (px - ax) + (py - ay) * (py - ay))
-            k = d.argmin(axis=1)  # the first of equals has the lowest row
-            best.append(pd.DataFrame({"_q": ask["_q"].to_numpy()[lo : lo + step], "d": d[np.arange(len(k)), k], "r": rows[k]}))
-        return pd.concat(best).astype({"_q": "int64", "r": "int64"}) if best else pd.DataFrame({"_q": [], "d": [], "r": []})
+        if at.empty or ask.empty:
+            return pd.DataFrame({"_q": [], "d": [], "r": []})
+        d, k = Boxes.grow(at[["u", "v"]].to_numpy()).nearest(ask[["u", "v"]].to_numpy())
+        return pd.DataFrame({"_q": ask["_q"].to_numpy().astype("int64"), "d": d, "r": at["_row"].to_numpy().astype("int64")[k]})
 
     found = points.unionByName(wanted).groupBy("cell", "i", "j").applyInPandas(closest, "_q bigint, d double, r bigint")
     found = found.groupBy("_q").agg(F.min(F.struct("d", "r")).alias("m"))

@@ -388,3 +388,17 @@ def test_nearest_rows_of_many_queries(spark, sizes):
     assert got[9000] == got[9001] == (None, None) and len(got) == len(ask) + 2
     none = align.nearest_rows(df.limit(0), "x", "y", "id", q.limit(3))
     assert [r.row for r in none.collect()] == [None] * 3
+
+
+def test_boxes_look_at_few_points(monkeypatch):
+    from strandline.operators.align import Boxes
+
+    rng = np.random.default_rng(5)
+    pts = np.column_stack([rng.integers(1, 51, 16_000), 900 + rng.integers(0, 10_000, 16_000) / 100]).astype(float)
+    ask = np.column_stack([rng.integers(-5, 56, 400), rng.uniform(10, 5000, 400)]).astype(float)
+    looked, least = [], Boxes._least
+    monkeypatch.setattr(Boxes, "_least", lambda self, leaf, at: looked.append(len(leaf) * self.leaves.shape[1]) or least(self, leaf, at))
+    d, k = Boxes.grow(pts).nearest(ask)
+    away = np.sqrt(((pts[None] - ask[:, None]) ** 2).sum(axis=2))
+    assert (k == away.argmin(axis=1)).all() and (d == away.min(axis=1)).all()
+    assert sum(looked) < len(pts) * len(ask) / 20
