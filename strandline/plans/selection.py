@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 BITS = 16
 TOP = np.uint64(1 << 63)
 COUNTS = "seg int, col int, pick int, rank bigint, bin int, count bigint, low bigint, high bigint"
-FLUSH = 1 << 18
+FLUSH = 1 << 17
 
 Transform = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
 
@@ -48,38 +48,58 @@ def _signed(bits: np.ndarray) -> np.ndarray:
     return (bits ^ TOP).view(np.int64)
 
 
-def _binned(keys: np.ndarray, segs: np.ndarray, done: int) -> pd.DataFrame:
-    """Counts, smallest and largest key by segment and the next 16 bits."""
-    bins = ((keys >> np.uint64(64 - BITS - done)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
-    order = np.lexsort((keys, segs))
-    keys, both = keys[order], ((segs.astype(np.int64) << BITS) | bins)[order]
-    first = np.flatnonzero(np.diff(both, prepend=-1))
-    last = np.append(first[1:], len(both)) - 1
-    return pd.DataFrame({"seg": both[first] >> BITS, "bin": both[first] & ((1 << BITS) - 1), "count": last - first + 1, "low": _signed(keys[first]), "high": _signed(keys[last])})
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _counter(width: int, whole: int | None, done: int, aims: dict | None, transform: Transform | None):
-    """Counts one round over a partition of (s, c0, c1, ...)."""
+def _summed(code: np.ndarray, count: np.ndarray | None, low: np.ndarray, high: np.ndarray) -> Counts:
+    """One entry a code: how many, the smallest and the largest key."""
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    n = np.diff(first, append=len(code)) if count is None else np.add.reduceat(count[order], first)
+    return code[first], n, np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+
 
-    def rounds(keys: np.ndarray, segs: np.ndarray, c: int) -> Iterator[pd.DataFrame]:
+def _counter(width: int, whole: int | None, done: int, aims: dict | None, transform: Transform | None):
+    """Counts one round over a partition of (s, c0, c1, ...), held as plain arrays by (segment, column, pick, bin)."""
+    picks = 1 + max((p for by_pick in (aims or {}).values() for p in by_pick), default=0)
+    ranks = {((s * width + c) * picks + p): r for c, by_pick in (aims or {}).items() for p, by_seg in by_pick.items() for s, (_, r) in by_seg.items()}
+    known = {}
+    for c, by_pick in (aims or {}).items():
+        for p, by_seg in by_pick.items():
+            bits, wanted = np.zeros(max(by_seg) + 2, dtype=np.uint64), np.zeros(max(by_seg) + 2, dtype=bool)
+            for s, (b, _) in by_seg.items():
+                bits[s], wanted[s] = b, True
+            known.setdefault(c, []).append((p, bits, wanted))
+
+    def counted(keys: np.ndarray, segs: np.ndarray, c: int, pick: int) -> Counts:
+        bins = ((keys >> np.uint64(64 - BITS - done)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+        return _summed((((segs.astype(np.int64) * width + c) * picks + pick) << BITS) | bins, None, keys, keys)
+
+    def rounds(keys: np.ndarray, segs: np.ndarray, c: int) -> Iterator[Counts]:
         if aims is None:
-            yield _binned(keys, segs, done).assign(pick=-1, rank=-1)
+            yield counted(keys, segs, c, 0)
             return
-        for pick, by_seg in aims.get(c, {}).items():
-            known = np.full(max(by_seg) + 2, 0, dtype=np.uint64)
-            wanted = np.zeros(len(known), dtype=bool)
-            rank = np.full(len(known), -1, dtype=np.int64)
-            for s, (bits, r) in by_seg.items():
-                known[s], wanted[s], rank[s] = bits, True, r
-            at = np.minimum(segs, len(known) - 1)
-            same = wanted[at] & ((keys >> np.uint64(64 - done)) == known[at])
+        for pick, bits, wanted in known.get(c, []):
+            at = np.minimum(segs, len(bits) - 1)
+            same = wanted[at] & ((keys >> np.uint64(64 - done)) == bits[at])
             if same.any():
-                out = _binned(keys[same], segs[same], done)
-                yield out.assign(pick=pick, rank=rank[out["seg"]])
+                yield counted(keys[same], segs[same], c, pick)
 
-    def merged(held: list[pd.DataFrame]) -> pd.DataFrame:
-        d = pd.concat(held).groupby(["seg", "col", "pick", "rank", "bin"], as_index=False)
-        return d.agg({"count": "sum", "low": "min", "high": "max"})[["seg", "col", "pick", "rank", "bin", "count", "low", "high"]]
+    def merged(held: list[Counts]) -> Counts:
+        return _summed(*(np.concatenate(part) for part in zip(*held))) if len(held) > 1 else held[0]
+
+    def frame(counts: Counts) -> pd.DataFrame:
+        code, count, low, high = counts
+        group = code >> BITS
+        col, pick = group // picks % width, group % picks
+        if aims is None:
+            pick, rank = np.full(len(code), -1), np.full(len(code), -1)
+        else:
+            ids, at = np.unique(group, return_inverse=True)
+            rank = np.array([ranks[g] for g in ids.tolist()], dtype=np.int64)[at]
+        made = {"seg": group // (picks * width), "col": col, "pick": pick, "rank": rank, "bin": code & ((1 << BITS) - 1)}
+        return pd.DataFrame({**made, "count": count, "low": _signed(low), "high": _signed(high)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -95,16 +115,16 @@ def _counter(width: int, whole: int | None, done: int, aims: dict | None, transf
                         ok = np.isfinite(w)
                         w, g = w[ok], g[ok]
                     for part in rounds(sortable_bits(w), g, c) if len(w) else ():
-                        held.append(part.assign(col=c))
-                        size += len(part)
+                        held.append(part)
+                        size += len(part[0])
             if size > FLUSH:
                 held = [merged(held)]
-                size = len(held[0])
-                if size > FLUSH:
-                    yield held.pop()
+                size = len(held[0][0])
+                if 2 * size > FLUSH:
+                    yield frame(held.pop())
                     size = 0
         if held:
-            yield merged(held)
+            yield frame(merged(held))
 
     return run
 

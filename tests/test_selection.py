@@ -67,3 +67,22 @@ def test_only_counts_are_shuffled(df):
     bits = selection.sortable_bits(np.array([-np.inf, -1.5, -0.0, 0.0, 5e-324, 2.0]))
     assert (np.diff(bits.astype(object)) >= 0).all() and bits[2] == bits[3]
     assert selection.values_of(bits).tolist() == [-np.inf, -1.5, 0.0, 0.0, 5e-324, 2.0]
+
+
+def test_counting_holds_little_however_long_the_input():
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+
+    def batches(n):
+        for i in range(n):
+            yield pd.DataFrame({"s": np.full(10_000, i % 3, dtype="int32"), **{f"c{c}": rng.integers(1, 2**62, 10_000).view(np.float64) for c in range(9)}})
+
+    tracemalloc.start()
+    counted = sum(out["count"].sum() for out in selection._counter(9, 41, 0, None, None)(batches(12)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counted <= 2 * 9 * 120_000 and counted > 2 * 9 * 110_000
+    assert peak < 64e6
