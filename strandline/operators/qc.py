@@ -373,7 +373,27 @@ def health_check(
     lineage: Mapping[str, Sequence[str]] | None = None,
     ordered: bool = True,
 ) -> DataFrame:
-    """All findings, most severe first: time gaps, then per channel, then level-shift events.
+    """All findings, most severe first: time gaps, then per channel, then level-shift events."""
+    return check(o, channels, time_col, lineage, ordered).findings
+
+
+@dataclass(frozen=True)
+class Checked:
+    """Findings, all outlier runs behind them, and the indexed channels as they were written for the check."""
+
+    findings: DataFrame
+    runs: DataFrame
+    rows: Ordered
+
+
+def check(
+    o: Ordered,
+    channels: Sequence[str],
+    time_col: str | None = None,
+    lineage: Mapping[str, Sequence[str]] | None = None,
+    ordered: bool = False,
+) -> Checked:
+    """The findings with what they rest on, for reports that show rows as well.
 
     The indexed channels are written once to the shared folder, as are the outlier runs: every
     detector then scans columns instead of sorting the table again.
@@ -396,7 +416,8 @@ def health_check(
             _finding(g, "medium", "time_gaps", detail, 0, 0, column=F.lit(time_col), first_gap_row=F.col("first_gap_row"))
         )
     found = reduce(DataFrame.unionByName, parts)
-    return found.orderBy(*[f.split(" ")[0] for f in ORDER.split(", ")]) if ordered else found
+    found = found.orderBy(*[f.split(" ")[0] for f in ORDER.split(", ")]) if ordered else found
+    return Checked(found, runs, o)
 
 
 FINDING_COLUMNS = [f.split(" ")[0] for f in FINDING.split(", ")]

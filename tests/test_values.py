@@ -402,3 +402,17 @@ def test_boxes_look_at_few_points(monkeypatch):
     away = np.sqrt(((pts[None] - ask[:, None]) ** 2).sum(axis=2))
     assert (k == away.argmin(axis=1)).all() and (d == away.min(axis=1)).all()
     assert sum(looked) < len(pts) * len(ask) / 20
+
+
+def test_report_looks_at_levels_once(spark, monkeypatch):
+    from strandline.operators import qc
+    from strandline.plans import report
+
+    o = faults(spark)
+    calls, real = [], qc.medians_and_deviations
+    monkeypatch.setattr(qc, "medians_and_deviations", lambda *a: calls.append(a) or real(*a))
+    t = report.qc_report(o, ["good", "dead", "glitchy", "static_start"])
+    assert len(calls) == 1
+    shown = {r.row_idx: r.glitchy for r in t["flagged"].collect()}
+    kept = {r.row_idx: r.glitchy for r in o.df.collect()}
+    assert shown and all(kept[k] == v for k, v in shown.items())
