@@ -227,14 +227,15 @@ FLAGGED = (
 
 @query("flagged_rows", f"WITH {ALL}{FLAGGED} SELECT row_idx FROM fl")
 def flagged_rows(spark, d):
-    o = faulty(spark, d)
-    return report.flagged_rows(qc.health_check(o, CHANNELS, "ts", ordered=False), qc.outlier_runs(o, CHANNELS))
+    checked = qc.check(faulty(spark, d), CHANNELS, "ts")
+    return report.flagged_rows(checked.findings, checked.runs)
 
 
 @query("first_flagged", f"WITH {ALL}{FLAGGED} SELECT q.row_idx, calibrated_a, flat, holes, late, raw_a, spiky, stuck, ts FROM q JOIN (SELECT * FROM fl ORDER BY row_idx LIMIT 50) USING (row_idx)")
 def first_flagged(spark, d):
     o = faulty(spark, d)
-    return report.first_flagged(o, qc.health_check(o, CHANNELS, "ts", ordered=False), qc.outlier_runs(o, CHANNELS))
+    checked = qc.check(o, CHANNELS, "ts")
+    return report.first_flagged(o, checked.findings, checked.runs, rows=checked.rows)
 
 
 PLACES = "[" + ", ".join(f"'{c}'" for c in CHANNELS) + "]"
