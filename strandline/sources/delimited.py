@@ -17,7 +17,10 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +40,10 @@ LAYOUT = "_file string, delimiter string, header_row int, columns array<string>,
 STATE = (
     "_file string, _block bigint, head array<binary>, tail array<binary>, lines bigint, valid boolean, ends array<int>, opens array<int>"
 )
+ARROW_STATE = pa.schema(
+    [("_file", pa.string()), ("_block", pa.int64()), ("head", pa.list_(pa.binary())), ("tail", pa.list_(pa.binary())), ("lines", pa.int64()),
+     ("valid", pa.bool_()), ("ends", pa.list_(pa.int32())), ("opens", pa.list_(pa.int32()))]
+)
 GROUP_BYTES = 1 << 37  # splits of so many bytes are merged before their file's states are
 OUTSIDE, INSIDE = 0, 1
 
@@ -130,6 +137,36 @@ class Quotes:
         return int(self.still.fullmatch(line) is not None or self.again.fullmatch(line) is not None)
 
 
+class Effects:
+    """What lines do to a reader, each as one byte: bit 2 * k + s is the side on which a reader that uses delimiter k
+    and enters the line on side s leaves it.
+
+    Only quotes and delimiters count, so lines of one shape are looked at once; long ones are not kept.
+    """
+
+    SHAPES, LONGEST = 1 << 16, 512
+
+    def __init__(self):
+        special = b'"' + "".join(DELIMITERS).encode()
+        self.plain = bytes(b if b in special else 0 for b in range(256))
+        self.quotes, self.known = [Quotes(d) for d in DELIMITERS], {}
+        side, f = np.arange(256)[:, None], np.arange(256)[None, :]
+        bits = range(2 * len(DELIMITERS))
+        #: the byte after a line, by 256 * (the byte before it) + the line's effect
+        self.then = sum(((f >> (b & ~1) + (side >> b & 1)) & 1) << b for b in bits).ravel().tolist()
+
+    def of(self, line: bytes) -> int:
+        shape = line.translate(self.plain)
+        f = self.known.get(shape)
+        if f is None:
+            if len(self.known) >= self.SHAPES:
+                self.known.clear()
+            f = sum(q.after(s, shape) << 2 * k + s for k, q in enumerate(self.quotes) for s in (OUTSIDE, INSIDE))
+            if len(shape) <= self.LONGEST:
+                self.known[shape] = f
+        return f
+
+
 @dataclass
 class Split:
     """What is kept of a stretch of a file: bounded first and last lines, and for each delimiter the side of the
@@ -151,12 +188,14 @@ class Split:
         self.lines += lines
         self.valid &= valid
 
-    def pass_line(self, line: bytes, quotes: list[Quotes]) -> None:
-        for ends, opens, q in zip(self.ends, self.opens, quotes, strict=True):
-            after = {s: q.after(s, line) for s in set(ends)}
-            for i in (OUTSIDE, INSIDE):
-                ends[i] = after[ends[i]]
-                opens[i] |= ends[i] == INSIDE
+    def pass_lines(self, lines: Sequence[bytes], effects: Effects) -> None:
+        pack = lambda pairs: sum(int(v) << 2 * k + i for k, pair in enumerate(pairs) for i, v in enumerate(pair))
+        now, seen, then, of = pack(self.ends), pack(self.opens), effects.then, effects.of
+        for line in lines:
+            now = then[now << 8 | of(line)]
+            seen |= now
+        unpack = lambda byte: [[byte >> 2 * k + i & 1 for i in (OUTSIDE, INSIDE)] for k in range(len(DELIMITERS))]
+        self.ends, self.opens = unpack(now), [[bool(v) for v in pair] for pair in unpack(seen)]
 
     def pass_split(self, ends: Sequence[int], opens: Sequence[int]) -> None:
         for mine, seen, e, o in zip(self.ends, self.opens, ends, opens, strict=True):
@@ -169,30 +208,41 @@ class Split:
         return {"_file": file, "_block": block, "head": self.head, "tail": self.tail, "lines": self.lines, "valid": self.valid, "ends": pack(self.ends), "opens": pack(self.opens)}
 
 
-def _runs(pdf: pd.DataFrame) -> Iterator[tuple[str, int, pd.DataFrame]]:
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.RecordBatch]]:
     """The batch cut where another split begins."""
-    new = (pdf["_file"] != pdf["_file"].shift()) | (pdf["_block"] != pdf["_block"].shift())
-    at = [*new.to_numpy().nonzero()[0], len(pdf)]
+    if not batch.num_rows:
+        return
+    file, block = batch["_file"], batch["_block"].to_numpy()
+    new = pc.not_equal(file[1:], file[:-1]).to_numpy(zero_copy_only=False) | (block[1:] != block[:-1])
+    at = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
     for lo, hi in zip(at, at[1:]):
-        run = pdf.iloc[lo:hi]
-        yield run["_file"].iloc[0], int(run["_block"].iloc[0]), run
+        yield file[lo].as_py(), int(block[lo]), batch.slice(lo, hi - lo)
 
 
-def _look_at_splits(batches: Iterator[pd.DataFrame], head_lines: int, tail_lines: int) -> Iterator[pd.DataFrame]:
+def _flags(run: pa.RecordBatch, name: str) -> np.ndarray:
+    return run[name].to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _look_at_splits(batches: Iterator[pa.RecordBatch], head_lines: int, tail_lines: int) -> Iterator[pa.RecordBatch]:
     """One bounded row for each split; a task reads its splits one after another."""
-    quotes, now, split = [Quotes(d) for d in DELIMITERS], None, None
-    for pdf in batches:
-        for file, block, run in _runs(pdf):
+    effects, now, split = Effects(), None, None
+
+    def state() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([split.row(*now)], schema=ARROW_STATE)
+
+    for batch in batches:
+        for file, block, run in _runs(batch):
             if (file, block) != now:
                 if now is not None:
-                    yield pd.DataFrame([split.row(*now)])
+                    yield state()
                 now, split = (file, block), Split(head_lines, tail_lines)
-            seen = run[~run["blank"]]
-            split.add(seen["value"].iloc[:head_lines].tolist(), seen["value"].iloc[-tail_lines:].tolist(), len(seen), bool(seen["valid"].all()))
-            for line in run.loc[run["quoted"], "value"]:
-                split.pass_line(line, quotes)
+            seen = np.flatnonzero(~_flags(run, "blank"))
+            lines = lambda at: run["value"].take(pa.array(at)).to_pylist()  # noqa: B023, E731
+            head = lines(seen[: head_lines - len(split.head)]) if len(split.head) < head_lines else []
+            split.add(head, lines(seen[max(0, len(seen) - tail_lines) :]), len(seen), bool(_flags(run, "valid")[seen].all()))
+            split.pass_lines(lines(np.flatnonzero(_flags(run, "quoted"))), effects)
     if now is not None:
-        yield pd.DataFrame([split.row(*now)])
+        yield state()
 
 
 def _merged(pdf: pd.DataFrame, head_lines: int, tail_lines: int) -> Split:
@@ -245,7 +295,7 @@ def _splits(spark: SparkSession, paths: Sequence[str], head_lines: int, tail_lin
         "_file", "_block", F.col("value").cast("binary").alias("value"), (F.length(F.trim("value")) == 0).alias("blank"),
         F.is_valid_utf8("value").alias("valid"), F.contains("value", F.lit('"')).alias("quoted"),
     )
-    return stage(d.mapInPandas(lambda batches: _look_at_splits(batches, head_lines, tail_lines), STATE))
+    return stage(d.mapInArrow(lambda batches: _look_at_splits(batches, head_lines, tail_lines), STATE))
 
 
 def _layouts(splits: DataFrame, head_lines: int, head_records: int, tail_lines: int) -> DataFrame:
@@ -333,6 +383,9 @@ def _read(spark: SparkSession, files: Sequence[str], k) -> DataFrame:
 
 WHOLE, OPENED, CONTINUED, CLOSED = range(4)
 RECORD = "_file string, _block bigint, _pos bigint, nth bigint, part int, record binary"
+ARROW_RECORD = pa.schema(
+    [("_file", pa.string()), ("_block", pa.int64()), ("_pos", pa.int64()), ("nth", pa.int64()), ("part", pa.int32()), ("record", pa.binary())]
+)
 
 
 def _entries(pdf: pd.DataFrame, delimiter: int) -> pd.DataFrame:
@@ -345,61 +398,80 @@ def _entries(pdf: pd.DataFrame, delimiter: int) -> pd.DataFrame:
     return pdf[["_file", "_block"]].assign(entry=out)
 
 
-def _assemble(batches: Iterator[pd.DataFrame], delimiter: str) -> Iterator[pd.DataFrame]:
+def _assemble(batches: Iterator[pa.RecordBatch], delimiter: str, edges: bool = False) -> Iterator[pa.RecordBatch]:
     """Records of each split in order.  Lines before the first record of a split and after its last whole one are
-    parts of a record that crosses its edges.  Blank lines between records are dropped."""
-    quotes, now, out = Quotes(delimiter), None, []
-    state, held, start, nth = OUTSIDE, [], 0, 0
+    parts of a record that crosses its edges.  Blank lines between records are dropped.  With `edges` only such parts
+    are sure to be given, so that whole records are not made twice."""
+    effects, k, now = Effects(), DELIMITERS.index(delimiter), None
+    state, held, start, nth, inherited = OUTSIDE, [], 0, 0, False
 
-    def flush(part: int) -> None:
-        nonlocal held, nth
-        out.append((*now, start, nth, part, b"\n".join(held)))
-        nth += part in (WHOLE, OPENED)
-        held = []
+    def made(pos: np.ndarray, numbers: np.ndarray, parts: np.ndarray, records: pa.Array) -> pa.RecordBatch:
+        file, block = (pa.repeat(v, len(records)) for v in now)
+        return pa.RecordBatch.from_arrays([file, block, pa.array(pos), pa.array(numbers), pa.array(parts), records], schema=ARROW_RECORD)
 
-    def leave() -> None:
+    def leave() -> Iterator[pa.RecordBatch]:
         if held:
-            flush(CONTINUED if inherited else OPENED)
+            part = CONTINUED if inherited else OPENED
+            yield made(np.array([start]), np.array([nth]), np.array([part], dtype="int32"), pa.array([b"\n".join(held)], pa.binary()))
 
-    inherited = False
-    for pdf in batches:
-        for file, block, run in _runs(pdf):
+    for batch in batches:
+        for file, block, run in _runs(batch):
             if (file, block) != now:
                 if now is not None:
-                    leave()
-                now, state, held, nth = (file, block), int(run["entry"].iloc[0]), [], 0
+                    yield from leave()
+                now, state, held, nth = (file, block), run["entry"][0].as_py(), [], 0
                 inherited = state == INSIDE
-            for pos, line in zip(run["_pos"], run["value"], strict=True):
+            quoted = _flags(run, "quoted")
+            sides = [state]
+            for line in run["value"].take(pa.array(np.flatnonzero(quoted))).to_pylist():
+                sides.append(effects.of(line) >> 2 * k + sides[-1] & 1)
+            after = np.array(sides)[np.cumsum(quoted)]
+            before = np.append(state, after[:-1])
+            state = sides[-1]
+            kept = np.flatnonzero((before == INSIDE) | ~_flags(run, "blank"))
+            values, pos = run["value"].take(pa.array(kept)), run["_pos"].to_numpy()[kept]
+            cuts = np.append(0, np.flatnonzero(after[kept] == OUTSIDE) + 1)
+            whole = len(cuts) - 1
+            if whole and edges and not inherited:
+                held, nth = [], nth + whole
+            elif whole:
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values[: cuts[-1]])
+                records, at = pc.binary_join(lists, b"\n"), pos[cuts[:-1]]
+                if held:
+                    records = pa.concat_arrays([pa.array([b"\n".join([*held, records[0].as_py()])], pa.binary()), records[1:]])
+                    at[0], held = start, []
+                parts = np.full(whole, WHOLE, dtype="int32")
+                numbers = nth + np.arange(whole)
+                if inherited:  # the end of a record that another split has begun
+                    parts[0], inherited = CLOSED, False
+                    numbers[1:] -= 1
+                    nth -= 1
+                nth += whole
+                yield made(at, numbers, parts, records)
+            if cuts[-1] < len(kept):
                 if not held:
-                    start = pos
-                state_before, state = state, quotes.after(state, line)
-                if state_before == OUTSIDE and not line.strip():
-                    continue
-                held.append(line)
-                if state == OUTSIDE:
-                    flush(CLOSED if inherited else WHOLE)
-                    inherited = False
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RECORD.split(", ")])
-            out.clear()
+                    start = int(pos[cuts[-1]])
+                held += values[cuts[-1] :].to_pylist()
     if now is not None:
-        leave()
-    if out:
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in RECORD.split(", ")])
+        yield from leave()
 
 
 def _read_records(spark: SparkSession, paths: Sequence[str], k, splits: DataFrame) -> DataFrame:
     """Rows of files whose records span lines."""
     at = DELIMITERS.index(k.delimiter)
     entries = stage(splits.select("_file", "_block", "ends").groupBy("_file").applyInPandas(lambda pdf: _entries(pdf, at), "_file string, _block bigint, entry int"))
-    d = _lines(spark, paths).select("_file", "_block", "_pos", F.col("value").cast("binary").alias("value"))
+    d = _lines(spark, paths).select(
+        "_file", "_block", "_pos", F.col("value").cast("binary").alias("value"), F.rlike("value", F.lit(r"\A\s*\z")).alias("blank"),
+        F.contains("value", F.lit('"')).alias("quoted"),
+    )
     if entries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         d = d.join(F.broadcast(entries), ["_file", "_block"])  # keeps the order of lines
     else:
         d = d.join(entries, ["_file", "_block"]).repartition("_file", "_block").sortWithinPartitions(*ROW_ORDER)
-    records = d.mapInPandas(lambda batches: _assemble(batches, k.delimiter), RECORD)
+    records = d.mapInArrow(lambda batches: _assemble(batches, k.delimiter), RECORD)
+    crossing = d.mapInArrow(lambda batches: _assemble(batches, k.delimiter, True), RECORD)
     # parts of one record: its opening and all that follows up to the next opening, at most two parts a split
-    parts = records.filter(F.col("part") != WHOLE)
+    parts = crossing.filter(F.col("part") != WHOLE)
     order = Window.partitionBy("_file").orderBy("_block", "_pos")
     parts = parts.withColumn("_g", F.sum(F.when(F.col("part") == OPENED, 1).otherwise(0)).over(order))
     joined = parts.groupBy("_file", "_g").agg(F.sort_array(F.collect_list(F.struct("_block", "_pos", "nth", "record"))).alias("p"))

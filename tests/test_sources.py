@@ -265,3 +265,29 @@ def test_quotes_follow_the_csv_rules(sep):
             state = q.after(state, line.encode())
         if not text.endswith("\n"):
             assert count == sum(1 for _ in csv.reader(text.splitlines(True), delimiter=sep)), text
+
+
+def test_lines_of_one_shape_are_looked_at_once(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    calls, after = [], delimited.Quotes.after
+    monkeypatch.setattr(delimited.Quotes, "after", lambda self, state, line: calls.append(line) or after(self, state, line))
+    lines = [b'%d;"A; ""%d""";0.5' % (i % 10, i % 7) for i in range(5000)] + [b'5;"open', b'', b'still";6']
+    n = len(lines)
+    batch = pa.RecordBatch.from_pydict({
+        "_file": ["f"] * n, "_block": pa.array([0] * n, pa.int64()), "value": pa.array(lines, pa.binary()), "blank": [not v for v in lines],
+        "valid": [True] * n, "quoted": [b'"' in v for v in lines],
+    })
+    out = [r for b in delimited._look_at_splits(iter([batch[:3000], batch[3000:5001], batch[5001:]]), 9, 4) for r in b.to_pylist()]
+    k = delimited.DELIMITERS.index(";")
+    assert [(r["lines"], len(r["head"]), r["tail"]) for r in out] == [(n - 1, 9, [v for v in lines if v][-4:])]
+    assert out[0]["ends"][k] & 1 == 0 and out[0]["opens"][k] & 1 == 1 and len(calls) < 100
+
+    rng, effects = random.Random(2), delimited.Effects()
+    for _ in range(3000):
+        line = "".join(rng.choice('ab";,|\t') for _ in range(rng.randrange(0, 14))).encode()
+        for i, d in enumerate(delimited.DELIMITERS):
+            for side in (0, 1):
+                assert effects.of(line) >> 2 * i + side & 1 == after(delimited.Quotes(d), side, line)
