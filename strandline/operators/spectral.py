@@ -20,6 +20,7 @@ from strandline.plans.staging import stage
 DIRECT_ROWS = 1 << 20
 WHOLE_TABLE_ROWS = 1 << 12
 LINES_PER_TASK = 64
+SHARED_NUMBERS = 1 << 16  # short series share a group of up to so many numbers
 
 
 def hann(i: Column, n: Column) -> Column:
@@ -164,44 +165,60 @@ def _transforms(lines: DataFrame, chirps: bool, splits: bool) -> DataFrame:
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
+def _groups() -> list[Column]:
+    """Grouping keys of rows (sid, n1, n2, line): series of a size class share a group, long ones are cut by lines."""
+    numbers = F.col("n1") * F.col("n2")
+    size = F.ceil(F.log2(numbers)).cast("int")
+    short = numbers <= SHARED_NUMBERS // 2
+    some = F.when(short, F.floor(F.col("sid") * F.pow(F.lit(2.0), size) / SHARED_NUMBERS)).otherwise(F.col("sid"))
+    return [F.when(short, size).alias("_l"), some.alias("_s"), F.when(~short, F.floor(F.col("line") / LINES_PER_TASK)).alias("_t")]
+
+
 def _two_round(lines: DataFrame, inverse: bool) -> DataFrame:
     """Index j = a * n2 + b: transform over a for each b, twist, then over b for each output c.
 
-    A task holds some lines of one series: about LINES_PER_TASK * sqrt(n1 * n2) numbers.
+    A group holds some lines of one long series, about LINES_PER_TASK * sqrt(n1 * n2) numbers, or up to
+    SHARED_NUMBERS of short ones of similar length, whose lines of one length are transformed together.
     """
     sgn = 1.0 if inverse else -1.0
     fft = (lambda m: np.fft.ifft(m, axis=1) * m.shape[1]) if inverse else (lambda m: np.fft.fft(m, axis=1))
     schema = "sid bigint, n1 bigint, n2 bigint, line bigint, at bigint, re double, im double"
 
-    def rows_of(pdf: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
-        ids, where = np.unique(pdf["line"].to_numpy(), return_inverse=True)
+    def rows_of(pdf: pd.DataFrame, length: int, lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sids, s = np.unique(pdf["sid"].to_numpy(), return_inverse=True)
+        ids, where = np.unique(s * lines + pdf["line"].to_numpy(), return_inverse=True)
         m = np.zeros((len(ids), length), dtype=complex)
         m[where, pdf["at"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        return ids, m
+        return sids[ids // lines], ids % lines, m
 
-    def frame(pdf: pd.DataFrame, lines: np.ndarray, at: np.ndarray, m: np.ndarray) -> pd.DataFrame:
-        same = {c: pdf[c].iloc[0] for c in ("sid", "n1", "n2")}
-        return pd.DataFrame({**same, "line": lines.ravel(), "at": at.ravel(), "re": m.real.ravel(), "im": m.imag.ravel()})
+    def frame(n1: int, n2: int, sid: np.ndarray, lines: np.ndarray, at: np.ndarray, m: np.ndarray) -> pd.DataFrame:
+        own = np.broadcast_to(sid[:, None], m.shape)
+        return pd.DataFrame({"sid": own.ravel(), "n1": n1, "n2": n2, "line": lines.ravel(), "at": at.ravel(), "re": m.real.ravel(), "im": m.imag.ravel()})
 
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        n1, n = int(pdf["n1"].iloc[0]), int(pdf["n1"].iloc[0]) * int(pdf["n2"].iloc[0])
-        b, m = rows_of(pdf, n1)
+    def first(pdf: pd.DataFrame, n1: int, n2: int) -> pd.DataFrame:
+        n = n1 * n2
+        sid, b, m = rows_of(pdf, n1, n2)
         c = np.arange(n1)
         m = fft(m) * np.exp(sgn * 2j * np.pi * ((b[:, None] * c[None, :]) % n) / n)
         lines, at = np.broadcast_arrays(c[None, :], b[:, None])
-        return frame(pdf, lines, at, m)
+        return frame(n1, n2, sid, lines, at, m)
 
-    def second(pdf: pd.DataFrame) -> pd.DataFrame:
-        n1, n2 = int(pdf["n1"].iloc[0]), int(pdf["n2"].iloc[0])
-        c, m = rows_of(pdf, n2)
+    def second(pdf: pd.DataFrame, n1: int, n2: int) -> pd.DataFrame:
+        sid, c, m = rows_of(pdf, n2, n1)
         e = np.arange(n2)
         at, lines = c[:, None] + n1 * e[None, :], np.zeros((len(c), n2), dtype="int64")
-        return frame(pdf, lines, at, fft(m))
+        return frame(n1, n2, sid, lines, at, fft(m))
+
+    def by_shape(one):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.concat([one(part, int(n1), int(n2)) for (n1, n2), part in pdf.groupby(["n1", "n2"], sort=False)])
+
+        return run
 
-    task = F.floor(F.col("line") / LINES_PER_TASK).alias("_t")
+    task = _groups()
     d = lines.select("sid", "n1", "n2", (F.col("j") % F.col("n2")).alias("line"), F.floor(F.col("j") / F.col("n2")).alias("at"), "re", "im")
-    d = d.groupBy("sid", task).applyInPandas(first, schema)
-    d = d.groupBy("sid", task).applyInPandas(second, schema)
+    d = d.groupBy(*task).applyInPandas(by_shape(first), schema)
+    d = d.groupBy(*task).applyInPandas(by_shape(second), schema)
     return d.select("sid", F.col("at").alias("j"), "re", "im")
 
 

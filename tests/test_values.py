@@ -416,3 +416,29 @@ def test_report_looks_at_levels_once(spark, monkeypatch):
     shown = {r.row_idx: r.glitchy for r in t["flagged"].collect()}
     kept = {r.row_idx: r.glitchy for r in o.df.collect()}
     assert shown and all(kept[k] == v for k, v in shown.items())
+
+
+def test_short_series_share_transform_groups(spark):
+    from strandline.operators import spectral
+
+    shapes = [(1, 21), (8, 16), (16, 16), (181, 181), (300, 300)]
+    rows = [(i, *shapes[i % 5], b) for i in range(2000) for b in range(shapes[i % 5][1])]
+    d = spark.createDataFrame(rows, "sid long, n1 long, n2 long, line long")
+    groups = d.groupBy(*spectral._groups()).agg(F.sum("n1").alias("numbers"), F.count_distinct("sid").alias("series")).collect()
+    short = [g for g in groups if g._t is None]
+    assert max(g.numbers for g in short) <= spectral.SHARED_NUMBERS
+    assert max(g.series for g in groups if g._t is not None) == 1 and max(g.numbers for g in groups if g._t is not None) <= 64 * 300
+    few = [g for g in short if g._l <= 8]
+    assert sum(g.series for g in few) == 1200 and len(few) < 40
+
+    # lengths that split, lengths that need a convolution, and one long enough for groups of its own
+    rng = np.random.default_rng(6)
+    lengths = [21, 64, 67, 67, 127, 500, 40_000]
+    values = {i: rng.normal(size=n) for i, n in enumerate(lengths)}
+    made = spark.createDataFrame([(i, j, float(v)) for i, vs in values.items() for j, v in enumerate(vs)], "s int, t int, y double")
+    got = spectral.psd(order_rows(made, "t", "s"), "y", 1.0, direct_rows=20).toPandas()
+    for i, v in values.items():
+        n = len(v)
+        want = np.abs(np.fft.rfft((v - v.mean()) * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1)))))[1 : n // 2] ** 2 / n
+        power = got[got.s == i].sort_values("k")
+        assert power.k.tolist() == list(range(1, n // 2)) and np.allclose(power.power, want, atol=1e-9)
