@@ -13,6 +13,8 @@ together over the whole depth are exactly the repeated strings.  Three things ke
   ends of repeated passages, is split into shorter runs, each with a longer digit, down to single suffixes.
 * Counts.  A group is a row with a count, summed before the shuffle; its members are never brought together, and equal
   neighbourhoods go on as one row with their number.
+
+Repeated strings of words take the same passes with words as symbols: all lengths and places are then in words.
 """
 
 from __future__ import annotations
@@ -33,26 +35,42 @@ from strandline.plans.staging import stage, staged_scope
 
 THRESHOLD = 400
 RADICES = (4, 8, 8)
-SEGMENT = 1 << 20
+WORD_RADICES = (5, 8)
+SEGMENT = 1 << 17
 POSITION = np.uint64((1 << 24) - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 HEAD = 8
-NEAR = 32
+WORD_HEAD = 3
 TOKEN = 8
 SLICE_BYTES = 8 << 20
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 class Shape:
-    """threshold = gram + width - 1, with a width that the radices divide into single suffixes."""
+    """threshold = gram + width - 1, with a width that the radices divide into single suffixes.
+
+    All are numbers of symbols of `unit` bytes: bytes (1) or the tokens of words (TOKEN).  Of equal smallest grams
+    within `near` symbols of a string's start the last counts.
+    """
 
-    def __init__(self, threshold: int, radices: Sequence[int]):
-        self.threshold, self.radices = threshold, tuple(radices)
+    def __init__(self, threshold: int, radices: Sequence[int], unit: int = 1):
+        self.threshold, self.radices, self.unit = threshold, tuple(radices), unit
         self.width = int(np.prod(self.radices))
         self.gram = threshold - self.width + 1
-        if self.gram < HEAD:
+        self.near = max(1, self.width // 8)
+        if self.gram < (HEAD if unit == 1 else WORD_HEAD):
             raise ValueError("the radices leave no room for an anchor gram")
 
+    def heads(self, body: bytes, lo: int, hi: int) -> np.ndarray:
+        """64 bits for each symbol of body[lo:hi] with enough after it: its HEAD bytes, or WORD_HEAD words mixed."""
+        if self.unit == 1:
+            b = np.frombuffer(body, dtype=np.uint8, count=hi - lo, offset=lo).astype(np.uint64)
+            b = b[:-1] | (b[1:] << np.uint64(8))
+            b = b[:-2] | (b[2:] << np.uint64(16))
+            return b[:-4] | (b[4:] << np.uint64(32))
+        w = np.frombuffer(body, dtype=np.uint64, count=hi - lo, offset=lo * TOKEN)
+        return (w[:-2] * MIX + w[1:-1]) * MIX + w[2:]
+
 
 def _smallest(v: np.ndarray, w: int) -> np.ndarray:
     """The minimum of every `w` neighbours, from running minima ahead and behind in blocks of `w`."""
@@ -65,33 +83,39 @@ def _smallest(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: m - w + 1], ahead[w - 1 : m])
 
 
-def anchors(body: bytes, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the smallest gram of every string of `threshold` bytes, and how far before them the strings start
-    (least and most).
+def anchors(body: bytes, lengths: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the smallest gram of every string of `threshold` symbols, and how far before them the strings start
+    (least and most).  `body` holds texts of the given lengths one after the other; no string crosses from one to the next.
 
-    Of equal ones the first; but the last if the first is within NEAR bytes of the string's start, as in a
+    Of equal ones the first; but the last if the first is within `near` symbols of the string's start, as in a
     stretch of repeated words that began before: else the anchors of such stretches would slide along with the string.
     """
-    n, w = len(body), shape.width
+    t, w = shape.threshold, shape.width
+    n = int(lengths.sum())
+    long = lengths >= t
+    opens = (np.cumsum(lengths) - lengths)[long]
+    within = np.zeros(n + 1, dtype=np.int8)  # 1 where a string of one text starts
+    within[opens] += 1
+    within[opens + lengths[long] - t + 1] -= 1
+    within = np.cumsum(within, dtype=np.int8).view(bool)
     runs = []  # (anchor, first string, last string)
-    for lo in range(0, n - shape.threshold + 1, SEGMENT):
-        hi = min(n, lo + SEGMENT + shape.threshold - 1)
-        b = np.frombuffer(body, dtype=np.uint8, count=hi - lo, offset=lo).astype(np.uint64)
-        b = b[:-1] | (b[1:] << np.uint64(8))
-        b = b[:-2] | (b[2:] << np.uint64(16))
-        b = b[:-4] | (b[4:] << np.uint64(32))
+    for lo in range(0, n - t + 1, SEGMENT):
+        hi = min(n, lo + SEGMENT + t - 1)
+        starts = np.flatnonzero(within[lo : hi - t + 1])
+        if not len(starts):
+            continue
         m = hi - lo - shape.gram + 1
-        v = b[:m] * MIX
+        v = shape.heads(body, lo, hi)[:m] * MIX
         v ^= v >> np.uint64(29)
         v *= MIX
         v &= ~POSITION
         at = np.arange(m, dtype=np.uint64)
-        first = (_smallest(v | at, w) & POSITION).astype(np.int64)
-        last = (POSITION - (_smallest(v | (POSITION - at), w) & POSITION)).astype(np.int64)
-        chosen = np.where(first - np.arange(len(first)) < NEAR, last, first)
+        first = (_smallest(v | at, w) & POSITION).astype(np.int64)[starts]
+        last = (POSITION - (_smallest(v | (POSITION - at), w) & POSITION)).astype(np.int64)[starts]
+        chosen = np.where(first - starts < shape.near, last, first)
         cut = np.flatnonzero(chosen[1:] != chosen[:-1]) + 1
-        begin, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(chosen)])) - 1
-        runs.append(lo + np.stack([chosen[begin], begin, end]))
+        begin, end = starts[np.concatenate(([0], cut))], starts[np.concatenate((cut, [len(chosen)])) - 1]
+        runs.append(lo + np.stack([chosen[np.concatenate(([0], cut))], begin, end]))
     if not runs:
         return (np.zeros(0, np.int64),) * 3
     x, begin, end = np.concatenate(runs, axis=1)
@@ -119,34 +143,32 @@ def _first_digits(docs: DataFrame, text: str, shape: Shape, view: Callable[[str]
 
     `view` gives the string to sort of a text; texts under `least` bytes have none of the threshold's length.
     """
-    t, g = shape.threshold, shape.gram
+    t, g, u = shape.threshold, shape.gram, shape.unit
     body = docs.select(text_key(text).alias("tkey"), whole_text(text).alias("_text")).filter(F.octet_length("_text") >= least)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh3_64_intdigest
         for pdf in _slices(batches):
-            keys, pos, gram, hood, left, right = [], [], [], [], [], []
-            for key, body in zip(pdf["tkey"], map(view, pdf["_text"]), strict=True):
-                at, least, reach = anchors(body, shape)
-                ahead = t - least
-                keys.append((key, len(at)))
-                pos.append(at)
-                left.append(reach)
-                right.append(ahead)
-                gram += [digest(body[x : x + g]) for x in at.tolist()]
-                hood += [digest(body[a:b]) for a, b in zip((at - reach).tolist(), (at + ahead).tolist(), strict=True)]
-            if keys:
-                yield pd.DataFrame({
-                    "tkey": np.repeat(np.array([k for k, _ in keys], dtype=object), [n for _, n in keys]),
-                    "pos": np.concatenate(pos), "h": _signed(gram), "s": _signed(hood),
-                    "l": np.concatenate(left).astype(np.int32), "r": np.concatenate(right).astype(np.int32),
-                })
+            bodies = [view(x) for x in pdf["_text"]]
+            lengths = np.array([len(b) // u for b in bodies], dtype=np.int64)
+            joined = b"".join(bodies)
+            del bodies
+            at, low, left = anchors(joined, lengths, shape)
+            right = t - low
+            begins = np.cumsum(lengths) - lengths
+            doc = np.searchsorted(begins, at, side="right") - 1
+            gram = [digest(joined[x : x + g * u]) for x in (at * u).tolist()]
+            hood = [digest(joined[a:b]) for a, b in zip(((at - left) * u).tolist(), ((at + right) * u).tolist(), strict=True)]
+            yield pd.DataFrame({
+                "tkey": pdf["tkey"].to_numpy()[doc], "pos": at - begins[doc], "h": _signed(gram), "s": _signed(hood),
+                "l": left.astype(np.int32), "r": right.astype(np.int32),
+            })
 
     return body.mapInPandas(apply, "tkey binary, pos long, h long, s long, l int, r int")
 
 
-def _neighbourhoods(docs: DataFrame, wanted: DataFrame, text: str, view: Callable[[str], bytes]) -> DataFrame:
-    """The bytes around each wanted anchor, once for each (tkey, pos)."""
+def _neighbourhoods(docs: DataFrame, wanted: DataFrame, text: str, view: Callable[[str], bytes], unit: int) -> DataFrame:
+    """The symbols around each wanted anchor, once for each (tkey, pos)."""
     lists = stage(wanted.groupBy("tkey").agg(F.collect_list(F.struct("pos", "h", "l", "r", "m")).alias("at")))
     body = docs.select(text_key(text).alias("tkey"), whole_text(text).alias("_text"))
 
@@ -155,17 +177,17 @@ def _neighbourhoods(docs: DataFrame, wanted: DataFrame, text: str, view: Callabl
             rows = []
             for key, text, at in zip(pdf["tkey"], pdf["_text"], pdf["at"], strict=True):
                 body = view(text)
-                rows += [(key, a["pos"], a["h"], a["l"], a["r"], a["m"], body[a["pos"] - a["l"] : a["pos"] + a["r"]]) for a in at]
+                rows += [(key, a["pos"], a["h"], a["l"], a["r"], a["m"], body[(a["pos"] - a["l"]) * unit : (a["pos"] + a["r"]) * unit]) for a in at]
             yield pd.DataFrame(rows, columns=["tkey", "pos", "h", "l", "r", "m", "hood"])
 
     cut = body.join(lists, "tkey").mapInPandas(apply, "tkey binary, pos long, h long, l int, r int, m long, hood binary")
     return cut.dropDuplicates(["tkey", "pos"])
 
 
-def _digits(hoods: DataFrame, parent: int, size: int, threshold: int) -> DataFrame:
+def _digits(hoods: DataFrame, parent: int, size: int, threshold: int, unit: int) -> DataFrame:
     """Splits open runs of `parent` suffixes (all of them if there is no column `open`) into runs of `size`.
 
-    `core` hashes the bytes that all suffixes of a run share, `span` the bytes that any of them has; lo and hi
+    `core` hashes the symbols that all suffixes of a run share, `span` those that any of them has; lo and hi
     bound the offsets that lie in the text.
     """
     columns = hoods.columns
@@ -183,8 +205,8 @@ def _digits(hoods: DataFrame, parent: int, size: int, threshold: int) -> DataFra
                         a, b = max(lo, least), min(hi, x)
                         if a <= b:
                             rows.append((i, lo, a, b))
-                            core.append(digest(hood[x - lo : x + threshold - hi]))
-                            span.append(digest(hood[x - b : x + threshold - a]))
+                            core.append(digest(hood[(x - lo) * unit : (x + threshold - hi) * unit]))
+                            span.append(digest(hood[(x - b) * unit : (x + threshold - a) * unit]))
             at = np.array(rows, dtype=np.int32).reshape(-1, 4)
             from_row = at[:, 0]
             yield pd.DataFrame({
@@ -195,14 +217,14 @@ def _digits(hoods: DataFrame, parent: int, size: int, threshold: int) -> DataFra
     return hoods.mapInPandas(apply, "tkey binary, pos long, h long, m long, run int, lo int, hi int, core long, span long")
 
 
-def repeats(docs: DataFrame, threshold: int = THRESHOLD, radices: Sequence[int] = RADICES, text: str = "text", view: Callable[[str], bytes] = str.encode, least: int | None = None) -> DataFrame:
+def repeats(docs: DataFrame, threshold: int = THRESHOLD, radices: Sequence[int] = RADICES, text: str = "text") -> DataFrame:
     """(tkey, spans): for each distinct text with repeated strings, spans (a, b) that together cover them."""
     with staged_scope(docs.sparkSession):
-        return _repeats(docs, Shape(threshold, radices), text, view, threshold if least is None else least)
+        return _repeats(docs, Shape(threshold, radices), text, str.encode, threshold)
 
 
 def _repeats(docs: DataFrame, shape: Shape, text: str, view: Callable[[str], bytes], least: int) -> DataFrame:
-    t = shape.threshold
+    t, u = shape.threshold, shape.unit
     first = stage(_first_digits(docs, text, shape, view, least))
     grams = stage(first.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
     second = stage(first.join(grams, "h", "left_semi"))
@@ -212,11 +234,11 @@ def _repeats(docs: DataFrame, shape: Shape, text: str, view: Callable[[str], byt
     done = [second.join(whole, keys, "left_semi").select("tkey", (F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b"))]
     open_grams = stage(groups.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("least")).filter("n > 1 and least = 1").select("h"))
     wanted = groups.join(open_grams, "h", "left_semi").select("at.tkey", "at.pos", "h", "l", "r", "m")
-    hoods = stage(_neighbourhoods(docs, wanted, text, view))
+    hoods = stage(_neighbourhoods(docs, wanted, text, view, u))
     parent, rows = shape.width, hoods
     for radix in shape.radices:
         size = parent // radix
-        runs = stage(_digits(rows, parent, size, t))
+        runs = stage(_digits(rows, parent, size, t, u))
         together = ["h", "run", "lo", "hi", "span"]
         alike = stage(runs.groupBy(*together).agg(F.sum("m").alias("n")).filter("n > 1").select(*together, F.lit(True).alias("same")))
         runs = stage(runs.join(alike, together, "left"))
@@ -236,25 +258,18 @@ def _repeats(docs: DataFrame, shape: Shape, text: str, view: Callable[[str], byt
 
 
 def word_tokens(text: str) -> bytes:
-    """A token of 8 bytes for every word: 56 bits of its hash, 7 in each, the first byte of another range than
-    the rest, so that equal strings of tokens start at the same place of a token.
-    """
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in text.encode().split()], dtype=np.uint64)
-    seven = ((h[:, None] >> (np.uint64(7) * np.arange(TOKEN, dtype=np.uint64))) & np.uint64(127)).astype(np.uint8)
-    seven[:, 0] |= 128
-    return seven.tobytes()
+    """A token of 8 bytes for every word, its hash."""
+    words = text.encode().split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)).tobytes()
 
 
-def word_repeats(docs: DataFrame, words: int, radices: Sequence[int] = RADICES, text: str = "text") -> DataFrame:
-    """(tkey, places): for each text with repeated strings of `words` words, spans (a, b) of words that cover them.
+def word_repeats(docs: DataFrame, words: int, radices: Sequence[int] = WORD_RADICES, text: str = "text") -> DataFrame:
+    """(tkey, places): for each distinct text with repeated strings of `words` words, spans (a, b) of words that cover them.
 
-    The spans of `repeats` over the words' tokens hold repeated strings at every start; of those the starts of words count.
+    Words are told apart by 64-bit hashes; what separates them is not compared.
     """
-    size = TOKEN * words
-    found = repeats(docs, size, radices, text, word_tokens, 2 * words - 1)
-    first, last = (lambda s: F.ceil(s["a"] / TOKEN)), (lambda s: F.floor((s["b"] - size) / TOKEN))
-    whole = F.filter("spans", lambda s: first(s) <= last(s))
-    return found.select("tkey", F.transform(whole, lambda s: F.struct(first(s).alias("a"), (last(s) + words).alias("b"))).alias("places"))
+    with staged_scope(docs.sparkSession):
+        return _repeats(docs, Shape(words, radices, TOKEN), text, word_tokens, 2 * words - 1).withColumnRenamed("spans", "places")
 
 
 def merged(spans: Sequence) -> list[tuple[int, int]]:
@@ -268,25 +283,28 @@ def merged(spans: Sequence) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), threshold: int = THRESHOLD, radices: Sequence[int] = RADICES, text: str = "text", with_text: bool = False, words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), threshold: int = THRESHOLD, radices: Sequence[int] = RADICES, text: str = "text", with_text: bool = False, words: int | None = None, counted: int | None = None, word_radices: Sequence[int] = WORD_RADICES) -> DataFrame:
     """The kept columns with n_bytes, n_removed, n_spans, kept_sha256 of every text and, if asked for, `kept_text`.
 
     A null text counts as empty.  Copies are removed at every place, the first included; repeated rows are copies of
     each other.  In `kept_text` characters that a removed span cut in two are left out.  An empty table
     gives no rows.  Columns that are not kept are ignored, so their names cannot clash.
     With `words`, strings of so many words that start at two or more places go too, however few bytes they have.
+    With `counted`, such strings are reported and stay: n_words_repeated words are in them, in n_word_spans maximal runs.
     """
     found = repeats(docs, threshold, radices, text)
     body = docs.select(*keep, text_key(text).alias("_tkey"), whole_text(text).alias("_text"))
     joined = body.join(found.withColumnRenamed("tkey", "_tkey"), "_tkey", "left").withColumnRenamed("spans", "_spans")
-    if words:
-        joined = joined.join(word_repeats(docs, words, radices, text).toDF("_tkey", "_places"), "_tkey", "left")
-    joined = joined.select(*keep, "_text", "_spans", *(["_places"] if words else []))
+    for name, size in (("_places", words), ("_counted", counted)):
+        if size:
+            joined = joined.join(word_repeats(docs, size, word_radices, text).toDF("_tkey", name), "_tkey", "left")
+    joined = joined.select(*keep, "_text", "_spans", *(["_places"] if words else []), *(["_counted"] if counted else []))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _slices(batches):
             texts, spans = pdf.pop("_text"), pdf.pop("_spans")
             places = pdf.pop("_places") if words else [None] * len(texts)
+            passages = [merged(s) if s is not None else [] for s in pdf.pop("_counted")] if counted else []
             rows = []
             for t, s, w in zip(texts, spans, places, strict=True):
                 body = t.encode()
@@ -303,10 +321,13 @@ def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), threshold
                 rows.append((len(body), len(body) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
             n_bytes, n_removed, n_spans, sha, kept = zip(*rows, strict=True) if rows else ((),) * 5
             out = pdf.assign(n_bytes=np.array(n_bytes, dtype=np.int64), n_removed=np.array(n_removed, dtype=np.int64), n_spans=np.array(n_spans, dtype=np.int64), kept_sha256=list(sha))
+            if counted:
+                out["n_words_repeated"] = np.array([sum(b - a for a, b in p) for p in passages], dtype=np.int64)
+                out["n_word_spans"] = np.array([len(p) for p in passages], dtype=np.int64)
             yield out.assign(kept_text=list(kept)) if with_text else out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return joined.mapInPandas(apply, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
+    return joined.mapInPandas(apply, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_words_repeated long, n_word_spans long" * bool(counted) + ", kept_text string" * with_text)
 
 
 def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, radices: Sequence[int] = RADICES, text: str = "text", size: str | None = None, words: int | None = None) -> DataFrame:

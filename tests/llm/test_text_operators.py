@@ -11,7 +11,7 @@ import xxhash
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam, langid, licenses, packing, sharding, simhash, suffix_dedup, toxicity
+from strandline.llm import decontam, langid, licenses, packing, queries, sharding, simhash, suffix_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, fp long, _text string, _tkey string, score double, n_chars long"
 BASE = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
@@ -108,6 +108,48 @@ def test_repeats_of_fifty_words_go_however_short(spark):
     assert got == {0: f"{own[0]} é  {own[1]}", 1: f"{own[2]}  {own[3]}", 2: texts[2], 3: texts[3], 4: None}
 
 
+def brute_word_repeats(texts, words):
+    bodies = [(x or "").encode().split() for x in texts]
+    count = {}
+    for b in bodies:
+        for i in range(len(b) - words + 1):
+            count[tuple(b[i : i + words])] = count.get(tuple(b[i : i + words]), 0) + 1
+    out = []
+    for b in bodies:
+        cover = np.zeros(len(b), dtype=int)
+        for i in range(len(b) - words + 1):
+            if count[tuple(b[i : i + words])] > 1:
+                cover[i : i + words] = 1
+        out.append((int(cover.sum()), int((np.diff(np.concatenate(([0], cover))) == 1).sum())))
+    return out
+
+
+@pytest.mark.parametrize("words,radices", [(50, (4, 8)), (12, (2, 4)), (6, (2, 2))])
+def test_counted_words_match_brute_force(spark, rows, words, radices):
+    rng = random.Random(words)
+    few = [" ".join(rng.choice(["a", "bb", "c\n"]) for _ in range(rng.randint(0, 3 * words))) for _ in range(40)]
+    more = [*rows, *((100 + i, t, None) for i, t in enumerate(few))]
+    got = suffix_dedup.remove_repeats(table(spark, more), counted=words, word_radices=radices).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    texts = [t for _, t, _ in more]
+    want = [(i, *b, *w) for (i, _, _), b, w in zip(more, brute_repeats(texts, 400), brute_word_repeats(texts, words), strict=True)]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_query_tells_of_passages_over_fifty_words(spark, tmp_path):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 5)))
+    passage = " ".join(word() for _ in range(55))
+    assert len(passage) < 400
+    own = [" ".join(word() for _ in range(120)) for _ in range(4)]
+    texts = [f"{own[0]} {passage} {own[1]}", f"{passage} {own[2]}", own[3], None, "few words"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op3_radix_repeats"](spark, str(tmp_path)).orderBy("doc_id")
+    assert got.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert [tuple(r)[1:5] for r in got.collect()] == brute_repeats(texts, 400)
+    assert [(r.n_words_repeated, r.n_word_spans) for r in got.collect()] == [(55, 1), (55, 1), (0, 0), (0, 0), (0, 0)]
+
+
 def brute_fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
